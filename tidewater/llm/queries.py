@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding
+from . import decontaminate, licenses, linededup, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1,
+    "op2_line_dedup": linededup.op2,
+    "op4_license_scan": licenses.op4,
     "op6_stratified_interleave": sharding.op6,
+    "op9_swap_packing": packing.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
+    "op2_line_dedup": linededup.ORACLE_SQL,
+    "op4_license_scan": licenses.ORACLE_SQL,
 }
