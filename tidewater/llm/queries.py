@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, linededup, packing, sharding
+from . import decontaminate, licenses, linededup, packing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1,
     "op2_line_dedup": linededup.op2,
+    "op3_toxicity": toxicity.op3,
     "op4_license_scan": licenses.op4,
     "op6_stratified_interleave": sharding.op6,
     "op9_swap_packing": packing.op9,
