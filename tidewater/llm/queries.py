@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, linededup, ngramjoin, packing, sharding, toxicity
+from . import decontaminate, flac, licenses, linededup, ngramjoin, packing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1,
     "op2_line_dedup": linededup.op2,
     "op3_toxicity": toxicity.op3,
     "op4_license_scan": licenses.op4,
+    "op5_flac": flac.op5,
     "op6_stratified_interleave": sharding.op6,
     "op7_ngram_jaccard_join": ngramjoin.op7,
     "op9_swap_packing": packing.op9,
