@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, flac, licenses, linededup, ngramjoin, packing, sharding, toxicity
+from . import decontaminate, flac, licenses, linededup, maxent, ngramjoin, packing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_flac": flac.op5,
     "op6_stratified_interleave": sharding.op6,
     "op7_ngram_jaccard_join": ngramjoin.op7,
+    "op8_maxent_lm": maxent.op8,
     "op9_swap_packing": packing.op9,
 }
 
