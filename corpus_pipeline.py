@@ -1,15 +1,69 @@
-"""A corpus pipeline over ``documents``, stage by stage."""
+"""A corpus pipeline over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of ``documents``. Toxic documents go; boilerplate lines go from their sites'
+texts; one document of each group of near copies stays; documents that contain benchmark
+windows go; what is left is packed into sequences. Clean documents stay throughout.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.llm import decontaminate, linededup, ngramjoin, packing, toxicity
+from tidewater.llm.common import checkpoint, table, tokenizer_path
+
+BROADCAST_BYTES = 32_000_000
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the threshold."""
+    tagger = toxicity.train(toxicity.training(docs), toxicity.training(table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, tagger, where=toxicity.THRESHOLD).select(docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the lines that their sites repeat."""
+    out = linededup.drop_boilerplate(docs)
+    chars = F.when(F.col("_tw_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", chars).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of linked ones; of equal rows one."""
+    found = checkpoint(ngramjoin.join(docs))
+    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
+    small = gone.count() * 16 <= BROADCAST_BYTES
+    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("_spans") == 0).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences and offsets."""
+    return packing.pack_pieces(packing.pieces(docs, tokenizer_path()))
+
 
-STAGES = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("swap_packing", pack),
+]
+#: SQL can't express the tagger, the tokenizer or the packing; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

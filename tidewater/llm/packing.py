@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = LENGTH, end_id: int = E
                 doc, piece, start, length, crc = [], [], [], [], []
                 ids = encoder(vocabulary).encode([x or b"" for x in blobs(batch.column(text_col))])
                 for d, x in zip(batch.column(id_col).to_pylist(), ids, strict=True):
-                    data = memoryview(x + end)
+                    data = memoryview(np.frombuffer(x, "<u2").astype("<u4").tobytes() + end)
                     for k, at in enumerate(range(0, len(data), 4 * size)):
                         part = data[at : at + 4 * size]
                         doc.append(d)

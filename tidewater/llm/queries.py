@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, flac, licenses, linededup, maxent, ngramjoin, packing, sharding, toxicity
+from . import decontaminate, flac, licenses, linededup, maxent, ngramjoin, packing, sharding, tokenfiles, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_jaccard_join": ngramjoin.op7,
     "op8_maxent_lm": maxent.op8,
     "op9_swap_packing": packing.op9,
+    "op10_feistel_token_files": tokenfiles.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,77 +1,65 @@
 """Token ids of a public vocabulary, fast for many texts.
 
-The tokenizer drops white space and never joins words across it, so the ids of a
-text are those of its white-space-separated chunks in order. Chunks repeat, so each
-is encoded once and kept, up to ``CACHE`` chunks in each Python worker.
+The tokenizer drops white space, never joins words across it, and is blind to case, so
+the ids of a text are those of its lower-cased white-space-separated chunks in order; a
+last full stop or comma after an ASCII letter is a token of its own. Chunks repeat, so
+each is encoded once and kept, up to ``CACHE`` chunks in each Python worker.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 CACHE = 1_000_000
 #: Chunks longer than this are encoded but not kept.
 LONG_CHUNK = 64
-_ENDS = (b".", b",")
+_ENDS = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
 _workers: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit numbers."""
+    """Ids as little-endian unsigned 16-bit numbers; the vocabulary must have fewer than 65,536."""
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary don't fit 16 bits")
         self.limit = cache
         self.known: dict[bytes, bytes] = {}
-        self.marks = {x: self._plain([x.decode()])[0] for x in _ENDS}
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Encode chunks that are not known yet. A last full stop or comma after an ASCII letter is a token of its own."""
-        bases, direct = {}, []
-        for x in chunks:
-            if x[-1:] in self.marks and x[-2:-1].isalpha():
-                bases[x] = x[:-1].lower()
-            elif x.isalpha():
-                bases[x] = x.lower()
-            else:
-                direct.append(x)
-        fresh = list({x for x in bases.values() if x not in self.known} | set(direct))
-        self.known.update(zip(fresh, self._plain([x.decode() for x in fresh]), strict=True))
-        for x, base in bases.items():
-            self.known[x] = self.known[base] + self.marks.get(x[-1:], b"")
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        out: list[bytes | None] = []
-        split = []
-        for x in texts:
-            # A special token's string in a text is rare: such a text goes to the tokenizer as it is.
-            split.append(None if b"<|" in x else x.split())
-        missing = set()
         known = self.known
-        for x in split:
-            if x:
-                missing.update(x)
-        missing = [x for x in missing if x not in known]
-        long = [x for x in missing if len(x) > LONG_CHUNK]
-        self._learn([x for x in missing if len(x) <= LONG_CHUNK])
-        extra = dict(zip(long, self._plain([x.decode() for x in long]), strict=True)) if long else {}
+        if len(known) > self.limit:
+            known.clear()
+        out: list[bytes] = []
+        # A special token's string in a text is rare: such a text goes to the tokenizer as it is.
+        split = [None if b"<|" in x else _ENDS.sub(rb" \1", x.lower()).split() for x in texts]
         for x, chunks in zip(texts, split, strict=True):
             if chunks is None:
-                out.append(self._plain([x.decode()])[0])
-            elif extra:
-                out.append(b"".join([known[c] if c in known else extra[c] for c in chunks]))
-            else:
+                out.append(self._plain([x])[0])
+                continue
+            try:
                 out.append(b"".join(map(known.__getitem__, chunks)))
+                continue
+            except KeyError:
+                missing = list({c for c in chunks if c not in known})
+            short = [c for c in missing if len(c) <= LONG_CHUNK]
+            known.update(zip(short, self._plain(short), strict=True))
+            if len(short) == len(missing):
+                out.append(b"".join(map(known.__getitem__, chunks)))
+            else:
+                long = [c for c in missing if len(c) > LONG_CHUNK]
+                extra = dict(zip(long, self._plain(long), strict=True))
+                out.append(b"".join([known[c] if c in known else extra[c] for c in chunks]))
         return out
 
 
