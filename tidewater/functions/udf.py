@@ -15,6 +15,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
 
+from ..session import ship_package
+
 
 @dataclass
 class Udf:
@@ -71,6 +73,7 @@ class UdfRegistry:
     def register(self, spark: SparkSession) -> None:
         import pandas as pd
 
+        ship_package(spark)
         for found in self.known.values():
             own = {k[len(found.name) + 1 :]: v for k, v in self.config.items() if k.startswith(found.name + ".")}
             call = _call(found.kind, own)

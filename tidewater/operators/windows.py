@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .triggers import Count, Repeat, firings
 
 DISCARDING, ACCUMULATING = "DISCARDING", "ACCUMULATING"
@@ -137,6 +138,7 @@ def panes(df: DataFrame, spec: Window, time: str, tie: str) -> DataFrame:
         fires, before, last = F.when(F.col("_rn") == n, F.array("_rn")), F.when(F.col("_rn") > n, 1).otherwise(0), F.when(F.col("_cnt") >= n, 1).otherwise(0)
     else:
         trigger = spec.early
+        ship_package(df.sparkSession)
 
         @F.pandas_udf("array<int>")
         def replay(times: pd.Series, ends: pd.Series) -> pd.Series:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Identifiers are case-sensitive, clocks are UTC, joins and skew are planned anew at run time, and state lives in RocksDB.
@@ -20,3 +24,18 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     if master:
         builder = builder.master(master)
     return builder.config(map=DEFAULTS | conf).getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once a session: their Python need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tidewater_shipped", False):
+        return spark
+    top = Path(__file__).resolve().parent
+    packed = Path(tempfile.mkdtemp(prefix="tidewater-ship-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(packed, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(packed))
+    context._tidewater_shipped = True
+    return spark

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..operators.triggers import firings
+from ..session import ship_package
 
 
 
@@ -57,6 +58,7 @@ def _millis(time: str):
 
 def join_streams(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, ttl_ms: int) -> DataFrame:
     """The time-bounded latest-row join of two streams: key, left and right rows in JSON, ms of the match."""
+    ship_package(left.sparkSession)
     sides = []
     for i, df in enumerate((left, right)):
         sides.append(df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lit(i).alias("side"), _millis(time).alias("ms"), F.col(tie).cast("long").alias("tie"), F.to_json(F.struct(*df.columns)).alias("value")))
@@ -144,6 +146,7 @@ class TriggeredWindows(StatefulProcessor):
 
 def window_stream(df: DataFrame, kind: str, ms: int, key: str, time: str, tie: str, value: str, trigger=None, discard: bool = False) -> DataFrame:
     """Panes (key, pane_id, seq, firing_type, n, total) of a stream that has a watermark on ``time``."""
+    ship_package(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.col(time), _millis(time).alias("ms"), F.col(tie).cast("long").alias("tie"), F.col(value).cast("double").alias("value"))
     kind_of_key = rows.schema["key"].dataType.simpleString()
     return rows.groupBy("key").transformWithStateInPandas(TriggeredWindows(kind, ms, trigger, discard), f"key {kind_of_key}, pane_id string, seq long, firing_type string, n long, total double", "Append", "EventTime")
@@ -230,6 +233,7 @@ class _Store:
 
 def run_task(df: DataFrame, key: str, task: Task, schema: str, every_ms: int | None = None) -> DataFrame:
     """A task over a keyed stream (or a bounded frame): its rows, each with the columns of ``schema``."""
+    ship_package(df.sparkSession)
     names = StructType.fromDDL(schema).names
     return df.groupBy(key).transformWithStateInPandas(_TaskProcessor(task, names, every_ms), schema, "Append", "ProcessingTime" if every_ms else "None")
 
