@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..session import ship_package as ship
+
+__all__ = ["STEP_BYTES", "WORD_BYTES", "blobs", "checkpoint", "shared_dir", "ship", "slices", "table", "tokenizer_path", "with_columns", "words"]
+
 #: Upper-case ASCII to lower case; every byte that cannot be in a word to a blank.
 #: A word is a run of 0-9, a-z and bytes of non-ASCII characters, which in UTF-8
 #: is the pattern ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` over the lower-cased text.
@@ -20,7 +22,7 @@ WORD_BYTES = bytes(
     for b in range(256)
 )
 #: Bytes of text that one vectorised step takes at a time.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 2_000_000
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -53,21 +55,6 @@ def with_columns(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once a session: their Python need not have it installed."""
-    context = spark.sparkContext
-    if getattr(context, "_tidewater_shipped", False):
-        return spark
-    top = Path(__file__).resolve().parents[1]
-    packed = Path(tempfile.mkdtemp(prefix="tidewater-ship-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(packed, "w") as out:
-        for file in sorted(top.rglob("*.py")):
-            out.write(file, file.relative_to(top.parent))
-    context.addPyFile(str(packed))
-    context._tidewater_shipped = True
-    return spark
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the session names none, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)

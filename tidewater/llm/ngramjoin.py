@@ -210,7 +210,7 @@ def _verified(tiles: DataFrame, least: list[int], threshold: float) -> DataFrame
     """node, links (rows of other classes it is linked to in this tile) and the least node it reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_tile(batches, 4_000_000, "text"):
+        for t in _by_tile(batches, 2_000_000, "text"):
             sets = shingle_sets([words(x) for x in blobs(t.column("text"))])
             # An id may stand for several rows: of those, one with the class's own set is kept.
             node, tile = t.column("node").to_numpy(), t.column("tile").to_numpy()
