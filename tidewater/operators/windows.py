@@ -26,7 +26,6 @@ from ..session import ship_package
 from .triggers import Count, Repeat, firings
 
 DISCARDING, ACCUMULATING = "DISCARDING", "ACCUMULATING"
-PANE = ["pane_id", "window_start", "window_end", "seq", "firing_type", "mode"]
 
 
 @dataclass(frozen=True)
@@ -114,7 +113,7 @@ def _millis(df: DataFrame, column: str) -> Column:
 
 
 def _panes(df: DataFrame, spec: Window, seq, firing) -> DataFrame:
-    return df.withColumn("pane_id", _millis(df, "_start").cast("string")).withColumn("seq", seq).withColumn("firing_type", firing).withColumn("mode", F.lit(spec.mode or ACCUMULATING))
+    return df.withColumns({"_p_pane_id": _millis(df, "_start").cast("string"), "_p_seq": seq, "_p_firing_type": firing, "_p_mode": F.lit(spec.mode or ACCUMULATING)})
 
 
 def panes(df: DataFrame, spec: Window, time: str, tie: str) -> DataFrame:
@@ -124,9 +123,11 @@ def panes(df: DataFrame, spec: Window, time: str, tie: str) -> DataFrame:
         raise ValueError("a window needs a value")
     rows = _assign(df.where(F.col(time).isNotNull()), spec, time, tie)
     group = [*spec.keys, "_start", "_end"]
-    final = [*spec.keys, F.col("pane_id"), F.col("_start").alias("window_start"), F.col("_end").alias("window_end"), "seq", "firing_type", "mode", *names]
+    pane = [F.col(f"_p_{c}").alias(c) for c in ("pane_id", "seq", "firing_type", "mode")]
+    values = [F.col(f"_v{i}").alias(k) for i, k in enumerate(names)]
+    final = [*spec.keys, pane[0], F.col("_start").alias("window_start"), F.col("_end").alias("window_end"), *pane[1:], *values]
     if spec.early is None:
-        out = rows.groupBy(*group).agg(*[_value(v, time, tie).alias(k) for k, v in names.items()])
+        out = rows.groupBy(*group).agg(*[_value(v, time, tie).alias(f"_v{i}") for i, v in enumerate(names.values())])
         return _panes(out, spec, F.lit(0).cast("long"), F.lit("DEFAULT")).select(*final)
     order = W.partitionBy(*group).orderBy(time, tie)
     rows = rows.withColumn("_rn", F.row_number().over(order)).withColumn("_cnt", F.count(F.lit(1)).over(W.partitionBy(*group)))
@@ -151,14 +152,13 @@ def panes(df: DataFrame, spec: Window, time: str, tie: str) -> DataFrame:
         own = F.filter("_fires", lambda x: x == F.col("_rn"))
         fires, before, last = F.when(F.size(own) > 0, own), F.size(F.filter("_fires", lambda x: x < F.col("_rn"))), F.size("_fires")
     if spec.mode == DISCARDING:
-        rows = rows.withColumn("seq", before.cast("long")).withColumn("_early", before < last)
-        out = rows.groupBy(*group, "seq", "_early").agg(*[_value(v, time, tie).alias(k) for k, v in names.items()])
-        return _panes(out, spec, F.col("seq"), F.when(F.col("_early"), "EARLY").otherwise("DEFAULT")).select(*final)
+        rows = rows.withColumn("_seq", before.cast("long")).withColumn("_early", before < last)
+        out = rows.groupBy(*group, "_seq", "_early").agg(*[_value(v, time, tie).alias(f"_v{i}") for i, v in enumerate(names.values())])
+        return _panes(out, spec, F.col("_seq"), F.when(F.col("_early"), "EARLY").otherwise("DEFAULT")).select(*final)
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    for k, v in names.items():
-        rows = rows.withColumn(k, _value(v, time, tie, so_far))
+    rows = rows.withColumns({f"_v{i}": _value(v, time, tie, so_far) for i, v in enumerate(names.values())})
     early = F.transform(F.coalesce(fires, F.array().cast("array<int>")), lambda _, i: F.struct((before + i).cast("long").alias("seq"), F.lit("EARLY").alias("firing_type")))
     default = F.when(F.col("_rn") == F.col("_cnt"), F.array(F.struct(last.cast("long").alias("seq"), F.lit("DEFAULT").alias("firing_type")))).otherwise(F.array().cast("array<struct<seq:bigint,firing_type:string>>"))
     rows = rows.withColumn("_pane", F.concat(early, default)).where(F.size("_pane") > 0)
-    out = rows.withColumn("_pane", F.explode("_pane")).withColumn("seq", F.col("_pane.seq")).withColumn("firing_type", F.col("_pane.firing_type"))
-    return _panes(out, spec, F.col("seq"), F.col("firing_type")).select(*final)
+    out = rows.withColumn("_pane", F.explode("_pane"))
+    return _panes(out, spec, F.col("_pane.seq"), F.col("_pane.firing_type")).select(*final)

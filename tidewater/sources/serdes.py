@@ -21,8 +21,8 @@ def _big_endian(kind: str, width: int) -> Serde:
 
     def decode(x: Column) -> Column:
         raw = F.conv(F.hex(x), 16, 10).cast("decimal(20,0)")
-        low = F.lit(2 ** (8 * width)).cast("decimal(20,0)")
-        signed = F.when(raw >= F.lit(2 ** (8 * width - 1)).cast("decimal(20,0)"), raw - low).otherwise(raw)
+        whole, half = (F.lit(str(2**n)).cast("decimal(20,0)") for n in (8 * width, 8 * width - 1))
+        signed = F.when(raw >= half, raw - whole).otherwise(raw)
         return F.when(F.octet_length(x) == width, signed.cast(kind))
 
     def encode(x: Column) -> Column:
