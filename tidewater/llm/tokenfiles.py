@@ -42,6 +42,8 @@ SEQ_LEN, SHARD_SLOTS, KEY, END_ID = 1024, 16_384, 0x5EED_0F_0DD5, 1
 ROW_SEQUENCES, BUNDLE_BYTES = 64, 16_000_000
 HEADER, MAGIC = 64, b"TIDESEQ1"
 ROUNDS = 6
+#: Stands for a null id within a bundle.
+NO_ID = -(1 << 63)
 MANIFEST = "slot long, shard int, offset long, sequence long, n_ids int, ids_crc32 long, doc_ids array<long>"
 
 
@@ -135,7 +137,7 @@ def _bundles(staged: DataFrame, before: dict[int, int], n: int, seq_len: int, sh
             rows = []
             for shard, own in by.items():
                 head = np.array([(slot[i], held[i][0], len(held[i][1]) // 2, len(held[i][2])) for i in own], "<i8").tobytes()
-                raw = len(own).to_bytes(4, "little") + head + b"".join(np.array(held[i][2], "<i8").tobytes() for i in own) + b"".join(held[i][1] for i in own)
+                raw = len(own).to_bytes(4, "little") + head + b"".join(np.array([NO_ID if d is None else d for d in held[i][2]], "<i8").tobytes() for i in own) + b"".join(held[i][1] for i in own)
                 rows.append((shard, len(raw), codec.compress(raw, asbytes=True)))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "raw", "bundle"])
@@ -162,7 +164,7 @@ def _unbundle(raw: bytes) -> Iterator[tuple[int, int, bytes, list[int]]]:
     head = np.frombuffer(raw, "<i8", 4 * n, 4).reshape(n, 4)
     docs_at, ids_at = 4 + 32 * n, 4 + 32 * n + 8 * int(head[:, 3].sum())
     for slot, sequence, ids, docs in head.tolist():
-        yield slot, sequence, raw[ids_at : ids_at + 2 * ids], np.frombuffer(raw, "<i8", docs, docs_at).tolist()
+        yield slot, sequence, raw[ids_at : ids_at + 2 * ids], [None if d == NO_ID else d for d in np.frombuffer(raw, "<i8", docs, docs_at).tolist()]
         docs_at, ids_at = docs_at + 8 * docs, ids_at + 2 * ids
 
 
