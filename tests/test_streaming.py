@@ -89,3 +89,25 @@ def test_async_batches_drop_none(spark):
 
     got = Stream(spark.range(6)).map_batches(async_batches(call, 4, 10), "id long, twice long").df
     assert sorted(tuple(r) for r in got.collect()) == [(0, 0), (2, 4), (4, 8)]
+
+
+def reminding():
+    class Remind(Task):
+        def process(self, key, row, store):
+            store.put(str(row.event_id), str(row.value))
+            store.remind(60_000 * (1 + int(row.ts.timestamp()) // 60))
+            return []
+
+        def watermark(self, key, ms, store):
+            return [(key, ms, len(store.all()))]
+
+    return Remind()
+
+
+def test_a_watermark_function_emits_when_time_passes(spark, events, tmp_path):
+    stream = to_event_time(replay(spark, events, SCHEMA, 100), "ts", "0 seconds")
+    spark.createDataFrame([(99, dt.datetime(2030, 1, 1), 99, "end", 0.0)], SCHEMA).coalesce(1).write.mode("append").parquet(events)
+    rows = run(run_task(stream, "user_id", reminding(), "user_id long, ms long, n int", event_time=True), tmp_path, "wm").where("user_id < 3").collect()
+    assert {r.user_id for r in rows} == {0, 1, 2} and all(r.n == 20 for r in rows)
+    seen = {(r.user_id, r.ms) for r in rows}
+    assert len(seen) == len(rows)

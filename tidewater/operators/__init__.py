@@ -1,5 +1,6 @@
 """The stream interface: row transforms, exchange, joins, windows and triggers."""
 
+from .exchange import group_tasks, partition_count, partitions_in, partitions_matching
 from .joins import latest_join
 from .stream import Graph, Stream
 from .triggers import Count, Repeat, SinceFirst, SinceLast, any_of, count, repeat, since_first, since_last
@@ -7,5 +8,5 @@ from .windows import Collect, Fold, Window, session_window, tumbling_window
 
 __all__ = [
     "Collect", "Count", "Fold", "Graph", "Repeat", "SinceFirst", "SinceLast", "Stream", "Window",
-    "any_of", "count", "latest_join", "repeat", "session_window", "since_first", "since_last", "tumbling_window",
+    "any_of", "count", "group_tasks", "latest_join", "partition_count", "partitions_in", "partitions_matching", "repeat", "session_window", "since_first", "since_last", "tumbling_window",
 ]

@@ -48,6 +48,16 @@ def keyed(key: Serde, value: Serde) -> Serde:
     )
 
 
+def intercepted(serde: Serde, outward: Callable[[Column], Column], inward: Callable[[Column], Column]) -> Serde:
+    """A serde whose bytes pass through a function on their way out and its inverse on their way in."""
+    return Serde(lambda x: serde.decode(inward(x)), lambda x: outward(serde.encode(x)))
+
+
+def encrypted(serde: Serde, key: str) -> Serde:
+    """Bytes encrypted with AES in GCM mode; ``key`` has 16, 24 or 32 characters."""
+    return intercepted(serde, lambda x: F.aes_encrypt(x, F.lit(key)), lambda x: F.aes_decrypt(x, F.lit(key)))
+
+
 _same = Serde(lambda x: x, lambda x: x)
 SERDES: dict[str, Serde] = {
     "int": _big_endian("int", 4),

@@ -1,7 +1,9 @@
 """Unbounded streams: keyed state, timers, end of stream, task interface, source and sink interfaces."""
 
+from .metrics import ProgressReporter, SlidingReservoir, report_to
 from .sources import QueueSource, register_sources
-from .stateful import LatestJoin, Task, TriggeredWindows, join_streams, run_task, window_stream
+from .state import TimeSeries, read_state
+from .stateful import LatestJoin, Task, TaskStore, TriggeredWindows, async_batches, join_streams, run_task, window_stream
 from .time import flush_with_sentinel, replay, to_event_time
 
-__all__ = ["LatestJoin", "QueueSource", "Task", "TriggeredWindows", "flush_with_sentinel", "join_streams", "register_sources", "replay", "run_task", "to_event_time", "window_stream"]
+__all__ = ["LatestJoin", "ProgressReporter", "QueueSource", "SlidingReservoir", "Task", "TaskStore", "TimeSeries", "TriggeredWindows", "async_batches", "read_state", "report_to", "flush_with_sentinel", "join_streams", "register_sources", "replay", "run_task", "to_event_time", "window_stream"]

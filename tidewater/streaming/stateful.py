@@ -153,7 +153,11 @@ def window_stream(df: DataFrame, kind: str, ms: int, key: str, time: str, tie: s
 
 
 class Task:
-    """Imperative code for each key: override what is needed. ``store`` is the key's own string map."""
+    """Imperative code for each key: override what is needed. ``store`` is the key's own string map.
+
+    ``window`` runs by the clock, ``watermark`` when the event-time watermark has passed a
+    time that ``process`` asked for by ``store.remind(ms)``.
+    """
 
     def setup(self) -> None: ...
 
@@ -164,15 +168,19 @@ class Task:
         """Called when the key's timer fires."""
         return []
 
+    def watermark(self, key, ms: int, store) -> list[tuple]:
+        """Called when the watermark has passed ``ms``."""
+        return []
+
     def teardown(self) -> None: ...
 
 
 class _TaskProcessor(StatefulProcessor):
-    def __init__(self, task: Task, columns: list[str], every_ms: int | None):
-        self.task, self.columns, self.every = task, columns, every_ms
+    def __init__(self, task: Task, columns: list[str], every_ms: int | None, event_time: bool):
+        self.task, self.columns, self.every, self.event_time = task, columns, every_ms, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.store = handle, _Store(handle.getMapState("store", "k string", "v string"))
+        self.handle, self.store = handle, TaskStore(handle.getMapState("store", "k string", "v string"), handle)
         self.task.setup()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -184,6 +192,9 @@ class _TaskProcessor(StatefulProcessor):
         yield pd.DataFrame(out, columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.event_time:
+            yield pd.DataFrame(self.task.watermark(key[0], expiredTimerInfo.getExpiryTimeInMs(), self.store), columns=self.columns)
+            return
         out = self.task.window(key[0], self.store)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.every)
         yield pd.DataFrame(out, columns=self.columns)
@@ -192,11 +203,15 @@ class _TaskProcessor(StatefulProcessor):
         self.task.teardown()
 
 
-class _Store:
+class TaskStore:
     """An ordered map of strings: get, get_all, put, put_all, delete, delete_all, range, all."""
 
-    def __init__(self, state):
-        self.state = state
+    def __init__(self, state, handle=None):
+        self.state, self.handle = state, handle
+
+    def remind(self, ms: int) -> None:
+        """Ask for ``Task.watermark`` when event time has passed ``ms``."""
+        self.handle.registerTimer(ms)
 
     def get(self, k: str) -> str | None:
         return self.state.getValue((k,))[0] if self.state.containsKey((k,)) else None
@@ -231,11 +246,11 @@ class _Store:
         return [(k, v) for k, v in self.all() if start <= k < stop]
 
 
-def run_task(df: DataFrame, key: str, task: Task, schema: str, every_ms: int | None = None) -> DataFrame:
+def run_task(df: DataFrame, key: str, task: Task, schema: str, every_ms: int | None = None, event_time: bool = False) -> DataFrame:
     """A task over a keyed stream (or a bounded frame): its rows, each with the columns of ``schema``."""
     ship_package(df.sparkSession)
     names = StructType.fromDDL(schema).names
-    return df.groupBy(key).transformWithStateInPandas(_TaskProcessor(task, names, every_ms), schema, "Append", "ProcessingTime" if every_ms else "None")
+    return df.groupBy(key).transformWithStateInPandas(_TaskProcessor(task, names, every_ms, event_time), schema, "Append", "EventTime" if event_time else "ProcessingTime" if every_ms else "None")
 
 
 def async_batches(fn: Callable[[dict], dict | None], threads: int = 8, timeout_s: float | None = None):
@@ -252,4 +267,4 @@ def async_batches(fn: Callable[[dict], dict | None], threads: int = 8, timeout_s
     return run
 
 
-__all__ = ["LatestJoin", "Task", "TriggeredWindows", "async_batches", "join_streams", "run_task", "window_stream"]
+__all__ = ["LatestJoin", "Task", "TaskStore", "TriggeredWindows", "async_batches", "join_streams", "run_task", "window_stream"]
