@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tidewater.llm import queries
+from tidewater.llm import linededup, queries
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -95,7 +95,7 @@ def test_pipeline_stages(spark, docs, tmp_path):
     for r in kept.values():
         pages[r.source] += 1
         seen.update({(r.source, x.strip(" ")) for x in r.text.split("\n") if x.strip(" ")})
-    drop = {k for k, n in seen.items() if n >= 3 and n > 0.005 * pages[k[0]]}
+    drop = {k for k, n in seen.items() if n >= linededup.MIN_PAGES and n > linededup.RATIO * pages[k[0]]}
     for i, r in kept.items():
         assert out["line_dedup"][i].text == "\n".join(x for x in r.text.split("\n") if (r.source, x.strip(" ")) not in drop)
         assert out["line_dedup"][i].n_chars in (r.n_chars, len(out["line_dedup"][i].text))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, table
 
-RATIO, MIN_PAGES = 0.005, 3
+RATIO, MIN_PAGES = 0.01, 5
 BROADCAST_BYTES = 8_000_000
 
 
