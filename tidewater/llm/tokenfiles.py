@@ -41,7 +41,7 @@ SEQ_LEN, SHARD_SLOTS, KEY, END_ID = 1024, 16_384, 0x5EED_0F_0DD5, 1
 #: Sequences in a row of the staging table, and bytes of ids in a bundle.
 ROW_SEQUENCES, BUNDLE_BYTES = 64, 16_000_000
 HEADER, MAGIC = 64, b"TIDESEQ1"
-ROUNDS = 6
+ROUNDS, LEVEL = 6, 9
 #: Stands for a null id within a bundle.
 NO_ID = -(1 << 63)
 MANIFEST = "slot long, shard int, offset long, sequence long, n_ids int, ids_crc32 long, doc_ids array<long>"
@@ -126,7 +126,7 @@ def _bundles(staged: DataFrame, before: dict[int, int], n: int, seq_len: int, sh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, list[int]]] = []  # sequence, ids, documents
-        codec = pa.Codec("zstd")
+        codec = pa.Codec("zstd", LEVEL)
         size = 0
 
         def flush() -> pa.RecordBatch:
@@ -233,7 +233,7 @@ def materialise(
     """Write the shards and meta.json into ``folder``; the manifest, a row for each sequence, is a table there."""
     spark = docs.sparkSession
     staging, manifest = f"{folder}/staging", f"{folder}/manifest"
-    _stage(docs, vocabulary, seq_len, end_id, id_col, text_col).write.option("compression", "zstd").parquet(staging)
+    _stage(docs, vocabulary, seq_len, end_id, id_col, text_col).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).parquet(staging)
     staged = spark.read.schema("part int, row int, ids binary, docs array<long>, begins array<long>").parquet(staging)
     counted = staged.groupBy("part").agg(F.sum(F.ceil(F.octet_length("ids") / (2 * seq_len))).alias("n")).collect()
     before, n = {}, 0
