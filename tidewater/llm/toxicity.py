@@ -161,20 +161,25 @@ def fit(windows: list[tuple[list[bytes], list[int]]], rounds: int = 60, penalty:
     """Maximise the penalised likelihood of the windows' labels by adaptive gradient steps."""
     windows = [x for x in windows if x[0]]
     n, length = len(windows), max((len(x[0]) for x in windows), default=1)
-    rows, columns, labels, real = [], [], np.zeros((n, length)), np.zeros((n, length), bool)
+    # Each distinct word has its features once; tokens are places in that list.
+    place = {_NONE: 0}
+    ids = np.zeros((n, length + 2), np.int32)
+    labels, real = np.zeros((n, length)), np.zeros((n, length), bool)
     for k, (words, marks) in enumerate(windows):
-        real[k, : len(words)] = True
-        labels[k, : len(words)] = marks
-        for i, x in enumerate(words):
-            found = [*_features(x), _beside(words[i - 1] if i else _NONE, b"<"), _beside(words[i + 1] if i + 1 < len(words) else _NONE, b">")]
-            rows += [k * length + i] * len(found)
-            columns += found
-    rows, (used, columns) = np.array(rows, np.int64), np.unique(np.array(columns, np.int64), return_inverse=True)
+        ids[k, 1 : len(words) + 1] = [place.setdefault(x, len(place)) for x in words]
+        labels[k, : len(words)], real[k, : len(words)] = marks, True
+    own = [np.array(_features(x), np.int32) for x in place]
+    word = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    feature = np.concatenate([*own, np.array([_beside(x, b"<") for x in place], np.int32), np.array([_beside(x, b">") for x in place], np.int32)])
+    used, feature = np.unique(feature, return_inverse=True)
+    feature, left, right = np.split(feature, [len(word), len(word) + len(own)])
+    here, before, after = ids[:, 1:-1].ravel(), ids[:, :-2].ravel(), ids[:, 2:].ravel()
     w, w2 = np.zeros(len(used)), np.full(len(used), 1e-6)
     t, t2 = np.array([[0.0, -1.0], [0.0, 0.0]]), np.full((2, 2), 1e-6)
     s, s2 = -2.0, 1e-6
     for _ in range(rounds):
-        d = np.bincount(rows, w[columns], n * length).reshape(n, length)
+        score = np.bincount(word, w[feature], len(own))
+        d = (score[here] + w[left][before] + w[right][after]).reshape(n, length)
         f = np.exp(t)
         alpha, beta = np.zeros((n, length)), np.zeros((n, length))  # log odds
         alpha[:, 0] = d[:, 0] + s
@@ -189,7 +194,10 @@ def fit(windows: list[tuple[list[bytes], list[int]]], rounds: int = 60, penalty:
             beta[:, i - 1] = np.where(real[:, i], onward(d[:, i] + beta[:, i], f.T), 0)
         p = np.where(real, 1 / (1 + np.exp(-np.clip(alpha + beta, -40, 40))), 0)
         error = np.where(real, labels - p, 0)
-        grad = np.bincount(columns, error.ravel()[rows], len(used)) - penalty * w
+        flat = error.ravel()
+        grad = np.bincount(feature, np.bincount(here, flat, len(own))[word], len(used)) - penalty * w
+        for side, of in ((left, before), (right, after)):
+            grad += np.bincount(side, np.bincount(of, flat, len(own)), len(used))
         both = real[:, 1:]
         x, y = np.exp(np.clip(alpha[:, :-1], -40, 40)), np.exp(np.clip(d[:, 1:] + beta[:, 1:], -40, 40))
         pair = np.array([[np.full_like(x, f[0, 0]), f[0, 1] * y], [f[1, 0] * x, f[1, 1] * x * y]])
