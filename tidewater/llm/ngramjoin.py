@@ -51,7 +51,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64, kept in each worker."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 21)
         one = [np.full(size, x, np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
         for x in one:
             x[0] = 1

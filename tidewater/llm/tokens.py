@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-CACHE = 1_000_000
+CACHE = 600_000
 #: Chunks longer than this are encoded but not kept.
 LONG_CHUNK = 64
 _ENDS = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")

@@ -101,7 +101,7 @@ class Tagger:
         total = sum(lengths)
         if not total:
             return [np.zeros(0) for _ in texts]
-        if len(cache) > 500_000:
+        if len(cache) > 200_000:
             cache.clear()
         self._learn([x for x in {y for t in texts for y in t} | {_NONE} if x not in cache], cache)
         starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
