@@ -214,7 +214,9 @@ j as (select k, case when side = 0 then id else lid end as view_id, case when si
 
 
 def _views_and_clicks(e: Stream, *columns) -> Stream:
-    return e.filter("event_type = 'view'").join(e.filter("event_type = 'click'"), "user_id", "12 HOURS", *columns)
+    slim = ["event_id", "ts", "user_id"]  # what the join carries along
+    views, clicks = (e.filter(F.col("event_type") == x).map(*slim) for x in ("view", "click"))
+    return views.join(clicks, "user_id", "12 HOURS", *columns)
 
 
 @stream("ttl_join", _TTL + "select k as user_id, view_id, click_id, matched_at, side_in from j")
