@@ -273,7 +273,7 @@ def test_the_model_is_a_distribution():
     import numpy as np
 
     head = [(b"the", 50), (b"a", 30), (maxent.END, 20), (b"fox", 5), (b"dog", 4)]
-    classes = maxent.Classes(head, np.arange(5 * maxent.CONTEXTS).reshape(5, maxent.CONTEXTS) % 7.0)
+    classes = maxent.Classes(head, 5, np.arange(5 * maxent.CONTEXTS).reshape(5, maxent.CONTEXTS) % 7.0)
     w = np.random.default_rng(1).normal(size=(1 << maxent.TABLE_BITS, classes.n)).astype(np.float32)
     logs = maxent._softmax_logs(w, np.zeros(classes.n, np.float32), maxent.history(np.array([0, 3, 1]), np.zeros(3, np.int64)))
     for row in logs:
