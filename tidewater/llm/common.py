@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..session import ship_package as ship
 
-__all__ = ["STEP_BYTES", "WORD_BYTES", "blobs", "checkpoint", "shared_dir", "ship", "slices", "table", "tokenizer_path", "with_columns", "words"]
+__all__ = ["STEP_BYTES", "WORD_BYTES", "blobs", "checkpoint", "drops", "shared_dir", "ship", "slices", "table", "task", "tokenizer_path", "with_columns", "words"]
 
 #: Upper-case ASCII to lower case; every byte that cannot be in a word to a blank.
 #: A word is a run of 0-9, a-z and bytes of non-ASCII characters, which in UTF-8
@@ -50,6 +52,41 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = STEP_BYTES) -> Iterato
         yield batch.slice(start)
 
 
+_operator: list[str] = []
+#: What drops the caches that operators keep in a Python worker between tasks.
+drops: list[Callable[[], None]] = []
+
+
+def _trim() -> None:
+    """Give freed memory back: a worker that is used again would hold it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def task(operator: str) -> Callable:
+    """Mark a function over batches as an operator's: a worker drops the caches of the operator before, and its freed memory after each task."""
+
+    def mark(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+        def run(batches: Iterator) -> Iterator:
+            if _operator != [operator]:
+                _operator[:] = [operator]
+                for drop in drops:
+                    drop()
+                gc.collect()
+                _trim()
+            try:
+                yield from fn(batches)
+            finally:
+                _trim()
+
+        return run
+
+    return mark
+
+
 def with_columns(schema: StructType, ddl: str) -> StructType:
     """A schema with further columns, given as DDL."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

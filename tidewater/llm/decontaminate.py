@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, blobs, ship, slices, table, with_columns, words
+from .common import STEP_BYTES, blobs, ship, slices, table, task, with_columns, words
 
 WINDOW, K = 10, 5
 BLOCK_BYTES = 16_000_000
@@ -169,6 +169,7 @@ def _search(docs: DataFrame, index, text_col: str, keep: list[str]) -> DataFrame
     schema = with_columns(docs.select(*keep).schema, f"_digest string, _n_words long, _spans {SPANS}, _items array<string>")
     wanted = list(dict.fromkeys([*keep, text_col]))
 
+    @task("decontaminate")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col, STEP_BYTES):

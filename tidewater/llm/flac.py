@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, ship, slices, table, with_columns
+from .common import blobs, ship, slices, table, task, with_columns
 
 BLOCK, RATE, STEP_FRAMES, STEP_TEXT = 1024, 44_100, 4096, 2_000_000
 MAX_RICE = 9
@@ -384,6 +384,7 @@ def store(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
     added = "_tw_bytes long, _tw_media binary, _tw_payload_bytes long, _tw_payload_sha256 string, _tw_tail_crc32 long, _tw_media_bytes long, _tw_media_sha256 string, _tw_feature string"
     schema = with_columns(docs.select(*keep).schema, added)
 
+    @task("flac")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col, STEP_TEXT):
@@ -409,6 +410,7 @@ def store(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
 def write_pcm(stored: DataFrame, path: str, id_col: str = "doc_id", media_col: str = "_tw_media") -> None:
     """Decode streams and write PCM blocks as Parquet: id, block, first_sample, pcm."""
 
+    @task("flac")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, media_col, STEP_TEXT):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, checkpoint, ship, slices, table, words
+from .common import blobs, checkpoint, drops, ship, slices, table, task, words
 from .decontaminate import _mix, grams
 from .graphs import components
 
@@ -46,6 +46,7 @@ _SEEDS = _mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779
 _XOR, _MULTIPLY = _SEEDS[:HASHES], _SEEDS[HASHES:] | np.uint64(1)
 _BASE = 0x5851F42D4C957F2D
 _powers: list[np.ndarray] = []
+drops.append(_powers.clear)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +191,7 @@ def _spread(rows: DataFrame, group: str, blocks) -> DataFrame:
 def _candidates(tiles: DataFrame, least: list[int]) -> DataFrame:
     """Edges that span what survives the comparison within each tile."""
 
+    @task("ngramjoin")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_tile(batches, 8192):
             sig, node = _sig_matrix(t.column("sig")), t.column("node").to_numpy()
@@ -209,6 +211,7 @@ def _candidates(tiles: DataFrame, least: list[int]) -> DataFrame:
 def _verified(tiles: DataFrame, least: list[int], threshold: float) -> DataFrame:
     """node, links (rows of other classes it is linked to in this tile) and the least node it reaches."""
 
+    @task("ngramjoin")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_tile(batches, 2_000_000, "text"):
             sets = shingle_sets([words(x) for x in blobs(t.column("text"))])
@@ -257,6 +260,7 @@ def _verified(tiles: DataFrame, least: list[int], threshold: float) -> DataFrame
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, the two halves of its set's hash, the number of shingles and the signature."""
 
+    @task("ngramjoin")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col):

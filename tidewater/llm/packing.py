@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, checkpoint, ship, slices, table, tokenizer_path
+from .common import blobs, checkpoint, ship, slices, table, task, tokenizer_path
 from .tokens import encoder
 
 LENGTH, END_ID, GROUP_PIECES = 4096, 1, 20_000
@@ -115,6 +115,7 @@ def pack(lengths: list[int], size: int = LENGTH) -> list[list[int]]:
 def pieces(docs: DataFrame, vocabulary: str, size: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length and checksum of the ids, for every piece."""
 
+    @task("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:

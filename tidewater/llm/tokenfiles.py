@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, shared_dir, ship, slices, table, tokenizer_path
+from .common import blobs, shared_dir, ship, slices, table, task, tokenizer_path
 from .tokens import encoder
 
 SEQ_LEN, SHARD_SLOTS, KEY, END_ID = 1024, 16_384, 0x5EED_0F_0DD5, 1
@@ -86,6 +86,7 @@ def slots(sequences: np.ndarray, n: int, key: int = KEY, inverse: bool = False)
 def _stage(docs: DataFrame, vocabulary: str, seq_len: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Rows of up to 64 sequences: part, row, ids, and the documents in them with the place of each one's first id there."""
 
+    @task("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, size = TaskContext.get().partitionId(), 0, 2 * seq_len * ROW_SEQUENCES
         end = np.array([end_id], "<u2").tobytes()
@@ -124,6 +125,7 @@ def _bundles(staged: DataFrame, before: dict[int, int], n: int, seq_len: int, sh
     """Compressed bundles of sequences for each shard."""
     shared = staged.sparkSession.sparkContext.broadcast(before)
 
+    @task("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, list[int]]] = []  # sequence, ids, documents
         codec = pa.Codec("zstd", LEVEL)
@@ -212,6 +214,7 @@ def _shards(bundles: DataFrame, folder: str, n: int, seq_len: int, shard_slots:
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["slot", "shard", "offset", "sequence", "n_ids", "ids_crc32", "doc_ids"])
 
+    @task("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, shard, parts = pa.Codec("zstd"), None, []
         for batch in batches:

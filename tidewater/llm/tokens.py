@@ -13,11 +13,14 @@ import re
 
 import numpy as np
 
+from .common import drops
+
 CACHE = 600_000
 #: Chunks longer than this are encoded but not kept.
 LONG_CHUNK = 64
 _ENDS = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
 _workers: dict[str, Encoder] = {}
+drops.append(_workers.clear)
 
 
 class Encoder:

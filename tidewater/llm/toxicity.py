@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, blobs, ship, slices, table, with_columns
+from .common import WORD_BYTES, blobs, ship, slices, table, task, with_columns
 
 THRESHOLD, SAMPLE, WINDOWS, SPAN, SEEDS = 0.7, 4000, 2, 48, 5000
 HASH_BITS = 18
@@ -220,6 +220,7 @@ def fit(windows: list[tuple[list[bytes], list[int]]], rounds: int = 60, penalty:
 def _counts(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
     """Documents of either label that hold each word (w) or beginning (p); summed in each task first."""
 
+    @task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[bytes, int]] = [{}, {}]
 
@@ -249,6 +250,7 @@ def _mark(words: list[bytes], seeds: set[bytes]) -> list[int]:
 
 
 def _windows(rows: DataFrame, id_col: str, text_col: str, label_col: str, seeds: set[bytes], windows: int, span: int) -> DataFrame:
+    @task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_words, out_marks = [], []
@@ -299,6 +301,7 @@ def _evidence(rows: DataFrame, tagger: Tagger, text_col: str, label_col: str) ->
     """What the curve is fitted on, for each row of the bounded sample that has a word."""
     shared = rows.sparkSession.sparkContext.broadcast(tagger)
 
+    @task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = shared.value, {}
         for whole in batches:
@@ -318,6 +321,7 @@ def score(docs: DataFrame, tagger: Tagger | None, text_col: str = "text", keep:
     shared = ship(docs.sparkSession).sparkContext.broadcast(tagger)
     schema = with_columns(docs.select(*keep).schema, "_tw_score double, _tw_spans array<struct<start:int,end:int>>")
 
+    @task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = shared.value, {}
         for whole in batches:
