@@ -41,7 +41,7 @@ SEQ_LEN, SHARD_SLOTS, KEY, END_ID = 1024, 16_384, 0x5EED_0F_0DD5, 1
 #: Sequences in a row of the staging table, and bytes of ids in a bundle.
 ROW_SEQUENCES, BUNDLE_BYTES = 64, 16_000_000
 HEADER, MAGIC = 64, b"TIDESEQ1"
-ROUNDS, LEVEL = 6, 9
+ROUNDS, LEVEL = 6, 3
 #: Stands for a null id within a bundle.
 NO_ID = -(1 << 63)
 MANIFEST = "slot long, shard int, offset long, sequence long, n_ids int, ids_crc32 long, doc_ids array<long>"
