@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the lines that their sites repeat."""
-    out = linededup.drop_boilerplate(docs)
+    """All documents without the lines that their sites repeat; copies of a text are one page of its site."""
+    out = linededup.drop_boilerplate(docs, distinct=True)
     chars = F.when(F.col("_tw_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars).select(docs.columns)
 

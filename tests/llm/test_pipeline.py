@@ -143,6 +143,16 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert len(bins) == -(-sum(r.length for r in last) // 4096)
 
 
+def test_copies_alone_are_no_boilerplate(spark):
+    """On a site of 99 texts, 6 copies of one keep its lines; a line on 6 different pages goes."""
+    texts = [f"footer\npage {i}" if i < 6 else f"page {i}" for i in range(98)] + ["copied one\ncopied two"] * 6
+    rows = [(i, x, "en", "site", len(x)) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_lines(spark, df, SF).collect()}
+    want = [x.removeprefix("footer\n") for x in texts]
+    assert out == {i: (x, len(x)) for i, x in enumerate(want)}
+
+
 def test_nothing_else_imports_the_subpackage():
     from pathlib import Path
 

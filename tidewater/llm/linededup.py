@@ -12,8 +12,10 @@ to be small, by a shuffle join otherwise.
 
 Cases: lines are compared without blanks around them; empty lines stay and are not
 counted as boilerplate; null texts stay null, with no lines; empty texts have one empty
-line; null hosts are one host; repeated rows count as pages each; an empty table gives
-an empty result; helper columns begin with ``_tw_``, other names can't clash.
+line; null hosts are one host; repeated rows count as pages each (as in op2's SQL), with
+``distinct`` as one page for each host and text, so that copies alone make no line
+boilerplate; an empty table gives an empty result; helper columns begin with ``_tw_``,
+other names can't clash.
 """
 
 from __future__ import annotations
@@ -31,26 +33,26 @@ def _key(line):
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """_tw_host and _tw_drop, the set of its boilerplate lines' keys; hosts without any are left out."""
     host = F.when(F.col(host_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(host_col).cast("string")))
     pages = docs.select(host.alias("_tw_host"), F.col(text_col).alias("_tw_text"))
     lines = F.filter(F.transform(F.split("_tw_text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    counts = (
-        pages.select("_tw_host", F.explode(F.array_distinct(lines)).alias("_tw_line"))
-        .select("_tw_host", F.xxhash64("_tw_line").alias("a"), F.xxhash64(F.lit(1), "_tw_line").alias("b"))
-        .groupBy("_tw_host", "a", "b")
-        .agg(F.count(F.lit(1)).alias("_tw_n"))
-        .where(F.col("_tw_n") >= min_pages)
-    )
-    totals = pages.groupBy("_tw_host").agg(F.count(F.lit(1)).alias("_tw_pages"))
+    keyed = pages.select("_tw_host", *([_key(F.col("_tw_text")).alias("_tw_page")] if distinct else []), lines.alias("_tw_lines"))
+    own = [c for c in keyed.columns if c != "_tw_lines"]
+    found = keyed.select(*own, F.explode(F.array_distinct("_tw_lines")).alias("_tw_line")).select(*own, F.xxhash64("_tw_line").alias("a"), F.xxhash64(F.lit(1), "_tw_line").alias("b"))
+    whole = keyed.select(*own)
+    if distinct:
+        found, whole = found.distinct(), whole.distinct()
+    counts = found.groupBy("_tw_host", "a", "b").agg(F.count(F.lit(1)).alias("_tw_n")).where(F.col("_tw_n") >= min_pages)
+    totals = whole.groupBy("_tw_host").agg(F.count(F.lit(1)).alias("_tw_pages"))
     common = counts.join(totals, "_tw_host").where(F.col("_tw_n") > F.lit(float(ratio)) * F.col("_tw_pages"))
     return common.groupBy("_tw_host").agg(F.collect_set(F.struct("a", "b")).alias("_tw_drop"))
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """The rows with their text rewritten, and _tw_lines and _tw_dropped, the lines before and those dropped."""
-    sets = checkpoint(boilerplate(docs, ratio, min_pages, host_col, text_col))
+    sets = checkpoint(boilerplate(docs, ratio, min_pages, host_col, text_col, distinct))
     held = sets.agg(F.coalesce(F.sum(16 * F.size("_tw_drop") + F.octet_length("_tw_host")), F.lit(0))).first()[0]
     host = F.when(F.col(host_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(host_col).cast("string")))
     joined = docs.withColumn("_tw_host", host).join(F.broadcast(sets) if held <= BROADCAST_BYTES else sets, "_tw_host", "left")
