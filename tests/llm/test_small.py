@@ -84,6 +84,43 @@ def test_licenses(spark, docs, none):
         assert "," not in pattern[:1]
 
 
+def test_wrapped_licenses(spark):
+    bsd = """Copyright (c) 2020 X
+
+Redistribution and use in source and binary
+forms, with or without modification, are permitted provided that the following conditions are met:
+* Redistributions of source code must
+  retain the above copyright notice and this list.
+* Redistributions in binary form must reproduce the above copyright notice.
+* Neither the name of X nor the names of its contributors
+  may be used to endorse or promote products.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS
+IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+    gpl = """it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted."""
+    texts = {
+        bsd: ("copyright,bsdGrant,bsdSource,bsdBinary,bsdEndorse,asIs", "BSD-3-Clause"),
+        "/*\n" + "\n".join(f" * {x}".rstrip() for x in bsd.split("\n")) + "\n */": ("copyright,bsdGrant,bsdSource,bsdBinary,bsdEndorse,asIs", "BSD-3-Clause"),
+        "// " + gpl.replace("\n", "\n// "): ("gplLater", "GPL-or-later"),
+        gpl.replace("\n", "\r\n"): ("gplLater", "GPL-or-later"),
+        "; " + isc.replace("\n", "\n; "): ("iscGrant", "ISC"),
+        "All\nrights  \n# reserved": ("allRights", "Proprietary"),
+        "Licensed under the\nApache License, Version 2.0": ("apache2", "Apache-2.0"),
+        "Licensed under the Apache\nLicense, Version 2.0": ("apache2", "Apache-2.0"),
+        "GNU General Public License\nversion 2": ("gpl2", "GPL-2.0"),
+        # What lines state each on its own stays, in order.
+        "Apache License 2.0\nMIT License\nMIT License\nCopyright 2020 X\nAll rights reserved": ("apache2,mitName,mitName,copyright,allRights", "Apache-2.0,MIT,Proprietary"),
+        # A blank line ends a sentence.
+        "all\n\nrights reserved": ("", ""),
+    }
+    got = {r.text: (",".join(r._tw_sentences), ",".join(r._tw_licenses)) for r in licenses.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == texts
+
+
 def test_flac(docs, none):
     out = flac.store(docs, keep=["doc_id", "word"]).collect()
     for r, row in zip(sorted(out, key=lambda r: r.doc_id or 0), sorted(ROWS, key=lambda r: r[0] or 0), strict=True):

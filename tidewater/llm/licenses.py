@@ -1,17 +1,21 @@
 """Operator 4: licences in texts, by sentences and ordered rules (DataFrame functions only).
 
-A text is cut into sentences; each is lower-cased, and what is not a letter or digit
-becomes one blank. The first pattern of ``SENTENCES`` that is found in a sentence gives
-its identifier. The identifiers of a text, in order, are matched against ``RULES``, in
+A text is cut into sentences, at their ends and at lines without a letter or digit; each
+is lower-cased, and what is not a letter or digit becomes one blank. The first pattern of
+``SENTENCES`` that is found in a line of a sentence gives the line's identifier. Patterns
+found in the whole sentence but in none of its lines, as it is wrapped, are added in their
+places; within a family only the first counts, as in a line. The identifiers of a text, in order, are matched against ``RULES``, in
 order; a rule consumes what it matches, so a longer licence comes before its parts.
 Identifiers that no rule consumes are reported as rest.
 
-Only texts with one of ``HINTS`` are cut; every pattern contains one of them. Everything
+Only texts with one of ``HINTS`` are cut, or with one that may be wrapped; every pattern
+contains one of them. Everything
 is a projection: no shuffle, and any text length costs its own row only.
 
 Cases: null and empty texts have no licence; repeated sentences and rows are each
 matched; a licence stated twice is listed once; an empty table gives an empty result;
-other columns are ignored, whatever their names.
+other columns are ignored, whatever their names. The SQL cuts at every newline as well,
+so for wrapped sentences it has fewer identifiers.
 """
 
 from __future__ import annotations
@@ -87,7 +91,16 @@ RULES = [
 HINTS = ["licen", "permission ", "redistribution", "all rights", "rights reserved", "copyright", "public domain", "as is", "as-is", '"as', "endorse", "spdx"]
 #: Repeats of a rule are consumed together.
 _PATTERNS = [(name, f"(,{body})+,") for name, body in RULES]
-_CUT, _OTHER = r"([.!?;])\s+", r"[^\p{L}\p{N}]+"
+#: A mark that begins a line is a comment's, not a sentence's end.
+_CUT, _OTHER = r"(?<=[.!?;])(?<!(?:^|\n)[ \t;]{0,16};)\s+|\n[^\p{L}\p{N}]*\n", r"[^\p{L}\p{N}]+"
+_LOOSE = "|".join(x.replace(" ", _OTHER) for x in HINTS)
+_OPEN = r"licen[cs]ed under( the)?( terms of)?( the)?$"
+#: Of these only the first that a sentence states counts.
+FAMILIES = [
+    ["lgpl", "agpl3", "gplLater", "gpl3", "gpl2", "gpl"],
+    ["ccByNcSa", "ccByNcNd", "ccByNc", "ccBySa", "ccByNd", "ccBy"],
+    ["allRights", "copyright"],
+]
 
 
 def _identify(sentence):
@@ -98,15 +111,76 @@ def _identify(sentence):
     return out
 
 
+def _before(name):
+    """Identifiers that take the place of ``name`` in a sentence that states both."""
+    return [x for x, _ in SENTENCES if x != name] if name == "otherLicense" else [x for f in FAMILIES if name in f for x in f[: f.index(name)]]
+
+
+def _states(pattern):
+    return lambda line: line["plain"].rlike(pattern)
+
+
+def _is_one(names):
+    return lambda x: x["id"].isin(names)
+
+
+def _added(lines, whole):
+    """Places and identifiers of what the whole sentence states and no line does."""
+    patterns, out = dict(SENTENCES), []
+    for name, pattern in SENTENCES:
+        hit = whole.rlike(pattern) & ~F.exists(lines, _states(pattern))
+        for x in _before(name):
+            hit = hit & ~whole.rlike(patterns[x])
+        place = F.regexp_instr(whole, F.lit(pattern.removeprefix("^(.* )?")))
+        out.append(F.when(hit, F.struct(place.alias("place"), F.lit(name).alias("id"))))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
+def _found(lines, whole):
+    """Places and identifiers of lines; a line that ends before the licence's name states none if the sentence goes on with it."""
+    kind = "array<struct<place:int,id:string>>"
+
+    def step(state, line):
+        name = _identify(line["plain"])
+        name = F.when(line["hinted"] & ~((name == "otherLicense") & line["plain"].rlike(_OPEN) & (_identify(whole) != "otherLicense")), name)
+        more = F.array(F.struct(state["at"].alias("place"), name.alias("id")))
+        found = F.when(name.isNotNull(), F.concat(state["found"], more)).otherwise(state["found"])
+        return F.struct((state["at"] + F.length(line["plain"]) + 1).alias("at"), found.alias("found"))
+
+    return F.aggregate(lines, F.struct(F.lit(1).alias("at"), F.array().cast(kind).alias("found")), step, lambda x: x["found"])
+
+
+def _merged(found, added):
+    """Identifiers by place, without those of lines that an added one takes the place of."""
+
+    def stays(x):
+        out = F.lit(True)
+        for name, _ in SENTENCES:
+            if before := _before(name):
+                out = out & ~((x["id"] == name) & F.exists(added, _is_one(before)))
+        return out
+
+    return F.transform(F.array_sort(F.concat(F.filter(found, stays), added)), lambda x: x["id"])
+
+
+def _stated(raw):
+    """Identifiers of a sentence, in order: those of its lines, and those that its lines state together."""
+    plain = lambda x: F.trim(F.regexp_replace(x, _OTHER, " "))
+    lines = F.filter(F.transform(F.split(raw, "\n"), lambda x: F.struct(x.rlike("|".join(HINTS)).alias("hinted"), plain(x).alias("plain"))), lambda x: x["plain"] != "")
+    # As elements of arrays they are computed once.
+    both = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), F.array_join(F.transform(x, lambda y: y["plain"]), " ").alias("whole")))
+    parts = F.transform(both, lambda x: F.struct(_found(x["lines"], x["whole"]).alias("found"), F.when(F.size(x["lines"]) > 1, _added(x["lines"], x["whole"])).otherwise(F.array().cast("array<struct<place:int,id:string>>")).alias("added")))
+    return F.flatten(F.transform(parts, lambda x: F.when(F.size(x["added"]) > 0, _merged(x["found"], x["added"])).otherwise(F.transform(x["found"], lambda y: y["id"]))))
+
+
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with _tw_sentences (identifiers in order), _tw_licenses and _tw_rest."""
     low = F.lower(F.col(text_col))
     hinted = F.lit(False)
     for x in HINTS:
         hinted = hinted | F.contains(low, F.lit(x))
-    pieces = F.split(F.regexp_replace(low, _CUT, "$1\n"), "\n")
-    normal = F.transform(F.filter(pieces, lambda x: x.rlike("|".join(HINTS))), lambda x: F.trim(F.regexp_replace(x, _OTHER, " ")))
-    ids = F.filter(F.transform(normal, _identify), lambda x: x.isNotNull())
+    hinted = hinted | low.rlike(_LOOSE)
+    ids = F.flatten(F.transform(F.filter(F.split(low, _CUT), lambda x: x.rlike(_LOOSE)), _stated))
     out = docs.withColumn("_tw_sentences", F.when(F.coalesce(hinted, F.lit(False)), ids).otherwise(F.array().cast("array<string>")))
     rest = F.concat(F.lit(","), F.array_join("_tw_sentences", ","), F.lit(","))
     stated = out.withColumn("_tw_rest", F.when(F.size("_tw_sentences") > 0, rest)).withColumn("_tw_licenses", F.array().cast("array<string>"))
