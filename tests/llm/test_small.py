@@ -306,6 +306,20 @@ def test_language_model(spark, docs, none):
     assert [(r.score, r.base_score) for r in maxent.score(docs.where("doc_id = 1"), none).collect()] == [(0.0, 0.0)]
 
 
+def test_codes_beyond_the_cache(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(maxent, "CACHE", 10)
+    head = [(b"the", 50), (b"a", 30), (maxent.END, 20)]
+    make = lambda: maxent.Classes(head, 3, np.zeros((3, maxent.CONTEXTS)))
+    classes, want = make(), {}
+    for at in range(0, 200, 7):
+        batch = [b"the", *(b"w%d" % (i % 60) for i in range(max(at - 5, 0), at + 7)), b"a"]
+        for x, code in zip(batch, classes.codes(batch).tolist(), strict=True):
+            assert want.setdefault(x, make().codes([x])[0]) == code
+        assert len(classes.known) <= 3 + 10 + len(batch)
+
+
 def test_the_model_is_a_distribution():
     import numpy as np
 

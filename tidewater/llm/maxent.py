@@ -44,6 +44,8 @@ HEAD, LOOKUP, WORD_BYTES = 16_384, 262_144, 64
 CLUSTERS, CONTEXTS, CLASSES = 8, 32, 24
 TABLE_BITS, ROUNDS, RATE, STEP = 16, 1, 0.3, 8192
 LETTER_BITS = 15
+#: Unlisted words whose codes a Python worker keeps.
+CACHE = 300_000
 END = b"\n"  # no word has it
 SKIPS = 5  # features of a history
 
@@ -115,8 +117,9 @@ class Classes:
             return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         except KeyError:
             new = list({x for x in words if x not in known})
-        if len(known) + len(new) > len(self.listed) + 300_000:
+        if len(known) + len(new) > len(self.listed) + CACHE:
             known = self.known = dict(self.listed)
+            new = list({x for x in words if x not in known})
         known.update(zip(new, (len(self.listed) + self.clusters(new)).tolist(), strict=True))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
