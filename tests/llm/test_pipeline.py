@@ -1,6 +1,7 @@
 """The queries' contracts, their SQL, and the pipeline stage by stage against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -63,8 +64,20 @@ def test_op6(spark, docs):
     assert all(s == set(range(counts[k])) for k, s in slots.items())
 
 
-def test_op8_beats_its_base(spark):
-    rows = [r for r in queries.QUERIES["op8_maxent_lm"](spark, SF).collect() if r.held_out]
+def test_op8(spark, docs):
+    tokens = {i: [*re.split(r"[\x20\x09-\x0D]+", (r.text or "").translate(LOWER).strip(" \t\n\x0b\x0c\r")), "\n"] for i, r in docs.items()}
+    tokens = {i: [x for x in t if x] for i, t in tokens.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in docs}
+    counts = Counter(x for i, t in tokens.items() if not held[i] for x in t)
+    n, v = sum(counts.values()), len(counts)
+    rows = queries.QUERIES["op8_maxent_lm"](spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        t = tokens[r.doc_id]
+        base = sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(counts[x] > 0 for x in t), n)
+        assert abs(r.base_score - base) < 1e-6 * abs(base) and r.score < 0
+    rows = [r for r in rows if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 

@@ -298,9 +298,9 @@ def test_language_model(spark, docs, none):
     for r in train.collect():
         counts.update(maxent.tokens((r.text or "").encode()))
     n, v = sum(counts.values()), len(counts)
-    want = sorted((r.doc_id if r.doc_id is not None else -1, sum(log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in maxent.tokens((r.text or "").encode())), len(maxent.tokens((r.text or "").encode()))) for r in df.collect())
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.base_score, r.n_tokens) for r in out)
-    assert [x[0] for x in got] == [x[0] for x in want] and all(abs(a[1] - b[1]) < 1e-6 * abs(b[1]) and a[2] == b[2] for a, b in zip(got, want, strict=True))
+    want = sorted((r.doc_id if r.doc_id is not None else -1, sum(log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in maxent.tokens((r.text or "").encode())), len(maxent.tokens((r.text or "").encode())), sum(counts[x] > 0 for x in maxent.tokens((r.text or "").encode()))) for r in df.collect())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.base_score, r.n_tokens, r.n_known) for r in out)
+    assert [x[0] for x in got] == [x[0] for x in want] and all(abs(a[1] - b[1]) < 1e-6 * abs(b[1]) and a[2:] == b[2:] for a, b in zip(got, want, strict=True))
     assert all(r.train_tokens == n and r.score < 0 for r in out)
     assert maxent.score(none, train).count() == 0
     assert [(r.score, r.base_score) for r in maxent.score(docs.where("doc_id = 1"), none).collect()] == [(0.0, 0.0)]
@@ -321,15 +321,29 @@ def test_codes_beyond_the_cache(monkeypatch):
 
 
 def test_the_model_is_a_distribution():
+    """Over all head words and tail classes the probabilities sum to 1, and the word factor's gradient is that of its logarithm."""
     import numpy as np
 
-    head = [(b"the", 50), (b"a", 30), (maxent.END, 20), (b"fox", 5), (b"dog", 4)]
-    classes = maxent.Classes(head, 5, np.arange(5 * maxent.CONTEXTS).reshape(5, maxent.CONTEXTS) % 7.0)
-    w = np.random.default_rng(1).normal(size=(1 << maxent.TABLE_BITS, classes.n)).astype(np.float32)
-    logs = maxent._softmax_logs(w, np.zeros(classes.n, np.float32), maxent.history(np.array([0, 3, 1]), np.zeros(3, np.int64)))
-    for row in logs:
-        ids = np.arange(len(head) + maxent.CLUSTERS)
-        assert abs((np.exp(row[classes.class_of[ids]]) * 10 ** classes.inside[ids]).sum() - 1) < 1e-5
+    rng = np.random.default_rng(1)
+    head = [(b"the", 50), (b"a", 30), (maxent.END, 20), *((b"w%d" % i, 20 - i) for i in range(17))]
+    classes = maxent.Classes(head, len(head), np.arange(len(head) * maxent.CONTEXTS).reshape(len(head), -1) % 7.0)
+    outer = rng.normal(size=(1 << maxent.TABLE_BITS, classes.n)).astype(np.float32)
+    inner = rng.normal(size=(1 << maxent.TABLE_BITS, 2 * maxent.SIDE)).astype(np.float32)
+    bias, n = np.zeros(classes.n, np.float32), len(head)
+    for past in ([], [4], [4, 7], [0, 3, 1]):
+        total = 0.0
+        for last in range(n + maxent.CLUSTERS):
+            ids = np.array([*past, last])
+            total += np.exp(maxent._logs(outer, inner, bias, classes, ids, np.zeros(len(ids), np.int64))[-1])
+        assert abs(total - 1) < 1e-5
+    word = next(i for i in range(n) if classes.place_of[i] > 0)
+    rows = maxent.within(maxent.history(np.array([0, 3, word]), np.zeros(3, np.int64)), classes.class_of[[0, 3, word]])[2:]
+    one = lambda: maxent.Inner(inner, classes.grid, rows, classes.class_of[[word]], classes.place_of[[word]])
+    error, before = one().errors()[0], one().logs[0]
+    for j in range(2 * maxent.SIDE):
+        inner[rows[0, 0], j] += 1e-2
+        assert abs((one().logs[0] - before) / 1e-2 - error[j]) < 2e-2
+        inner[rows[0, 0], j] -= 1e-2
 
 
 def test_toxicity(spark, docs, none):

@@ -1,16 +1,21 @@
 """Operator 8: a hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) P(word | class). The first factor is a softmax
-over classes whose features are n-grams and skips of the history (the last word, the
-last two, the last but one, the last but two, and that pair), hashed into a table of
-weights. The second is the word's share of its class.
+P(word | history) = P(class | history) P(word | class, history), both softmaxes whose
+features are n-grams and skips of the history, hashed into tables of weights: the last
+word, the last two, the last but one and the last but two for the class; the last word and
+the last two, each with the class, for the word. A head word has a row and a column
+of its class's grid of ``SIDE`` by ``SIDE`` places, no two words the same; its logit is the
+logarithm of its share of the class and the weights of its row and column, so a step costs
+2 ``SIDE`` numbers a feature, not one a word, and the sum over all words of a class is one
+product of matrices. END is a class of its own.
 
 All counts are over all training rows: words in each task first, then by word. The
 ``head`` most frequent words are grouped into clusters by the frequent words around
 them (a mixture fitted to their co-occurrence counts); a naive Bayes rule on letter
 trigrams gives every other word, seen or not, its cluster. Head words of a cluster form
-classes of like mass, its other words one class, in which an unseen word has the share of
-words seen once (Good-Turing) and counts as one type.
+classes of like mass and at most ``SIDE`` squared words, its other words one class, whose
+words have their plain shares: an unseen word that of words seen once (Good-Turing), and
+counts as one type.
 
 Each task takes adaptive gradient steps over all its training tokens from the same
 weights and returns its weights with the times each feature occurred; their mean,
@@ -41,13 +46,14 @@ from pyspark.sql import functions as F
 from .common import blobs, checkpoint, ship, slices, table, task
 
 HEAD, LOOKUP, WORD_BYTES = 16_384, 262_144, 64
-CLUSTERS, CONTEXTS, CLASSES = 8, 32, 24
-TABLE_BITS, ROUNDS, RATE, STEP = 16, 1, 0.3, 8192
+CLUSTERS, CONTEXTS, CLASSES, SIDE = 8, 32, 16, 32
+TABLE_BITS, ROUNDS, RATE, INNER_RATE, STEP = 16, 1, 0.3, 0.1, 8192
 LETTER_BITS = 15
 #: Unlisted words whose codes a Python worker keeps.
 CACHE = 300_000
 END = b"\n"  # no word has it
-SKIPS = 5  # features of a history
+#: Features of a history that choose the class, and the first ones, that also choose the word.
+CLASS_FEATURES, WORD_FEATURES = 4, 2
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -81,19 +87,26 @@ class Classes:
         self.class_of = np.zeros(n + CLUSTERS, np.int32)
         end = self.listed.get(END, n)
         order = sorted((i for i in range(n) if i != end), key=lambda i: (cluster[i], -counts[i], i))
-        total, done, last, k = counts[order].sum() if order else 0, 0.0, None, 0
+        total, done, last, k, place = counts[order].sum() if order else 0, 0.0, None, 0, 0
+        self.place_of = np.full(n + CLUSTERS, -1, np.int32)  # in the class's grid
         for i in order:
-            if last is not None and (cluster[i] != last or done >= total / CLASSES):
-                k, done = k + 1, 0.0
-            self.class_of[i], last = k, cluster[i]
+            if last is not None and (cluster[i] != last or done >= total / CLASSES or place == SIDE * SIDE):
+                k, done, place = k + 1, 0.0, 0
+            self.class_of[i], self.place_of[i], last = k, place, cluster[i]
             done += counts[i]
+            place += 1
         if end < n:
             k += 1
             self.class_of[end] = k
         self.class_of[n:] = k + 1 + np.arange(CLUSTERS)
         self.n = k + 1 + CLUSTERS
         mass = np.bincount(self.class_of[:n], counts, self.n)
-        self.inside = np.append(np.log10(counts / mass[self.class_of[:n]]), np.zeros(CLUSTERS))  # log10 P(word | class)
+        share = counts / mass[self.class_of[:n]]
+        #: Shares of head words by class and place.
+        self.grid = np.zeros((self.n, SIDE * SIDE), np.float32)
+        own = np.flatnonzero(self.place_of[:n] >= 0)
+        self.grid[self.class_of[own], self.place_of[own]] = share[own]
+        self.grid = self.grid.reshape(-1, SIDE, SIDE)
         self.known = dict(self.listed)
 
     def _letter_rule(self, words: list[bytes], cluster: np.ndarray) -> np.ndarray:
@@ -144,7 +157,7 @@ def _mixture(around: np.ndarray, counts: np.ndarray, rounds: int = 20) -> np.nda
 
 
 def history(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Rows of the weight table for each token: five hashed features of the words before it in its text."""
+    """Rows of the weight table for each token: hashed features of the words before it in its text."""
     t = np.arange(len(ids))
     past = []
     for k in (1, 2, 3):
@@ -153,10 +166,15 @@ def history(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
         past.append(np.where(t - start >= k, x, -1) + 2)
     w1, w2, w3 = (x.astype(np.uint64) for x in past)
     m = np.uint64(0x9E3779B97F4A7C15)
-    raw = [w1, w1 << np.uint64(24) | w2, w2, w3, w3 << np.uint64(24) | w2]
+    raw = [w1, w1 << np.uint64(24) | w2, w2, w3]
     return np.stack([(((x + np.uint64(k << 56)) * m) ^ ((x * m) >> np.uint64(29))) * m >> np.uint64(64 - TABLE_BITS) for k, x in enumerate(raw)], 1).astype(np.int64)
 
 
+def within(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Rows of the word factor's table: the first features with the class."""
+    return rows[:, :WORD_FEATURES] ^ (classes.astype(np.int64) * 40_503 & (1 << TABLE_BITS) - 1)[:, None]
+
+
 def _softmax_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     z = weights[rows[:, 0]] + bias
     for k in range(1, rows.shape[1]):
@@ -165,6 +183,86 @@ def _softmax_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
+class Inner:
+    """P(word | class, history) of some tokens, each of a class with a grid."""
+
+    def __init__(self, weights: np.ndarray, grid: np.ndarray, rows: np.ndarray, classes: np.ndarray, places: np.ndarray):
+        z = weights[rows[:, 0]]
+        for k in range(1, rows.shape[1]):
+            z += weights[rows[:, k]]
+        self.row, self.column = places // SIDE, places % SIDE
+        at = np.arange(len(z))
+        self.logit = z[at, self.row] + z[at, SIDE + self.column] + np.log(grid[classes, self.row, self.column])
+        left, right = z[:, :SIDE], z[:, SIDE:]
+        top = (left.max(1), right.max(1))
+        self.left, self.right = np.exp(left - top[0][:, None]), np.exp(right - top[1][:, None])
+        self.spread = np.empty_like(left)  # each row's sum over its columns
+        self.grid, self.classes = grid, classes
+        order = np.argsort(classes.astype(np.int16), kind="stable")
+        edges = np.flatnonzero(np.diff(classes[order], prepend=-1, append=-1))
+        self.spans = [(order[a:b], int(classes[order[a]])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for own, c in self.spans:
+            self.spread[own] = self.right[own] @ grid[c].T
+        self.mass = (self.left * self.spread).sum(1)
+        self.logs = self.logit - np.log(self.mass) - top[0] - top[1]
+
+    def errors(self) -> np.ndarray:
+        """The gradient of the logarithm by the sums of row and of column weights."""
+        out = np.empty((len(self.mass), 2 * SIDE), np.float32)
+        scale = (-1 / self.mass)[:, None]
+        np.multiply(self.left * self.spread, scale, out=out[:, :SIDE])
+        for own, c in self.spans:
+            out[own, SIDE:] = self.right[own] * (self.left[own] @ self.grid[c])
+        out[:, SIDE:] *= scale
+        at = np.arange(len(out))
+        out[at, self.row] += 1
+        out[at, SIDE + self.column] += 1
+        return out
+
+
+class Learner:
+    """One table of weights and its adaptive steps."""
+
+    def __init__(self, weights: np.ndarray):
+        self.w = weights.copy()
+        self.seen, self.squares = np.zeros(len(weights), np.int64), np.full(len(weights), 1e-4, np.float32)
+
+    def step(self, rows: np.ndarray, error: np.ndarray, rate: float) -> None:
+        own, times, grad = _row_sums(rows, error)
+        self.seen[own] += times
+        squares = self.squares[own] + np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+        self.squares[own] = squares
+        grad *= (np.float32(rate) / np.sqrt(squares))[:, None]
+        self.w[own] += grad
+
+
+def _learn(outer: Learner, inner: Learner, bias: np.ndarray, model: Classes, ids: np.ndarray, start: np.ndarray) -> None:
+    """A pass of steps over some tokens."""
+    rows, target, place = history(ids, start), model.class_of[ids], model.place_of[ids]
+    for at in range(0, len(ids), STEP):
+        r, y, p = rows[at : at + STEP], target[at : at + STEP], place[at : at + STEP]
+        error = -np.exp(_softmax_logs(outer.w, bias, r))
+        error[np.arange(len(y)), y] += 1
+        outer.step(r, error, RATE)
+        some = np.flatnonzero(p >= 0)
+        if len(some):
+            r = within(r[some], y[some])
+            inner.step(r, Inner(inner.w, model.grid, r, y[some], p[some]).errors(), INNER_RATE)
+
+
+def _logs(outer: np.ndarray, inner: np.ndarray, bias: np.ndarray, model: Classes, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The natural logarithm of each token's probability; of a tail word, of its class's."""
+    rows, target, place = history(ids, start), model.class_of[ids], model.place_of[ids]
+    out = np.empty(len(ids))
+    for at in range(0, len(ids), STEP):
+        r, y, p = rows[at : at + STEP], target[at : at + STEP], place[at : at + STEP]
+        out[at : at + STEP] = _softmax_logs(outer, bias, r)[np.arange(len(y)), y]
+        some = np.flatnonzero(p >= 0)
+        if len(some):
+            out[at + some] += Inner(inner, model.grid, within(r[some], y[some]), y[some], p[some]).logs
+    return out
+
+
 def _row_sums(rows: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows of the table that a step uses, how often, and the sum of their tokens' errors."""
     flat = rows.ravel().astype(np.uint16 if TABLE_BITS <= 16 else np.int64)  # short numbers sort in linear time
@@ -241,12 +339,13 @@ def _around(docs: DataFrame, head: list[bytes], text_col: str) -> np.ndarray:
             for batch in slices(whole, text_col):
                 words, _, start = _flat([tokens(x) for x in blobs(batch.column(text_col))])
                 ids = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-                for k in (1, 2):
-                    a, b = ids[:-k], ids[k:]
-                    same = start[:-k] == start[k:]
-                    for x, y in ((a, b), (b, a)):
-                        good = same & (x >= 0) & (y >= 0) & (y < CONTEXTS)
-                        held += np.bincount(x[good] * CONTEXTS + y[good], minlength=len(held))
+                at = np.flatnonzero((ids >= 0) & (ids < CONTEXTS))
+                pairs = []
+                for k in (-2, -1, 1, 2):
+                    good = at[(at + k >= 0) & (at + k < len(ids))]
+                    good = good[(ids[good + k] >= 0) & (start[good] == start[good + k])]
+                    pairs.append(ids[good + k] * CONTEXTS + ids[good])
+                held += np.bincount(np.concatenate(pairs), minlength=len(held))
         cells = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(held[cells])], names=["cell", "n"])
 
@@ -256,63 +355,59 @@ def _around(docs: DataFrame, head: list[bytes], text_col: str) -> np.ndarray:
     return out.reshape(len(head), CONTEXTS)
 
 
-def _round(docs: DataFrame, classes, weights: np.ndarray, bias: np.ndarray, text_col: str) -> np.ndarray:
+def _round(docs: DataFrame, classes, weights: np.ndarray, inner: np.ndarray, bias: np.ndarray, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """One pass of gradient steps in every task, and the mean of what they reach."""
-    context, n = docs.sparkSession.sparkContext, len(bias)
-    start_from = context.broadcast((weights, bias))
+    context, first_inner = docs.sparkSession.sparkContext, len(weights)
+    start_from = context.broadcast((weights, inner, bias))
 
     @task("maxent")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = start_from.value
-        w, seen, squares = w.copy(), np.zeros(len(w), np.int64), np.full(len(w), 1e-4, np.float32)
-        model = classes.value
+        w, u, b = start_from.value
+        learners, model = (Learner(w), Learner(u)), classes.value
         for whole in batches:
             for batch in slices(whole, text_col):
                 words, _, start = _flat([tokens(x) for x in blobs(batch.column(text_col))])
-                ids = model.id_of[model.codes(words)]
-                rows, target = history(ids, start), model.class_of[ids]
-                for at in range(0, len(ids), STEP):
-                    r, y = rows[at : at + STEP], target[at : at + STEP]
-                    error = -np.exp(_softmax_logs(w, b, r))
-                    error[np.arange(len(y)), y] += 1
-                    own, times, grad = _row_sums(r, error)
-                    seen[own] += times
-                    squares[own] += (grad * grad).mean(1)
-                    w[own] += RATE * grad / np.sqrt(squares[own])[:, None]
-        rows = np.flatnonzero(seen)
-        for at in range(0, len(rows), 8192):
-            some = rows[at : at + 8192]
-            mass = w[some] * seen[some, None].astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some]), pa.array([x.tobytes() for x in mass], pa.binary())], names=["row", "times", "mass"])
+                _learn(*learners, b, model, model.id_of[model.codes(words)], start)
+        for first, own in zip((0, first_inner), learners, strict=True):
+            rows = np.flatnonzero(own.seen)
+            for at in range(0, len(rows), 8192):
+                some = rows[at : at + 8192]
+                mass = own.w[some] * own.seen[some, None].astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array((first + some).astype(np.int32)), pa.array(own.seen[some]), pa.array([x.tobytes() for x in mass], pa.binary())], names=["row", "times", "mass"])
 
     @task("maxent")
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in order; the sums of the last one are carried on."""
         carry: tuple[int, int, np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            row, times = batch.column("row").to_numpy(), batch.column("times").to_numpy()
-            mass = np.frombuffer(b"".join(blobs(batch.column("mass"))), np.float32).reshape(-1, n).astype(np.float64)
-            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            row, times, mass = row[first], np.add.reduceat(times, first), np.add.reduceat(mass, first, axis=0)
-            if carry is not None:
-                if carry[0] == row[0]:
-                    times[0] += carry[1]
-                    mass[0] += carry[2]
-                else:
-                    yield _merged(*([x] for x in carry))
-            if len(row) > 1:
-                yield _merged(row[:-1], times[:-1], mass[:-1])
-            carry = (row[-1], times[-1], mass[-1])
+        for whole in batches:
+            # Rows of the two tables have different widths.
+            cut = int((whole.column("row").to_numpy() < first_inner).sum())
+            for batch in (whole.slice(0, cut), whole.slice(cut)):
+                if not batch.num_rows:
+                    continue
+                row, times = batch.column("row").to_numpy(), batch.column("times").to_numpy()
+                mass = np.frombuffer(b"".join(blobs(batch.column("mass"))), np.float32).reshape(len(row), -1).astype(np.float64)
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                row, times, mass = row[first], np.add.reduceat(times, first), np.add.reduceat(mass, first, axis=0)
+                if carry is not None:
+                    if carry[0] == row[0]:
+                        times[0] += carry[1]
+                        mass[0] += carry[2]
+                    else:
+                        yield _merged(*([x] for x in carry))
+                if len(row) > 1:
+                    yield _merged(row[:-1], times[:-1], mass[:-1])
+                carry = (row[-1], times[-1], mass[-1])
         if carry is not None:
             yield _merged(*([x] for x in carry))
 
     parts = docs.select(text_col).mapInArrow(run, "row int, times long, mass binary")
     merged = parts.repartition("row").sortWithinPartitions("row").mapInArrow(merge, "row int, w binary").toArrow()
-    out = weights.copy()
-    if merged.num_rows:
-        out[merged.column("row").to_numpy()] = np.frombuffer(b"".join(blobs(merged.column("w"))), np.float32).reshape(-1, n)
+    rows, means = merged.column("row").to_numpy(), blobs(merged.column("w"))
+    out = weights.copy(), inner.copy()
+    for own, table_rows, mine in ((out[0], rows, rows < first_inner), (out[1], rows - first_inner, rows >= first_inner)):
+        if mine.any():
+            own[table_rows[mine]] = np.frombuffer(b"".join(means[i] for i in np.flatnonzero(mine)), np.float32).reshape(-1, own.shape[1])
     return out
 
 
@@ -353,7 +448,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     top = listed[:head]
     classes = Classes(listed, head, _around(training, [x for x, _ in top], text_col)) if top else None
     shared = context.broadcast(classes)
-    weights, bias, tails = np.zeros((1 << TABLE_BITS, 1), np.float32), np.zeros(1, np.float32), []
+    weights, inner, bias, tails = np.zeros((1 << TABLE_BITS, 1), np.float32), np.zeros((1 << TABLE_BITS, 2 * SIDE), np.float32), np.zeros(1, np.float32), []
     if classes:
         tails = _tails(counts, shared)
         mass = np.bincount(classes.class_of[: len(top)], [n for _, n in top], classes.n)
@@ -361,15 +456,15 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
         bias = np.log((mass + 0.5) / (mass + 0.5).sum()).astype(np.float32)
         weights = np.zeros((1 << TABLE_BITS, classes.n), np.float32)
         for _ in range(rounds):
-            weights = _round(training, shared, weights, bias, text_col)
+            weights, inner = _round(training, shared, weights, inner, bias, text_col)
     # Of a cluster's other words: log10 of what an unseen one has, and of what each token of a seen one has.
     unseen = [np.log10((once + 0.5) / (n + once + 0.5)) for n, _, once in tails]
     each = [np.log10(max(n, 0.5) / (n + once + 0.5) / max(n, 0.5)) for n, _, once in tails]
-    model = context.broadcast((weights, bias, each, np.log10(total + 0.5 * (types + 1))))
+    model = context.broadcast((weights, inner, bias, each, np.log10(total + 0.5 * (types + 1))))
 
     @task("maxent")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b, each, whole_log = model.value
+        w, u, b, each, whole_log = model.value
         each = np.array(each)
         own = shared.value
         for whole in batches:
@@ -384,13 +479,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
                 model_score = np.zeros(len(texts))
                 if own:
                     ids = own.id_of[codes]
-                    rows, target = history(ids, start), own.class_of[ids]
-                    logs = np.empty(len(ids))
-                    for at in range(0, len(ids), STEP):
-                        z = _softmax_logs(w, b, rows[at : at + STEP])
-                        y = target[at : at + STEP]
-                        logs[at : at + STEP] = z[np.arange(len(y)), y]
-                    logs = logs / np.log(10) + own.inside[ids]
+                    logs = _logs(w, u, b, own, ids, start) / np.log(10)
                     some = (ids >= own.n_head) & listed
                     logs[some] += np.log10(c[some]) + each[ids[some] - own.n_head]
                     model_score = np.bincount(doc, logs, len(texts))
