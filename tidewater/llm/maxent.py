@@ -18,9 +18,10 @@ words have their plain shares: an unseen word that of words seen once (Good-Turi
 counts as one type.
 
 Each task takes adaptive gradient steps over all its training tokens from the same
-weights and returns its weights with the times each feature occurred; their mean,
-weighted by these, is the model (iterative parameter mixing). What tasks send is bounded
-for each task and so grows with the input; the merged table has a fixed size.
+weights and returns its weights (half precision) with the times each feature occurred;
+their mean, weighted by these, is the model (iterative parameter mixing). Small partitions
+are read together. What tasks send is bounded for each task and so grows with the input;
+the merged tables have a fixed size.
 
 Scoring gathers features in sparse numpy batches. Counts of up to ``lookup`` of the most
 frequent words are broadcast (a bounded number of words of bounded length); the rest of a
@@ -54,6 +55,10 @@ CACHE = 300_000
 END = b"\n"  # no word has it
 #: Features of a history that choose the class, and the first ones, that also choose the word.
 CLASS_FEATURES, WORD_FEATURES = 4, 2
+#: Rows of one product of matrices: few enough that it takes one thread.
+PRODUCT = 224
+#: Training tokens that a task has at least, unless there are fewer tasks than cores.
+TASK_TOKENS = 2_000_000
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -175,36 +180,51 @@ def within(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return rows[:, :WORD_FEATURES] ^ (classes.astype(np.int64) * 40_503 & (1 << TABLE_BITS) - 1)[:, None]
 
 
-def _softmax_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]] + bias
+def _sums(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of some rows of a table for each token."""
+    out = np.take(weights, rows[:, 0], 0)
     for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+        out += np.take(weights, rows[:, k], 0)
+    return out
+
+
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Exponentials of rows and what was taken off them first; that is 0 unless they could overflow."""
+    if not z.size or max(float(z.max()), -float(z.min())) < 60:
+        return np.exp(z), 0.0
+    top = z.max(1, keepdims=True)
+    return np.exp(z - top), top[:, 0]
+
+
+def _softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logarithm of each target's probability, and the probabilities of all classes."""
+    z = _sums(weights, rows)
+    z += bias
+    p, top = _exp(z)
+    mass = p @ np.ones(p.shape[1], np.float32)
+    logs = z[np.arange(len(z)), target] - np.log(mass) - top
+    p *= (1 / mass)[:, None]
+    return logs, p
 
 
 class Inner:
     """P(word | class, history) of some tokens, each of a class with a grid."""
 
     def __init__(self, weights: np.ndarray, grid: np.ndarray, rows: np.ndarray, classes: np.ndarray, places: np.ndarray):
-        z = weights[rows[:, 0]]
-        for k in range(1, rows.shape[1]):
-            z += weights[rows[:, k]]
+        z = _sums(weights, rows)
         self.row, self.column = places // SIDE, places % SIDE
         at = np.arange(len(z))
-        self.logit = z[at, self.row] + z[at, SIDE + self.column] + np.log(grid[classes, self.row, self.column])
-        left, right = z[:, :SIDE], z[:, SIDE:]
-        top = (left.max(1), right.max(1))
-        self.left, self.right = np.exp(left - top[0][:, None]), np.exp(right - top[1][:, None])
-        self.spread = np.empty_like(left)  # each row's sum over its columns
-        self.grid, self.classes = grid, classes
+        logit = z[at, self.row] + z[at, SIDE + self.column] + np.log(grid[classes, self.row, self.column])
+        (self.left, top), (self.right, more) = _exp(z[:, :SIDE]), _exp(z[:, SIDE:])
+        self.spread = np.empty_like(self.left)  # each row's sum over its columns
+        self.grid = grid
         order = np.argsort(classes.astype(np.int16), kind="stable")
         edges = np.flatnonzero(np.diff(classes[order], prepend=-1, append=-1))
-        self.spans = [(order[a:b], int(classes[order[a]])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        self.spans = [(order[at : min(at + PRODUCT, b)], int(classes[order[a]])) for a, b in zip(edges[:-1], edges[1:], strict=True) for at in range(a, b, PRODUCT)]
         for own, c in self.spans:
             self.spread[own] = self.right[own] @ grid[c].T
-        self.mass = (self.left * self.spread).sum(1)
-        self.logs = self.logit - np.log(self.mass) - top[0] - top[1]
+        self.mass = np.einsum("ij,ij->i", self.left, self.spread)
+        self.logs = logit - np.log(self.mass) - top - more
 
     def errors(self) -> np.ndarray:
         """The gradient of the logarithm by the sums of row and of column weights."""
@@ -233,7 +253,7 @@ class Learner:
         squares = self.squares[own] + np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
         self.squares[own] = squares
         grad *= (np.float32(rate) / np.sqrt(squares))[:, None]
-        self.w[own] += grad
+        self.w[own] = np.take(self.w, own, 0) + grad
 
 
 def _learn(outer: Learner, inner: Learner, bias: np.ndarray, model: Classes, ids: np.ndarray, start: np.ndarray) -> None:
@@ -241,9 +261,9 @@ def _learn(outer: Learner, inner: Learner, bias: np.ndarray, model: Classes, ids
     rows, target, place = history(ids, start), model.class_of[ids], model.place_of[ids]
     for at in range(0, len(ids), STEP):
         r, y, p = rows[at : at + STEP], target[at : at + STEP], place[at : at + STEP]
-        error = -np.exp(_softmax_logs(outer.w, bias, r))
-        error[np.arange(len(y)), y] += 1
-        outer.step(r, error, RATE)
+        _, error = _softmax(outer.w, bias, r, y)
+        error[np.arange(len(y)), y] -= 1
+        outer.step(r, error, -RATE)
         some = np.flatnonzero(p >= 0)
         if len(some):
             r = within(r[some], y[some])
@@ -256,7 +276,7 @@ def _logs(outer: np.ndarray, inner: np.ndarray, bias: np.ndarray, model: Classes
     out = np.empty(len(ids))
     for at in range(0, len(ids), STEP):
         r, y, p = rows[at : at + STEP], target[at : at + STEP], place[at : at + STEP]
-        out[at : at + STEP] = _softmax_logs(outer, bias, r)[np.arange(len(y)), y]
+        out[at : at + STEP], _ = _softmax(outer, bias, r, y)
         some = np.flatnonzero(p >= 0)
         if len(some):
             out[at + some] += Inner(inner, model.grid, within(r[some], y[some]), y[some], p[some]).logs
@@ -272,13 +292,13 @@ def _row_sums(rows: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarr
     times = np.diff(np.append(first, len(used)))
     grad = np.empty((len(first), error.shape[1]), np.float32)
     once = times == 1  # most rows
-    grad[once] = error[token[first[once]]]
+    grad[once] = np.take(error, token[first[once]], 0)
     for i in np.flatnonzero(times > 64):
         grad[i] = error[token[first[i] : first[i] + times[i]]].sum(0)
     some = ~once & (times <= 64)
     if some.any():
         n = times[some]
-        grad[some] = np.add.reduceat(error[token[np.repeat(some, times)]], np.cumsum(n) - n, axis=0)
+        grad[some] = np.add.reduceat(np.take(error, token[np.repeat(some, times)], 0), np.cumsum(n) - n, axis=0)
     return used[first].astype(np.int64), times, grad
 
 
@@ -372,8 +392,8 @@ def _round(docs: DataFrame, classes, weights: np.ndarray, inner: np.ndarray, bia
             rows = np.flatnonzero(own.seen)
             for at in range(0, len(rows), 8192):
                 some = rows[at : at + 8192]
-                mass = own.w[some] * own.seen[some, None].astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array((first + some).astype(np.int32)), pa.array(own.seen[some]), pa.array([x.tobytes() for x in mass], pa.binary())], names=["row", "times", "mass"])
+                reached = own.w[some].astype(np.float16)
+                yield pa.RecordBatch.from_arrays([pa.array((first + some).astype(np.int32)), pa.array(own.seen[some]), pa.array([x.tobytes() for x in reached], pa.binary())], names=["row", "times", "w"])
 
     @task("maxent")
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +406,7 @@ def _round(docs: DataFrame, classes, weights: np.ndarray, inner: np.ndarray, bia
                 if not batch.num_rows:
                     continue
                 row, times = batch.column("row").to_numpy(), batch.column("times").to_numpy()
-                mass = np.frombuffer(b"".join(blobs(batch.column("mass"))), np.float32).reshape(len(row), -1).astype(np.float64)
+                mass = np.frombuffer(b"".join(blobs(batch.column("w"))), np.float16).reshape(len(row), -1) * times[:, None].astype(np.float64)
                 first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                 row, times, mass = row[first], np.add.reduceat(times, first), np.add.reduceat(mass, first, axis=0)
                 if carry is not None:
@@ -401,7 +421,7 @@ def _round(docs: DataFrame, classes, weights: np.ndarray, inner: np.ndarray, bia
         if carry is not None:
             yield _merged(*([x] for x in carry))
 
-    parts = docs.select(text_col).mapInArrow(run, "row int, times long, mass binary")
+    parts = docs.select(text_col).mapInArrow(run, "row int, times long, w binary")
     merged = parts.repartition("row").sortWithinPartitions("row").mapInArrow(merge, "row int, w binary").toArrow()
     rows, means = merged.column("row").to_numpy(), blobs(merged.column("w"))
     out = weights.copy(), inner.copy()
@@ -455,8 +475,9 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
         mass[-CLUSTERS:] = [x[0] for x in tails]
         bias = np.log((mass + 0.5) / (mass + 0.5).sum()).astype(np.float32)
         weights = np.zeros((1 << TABLE_BITS, classes.n), np.float32)
+        most = max(context.defaultParallelism, -(-total // TASK_TOKENS))
         for _ in range(rounds):
-            weights, inner = _round(training, shared, weights, inner, bias, text_col)
+            weights, inner = _round(training.coalesce(most), shared, weights, inner, bias, text_col)
     # Of a cluster's other words: log10 of what an unseen one has, and of what each token of a seen one has.
     unseen = [np.log10((once + 0.5) / (n + once + 0.5)) for n, _, once in tails]
     each = [np.log10(max(n, 0.5) / (n + once + 0.5) / max(n, 0.5)) for n, _, once in tails]
@@ -464,7 +485,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
 
     @task("maxent")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, u, b, each, whole_log = model.value
+        w, u, bias, each, whole_log = model.value
         each = np.array(each)
         own = shared.value
         for whole in batches:
@@ -479,21 +500,23 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
                 model_score = np.zeros(len(texts))
                 if own:
                     ids = own.id_of[codes]
-                    logs = _logs(w, u, b, own, ids, start) / np.log(10)
+                    logs = _logs(w, u, bias, own, ids, start) / np.log(10)
                     some = (ids >= own.n_head) & listed
                     logs[some] += np.log10(c[some]) + each[ids[some] - own.n_head]
                     model_score = np.bincount(doc, logs, len(texts))
-                rest: list[list[tuple]] = [[] for _ in texts]
                 loose = np.flatnonzero(~listed)
-                cluster = (ids[loose] - own.n_head if own else np.zeros(len(loose), np.int64)).tolist()
-                for (d, x, k), n in Counter(zip(doc[loose].tolist(), [flat[i] for i in loose.tolist()], cluster, strict=True)).items():
-                    rest[d].append((x, n, k))
-                kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("k", pa.int32())]))
+                edges = np.searchsorted(doc[loose], np.arange(len(texts) + 1)).tolist()
+                words, times, ends = [], [], [0]
+                loose = [flat[i] for i in loose.tolist()]
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    found = Counter(loose[a:b])
+                    words += found.keys()
+                    times += found.values()
+                    ends.append(len(words))
+                cluster = own.codes(words) - len(own.listed) if own else np.zeros(len(words), np.int64)
                 known = np.bincount(doc[listed], minlength=len(texts))
-                ends = np.cumsum([0, *map(len, rest)])
-                items = [x for r in rest for x in r]
-                fields = [pa.array([x[i] for x in items], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int32()))]
-                loose_words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(kind.value_type)))
+                fields = [pa.array(words, pa.binary()), pa.array(times, pa.int64()), pa.array(cluster.astype(np.int32))]
+                loose_words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names=["word", "n", "k"]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(id_col), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base.astype(float)), pa.array(model_score.astype(float)), loose_words], names=["doc_id", "n_tokens", "known", "base", "model", "rest"]
                 )
