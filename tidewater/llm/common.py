@@ -9,6 +9,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -41,7 +42,7 @@ def blobs(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of text, one row at least."""
-    sizes = [len(x) if x else 0 for x in blobs(batch.column(text))]
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:

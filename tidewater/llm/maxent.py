@@ -131,15 +131,15 @@ class Classes:
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            new = list({x for x in words if x not in known})
-        if len(known) + len(new) > len(self.listed) + CACHE:
-            known = self.known = dict(self.listed)
-            new = list({x for x in words if x not in known})
-        known.update(zip(new, (len(self.listed) + self.clusters(new)).tolist(), strict=True))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        out = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0).tolist()
+        if missing:
+            new = list({words[i] for i in missing})
+            if len(known) + len(new) > len(self.listed) + CACHE:
+                known = self.known = dict(self.listed)
+            known.update(zip(new, (len(self.listed) + self.clusters(new)).tolist(), strict=True))
+            out[missing] = [known[words[i]] for i in missing]
+        return out
 
 
 def _mixture(around: np.ndarray, counts: np.ndarray, rounds: int = 20) -> np.ndarray:
@@ -208,7 +208,7 @@ def _softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np
 
 
 class Inner:
-    """P(word | class, history) of some tokens, each of a class with a grid."""
+    """P(word | class, history) of some tokens, each of a class with a grid, in order of class."""
 
     def __init__(self, weights: np.ndarray, grid: np.ndarray, rows: np.ndarray, classes: np.ndarray, places: np.ndarray):
         z = _sums(weights, rows)
@@ -218,11 +218,10 @@ class Inner:
         (self.left, top), (self.right, more) = _exp(z[:, :SIDE]), _exp(z[:, SIDE:])
         self.spread = np.empty_like(self.left)  # each row's sum over its columns
         self.grid = grid
-        order = np.argsort(classes.astype(np.int16), kind="stable")
-        edges = np.flatnonzero(np.diff(classes[order], prepend=-1, append=-1))
-        self.spans = [(order[at : min(at + PRODUCT, b)], int(classes[order[a]])) for a, b in zip(edges[:-1], edges[1:], strict=True) for at in range(a, b, PRODUCT)]
+        edges = np.flatnonzero(np.diff(classes, prepend=-1, append=-1)).tolist()
+        self.spans = [(slice(at, min(at + PRODUCT, b)), int(classes[a])) for a, b in zip(edges[:-1], edges[1:], strict=True) for at in range(a, b, PRODUCT)]
         for own, c in self.spans:
-            self.spread[own] = self.right[own] @ grid[c].T
+            np.matmul(self.right[own], grid[c].T, out=self.spread[own])
         self.mass = np.einsum("ij,ij->i", self.left, self.spread)
         self.logs = logit - np.log(self.mass) - top - more
 
@@ -232,7 +231,7 @@ class Inner:
         scale = (-1 / self.mass)[:, None]
         np.multiply(self.left * self.spread, scale, out=out[:, :SIDE])
         for own, c in self.spans:
-            out[own, SIDE:] = self.right[own] * (self.left[own] @ self.grid[c])
+            np.multiply(self.right[own], self.left[own] @ self.grid[c], out=out[own, SIDE:])
         out[:, SIDE:] *= scale
         at = np.arange(len(out))
         out[at, self.row] += 1
@@ -256,6 +255,12 @@ class Learner:
         self.w[own] = np.take(self.w, own, 0) + grad
 
 
+def _gridded(classes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The tokens that have a place in their class's grid, in order of class."""
+    some = np.flatnonzero(places >= 0)
+    return some[np.argsort(classes[some].astype(np.int16), kind="stable")]
+
+
 def _learn(outer: Learner, inner: Learner, bias: np.ndarray, model: Classes, ids: np.ndarray, start: np.ndarray) -> None:
     """A pass of steps over some tokens."""
     rows, target, place = history(ids, start), model.class_of[ids], model.place_of[ids]
@@ -264,7 +269,7 @@ def _learn(outer: Learner, inner: Learner, bias: np.ndarray, model: Classes, ids
         _, error = _softmax(outer.w, bias, r, y)
         error[np.arange(len(y)), y] -= 1
         outer.step(r, error, -RATE)
-        some = np.flatnonzero(p >= 0)
+        some = _gridded(y, p)
         if len(some):
             r = within(r[some], y[some])
             inner.step(r, Inner(inner.w, model.grid, r, y[some], p[some]).errors(), INNER_RATE)
@@ -277,7 +282,7 @@ def _logs(outer: np.ndarray, inner: np.ndarray, bias: np.ndarray, model: Classes
     for at in range(0, len(ids), STEP):
         r, y, p = rows[at : at + STEP], target[at : at + STEP], place[at : at + STEP]
         out[at : at + STEP], _ = _softmax(outer, bias, r, y)
-        some = np.flatnonzero(p >= 0)
+        some = _gridded(y, p)
         if len(some):
             out[at + some] += Inner(inner, model.grid, within(r[some], y[some]), y[some], p[some]).logs
     return out
@@ -488,6 +493,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
         w, u, bias, each, whole_log = model.value
         each = np.array(each)
         own = shared.value
+        smooth = np.log10(own.count_of + 0.5) if own else None
         for whole in batches:
             for batch in slices(whole, text_col):
                 texts = [tokens(x) for x in blobs(batch.column(text_col))]
@@ -496,7 +502,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
                 codes = own.codes(flat) if own else np.zeros(len(flat), np.int64)
                 c = own.count_of[codes] if own else np.zeros(len(flat))
                 listed = c > 0
-                base = np.bincount(doc[listed], np.log10(c[listed] + 0.5) - whole_log, len(texts))
+                base = np.bincount(doc, np.where(listed, smooth[codes] - whole_log, 0), len(texts)) if own else np.zeros(len(texts))
                 model_score = np.zeros(len(texts))
                 if own:
                     ids = own.id_of[codes]
