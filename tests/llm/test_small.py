@@ -239,6 +239,17 @@ def test_local_search_empties_bins():
         bins = packing.pack(lengths, 100)
         assert sorted(i for b in bins for i in b) == list(range(n)) and all(sum(lengths[i] for i in b) <= 100 for b in bins)
         assert len(bins) <= len(packing.best_fit(lengths, 100))
+        search = packing.Search(packing.next_fit(lengths, 100), lengths, 100)
+        squares, step = [sum(f * f for f in search.fill)], search._apply
+
+        def counted(*args, search=search, squares=squares, step=step):
+            step(*args)
+            squares.append(sum(f * f for f in search.fill))
+
+        search._apply = counted
+        search.run()
+        assert squares == sorted(set(squares)) and len(squares) == 1 + sum(search.steps.values())
+        assert n < 60 or all(search.steps.values())
     # best fit needs three bins; an exchange brings them to two
     lengths = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6, 10, 10]
     assert len(packing.pack(lengths, 100)) == -(-sum(lengths) // 100)
@@ -282,6 +293,20 @@ def test_token_files(spark, docs, none):
     assert [x.tobytes() for x in tokenfiles.read_slots(folder, n - 3, 10)] == [x.tobytes() for x in ids[n - 3 :]]
     pieces = packing.pieces(docs, tokenizer_path()).agg(F.sum("length")).first()[0]
     assert sum(len(x) for x in ids) == pieces
+    with pytest.raises(FileExistsError):
+        tokenfiles.materialise(docs, folder, tokenizer_path())
+    # A shard's task that runs again leaves the same files and rows, and nothing else.
+    from pathlib import Path
+
+    top = Path(folder.removeprefix("file://")) / "shards"
+    assert all(f.name.startswith("shard-") or f.name == "meta.json" or f.name.endswith(".crc") for f in top.iterdir())
+    staged = tokenfiles._stage(docs.coalesce(1), tokenizer_path(), 64, 1, "doc_id", "text")
+    again = shared_dir(spark).rstrip("/") + f"/token-again-{uuid.uuid4().hex}"
+    Path(again.removeprefix("file://")).mkdir()
+    frame = tokenfiles._shards(tokenfiles._bundles(staged, {0: 0}, -(-pieces // 64), 64, 100, 7), again, -(-pieces // 64), 64, 100)
+    first, files = frame.collect(), {f.name: f.read_bytes() for f in Path(again.removeprefix("file://")).iterdir()}
+    assert frame.collect() == first and {f.name: f.read_bytes() for f in Path(again.removeprefix("file://")).iterdir() if not f.name.endswith(".crc")} == files
+    assert len(files) == -(-(-(-pieces // 64)) // 100)
     empty = shared_dir(spark).rstrip("/") + f"/token-none-{uuid.uuid4().hex}"
     assert tokenfiles.materialise(none, empty, tokenizer_path()).count() == 0 and tokenfiles.read_slots(empty, 0, 5) == []
 

@@ -9,7 +9,7 @@ whenever that raises the sum of squared fills, until a bin is empty, again and a
 until the bins are as many as their total needs or no exchange helps. The emptiest bins
 of each group are packed once more together, in groups of the same size.
 
-Cases: a null or empty text is the end id alone; repeated rows are packed each; equal
+Cases: ids are numbers (other ids raise); a null or empty text is the end id alone; repeated rows are packed each; equal
 lengths go by row number; an empty table gives an empty result; other columns are
 ignored, whatever their names.
 """
@@ -17,6 +17,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,24 @@ from .tokens import encoder
 LENGTH, END_ID, GROUP_PIECES = 4096, 1, 20_000
 #: Of each group, the emptiest bins that are packed again together.
 OPEN_BINS = 2
+#: Bins in a row that can't be emptied before a search ends.
+STUCK = 32
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def next_fit(lengths: list[int], size: int) -> list[list[int]]:
+    """Bins of places in ``lengths``, in their order; a piece that does not fit begins the next bin."""
+    bins: list[list[int]] = []
+    room = 0
+    for i, n in enumerate(lengths):
+        if n > room:
+            bins.append([])
+            room = size
+        bins[-1].append(i)
+        room -= n
+    return bins
+
+
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     """Bins of places in ``lengths``: longest first, each into the fullest bin that has room."""
     bins: list[list[int]] = []
@@ -56,60 +72,117 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def _empty_one(bins: list[list[int]], lengths: list[int], size: int) -> bool:
-    """Try to empty the emptiest bin by exchanges, each of which raises the sum of squared fills; true if it did."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    source = min(range(len(bins)), key=fill.__getitem__)
-    others = [b for b in range(len(bins)) if b != source and fill[b] < size]
-    changed = True
-    while bins[source] and changed:
-        changed = False
-        for a in sorted(bins[source], key=lambda i: -lengths[i]):
-            n, best = lengths[a], None
-            for t in others:
-                free = size - fill[t]
-                if free >= n:  # move
-                    if fill[t] + n > fill[source] and (best is None or best[0] < n):
-                        best = (n, t, [])
-                    continue
-                # One for one: the piece that comes back is shorter by at most the room. Two for one likewise.
-                inside = sorted(bins[t], key=lambda i: lengths[i])
-                for b in inside:
-                    gain = n - lengths[b]
-                    if 0 < gain <= free and fill[t] + gain > fill[source] and (best is None or gain > best[0]):
-                        best = (gain, t, [b])
-                lo, hi = 0, len(inside) - 1
-                while lo < hi:
-                    gain = n - lengths[inside[lo]] - lengths[inside[hi]]
-                    if gain > free:
-                        lo += 1
-                        continue
-                    if gain > 0 and fill[t] + gain > fill[source] and (best is None or gain > best[0]):
-                        best = (gain, t, [inside[lo], inside[hi]])
-                    hi -= 1
-                if best is not None and best[0] == n:
-                    break
-            if best is not None:
-                gain, t, back = best
-                bins[source].remove(a)
-                bins[t] = [i for i in bins[t] if i not in back] + [a]
-                bins[source] += back
-                fill[t] += gain
-                fill[source] -= gain
-                if fill[t] == size:
-                    others.remove(t)
-                changed = True
-                break
-    return not bins[source]
+class Search:
+    """Local search over bins of pieces: moves, one-for-one and two-for-one exchanges, each of which raises the sum of squared fills."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], size: int):
+        self.size = size
+        self.bins = [sorted((lengths[i], i) for i in b) for b in bins]
+        self.fill = [sum(n for n, _ in b) for b in self.bins]
+        self.at: list[set[int]] = [set() for _ in range(size + 1)]  # bins by their room
+        self.mask = 0  # bit r: some bin has room r
+        self.steps = {"move": 0, "one": 0, "two": 0}
+        for b in range(len(bins)):
+            self._put(b)
+
+    def _put(self, b: int) -> None:
+        r = self.size - self.fill[b]
+        self.at[r].add(b)
+        self.mask |= 1 << r
+
+    def _take(self, b: int) -> None:
+        r = self.size - self.fill[b]
+        self.at[r].discard(b)
+        if not self.at[r]:
+            self.mask ^= 1 << r
+
+    def _apply(self, source: int, piece: tuple[int, int], target: int, back: list[tuple[int, int]]) -> None:
+        """``piece`` goes to the target and ``back`` comes from there; the source is not among the indexed bins."""
+        gain = piece[0] - sum(n for n, _ in back)
+        self._take(target)
+        for here, there, some in ((source, target, [piece]), (target, source, back)):
+            for x in some:
+                self.bins[here].remove(x)
+                insort(self.bins[there], x)
+        self.fill[target] += gain
+        self.fill[source] -= gain
+        self._put(target)
+        self.steps[("move", "one", "two")[len(back)]] += 1
+
+    def _best_in(self, target: int, n: int, room: int, below: int) -> tuple[int, list[tuple[int, int]]]:
+        """The exchange of a piece of length n for one or two of the target's that gains most, more than ``below``, at most its room."""
+        inside, found = self.bins[target], (below, [])
+        k = bisect_left(inside, (n - room,))
+        if k < len(inside) and n - inside[k][0] > below:
+            found = (n - inside[k][0], [inside[k]])
+        lo, hi = 0, bisect_left(inside, (n,)) - 1
+        while lo < hi and found[0] < room:
+            gain = n - inside[lo][0] - inside[hi][0]
+            if gain > room:
+                lo += 1
+                continue
+            if gain > found[0]:
+                found = (gain, [inside[lo], inside[hi]])
+            hi -= 1
+        return found
+
+    def _step(self, source: int) -> bool:
+        """One move or exchange that takes tokens out of the source; false if there is none."""
+        for piece in reversed(self.bins[source]):
+            n = piece[0]
+            above = self.mask >> n
+            if above:  # the fullest bin that has room
+                r = n + (above & -above).bit_length() - 1
+                if self.size - r + n > self.fill[source]:
+                    self._apply(source, piece, next(iter(self.at[r])), [])
+                    return True
+            best, target, left = (0, []), -1, self.mask & (1 << n) - 1
+            while left and (r := left.bit_length() - 1) > best[0]:  # no exchange gains more than the room
+                left ^= 1 << r
+                for t in self.at[r]:
+                    found = self._best_in(t, n, r, best[0])
+                    if found[1] and self.fill[t] + found[0] > self.fill[source]:
+                        best, target = found, t
+                        if best[0] == r:
+                            break
+            if best[1]:
+                self._apply(source, piece, target, best[1])
+                return True
+        return False
+
+    def _emptiest(self, but: set[int]) -> int | None:
+        left = self.mask & ~1  # full bins are no sources
+        while left:
+            r = left.bit_length() - 1
+            left ^= 1 << r
+            for b in self.at[r]:
+                if b not in but:
+                    return b
+        return None
+
+    def run(self) -> list[list[int]]:
+        """Empty the emptiest bin, again and again, until their number is what the total needs or ``STUCK`` bins in a row can't be emptied."""
+        least, count = -(-sum(self.fill) // self.size), len(self.bins)
+        tried: set[int] = set()
+        while count > least and len(tried) < STUCK and (source := self._emptiest(tried)) is not None:
+            self._take(source)
+            while self.bins[source] and self._step(source):
+                pass
+            if self.bins[source]:
+                tried.add(source)
+                self._put(source)
+            else:
+                count -= 1
+                tried.clear()
+        return [[i for _, i in b] for b in self.bins if b]
 
 
 def pack(lengths: list[int], size: int = LENGTH) -> list[list[int]]:
     """Bins of places in ``lengths``; every length is 1 to ``size``."""
-    bins = best_fit(lengths, size)
-    least = -(-sum(lengths) // size)
-    while len(bins) > least and _empty_one(bins, lengths, size):
-        bins = [b for b in bins if b]
-    return [b for b in bins if b]
+    bins = Search(next_fit(lengths, size), lengths, size).run()
+    if len(bins) > -(-sum(lengths) // size):
+        bins = min(bins, Search(best_fit(lengths, size), lengths, size).run(), key=len)
+    return bins
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
