@@ -3,13 +3,14 @@
 The tokenizer drops white space, never joins words across it, and is blind to case, so
 the ids of a text are those of its lower-cased white-space-separated chunks in order; a
 last full stop or comma after an ASCII letter is a token of its own. Chunks repeat, so
-each is encoded once and kept, up to ``CACHE`` chunks in each Python worker.
+each is encoded once and kept, up to ``CACHE`` chunks in each Python worker. New chunks go
+to the tokenizer many at a time, as one text with a separator that none of them has.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from itertools import islice
 
 import numpy as np
 
@@ -18,7 +19,10 @@ from .common import drops
 CACHE = 600_000
 #: Chunks longer than this are encoded but not kept.
 LONG_CHUNK = 64
-_ENDS = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+#: Separator of chunks, and how many go together.
+SEPARATOR, TOGETHER = b"|", 128
+#: What ends a chunk whose last character is a token of its own.
+_STOPS = tuple(bytes([x, y]) for x in range(97, 123) for y in b".,")
 _workers: dict[str, Encoder] = {}
 drops.append(_workers.clear)
 
@@ -35,34 +39,63 @@ class Encoder:
             raise ValueError("ids of this vocabulary don't fit 16 bits")
         self.limit = cache
         self.known: dict[bytes, bytes] = {}
+        (self.separator,) = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
+        self.stops = dict(zip(b".,", self._plain([b".", b","]), strict=True))
 
     def _plain(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
 
+    def _chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of chunks without ASCII white space."""
+        out: dict[bytes, bytes] = {}
+        own = [c for c in chunks if SEPARATOR not in c]
+        groups = [own[at : at + TOGETHER] for at in range(0, len(own), TOGETHER)]
+        alone = [c for c in chunks if SEPARATOR in c]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([b" | ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u2")
+            cuts = np.flatnonzero(ids == self.separator)
+            if len(cuts) != len(group) - 1:
+                alone += group
+                continue
+            data, ends = ids.tobytes(), [*(2 * cuts).tolist(), 2 * len(ids)]
+            starts = [0, *(2 * cuts + 2).tolist()]
+            out.update(zip(group, [data[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+        out.update(zip(alone, self._plain(alone), strict=True))
+        return out
+
+    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        """Keep the ids of new chunks; those of long ones are returned."""
+        known = self.known
+        stems = {c: c[:-1] for c in missing if c.endswith(_STOPS)}
+        found = self._chunks([c for c in missing.union(stems.values()).difference(stems) if c not in known])
+        for c, stem in stems.items():
+            found[c] = (found[stem] if stem in found else known[stem]) + self.stops[c[-1]]
+        known.update(found)
+        return {c: known.pop(c) for c in found if len(c) > LONG_CHUNK}
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        out: list[bytes] = []
+        if len(known) > self.limit:  # the first ones are the most frequent
+            known = self.known = dict(islice(known.items(), self.limit // 2))
         # A special token's string in a text is rare: such a text goes to the tokenizer as it is.
-        split = [None if b"<|" in x else _ENDS.sub(rb" \1", x.lower()).split() for x in texts]
+        split = [None if b"<|" in x else x.lower().split() for x in texts]
+        out: list[bytes | None] = []
+        missing: set[bytes] = set()
         for x, chunks in zip(texts, split, strict=True):
             if chunks is None:
                 out.append(self._plain([x])[0])
                 continue
             try:
                 out.append(b"".join(map(known.__getitem__, chunks)))
-                continue
             except KeyError:
-                missing = list({c for c in chunks if c not in known})
-            short = [c for c in missing if len(c) <= LONG_CHUNK]
-            known.update(zip(short, self._plain(short), strict=True))
-            if len(short) == len(missing):
-                out.append(b"".join(map(known.__getitem__, chunks)))
-            else:
-                long = [c for c in missing if len(c) > LONG_CHUNK]
-                extra = dict(zip(long, self._plain(long), strict=True))
-                out.append(b"".join([known[c] if c in known else extra[c] for c in chunks]))
+                missing.update(chunks)
+                out.append(None)
+        missing = missing.difference(known)
+        if missing:
+            long = self._learn(missing)
+            for i, x in enumerate(out):
+                if x is None:
+                    out[i] = b"".join([known[c] if c in known else long[c] for c in split[i]]) if long else b"".join(map(known.__getitem__, split[i]))
         return out
 
 
