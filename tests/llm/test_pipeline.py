@@ -1,8 +1,10 @@
 """The queries' contracts, their SQL, and the pipeline stage by stage against brute force."""
 
 import hashlib
+import itertools
 import math
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -81,9 +83,44 @@ def test_op8(spark, docs):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
-def test_op10(spark):
+@pytest.fixture(scope="module")
+def token_ids(docs):
+    """Of each document, as the tokenizer gives them, and the end id."""
+    import numpy as np
+    from tidewater.llm.common import tokenizer_path
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    return {i: np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for i, r in docs.items()}
+
+
+def test_op9(spark, token_ids):
+    rows = queries.QUERIES["op9_swap_packing"](spark, SF).collect()
+    by = defaultdict(list)
+    for r in rows:
+        own = token_ids[r.doc_id][r.start : r.start + r.length]
+        assert r.start == 4096 * r.piece and len(own) == r.length == min(4096, len(token_ids[r.doc_id]) - r.start) and r.ids_crc32 == zlib.crc32(own.tobytes())
+        by[r.sequence_id].append((r.offset, r.length))
+    assert Counter(r.doc_id for r in rows) == {i: -(-len(x) // 4096) for i, x in token_ids.items()}
+    for spans in by.values():
+        assert all(a[0] + a[1] == b[0] for a, b in itertools.pairwise(sorted(spans))) and sorted(spans)[0][0] == 0 and sum(n for _, n in spans) <= 4096
+    assert len(by) == -(-sum(map(len, token_ids.values())) // 4096)
+
+
+def test_op10(spark, token_ids):
+    import numpy as np
+    from tidewater.llm import tokenfiles
+    from tidewater.llm.common import shared_dir, table, tokenizer_path
+
     rows = queries.QUERIES["op10_feistel_token_files"](spark, SF).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows))) == sorted(r.sequence for r in rows)
+    folder = shared_dir(spark).rstrip("/") + f"/token-all-{uuid.uuid4().hex}"
+    made = tokenfiles.materialise(table(spark, SF, "documents").coalesce(1), folder, tokenizer_path()).collect()
+    data = tokenfiles.read_slots(folder, 0, len(made))
+    whole = np.concatenate([data[r.slot] for r in sorted(made, key=lambda r: r.sequence)])
+    order = [r.doc_id for r in table(spark, SF, "documents").coalesce(1).collect()]
+    assert (whole == np.concatenate([token_ids[i] for i in order])).all()
+    assert Counter(i for r in made for i in r.doc_ids).keys() == token_ids.keys()
 
 
 def windows(word_list, n=10):

@@ -12,9 +12,10 @@ fixed stride (number of ids, checksum, ids, zeros), so the record of slot s is a
 computed offset, and reading resumes at any slot. Token ids are written once to a staging
 table in the shared folder, which gives the counts; they then move to the task of their
 shard in compressed bundles, and that task writes the file, under a name of its own and
-renamed when complete, so a task that is run again leaves the same files.
+renamed when complete. A task that is run again finds a complete file of the same content
+and leaves it; a folder that has shards already is refused.
 
-Cases: null and empty texts are the end id alone; equal texts have equal ids; repeated
+Cases: ids are numbers or null (other ids raise); null and empty texts are the end id alone; equal texts have equal ids; repeated
 rows are written each; a text of any length goes on over as many sequences as it needs;
 an empty table gives no shard and an empty result; other columns are ignored, whatever
 their names.
@@ -42,6 +43,8 @@ SEQ_LEN, SHARD_SLOTS, KEY, END_ID = 1024, 16_384, 0x5EED_0F_0DD5, 1
 ROW_SEQUENCES, BUNDLE_BYTES = 64, 16_000_000
 HEADER, MAGIC = 64, b"TIDESEQ1"
 ROUNDS, LEVEL = 6, 9
+#: Tasks that write shards are as many as shards, and at most so many.
+MAX_TASKS = 20_000
 #: Stands for a null id within a bundle.
 NO_ID = -(1 << 63)
 MANIFEST = "slot long, shard int, offset long, sequence long, n_ids int, ids_crc32 long, doc_ids array<long>"
@@ -206,7 +209,15 @@ def _shards(bundles: DataFrame, folder: str, n: int, seq_len: int, shard_slots:
         with system.open_output_stream(own) as out:
             out.write(header.ljust(HEADER, b"\0"))
             out.write(bytes(body))
-        system.move(own, name)
+        try:  # a task that ran before, or runs beside this one, has left the same file
+            if system.get_file_info(name).type == fs.FileType.NotFound:
+                system.move(own, name)
+            else:
+                system.delete_file(own)
+        except OSError:
+            if system.get_file_info(name).type == fs.FileType.NotFound:
+                raise
+            system.delete_file(own)
         with system.open_input_file(name) as back:
             ids = _records(back.read()[HEADER:], seq_len)
         rows = range(first, first + count)
@@ -227,7 +238,11 @@ def _shards(bundles: DataFrame, folder: str, n: int, seq_len: int, shard_slots:
         if shard is not None:
             yield write(shard, parts)
 
-    return bundles.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, MANIFEST)
+    # Each task gets a range of shards: one, or as many as MAX_TASKS tasks leave it.
+    shards = max(1, -(-n // shard_slots))
+    tasks = min(shards, MAX_TASKS)
+    own = F.expr(f"cast(shard * {tasks}L div {shards} as int)")
+    return bundles.repartitionById(tasks, own).sortWithinPartitions("shard").mapInArrow(run, MANIFEST)
 
 
 def materialise(
@@ -236,13 +251,15 @@ def materialise(
     """Write the shards and meta.json into ``folder``; the manifest, a row for each sequence, is a table there."""
     spark = docs.sparkSession
     staging, manifest = f"{folder}/staging", f"{folder}/manifest"
+    system, base = fs.FileSystem.from_uri(folder)
+    if system.get_file_info(f"{base}/shards").type != fs.FileType.NotFound:
+        raise FileExistsError(f"{folder} has shards")
     _stage(docs, vocabulary, seq_len, end_id, id_col, text_col).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).parquet(staging)
     staged = spark.read.schema("part int, row int, ids binary, docs array<long>, begins array<long>").parquet(staging)
     counted = staged.groupBy("part").agg(F.sum(F.ceil(F.octet_length("ids") / (2 * seq_len))).alias("n")).collect()
     before, n = {}, 0
     for r in sorted(counted, key=lambda r: r["part"]):  # one row for each task
         before[r["part"]], n = n, n + r["n"]
-    system, base = fs.FileSystem.from_uri(folder)
     system.create_dir(f"{base}/shards", recursive=True)
     _shards(_bundles(staged, before, n, seq_len, shard_slots, key), f"{folder}/shards", n, seq_len, shard_slots).write.parquet(manifest)
     with system.open_output_stream(f"{base}/shards/meta.json") as out:
