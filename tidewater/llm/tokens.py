@@ -5,22 +5,27 @@ the ids of a text are those of its lower-cased white-space-separated chunks in o
 last full stop or comma after an ASCII letter is a token of its own. Chunks repeat, so
 each is encoded once and kept, up to ``CACHE`` chunks in each Python worker. New chunks go
 to the tokenizer many at a time, as one text with a separator that none of them has.
+Words of small letters are what the vocabulary's normaliser and its splitting leave as they
+are, so both are left out for them.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import islice
 
 import numpy as np
 
 from .common import drops
 
-CACHE = 600_000
+CACHE = 300_000
 #: Chunks longer than this are encoded but not kept.
 LONG_CHUNK = 64
 #: Separator of chunks, and how many go together.
 SEPARATOR, TOGETHER = b"|", 128
+#: Small letters of ASCII and Latin-1 in UTF-8.
+_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 #: What ends a chunk whose last character is a token of its own.
 _STOPS = tuple(bytes([x, y]) for x in range(97, 123) for y in b".,")
 _workers: dict[str, Encoder] = {}
@@ -32,11 +37,14 @@ class Encoder:
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary don't fit 16 bits")
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.limit = cache
         self.known: dict[bytes, bytes] = {}
         (self.separator,) = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
@@ -48,10 +56,15 @@ class Encoder:
     def _chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """The ids of chunks without ASCII white space."""
         out: dict[bytes, bytes] = {}
-        own = [c for c in chunks if SEPARATOR not in c]
-        groups = [own[at : at + TOGETHER] for at in range(0, len(own), TOGETHER)]
-        alone = [c for c in chunks if SEPARATOR in c]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([b" | ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+        words, rest, alone = [], [], []
+        for c in chunks:
+            (words if _WORD(c) else alone if SEPARATOR in c else rest).append(c)
+        groups, texts = [], []
+        for tokenizer, own in ((self.words, words), (self.tokenizer, rest)):
+            cut = [own[at : at + TOGETHER] for at in range(0, len(own), TOGETHER)]
+            groups += cut
+            texts += tokenizer.encode_batch_fast([b" | ".join(g).decode() for g in cut], add_special_tokens=False)
+        for group, found in zip(groups, texts, strict=True):
             ids = np.array(found.ids, "<u2")
             cuts = np.flatnonzero(ids == self.separator)
             if len(cuts) != len(group) - 1:
@@ -79,23 +92,27 @@ class Encoder:
             known = self.known = dict(islice(known.items(), self.limit // 2))
         # A special token's string in a text is rare: such a text goes to the tokenizer as it is.
         split = [None if b"<|" in x else x.lower().split() for x in texts]
-        out: list[bytes | None] = []
+        out: list[bytes] = []
+        open_texts: list[tuple[int, list[bytes | None], list[int]]] = []  # with places of unknown chunks
         missing: set[bytes] = set()
         for x, chunks in zip(texts, split, strict=True):
             if chunks is None:
                 out.append(self._plain([x])[0])
                 continue
-            try:
-                out.append(b"".join(map(known.__getitem__, chunks)))
-            except KeyError:
-                missing.update(chunks)
-                out.append(None)
-        missing = missing.difference(known)
-        if missing:
-            long = self._learn(missing)
-            for i, x in enumerate(out):
-                if x is None:
-                    out[i] = b"".join([known[c] if c in known else long[c] for c in split[i]]) if long else b"".join(map(known.__getitem__, split[i]))
+            ids = list(map(known.get, chunks))
+            if None in ids:
+                places = [k for k, y in enumerate(ids) if y is None]
+                open_texts.append((len(out), ids, places))
+                missing.update([chunks[k] for k in places])
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        long = self._learn(missing)
+        for i, ids, places in open_texts:
+            chunks = split[i]
+            for k in places:
+                ids[k] = known[chunks[k]] if chunks[k] in known else long[chunks[k]]
+            out[i] = b"".join(ids)
         return out
 
 
