@@ -10,10 +10,11 @@ CRC-16 it verifies, Rice residuals, and the predictor. Samples are read from any
 by the seek table. Frames of many documents are decoded in step, one sample of each at
 a time, so Python's cost is shared by thousands of frames.
 
+``store`` writes the streams into a folder, ``read_back`` decodes what a table of them holds,
 ``write_pcm`` turns stored streams into PCM blocks (rows of document, block, first sample
 and samples), ``seek`` reads some samples without decoding the frames before them.
 
-Cases: null and empty texts are 64 zero bytes; equal texts give equal streams; repeated
+Cases: ids of ``write_pcm`` are numbers (other ids raise); null and empty texts are 64 zero bytes; equal texts give equal streams; repeated
 rows are stored each; a text of any length is cut into frames, and decoding works on
 ``STEP_FRAMES`` of them at a time; a damaged stream raises ValueError; an empty table
 gives an empty result; other columns are ignored, whatever their names.
@@ -22,6 +23,7 @@ gives an empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, ship, slices, table, task, with_columns
+from .common import blobs, shared_dir, ship, slices, table, task, with_columns
 
 BLOCK, RATE, STEP_FRAMES, STEP_TEXT = 1024, 44_100, 4096, 2_000_000
 MAX_RICE = 9
@@ -377,34 +379,53 @@ def feature(data: bytes) -> str:
     return f"samples={len(x)};peak={int(np.abs(x).max())};power={int((x * x).sum()) // len(x)};crossings={int((x[1:] >= 0).__xor__(x[:-1] >= 0).sum())}"
 
 
-def store(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, media: bool = True) -> DataFrame:
-    """The ``keep`` columns (all by default) with _tw_bytes, _tw_media (the stream; null unless ``media``), and what is read back from it."""
+def streams(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns (all by default) with _tw_bytes, the text's length, and _tw_media, its stream."""
     keep = keep if keep is not None else docs.columns
-    wanted = list(dict.fromkeys([*keep, text_col]))
-    added = "_tw_bytes long, _tw_media binary, _tw_payload_bytes long, _tw_payload_sha256 string, _tw_tail_crc32 long, _tw_media_bytes long, _tw_media_sha256 string, _tw_feature string"
-    schema = with_columns(docs.select(*keep).schema, added)
+    schema = with_columns(docs.select(*keep).schema, "_tw_bytes long, _tw_media binary")
 
     @task("flac")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col, STEP_TEXT):
                 texts = blobs(batch.column(text_col))
-                streams = encode([payload(x) for x in texts])
-                back = decode(streams)
+                own = [pa.array([len(x or b"") for x in texts], pa.int64()), pa.array(encode([payload(x) for x in texts]), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *own], names=schema.names)
+
+    ship(docs.sparkSession)
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+
+
+def read_back(stored: DataFrame, media: bool = True) -> DataFrame:
+    """What the streams in _tw_media hold: the payload's length, hash and last checksum, the stream's length and hash, and a feature of the samples; with ``media`` the stream too."""
+    keep = [c for c in stored.columns if media or c != "_tw_media"]
+    schema = with_columns(stored.select(*keep).schema, "_tw_payload_bytes long, _tw_payload_sha256 string, _tw_tail_crc32 long, _tw_media_bytes long, _tw_media_sha256 string, _tw_feature string")
+
+    @task("flac")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "_tw_media", STEP_TEXT):
+                found = blobs(batch.column("_tw_media"))
+                back = decode(found)
                 own = [
-                    pa.array([len(x or b"") for x in texts], pa.int64()),
-                    pa.array(streams if media else [None] * len(streams), pa.binary()),
                     pa.array([len(x) for x in back], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in back]),
                     pa.array([zlib.crc32(x[-64:]) for x in back], pa.int64()),
-                    pa.array([len(x) for x in streams], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in streams]),
+                    pa.array([len(x) for x in found], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in found]),
                     pa.array([feature(x) for x in back]),
                 ]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *own], names=schema.names)
 
-    ship(docs.sparkSession)
-    return docs.select(*wanted).mapInArrow(run, schema)
+    ship(stored.sparkSession)
+    return stored.mapInArrow(run, schema)
+
+
+def store(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Write the streams as Parquet into ``path``; the table of them."""
+    made = streams(docs, text_col, keep)
+    made.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(made.schema).parquet(path)
 
 
 def write_pcm(stored: DataFrame, path: str, id_col: str = "doc_id", media_col: str = "_tw_media") -> None:
@@ -425,5 +446,5 @@ def write_pcm(stored: DataFrame, path: str, id_col: str = "doc_id", media_col: s
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = store(table(spark, sf_dir, "documents"), keep=["doc_id"], media=False)
-    return out.drop("_tw_media").toDF("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    stored = store(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/flac-{uuid.uuid4().hex}", keep=["doc_id"])
+    return read_back(stored, media=False).toDF("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
