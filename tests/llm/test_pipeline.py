@@ -12,7 +12,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tidewater.llm import linededup, queries
+from tidewater.llm import flac, linededup, queries
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -52,6 +52,11 @@ def test_op5(spark, docs):
         data = (docs[r.doc_id].text or "").encode()
         padded = data + bytes(-len(data) % 64 or (0 if data else 64))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        x = [b - 256 if b > 127 else b for b in padded]
+        turns = sum((a >= 0) != (b >= 0) for a, b in itertools.pairwise(x))
+        assert r.feature == f"samples={len(x)};peak={max(map(abs, x))};power={sum(b * b for b in x) // len(x)};crossings={turns}"
+        (media,) = flac.encode([padded])
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
 
 
 def test_op6(spark, docs):
@@ -203,6 +208,29 @@ def test_copies_alone_are_no_boilerplate(spark):
     assert out == {i: (x, len(x)) for i, x in enumerate(want)}
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    base = [f"v{i}" for i in range(100)]
+    a, near, b = " ".join(base), " ".join([*base, "more"]), "a text of its own that nothing else repeats"
+    rows = [(3, a), (5, near), (5, b), (5, b), (None, near), (None, "another text of its own"), (8, None), (9, ""), (10, "...")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "'clash' as class_key", "'clash' as first")
+    out = corpus_pipeline.drop_near_copies(spark, df, SF)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, "another text of its own"), (3, a), (5, b), (8, "")]
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), SF).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    rows = [(1, None, None, None), (None, "no id here", "en", "s"), (2, "", "en", "s"), (2, "one\ntwo", None, "s"), (2, "one\ntwo", None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "cast(length(text) as bigint) as n_chars", "'clash' as score", "'clash' as node")
+    for start in (df, df.limit(0)):
+        stage_rows = start
+        for name, stage in corpus_pipeline.STAGES:
+            stage_rows = stage(spark, stage_rows, SF)
+            if name != "swap_packing":
+                assert stage_rows.columns == df.columns
+        assert stage_rows.count() == (3 if start is df else 0)  # null and empty are copies, and so are the equal rows
+
+
 def test_nothing_else_imports_the_subpackage():
     from pathlib import Path
 

@@ -121,13 +121,13 @@ purpose with or without fee is hereby granted."""
     assert got == texts
 
 
-def test_flac(docs, none):
-    out = flac.store(docs, keep=["doc_id", "word"]).collect()
+def test_flac(docs, none, tmp_path):
+    out = flac.read_back(flac.store(docs, str(tmp_path / "flac"), keep=["doc_id", "word"])).collect()
     for r, row in zip(sorted(out, key=lambda r: r.doc_id or 0), sorted(ROWS, key=lambda r: r[0] or 0), strict=True):
         data = flac.payload((row[1] or "").encode())
         assert flac.decode([bytes(r._tw_media)]) == [data] and r._tw_payload_bytes == len(data) and r._tw_tail_crc32 == zlib.crc32(data[-64:])
         assert flac.seek(bytes(r._tw_media), 10, 50) == data[10:60] and flac.seek(bytes(r._tw_media), len(data) - 5, 50) == data[-5:]
-    assert flac.store(none).count() == 0
+    assert flac.read_back(flac.store(none, str(tmp_path / "none"))).count() == 0
     stream = bytearray(flac.encode([flac.payload(LONG.encode())])[0])
     for at in (len(stream) - 3, len(stream) // 2, 30):
         bad = bytes(stream[:at]) + bytes([stream[at] ^ 1]) + bytes(stream[at + 1 :])
@@ -136,7 +136,7 @@ def test_flac(docs, none):
 
 
 def test_pcm_blocks(spark, docs, tmp_path):
-    flac.write_pcm(flac.store(docs.where("doc_id = 4"), keep=["doc_id"]), str(tmp_path / "pcm"))
+    flac.write_pcm(flac.store(docs.where("doc_id = 4"), str(tmp_path / "flac"), keep=["doc_id"]), str(tmp_path / "pcm"))
     rows = sorted(spark.read.parquet(str(tmp_path / "pcm")).collect(), key=lambda r: r.block)
     assert b"".join(bytes(r.pcm) for r in rows) == flac.payload(LONG.encode()) and [r.first_sample for r in rows] == [k * flac.BLOCK for k in range(len(rows))]
 
@@ -205,6 +205,14 @@ def test_near_copies_equal_brute_force(spark, docs, none):
     assert {r.class_id for r in small if r.doc_id in (2, 3, 6)} == {2}
 
 
+def test_near_copies_without_ids(spark):
+    words = [f"v{i}" for i in range(100)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words, "more"])), (7, " ".join([*words[:-1], "x"])), (None, "other words"), (7, "and again others")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in ngramjoin.join(df).collect())
+    assert got == [(0, 0, 0), (0, 7, 2), (0, 7, 2), (7, 7, 0), (7, 7, 2)]
+
+
 def test_pruning_bounds():
     least = ngramjoin.least_matches()
     assert len(least) == 6 and least == sorted(least) and least[-1] < 0.8 * 96

@@ -18,8 +18,9 @@ copies costs many tiles, not a large task or a large table.
 
 Cases: null, empty and wordless texts are one class and are linked to each other only;
 texts of one to four words have one shingle of all their words; repeated rows and ids
-are linked like copies; an empty table gives an empty result; other columns are
-ignored, whatever their names.
+are linked like copies; rows without an id are linked like any others, and a class in which
+none has one has no class_id; ids are numbers (other ids raise); an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, checkpoint, drops, ship, slices, table, task, words
+from .common import blobs, checkpoint, drops, ship, slices, table, task, with_columns, words
 from .decontaminate import _mix, grams
 from .graphs import components
 
@@ -215,7 +216,7 @@ def _verified(tiles: DataFrame, least: list[int], threshold: float) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_tile(batches, 2_000_000, "text"):
             sets = shingle_sets([words(x) for x in blobs(t.column("text"))])
-            # An id may stand for several rows: of those, one with the class's own set is kept.
+            # A key stands for all equal rows: of those, one is kept.
             node, tile = t.column("node").to_numpy(), t.column("tile").to_numpy()
             own = [i for i, x in enumerate(sets) if _half(x, 1) == node[i]]
             one = sorted({(tile[i], node[i]): i for i in reversed(own)}.values())
@@ -257,29 +258,41 @@ def _verified(tiles: DataFrame, least: list[int], threshold: float) -> DataFrame
     return chosen.mapInArrow(run, "node long, links long, root long")
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, the two halves of its set's hash, the number of shingles and the signature."""
+def row_key(id_col: str, text_col: str, half: int = 0):
+    """A 64-bit hash of a row's id and text; rows with equal ids and texts share it."""
+    return F.xxhash64(F.lit(half), F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+
+
+def _signed(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """doc_id, the row's key, ``keep`` columns, the two halves of its set's hash, the number of shingles and the signature."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_tw_text"))
+    own = rows.drop("_tw_text")
+    schema = with_columns(own.schema, "a long, b long, shingles long, sig binary")
 
     @task("ngramjoin")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text_col):
-                sets = shingle_sets([words(x) for x in blobs(batch.column(text_col))])
+            for batch in slices(whole, "_tw_text"):
+                sets = shingle_sets([words(x) for x in blobs(batch.column("_tw_text"))])
                 sig = signatures(sets)
                 halves = [[_half(x, k) for x in sets] for k in (1, 2)]
-                columns = [batch.column(id_col), *(pa.array(x, pa.int64()) for x in halves), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "b", "shingles", "sig"])
+                columns = [*(batch.column(c) for c in names), *(pa.array(x, pa.int64()) for x in halves), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    names = own.columns
+    return rows.mapInArrow(run, schema)
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "doc_id long, a long, b long, shingles long, sig binary")
 
+def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, class_id (the least id that links lead to) and n_links (other rows at or above the threshold) of every row.
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
-    """doc_id, class_id (the least id that links lead to) and n_links (other rows at or above the threshold) of every row."""
+    With ``keep``, also these columns, and class_key, which is the same for rows of a class only, whatever their ids.
+    """
     ship(docs.sparkSession)
     least = least_matches(threshold, tolerance)
-    signed = checkpoint(_signed(docs, id_col, text_col))
-    classes = signed.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("shingles", "sig"), "doc_id").alias("_x"))
-    classes = checkpoint(classes.select(F.col("a").alias("node"), "b", "first", "copies", "_x.shingles", "_x.sig"))
+    signed = checkpoint(_signed(docs, id_col, text_col, keep or []))
+    classes = signed.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value(F.struct("shingles", "sig")).alias("_x"))
+    classes = checkpoint(classes.select(F.col("a").alias("node"), "b", "first", "rep", "copies", "_x.shingles", "_x.sig"))
 
     full = classes.where("shingles > 0")
     buckets = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 1 + 2 * ROWS * k, 2 * ROWS)) for k in range(BANDS)])
@@ -289,20 +302,26 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     edges = _candidates(_spread(mates, "bucket", F.ceil(F.col("m") / tile)), least)
 
     clusters = components(edges).withColumnRenamed("root", "cluster")
-    clusters = checkpoint(clusters.join(full.select("node", "first", "shingles", "copies", "sig"), "node"))
+    clusters = checkpoint(clusters.join(full.select("node", "first", "rep", "shingles", "copies", "sig"), "node"))
     sizes = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum("shingles") / TILE_SHINGLES)).alias("blocks"))
     members = clusters.join(sizes, "cluster")
-    held = clusters.count() * (6 * 8 + 2 * HASHES)
-    texts = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).alias("text"))
-    texts = texts.join(F.broadcast(members) if held <= BROADCAST_BYTES else members, "first")
+    held = clusters.count() * (7 * 8 + 2 * HASHES)
+    texts = docs.select(row_key(id_col, text_col).alias("rep"), F.col(text_col).alias("text"))
+    texts = texts.join(F.broadcast(members) if held <= BROADCAST_BYTES else members, "rep")
     links = checkpoint(_verified(_spread(texts, "cluster", F.col("blocks")), least, threshold))
 
     roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v"))).join(clusters.select("node", "first"), "node")
-    named = roots.join(roots.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("node", "class_id")
+    named = roots.join(roots.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("node", "root", "class_id")
     sums = links.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.select("node", "b", "first", "copies").join(sums.join(named, "node"), "node", "left")
-    return signed.withColumnRenamed("a", "node").select("doc_id", "node", "b").join(known, ["node", "b"]).select(
-        "doc_id", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    kept = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep or [])]
+    own = signed.withColumnRenamed("a", "node").select("doc_id", "node", "b", *[f"_k{i}" for i in range(len(kept))])
+    return own.join(known, ["node", "b"]).select(
+        "doc_id",
+        F.coalesce("class_id", "first").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        *kept,
+        *([F.coalesce("root", "node").alias("class_key")] if keep else []),
     )
 
 
