@@ -20,6 +20,8 @@ from .windows import Window, panes
 
 #: Partitions of an exchange for which nothing else is said are at most so many.
 MAX_PARTITIONS = 256
+#: The most bytes of a table that is broadcast.
+BROADCAST_BYTES = 32_000_000
 
 
 @dataclass(frozen=True)
@@ -84,9 +86,10 @@ class Stream:
             raise ValueError("nothing to merge")
         return streams[0].merge(*streams[1:])
 
-    def broadcast(self) -> DataFrame:
-        """The frame marked for broadcast; for sides whose size is known to be small."""
-        return F.broadcast(self.df)
+    def lookup(self, table: DataFrame, on: str | list[str], how: str = "inner", limit: int = BROADCAST_BYTES) -> Stream:
+        """Rows with those of a table that have their key. The table is broadcast if the planner's size of it is at most ``limit``, else both sides are shuffled."""
+        size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return self._with(self.df.join(F.broadcast(table) if size <= limit else table, on, how))
 
     # state
 

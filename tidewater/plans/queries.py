@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import UdfRegistry, regex_match, udf
-from ..operators import Collect, Fold, Stream, any_of, count, repeat, session_window, since_first, since_last, tumbling_window
-from ..sources.catalog import Catalog, json_messages, keyed_partition
+from ..operators import Collect, Fold, Stream, any_of, count, group_tasks, partitions_in, partitions_matching, repeat, session_window, since_first, since_last, tumbling_window
+from ..session import scratch
+from ..sources import SERDES, bucketed_writer, directory_partitions, rolling_writer, snapshot
+from ..sources.catalog import Catalog, json_messages, keyed_partition, parquet_sink, upsert_sink
 from .sqlfront import SqlEngine
 
 HOUR, MINUTE = 3_600_000, 60_000
@@ -143,6 +145,29 @@ sql(
     extended=True,
 )
 
+sql(
+    "sql_dot",
+    "SELECT event_id, s.a AS a, s.b AS b FROM (SELECT event_id, named_struct('a', user_id, 'b', value) AS s FROM src.events) AS t WHERE s.a > 10",
+    "select event_id, user_id as a, value as b from events where user_id > 10",
+)
+sql(
+    "sql_floor_ceil_to",
+    "SELECT event_id, FLOOR(ts TO DAY) AS d, CEIL(ts TO HOUR) AS h, FLOOR(ts TO MONTH) AS m, CEIL(FLOOR(ts TO DAY) TO DAY) AS same, FLOOR(value) AS v FROM src.events",
+    """select event_id, date_trunc('day', ts) as d, case when date_trunc('hour', ts) = ts then ts else date_trunc('hour', ts) + interval 1 hour end as h,
+       date_trunc('month', ts) as m, date_trunc('day', ts) as same, cast(floor(value) as bigint) as v from events""",
+)
+sql(
+    "sql_units_and_varchar",
+    "SELECT event_id, TIMESTAMPADD(SQL_TSI_DAY, 2, ts) AS later, TIMESTAMPDIFF(SQL_TSI_HOUR, TIMESTAMP_NTZ '2020-01-01 00:00:00', ts) AS hours, CAST(user_id AS VARCHAR) AS s FROM src.events",
+    "select event_id, ts + interval 2 day as later, cast(trunc(epoch_us(ts) - epoch_us(timestamp '2020-01-01')) // 3600000000 as bigint) as hours, cast(user_id as varchar) as s from events",
+)
+sql(
+    "sql_clocks_agree",
+    """SELECT event_id, CURRENT_DATE = CAST(CURRENT_TIMESTAMP AS DATE) AS a, CAST(LOCALTIMESTAMP AS DATE) = CURRENT_DATE AS b, LOCALTIMESTAMP > TIMESTAMP_NTZ '2024-01-01 00:00:00' AS c,
+       LOCALTIME = CURRENT_TIME AS d FROM src.events""",
+    "select event_id, true as a, true as b, true as c, true as d from events",
+)
+
 
 # row transforms and exchange
 
@@ -345,3 +370,174 @@ def _since_first(e: Stream) -> DataFrame:
 def _composite(e: Stream) -> DataFrame:
     """Replayed, not expressible in SQL; tests hold it against a brute-force replay."""
     return _triggered(e, repeat(any_of(count(3), since_last(2 * HOUR), since_first(5 * HOUR))), "DISCARDING")
+
+
+@stream(
+    "since_last_trigger_discard",
+    _RN
+    + """, l as (select *, lead(ts) over (partition by user_id, w order by rn) as next from r),
+    f as (select *, min(case when next >= ts + interval 2 hour or next is null and ts + interval 2 hour < w + interval 1 day then rn end) over (partition by user_id, w) as k from l)
+    select user_id, w as window_start, cast(case when rn > k then 1 else 0 end as bigint) as seq, case when rn <= k then 'EARLY' else 'DEFAULT' end as firing_type, count(*) as n, max(value) as top
+    from f group by all""",
+)
+def _since_last(e: Stream) -> DataFrame:
+    return _triggered(e, since_last(2 * HOUR), "DISCARDING")
+
+
+@stream(
+    "any_trigger_discard",
+    _RN
+    + """, a as (select *, min(ts) over g + interval 6 hour as due, max(case when rn = 3 then ts end) over g as third from r window g as (partition by user_id, w)),
+    f as (select *, case when third < due then 3 when due < w + interval 1 day then count(case when ts < due then 1 end) over (partition by user_id, w) end as k from a)
+    select user_id, w as window_start, cast(case when rn > k then 1 else 0 end as bigint) as seq, case when rn <= k then 'EARLY' else 'DEFAULT' end as firing_type, count(*) as n, max(value) as top
+    from f group by all""",
+)
+def _any(e: Stream) -> DataFrame:
+    return _triggered(e, any_of(count(3), since_first(6 * HOUR)), "DISCARDING")
+
+
+@stream("late_trigger_never_fires", f"select user_id, {_D} as window_start, cast(0 as bigint) as seq, 'DEFAULT' as firing_type, count(*) as n from events group by user_id, {_D}")
+def _late(e: Stream) -> DataFrame:
+    return e.window(tumbling_window(24 * HOUR, "user_id").agg(n=F.count(F.lit(1))).late_trigger(count(1))).df.select("user_id", "window_start", "seq", "firing_type", "n")
+
+
+@stream("tumble_global_collect", f"select {_D} as window_start, string_agg(cast(event_id as varchar), ',' order by ts, event_id) as ids from events group by {_D}")
+def _global_collect(e: Stream) -> DataFrame:
+    out = e.window(tumbling_window(24 * HOUR).agg(rows=Collect(("event_id",)))).df
+    return out.select("window_start", F.array_join(F.transform("rows", lambda r: r["event_id"].cast("string")), ",").alias("ids"))
+
+
+# exchange
+
+
+@stream("partition_by_places", "select case when user_id % 5 <> 0 then user_id else -1 end as k, count(*) as n, true as together from events group by 1")
+def _places(e: Stream) -> DataFrame:
+    """Where the exchange puts each key, nulls among them."""
+    keyed = e.partition_by(F.when(F.col("user_id") % 5 != 0, F.col("user_id")), "event_id", partitions=8).df
+    placed = keyed.withColumn("p", F.spark_partition_id())
+    return placed.groupBy(F.coalesce("__key__", F.lit(-1)).alias("k")).agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("p") == 1).alias("together"))
+
+
+@stream("group_tasks_by_partition", "select user_id % 8 as partition, count(*) as n, true as together from events group by 1")
+def _tasks(e: Stream) -> DataFrame:
+    rows = e.map("event_id", (F.col("user_id") % 8).alias("partition")).df
+    placed = group_tasks(rows, "partition", 4).withColumn("p", F.spark_partition_id())
+    return placed.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("p") == 1).alias("together"))
+
+
+@stream("partition_matchers", "select event_id, user_id % 16 as partition from events where user_id % 16 in (1, 3, 4, 5) or user_id % 16 between 10 and 15")
+def _matchers(e: Stream) -> DataFrame:
+    rows = e.map("event_id", (F.col("user_id") % 16).alias("partition"))
+    return rows.filter(partitions_in("1,3-5") | partitions_matching("1[0-5]")).df
+
+
+def _over(name: str, oracle: str) -> Callable[[Query], Query]:
+    """A query over the session and the tables' folder."""
+
+    def mark(fn: Query) -> Query:
+        QUERIES[name], ORACLE_SQL[name] = fn, oracle
+        return fn
+
+    return mark
+
+
+@_over("stream_lookup", "select c_custkey as user_id, event_id, c_name from events join customer on user_id = c_custkey")
+def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return events(spark, sf_dir).map("user_id", "event_id").lookup(names, "user_id").df
+
+
+# functions, serdes, sources and sinks
+
+
+@udf("long", vectorized=True)
+class WordCountUdf:
+    """Named by its class; takes and returns series."""
+
+    def execute(self, text):
+        return text.str.split().str.len()
+
+
+@_over("sql_vectorized_udf", "select p_partkey, cast(len(string_split(p_name, ' ')) as bigint) as n from part")
+def _vectorized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = UdfRegistry()
+    registry.add(WordCountUdf)
+    return SqlEngine(spark, catalog(spark, sf_dir), registry).query("SELECT p_partkey, WordCount(p_name) AS n FROM src.part")
+
+
+@stream(
+    "serde_round_trips",
+    """select event_id, printf('%016X', event_id) as wire, event_id as l, cast(user_id as integer) as i, event_type as s, value as d, event_type as j, hex(encode(event_type)) as raw from events""",
+)
+def _serdes(e: Stream) -> DataFrame:
+    back = lambda name, x: SERDES[name].decode(SERDES[name].encode(x))
+    kind = F.create_map(F.lit("t"), F.col("event_type"))
+    return e.df.select(
+        "event_id",
+        F.hex(SERDES["long"].encode(F.col("event_id"))).alias("wire"),
+        back("long", F.col("event_id")).alias("l"),
+        back("int", F.col("user_id").cast("int")).alias("i"),
+        back("string", F.col("event_type")).alias("s"),
+        back("double", F.col("value")).alias("d"),
+        back("json_map", kind)["t"].alias("j"),
+        F.hex(back("bytes", F.encode("event_type", "UTF-8"))).alias("raw"),
+    )
+
+
+@stream("sink_rolling_files", "select event_id, value from events")
+def _rolling(e: Stream) -> DataFrame:
+    spark, path = e.df.sparkSession, scratch(e.df.sparkSession, "rolling")
+    rolling_writer(e.map("event_id", "value").df, path, max_records=500)
+    return spark.read.parquet(*snapshot(spark, path, allow=r".*\.parquet"))
+
+
+@stream("sink_time_buckets", "select event_id, strftime(ts, '%Y_%m_%d-%H') as bucket, strftime(ts, '%Y_%m_%d-%H') as partition from events")
+def _buckets(e: Stream) -> DataFrame:
+    spark, path = e.df.sparkSession, scratch(e.df.sparkSession, "buckets")
+    bucketed_writer(e.map("event_id", "ts").df, path, "ts")
+    return directory_partitions(spark.read.parquet(path).select("event_id", "bucket"), "bucket=([^/]+)")
+
+
+@_over("sink_insert_script", "select cast(event_id as varchar) as __key__, event_id, value * 2 as v from events where event_type = 'click' union all select cast(event_id as varchar), event_id, value * 2 from events where event_type = 'view'")
+def _script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables, path = catalog(spark, sf_dir), scratch(spark, "insert")
+    tables.sink("out.v", parquet_sink(path))
+    script = "-- two statements\n" + "\n".join(f"insert into out.v\n select __key__, event_id, value * 2 as v from src.events where event_type = '{x}'" for x in ("click", "view"))
+    SqlEngine(spark, tables).execute(script)
+    return spark.read.parquet(path)
+
+
+def _as_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
+    """A table as an unbounded stream of its file."""
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*")
+
+
+def _drained(spark: SparkSession, query, path: str) -> DataFrame:
+    query.awaitTermination()
+    return spark.read.parquet(path)
+
+
+@_over("streaming_insert", "select cast(event_id as varchar) as __key__, user_id, value + 1 as v from events where value > 20")
+def _streaming_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL front end over an unbounded source, to files with a checkpoint."""
+    path, tables = scratch(spark, "stream"), Catalog(spark)
+    tables.source("live.events", lambda s: _as_stream(s, sf_dir), key="event_id")
+    tables.sink("out.v", parquet_sink(path, checkpoint=path + "-log"))
+    (query,) = SqlEngine(spark, tables).execute("INSERT INTO out.v SELECT __key__, user_id, value + 1 AS v FROM live.events WHERE value > 20")
+    return _drained(spark, query, path)
+
+
+@_over("streaming_sink", "select event_id, event_type from events where event_type <> 'view'")
+def _streaming_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "sink")
+    query = Stream(_as_stream(spark, sf_dir), "ts", "event_id").filter("event_type <> 'view'").map("event_id", "event_type").sink(lambda df, n: df.write.parquet(f"{path}/batch={n}"), path + "-log")
+    return _drained(spark, query, path).select("event_id", "event_type")
+
+
+@_over("streaming_upsert", "select cast(user_id as varchar) as __key__, arg_max(event_id, event_id) as event_id from events group by user_id")
+def _streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of each key, as an upsert by key gets it from one micro-batch."""
+    path = scratch(spark, "upsert")
+    rows = _as_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("__key__"), "event_id", F.col("event_id").alias("__seq__"))
+    return _drained(spark, upsert_sink(lambda df, n: df.write.parquet(f"{path}/batch={n}"), path + "-log")(rows), path).select("__key__", "event_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,6 +27,16 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.config(map=DEFAULTS | conf).getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared checkpoint folder; a local one only where the session names none and is local itself."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        top = "file://" + tempfile.mkdtemp(prefix="tidewater-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once a session: their Python need not have it installed."""
     context = spark.sparkContext
