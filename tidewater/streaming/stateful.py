@@ -7,6 +7,7 @@ the bounded operators give. State lives in RocksDB and is checkpointed with the
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -71,7 +72,8 @@ class TriggeredWindows(StatefulProcessor):
     """Tumbling or session panes of a key, closed by the watermark's timers. Columns: key, ms, tie, value (double).
 
     State: for each open window its rows since the last clearing (ms and value), the
-    number of all its rows, and of firings. The trigger's own state is replayed from the
+    number of all its rows, and of firings. Rows of other micro-batches may come out of order:
+    sessions that a row joins become one (early panes given before stay). The trigger's own state is replayed from the
     arrival times, so none of it is lost at a restart.
     """
 
@@ -88,8 +90,16 @@ class TriggeredWindows(StatefulProcessor):
     def _start(self, windows: dict[int, list], at: int) -> int:
         if self.kind == "tumbling":
             return at - at % self.ms
-        live = [s for s, w in windows.items() if at - w[0][-1] <= self.ms and at >= s]
-        return max(live) if live else at
+        live = [s for s, w in windows.items() if s - self.ms <= at <= w[0][-1] + self.ms]
+        start = min([*live, at])
+        if live and live != [start]:  # a row between sessions, or before one, makes one of them
+            rows = sorted((x for s in live for x in zip(windows[s][0], windows[s][1], strict=True)), key=lambda x: x[0])
+            fired = max(windows[s][2] for s in live)
+            for s in live:
+                del windows[s]
+                self.open.removeKey((s,))
+            windows[start] = [[t for t, _ in rows], [v for _, v in rows], fired]
+        return start
 
     def _end(self, start: int, window: list) -> int:
         return start + self.ms if self.kind == "tumbling" else window[0][-1] + self.ms
@@ -123,10 +133,11 @@ class TriggeredWindows(StatefulProcessor):
         for r in _ordered(rows, ["ms", "tie"]).itertuples():
             start = self._start(windows, int(r.ms))
             window = windows.setdefault(start, [[], [], 0])
-            window[0].append(int(r.ms))
-            window[1].append(float(r.value))
+            at = bisect_right(window[0], int(r.ms))
+            window[0].insert(at, int(r.ms))
+            window[1].insert(at, float(r.value))
             touched.add(start)
-        for start in sorted(touched):
+        for start in sorted(touched & windows.keys()):
             out += self._early(key[0], start, windows[start], windows[start][0][-1] + 1)
             self.open.updateValue((start,), (windows[start][0], windows[start][1], windows[start][2]))
             self.handle.registerTimer(self._end(start, windows[start]))
