@@ -5,10 +5,12 @@ as signed 8-bit samples in FLAC (RFC 9639): STREAMINFO with the samples' MD5, a
 with a point for every frame, and frames of up to ``BLOCK`` samples. A frame has the
 fixed linear predictor of order 0 to 4 and the Rice parameter that make it smallest.
 
-The decoder reads what is stored: metadata, then frames, whose header CRC-8 and frame
-CRC-16 it verifies, Rice residuals, and the predictor. Samples are read from any offset
-by the seek table. Frames of many documents are decoded in step, one sample of each at
-a time, so Python's cost is shared by thousands of frames.
+The decoder reads metadata, then frames, whose header CRC-8 and frame CRC-16 it verifies,
+Rice residuals, and the predictor. Samples are read from any offset by the seek table.
+Frames of many documents are decoded in step, one sample of each at a time, so Python's
+cost is shared by thousands of frames. Streams of other encoders (1 to 8 channels of 4 to
+32 bits, constant, verbatim, fixed and linear predictors, partitioned and escaped Rice
+codes, decorrelated stereo, no seek table) are decoded frame after frame.
 
 ``store`` writes the streams into a folder, ``read_back`` decodes what a table of them holds,
 ``write_pcm`` turns stored streams into PCM blocks (rows of document, block, first sample
@@ -26,6 +28,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +77,17 @@ def _crc8(data: bytes) -> int:
     return x
 
 
+_CRC16_LIST = _CRC16.tolist()
+
+
+def _crc16_of(data: bytes) -> int:
+    """CRC-16 of one span."""
+    x = 0
+    for b in data:
+        x = x << 8 & 0xFFFF ^ _CRC16_LIST[x >> 8 ^ b]
+    return x
+
+
 def _number(n: int) -> bytes:
     """A frame number in the extended UTF-8 form."""
     if n < 0x80:
@@ -210,24 +224,43 @@ def _stream(data: bytes, frames: list[bytes]) -> bytes:
     return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + b"".join(frames)
 
 
-def _metadata(stream: bytes) -> tuple[int, int, bytes, list[tuple[int, int, int]], int]:
-    """Block size, samples, MD5, seek points and the place of the first frame."""
+class Layout(NamedTuple):
+    """What the metadata blocks say; ``first`` is the place of the first frame, ``points`` are (sample, place from there, samples)."""
+
+    block: int
+    total: int
+    digest: bytes
+    channels: int
+    bits: int
+    points: list[tuple[int, int, int]]
+    first: int
+
+    @property
+    def width(self) -> int:
+        """Bytes of one sample of all channels in PCM."""
+        return self.channels * -(-self.bits // 8)
+
+
+def layout(stream: bytes) -> Layout:
+    """The metadata of a stream; blocks other than STREAMINFO and SEEKTABLE are passed over."""
     if stream[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
-    at, last, block, total, digest, points = 4, False, 0, 0, b"", []
+    at, last, info, points = 4, False, b"", []
     while not last:
+        if at + 4 > len(stream):
+            raise ValueError("metadata without an end")
         kind, n = stream[at], int.from_bytes(stream[at + 1 : at + 4], "big")
         last, body = bool(kind & 0x80), stream[at + 4 : at + 4 + n]
         if kind & 0x7F == 0:
-            block, digest = int.from_bytes(body[2:4], "big"), body[18:34]
-            packed = int.from_bytes(body[10:18], "big")
-            total = packed & ((1 << 36) - 1)
-            if packed >> 36 & 0xFF != 7:
-                raise ValueError("not 8-bit mono")
+            info = body
         elif kind & 0x7F == 3:
             points = [tuple(int.from_bytes(body[i + a : i + b], "big") for a, b in ((0, 8), (8, 16), (16, 18))) for i in range(0, n, 18)]
         at += 4 + n
-    return block, total, digest, points, at
+    if len(info) < 34:
+        raise ValueError("no STREAMINFO")
+    packed = int.from_bytes(info[10:18], "big")
+    points = [x for x in points if x[0] != (1 << 64) - 1]  # placeholders
+    return Layout(int.from_bytes(info[2:4], "big"), packed & ((1 << 36) - 1), info[18:34], (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, points, at)
 
 
 def _parse_header(data: bytes, at: int) -> tuple[int, int, int]:
@@ -337,40 +370,209 @@ def _decode_frames(frames: list[bytes]) -> list[np.ndarray]:
     return result
 
 
-def _cut(stream: bytes) -> tuple[int, bytes, list[bytes]]:
-    """Samples, MD5 and frames of a stream; the frames lie between seek points."""
-    _, total, digest, points, first = _metadata(stream)
-    edges = [first + x[1] for x in points] + [len(stream)]
-    return total, digest, [stream[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+class _Bits:
+    """A reader of bits, most significant first; reading past the end raises ValueError."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.place = data, 8 * at
+
+    def take(self, n: int) -> int:
+        a, stop = self.place, self.place + n
+        if stop > 8 * len(self.data):
+            raise ValueError("the stream ends within a frame")
+        self.place = stop
+        return int.from_bytes(self.data[a >> 3 : (stop + 7) >> 3], "big") >> (-stop & 7) & ((1 << n) - 1)
+
+    def signed(self, n: int) -> int:
+        x = self.take(n)
+        return x - (x >> (n - 1) << n) if n else 0
+
+    def unary(self) -> int:
+        """Zeros before the next one, which is read too."""
+        a = self.place
+        while True:
+            part = self.data[self.place >> 3 : (self.place >> 3) + 16]
+            left = 8 * len(part) - (self.place & 7)
+            x = int.from_bytes(part, "big") & ((1 << max(left, 0)) - 1)
+            if x:
+                zeros = self.place - a + left - x.bit_length()
+                self.place = a + zeros + 1
+                return zeros
+            if len(part) < 16:
+                raise ValueError("a code without an end")
+            self.place += left
+
+
+def _residual(bits: _Bits, samples: int, order: int) -> list[int]:
+    """Rice partitions of either coding method, escaped ones too."""
+    method = bits.take(2)
+    if method > 1:
+        raise ValueError("residual coding")
+    width, parts = 4 + method, 1 << bits.take(4)
+    if samples % parts or samples // parts < order:
+        raise ValueError("residual partitions")
+    out: list[int] = []
+    for k in range(parts):
+        n, p = samples // parts - (order if k == 0 else 0), bits.take(width)
+        if p == (1 << width) - 1:
+            raw = bits.take(5)
+            out += [bits.signed(raw) for _ in range(n)]
+            continue
+        for _ in range(n):
+            u = bits.unary() << p
+            u |= bits.take(p)
+            out.append(u >> 1 ^ -(u & 1))
+    return out
+
+
+#: Coefficients of the fixed predictors of order 0 to 4.
+FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
+
+
+def _subframe(bits: _Bits, samples: int, size: int) -> np.ndarray:
+    """One channel of a frame: constant, verbatim, a fixed or a linear predictor, with wasted bits."""
+    if bits.take(1):
+        raise ValueError("subframe padding")
+    kind = bits.take(6)
+    wasted = bits.unary() + 1 if bits.take(1) else 0
+    size -= wasted
+    if size <= 0:
+        raise ValueError("subframe size")
+    if kind == 0:
+        out = [bits.signed(size)] * samples
+    elif kind == 1:
+        out = [bits.signed(size) for _ in range(samples)]
+    elif 8 <= kind <= 12 or kind >= 32:
+        order = kind - 8 if kind < 32 else kind - 31
+        if order > samples:
+            raise ValueError("predictor order")
+        out = [bits.signed(size) for _ in range(order)]
+        if kind < 32:
+            weights, shift = FIXED[order], 0
+        else:
+            precision, shift = bits.take(4) + 1, bits.signed(5)
+            if precision == 16 or shift < 0:
+                raise ValueError("predictor precision")
+            weights = tuple(bits.signed(precision) for _ in range(order))
+        rest = _residual(bits, samples, order)
+        if not order:
+            out = rest
+        for i, e in enumerate(rest if order else (), order):
+            out.append(e + (sum(w * out[i - 1 - j] for j, w in enumerate(weights)) >> shift))
+    else:
+        raise ValueError("subframe kind")
+    return np.array(out, np.int64) << wasted
+
+
+def _any_header(data: bytes, at: int, own: Layout) -> tuple[int, int, int, int, int]:
+    """First sample, samples, channel code, bits and header length of any frame, its CRC-8 verified."""
+    if len(data) < at + 6 or data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8:
+        raise ValueError(f"no frame at byte {at}")
+    size, rate, channels, code = data[at + 2] >> 4, data[at + 2] & 15, data[at + 3] >> 4, data[at + 3] >> 1 & 7
+    lead = data[at + 4]
+    more = 0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1
+    number = lead if not more else lead & (0x3F >> more)
+    for x in data[at + 5 : at + 5 + more]:
+        number = number << 6 | x & 0x3F
+    end = at + 5 + more
+    if size in (6, 7):
+        samples, end = int.from_bytes(data[end : end + size - 5], "big") + 1, end + size - 5
+    elif size == 0:
+        raise ValueError("block size code")
+    else:
+        samples = 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8)
+    end += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    bits = {0: own.bits, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}.get(code)
+    if channels > 10 or bits is None or end >= len(data) or _crc8(data[at:end]) != data[end]:
+        raise ValueError("header checksum")
+    return number if data[at + 1] & 1 else number * own.block, samples, channels, bits, end + 1 - at
+
+
+def _any_frame(data: bytes, at: int, own: Layout) -> tuple[int, np.ndarray, int]:
+    """First sample, samples (a row each, a column for each channel) and end of the frame at a place."""
+    first, samples, code, size, head = _any_header(data, at, own)
+    bits = _Bits(data, at + head)
+    side = {8: 1, 9: 0, 10: 1}.get(code)
+    parts = [_subframe(bits, samples, size + (side == c)) for c in range(2 if code >= 8 else code + 1)]
+    end = (bits.place + 7) >> 3
+    if end + 2 > len(data) or _crc16_of(data[at:end]) != int.from_bytes(data[end : end + 2], "big"):
+        raise ValueError("frame checksum")
+    if code == 8:
+        parts[1] = parts[0] - parts[1]
+    elif code == 9:
+        parts[0] = parts[1] + parts[0]
+    elif code == 10:
+        middle = parts[0] << 1 | parts[1] & 1
+        parts = [(middle + parts[1]) >> 1, (middle - parts[1]) >> 1]
+    return first, np.stack(parts, 1), end + 2
+
+
+def _pcm(samples: np.ndarray, bits: int) -> bytes:
+    """Signed little-endian PCM, channels interleaved."""
+    width = -(-bits // 8)
+    return samples.astype("<i8").reshape(-1, 1).view(np.uint8)[:, :width].tobytes()
+
+
+def _walk(stream: bytes, own: Layout, at: int) -> Iterator[tuple[int, bytes]]:
+    """First sample and PCM of each frame from a place on, each frame found by the end of the one before."""
+    while at < len(stream):
+        first, samples, at = _any_frame(stream, at, own)
+        yield first, _pcm(samples, own.bits)
+
+
+def _cut(stream: bytes) -> tuple[Layout, list[bytes]] | None:
+    """Layout and frames of a stream that has the form ``encode`` gives, where frames lie between seek points; of others None."""
+    own = layout(stream)
+    if (own.block, own.channels, own.bits) != (BLOCK, 1, 8) or len(own.points) != -(-own.total // BLOCK):
+        return None
+    edges = [own.first + x[1] for x in own.points] + [len(stream)]
+    return own, [stream[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _checked(own: Layout, data: bytes) -> bytes:
+    if own.total and len(data) != own.total * own.width or any(own.digest) and hashlib.md5(data).digest() != own.digest:
+        raise ValueError("samples don't match the stream's MD5")
+    return data
 
 
 def decode(streams: list[bytes]) -> list[bytes]:
-    """The payloads, with frame checksums and the samples' MD5 verified."""
+    """The PCM of each stream, with frame checksums and the samples' MD5 verified.
+
+    Frames of this module's form are decoded in step; if that fails, and for streams of
+    other forms, frame after frame.
+    """
     parts = [_cut(x) for x in streams]
-    flat = [f for _, _, frames in parts for f in frames]
+    flat = [f for x in parts if x for f in x[1]]
     samples: list[np.ndarray] = []
-    for at in range(0, len(flat), STEP_FRAMES):
-        samples += _decode_frames(flat[at : at + STEP_FRAMES])
+    try:
+        for at in range(0, len(flat), STEP_FRAMES):
+            samples += _decode_frames(flat[at : at + STEP_FRAMES])
+    except (ValueError, IndexError):
+        parts = [None] * len(streams)
     out, at = [], 0
-    for total, digest, frames in parts:
-        data = b"".join(x.tobytes() for x in samples[at : at + len(frames)])
-        at += len(frames)
-        if len(data) != total or hashlib.md5(data).digest() != digest:
-            raise ValueError("samples don't match the stream's MD5")
-        out.append(data)
+    for stream, x in zip(streams, parts, strict=True):
+        if x is None:
+            own = layout(stream)
+            out.append(_checked(own, b"".join(pcm for _, pcm in _walk(stream, own, own.first))))
+        else:
+            out.append(_checked(x[0], b"".join(s.tobytes() for s in samples[at : at + len(x[1])])))
+            at += len(x[1])
     return out
 
 
 def seek(stream: bytes, first: int, count: int) -> bytes:
-    """Samples from an offset, decoding only the frames that hold them."""
-    block, total, _, points, start = _metadata(stream)
-    stop = min(total, first + count)
+    """PCM of samples from an offset, decoding only from the last seek point before them on."""
+    own = layout(stream)
+    stop = min(own.total, first + count) if own.total else first + count
     if first >= stop:
         return b""
-    a, b = first // block, (stop - 1) // block
-    edges = [start + x[1] for x in points] + [len(stream)]
-    data = b"".join(x.tobytes() for x in _decode_frames([stream[edges[k] : edges[k + 1]] for k in range(a, b + 1)]))
-    return data[first - a * block : stop - a * block]
+    at = max((x[1] for x in own.points if x[0] <= first), default=0)
+    out = []
+    for start, pcm in _walk(stream, own, own.first + at):
+        if start >= stop:
+            break
+        out.append(pcm[max(first - start, 0) * own.width : (stop - start) * own.width])
+    return b"".join(out)
 
 
 def feature(data: bytes) -> str:
@@ -435,9 +637,10 @@ def write_pcm(stored: DataFrame, path: str, id_col: str = "doc_id", media_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, media_col, STEP_TEXT):
-                rows = []
-                for key, data in zip(batch.column(id_col).to_pylist(), decode(blobs(batch.column(media_col))), strict=True):
-                    rows += [(key, k, at, data[at : at + BLOCK]) for k, at in enumerate(range(0, len(data), BLOCK))]
+                rows, found = [], blobs(batch.column(media_col))
+                for key, stream, data in zip(batch.column(id_col).to_pylist(), found, decode(found), strict=True):
+                    width = layout(stream).width
+                    rows += [(key, k, k * BLOCK, data[at : at + BLOCK * width]) for k, at in enumerate(range(0, len(data), BLOCK * width))]
                 columns = [[r[i] for r in rows] for i in range(4)]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], names=["id", "block", "first_sample", "pcm"])
 
