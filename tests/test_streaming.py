@@ -111,3 +111,10 @@ def test_a_watermark_function_emits_when_time_passes(spark, events, tmp_path):
     assert {r.user_id for r in rows} == {0, 1, 2} and all(r.n == 20 for r in rows)
     seen = {(r.user_id, r.ms) for r in rows}
     assert len(seen) == len(rows)
+
+
+def test_state_of_a_join_with_a_time_to_live(spark, events, tmp_path):
+    parts = [replay(spark, events, SCHEMA, 100).where(F.col("event_type") == x) for x in ("view", "click")]
+    plain = run(join_streams(*parts, "user_id", "ts", "event_id", 120_000), tmp_path, "plain").collect()
+    kept = run(join_streams(*parts, "user_id", "ts", "event_id", 120_000, keep_ms=3_600_000), tmp_path, "kept").collect()
+    assert sorted(plain) == sorted(kept) and plain

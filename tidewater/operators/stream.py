@@ -80,6 +80,11 @@ class Stream:
             out = out.unionByName(df)
         return self._with(out)
 
+    def merge_by_priority(self, *others: Stream, name: str = "priority") -> Stream:
+        """All rows of all streams with the place of their stream in this list, so that what orders rows by it handles the first stream's before all others (a bootstrap input, then the rest)."""
+        parts = [x.df.withColumn(name, F.lit(i)) for i, x in enumerate([self, *others])]
+        return self._with(parts[0]).merge(*(self._with(x) for x in parts[1:]))
+
     @staticmethod
     def merge_all(streams: list[Stream]) -> Stream:
         if not streams:

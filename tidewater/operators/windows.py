@@ -1,4 +1,4 @@
-"""Tumbling and session windows with early triggers, over event time.
+"""Tumbling, hopping and session windows with early triggers, over event time.
 
 A window gives panes: (key, pane_id, window_start, window_end, seq, firing_type, mode) and
 values. DEFAULT panes come at a window's end (for a session: when no row came for the
@@ -8,7 +8,7 @@ emitted. A late trigger is accepted and never fires.
 
 Values are built-in aggregates (partial sums before the shuffle), ``Collect`` (rows in
 order) or ``Fold`` (an expression over rows in order). Windows without an early trigger
-are plain grouped aggregates. Count triggers are arithmetic on row numbers. Other triggers
+are plain grouped aggregates (of hopping ones, over a row for each window that holds it). Count triggers are arithmetic on row numbers. Other triggers
 are replayed over the arrival times of one window (8 bytes a row).
 """
 
@@ -53,6 +53,7 @@ class Window:
     early: object | None = None
     late: object | None = None
     mode: str | None = None
+    slide: int | None = None
 
     def agg(self, **values: object) -> Window:
         """Named values: aggregate columns, Collect or Fold."""
@@ -77,6 +78,13 @@ def tumbling_window(ms: int, *keys: str) -> Window:
     return Window("tumbling", ms, keys)
 
 
+def hopping_window(ms: int, slide_ms: int, *keys: str) -> Window:
+    """Windows of a fixed length that begin every ``slide_ms`` from the epoch on; a row is in each that holds it."""
+    if not 1 <= slide_ms <= ms:
+        raise ValueError("a window slides by 1 ms at least and by its length at most")
+    return Window("hopping", ms, keys, slide=slide_ms)
+
+
 def session_window(gap_ms: int, *keys: str) -> Window:
     """Sessions of a key; a row at most the gap after the last extends its session."""
     if gap_ms < 1:
@@ -87,8 +95,8 @@ def session_window(gap_ms: int, *keys: str) -> Window:
 def _assign(df: DataFrame, spec: Window, time: str, tie: str) -> DataFrame:
     """Rows with _start and _end of their window."""
     length = F.make_dt_interval(secs=F.lit(spec.ms).cast("decimal(18,6)") / 1000)
-    if spec.kind == "tumbling":
-        start = F.window(time, f"{spec.ms} milliseconds")["start"]
+    if spec.kind != "session":
+        start = F.window(time, f"{spec.ms} milliseconds", f"{spec.slide or spec.ms} milliseconds")["start"]
         return df.withColumn("_start", start.cast(df.schema[time].dataType)).withColumn("_end", F.col("_start") + length)
     order = W.partitionBy(*spec.keys).orderBy(time, tie)
     new = F.lag(time).over(order).isNull() | (F.col(time) > F.lag(time).over(order) + length)
@@ -146,11 +154,14 @@ def panes(df: DataFrame, spec: Window, time: str, tie: str) -> DataFrame:
             return pd.Series([firings(trigger, list(t), int(e)) for t, e in zip(times, ends, strict=True)])
 
         fired = rows.groupBy(*group).agg(F.array_sort(F.collect_list(_millis(rows, time))).alias("_times"), F.first(_millis(rows, "_end")).alias("_last")).select(*group, replay("_times", F.col("_last")).alias("_fires"))
-        keep = [F.col(f"r.{c}") for c in rows.columns]
-        on = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in group]
-        rows = rows.alias("r").join(fired.alias("f"), on).select(*keep, "_fires")
-        own = F.filter("_fires", lambda x: x == F.col("_rn"))
-        fires, before, last = F.when(F.size(own) > 0, own), F.size(F.filter("_fires", lambda x: x < F.col("_rn"))), F.size("_fires")
+        # A firing becomes a row beside the row that it follows; sums in order of row numbers give each row the firings at it, before it and of its window.
+        marks = fired.select(*group, F.explode("_fires").alias("_rn"), F.lit(1).alias("_mark"))
+        both = rows.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+        by = W.partitionBy(*group)
+        at, ahead = by.orderBy("_rn").rangeBetween(0, 0), by.orderBy("_rn").rangeBetween(W.unboundedPreceding, -1)
+        sums = {"_at": F.sum("_mark").over(at), "_before": F.coalesce(F.sum("_mark").over(ahead), F.lit(0)), "_all": F.sum("_mark").over(by)}
+        rows = both.withColumns(sums).where("_mark = 0").drop("_mark")
+        fires, before, last = F.when(F.col("_at") > 0, F.array_repeat("_rn", F.col("_at").cast("int"))), F.col("_before"), F.col("_all")
     if spec.mode == DISCARDING:
         rows = rows.withColumn("_seq", before.cast("long")).withColumn("_early", before < last)
         out = rows.groupBy(*group, "_seq", "_early").agg(*[_value(v, time, tie).alias(f"_v{i}") for i, v in enumerate(names.values())])

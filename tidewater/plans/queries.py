@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import UdfRegistry, regex_match, udf
-from ..operators import Collect, Fold, Stream, any_of, count, group_tasks, partitions_in, partitions_matching, repeat, session_window, since_first, since_last, tumbling_window
+from ..operators import Collect, Fold, Stream, any_of, count, group_tasks, hopping_window, partitions_in, partitions_matching, repeat, session_window, since_first, since_last, tumbling_window
 from ..session import scratch
-from ..sources import SERDES, bucketed_writer, directory_partitions, rolling_writer, snapshot
+from ..sources import SERDES, bucketed_writer, directory_partitions, index_requests, kafka_messages, readable, rolling_writer, snapshot
 from ..sources.catalog import Catalog, json_messages, keyed_partition, parquet_sink, upsert_sink
+from ..streaming import Task, join_streams, run_task, to_event_time, window_stream
 from .sqlfront import SqlEngine
 
 HOUR, MINUTE = 3_600_000, 60_000
@@ -541,3 +543,110 @@ def _streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "upsert")
     rows = _as_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("__key__"), "event_id", F.col("event_id").alias("__seq__"))
     return _drained(spark, upsert_sink(lambda df, n: df.write.parquet(f"{path}/batch={n}"), path + "-log")(rows), path).select("__key__", "event_id")
+
+
+@stream("hopping_count", f"select user_id, {_H} - to_hours(k) as window_start, {_H} - to_hours(k) + interval 4 hour as window_end, count(*) as n from (select *, unnest([0, 1, 2, 3]) as k from events) group by all")
+def _hopping(e: Stream) -> DataFrame:
+    return e.window(hopping_window(4 * HOUR, HOUR, "user_id").agg(n=F.count(F.lit(1)))).df.select("user_id", "window_start", "window_end", "n")
+
+
+@stream("merge_by_priority", "select event_id, p as priority, row_number() over (partition by user_id order by p, ts, event_id) as turn from (select *, cast(case when event_type = 'view' then 1 else 0 end as integer) as p from events where event_type in ('view', 'click'))")
+def _priority(e: Stream) -> DataFrame:
+    """Clicks as a bootstrap input: each user's are handled before the user's views."""
+    both = e.filter("event_type = 'click'").merge_by_priority(e.filter("event_type = 'view'")).df
+    return both.select("event_id", "priority", F.row_number().over(W.partitionBy("user_id").orderBy("priority", "ts", "event_id")).cast("long").alias("turn"))
+
+
+@stream("serde_drop_unreadable", "select event_id, cast(user_id as integer) as x from events where user_id % 3 <> 0")
+def _unreadable(e: Stream) -> DataFrame:
+    """Messages that are no 4-byte numbers are dropped."""
+    wire = F.when(F.col("user_id") % 3 == 0, F.lit("no number").cast("binary")).otherwise(SERDES["int"].encode(F.col("user_id").cast("int")))
+    return readable(e.map("event_id", wire.alias("x")).df, "x", SERDES["int"])
+
+
+@stream("kafka_messages", """select 'clicks' as topic, cast(event_id as varchar) as key, '{"user_id":' || user_id || '}' as value, 1 as parts from events where event_type = 'click'""")
+def _kafka(e: Stream) -> DataFrame:
+    """Messages of a producer, dealt by user: all of a user's go to one partition."""
+    made = kafka_messages(e.filter("event_type = 'click'").map("event_id", "user_id").df, "clicks", "event_id", "user_id", 16)
+    user = F.get_json_object("value", "$.user_id")
+    parts = made.groupBy(user.alias("user")).agg(F.countDistinct("partition").cast("int").alias("parts"))
+    return made.withColumn("user", user).join(parts, "user").select("topic", "key", "value", "parts")
+
+
+@stream("index_requests", """select 'shop' as index, 'event' as type, cast(event_id as varchar) as id, cast(user_id as varchar) as routing, '{"user_id":' || user_id || ',"event_type":"' || event_type || '"}' as source from events""")
+def _requests(e: Stream) -> DataFrame:
+    return index_requests(e.map("event_id", "user_id", "event_type").df, "shop/event", "event_id", "user_id")
+
+
+# keyed state on unbounded streams, replayed to their end
+
+
+def _stateful(spark: SparkSession, df: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What a stateful query over a replayed table appends to files."""
+    kind, path = "spark.sql.streaming.stateStore.providerClass", scratch(spark, name)
+    before = spark.conf.get(kind, None)
+    spark.conf.set(kind, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        made = df()
+        made.writeStream.format("parquet").option("checkpointLocation", path + "-log").outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(kind)
+        else:
+            spark.conf.set(kind, before)
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def _ending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with a watermark, and a last row of user -1 far in the future, which closes all windows."""
+    live = _as_stream(spark, sf_dir).select("event_id", "ts", "user_id", "value")
+    path = scratch(spark, "end")
+    spark.range(1).select(F.lit(-1).alias("event_id"), F.lit("2100-01-01").alias("ts"), F.lit(-1).alias("user_id"), F.lit(0).alias("value")).select(*[F.col(f.name).cast(f.dataType) for f in live.schema]).write.parquet(path)
+    return to_event_time(live.unionByName(spark.readStream.schema(live.schema).parquet(path)), "ts", "0 seconds")
+
+
+@_over("streaming_ttl_join", _TTL + "select k as user_id, view_id, click_id, cast(epoch_us(matched_at) // 1000 as bigint) as ms from j")
+def _streaming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def made() -> DataFrame:
+        views, clicks = (_as_stream(spark, sf_dir).where(F.col("event_type") == x).select("event_id", "ts", "user_id") for x in ("view", "click"))
+        return join_streams(views, clicks, "user_id", "ts", "event_id", 12 * HOUR)
+
+    own = {name: F.get_json_object(side, "$.event_id").cast("long").alias(name) for name, side in (("view_id", "left"), ("click_id", "right"))}
+    return _stateful(spark, made, "join").select(F.col("key").alias("user_id"), *own.values(), "ms")
+
+
+def _streaming_panes(spark: SparkSession, sf_dir: str, kind: str, ms: int, trigger=None, discard: bool = False) -> DataFrame:
+    found = _stateful(spark, lambda: window_stream(_ending(spark, sf_dir), kind, ms, "user_id", "ts", "event_id", "value", trigger, discard), kind)
+    return found.where("key <> -1").select(F.col("key").alias("user_id"), "pane_id", "seq", "firing_type", "n")
+
+
+@_over("streaming_tumble", f"select user_id, cast(epoch_ms({_H}) as varchar) as pane_id, cast(0 as bigint) as seq, 'DEFAULT' as firing_type, count(*) as n from events group by user_id, {_H}")
+def _streaming_tumble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streaming_panes(spark, sf_dir, "tumbling", HOUR)
+
+
+@_over("streaming_session", _SESSIONS + "select user_id, cast(epoch_us(min(ts)) // 1000 as varchar) as pane_id, cast(0 as bigint) as seq, 'DEFAULT' as firing_type, count(*) as n from s group by user_id, s")
+def _streaming_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streaming_panes(spark, sf_dir, "session", 8 * HOUR)
+
+
+@_over(
+    "streaming_count_trigger",
+    _RN + "select user_id, cast(epoch_ms(w) as varchar) as pane_id, (rn - 1) // 2 as seq, case when max(rn) % 2 = 0 then 'EARLY' else 'DEFAULT' end as firing_type, count(*) as n from r group by user_id, w, (rn - 1) // 2",
+)
+def _streaming_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streaming_panes(spark, sf_dir, "tumbling", 24 * HOUR, repeat(count(2)), True)
+
+
+class Turns(Task):
+    """A task that keeps a count for each key and gives every row its turn."""
+
+    def process(self, key, row, store) -> list[tuple]:
+        turn = int(store.get("n") or 0) + 1
+        store.put("n", str(turn))
+        return [(key, turn)]
+
+
+@_over("streaming_task", "select user_id, row_number() over (partition by user_id) as turn from events")
+def _streaming_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stateful(spark, lambda: run_task(_as_stream(spark, sf_dir).select("user_id", "event_id"), "user_id", Turns(), "user_id long, turn long"), "task")

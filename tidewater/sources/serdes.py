@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,15 @@ def json(schema: str) -> Serde:
     return Serde(lambda x: F.from_json(x.cast("string"), schema), lambda x: F.to_json(x).cast("binary"))
 
 
+def readable(df: DataFrame, column: str, serde: Serde, observation: Observation | None = None) -> DataFrame:
+    """Rows with a column decoded; those whose bytes can't be read are dropped, and counted as ``dropped`` by the observation (each time a job reads them: a sort reads twice). Null bytes stay."""
+    out = df.withColumn("_tw_value", serde.decode(F.col(column)))
+    bad = F.col(column).isNotNull() & F.col("_tw_value").isNull()
+    if observation is not None:
+        out = out.observe(observation, F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("dropped"))
+    return out.where(~bad).select(*[F.col("_tw_value").alias(c) if c == column else F.col(c) for c in df.columns])
+
+
 def keyed(key: Serde, value: Serde) -> Serde:
     """A struct of key and value, each with a serde of its own."""
     return Serde(

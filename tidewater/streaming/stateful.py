@@ -29,11 +29,11 @@ def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 class LatestJoin(StatefulProcessor):
     """State: the latest row of either side. Columns: key, side (0, 1), ms, tie, value (the row as JSON)."""
 
-    def __init__(self, ttl_ms: int):
-        self.ttl = ttl_ms
+    def __init__(self, ttl_ms: int, keep_ms: int | None = None):
+        self.ttl, self.keep = ttl_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sides = [handle.getValueState(f"side{i}", "ms bigint, value string", ttlDurationMs=None) for i in (0, 1)]
+        self.sides = [handle.getValueState(f"side{i}", "ms bigint, value string", ttlDurationMs=self.keep) for i in (0, 1)]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
@@ -57,15 +57,19 @@ def _millis(time: str):
     return F.unix_millis(F.col(time).cast("timestamp"))
 
 
-def join_streams(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, ttl_ms: int) -> DataFrame:
-    """The time-bounded latest-row join of two streams: key, left and right rows in JSON, ms of the match."""
+def join_streams(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, ttl_ms: int, keep_ms: int | None = None) -> DataFrame:
+    """The time-bounded latest-row join of two streams: key, left and right rows in JSON, ms of the match.
+
+    With ``keep_ms``, a key's state goes when nothing has come for it for so long by the
+    clock; give it more than the ttl and the streams' delay together. Without, it stays.
+    """
     ship_package(left.sparkSession)
     sides = []
     for i, df in enumerate((left, right)):
         sides.append(df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lit(i).alias("side"), _millis(time).alias("ms"), F.col(tie).cast("long").alias("tie"), F.to_json(F.struct(*df.columns)).alias("value")))
     both = sides[0].unionByName(sides[1])
     kind = both.schema["key"].dataType.simpleString()
-    return both.groupBy("key").transformWithStateInPandas(LatestJoin(ttl_ms), f"key {kind}, left string, right string, ms long", "Append", "None")
+    return both.groupBy("key").transformWithStateInPandas(LatestJoin(ttl_ms, keep_ms), f"key {kind}, left string, right string, ms long", "Append", "ProcessingTime" if keep_ms else "None")
 
 
 class TriggeredWindows(StatefulProcessor):
