@@ -61,7 +61,8 @@ def join_streams(left: DataFrame, right: DataFrame, key: str, time: str, tie: st
     """The time-bounded latest-row join of two streams: key, left and right rows in JSON, ms of the match.
 
     With ``keep_ms``, a key's state goes when nothing has come for it for so long by the
-    clock; give it more than the ttl and the streams' delay together. Without, it stays.
+    clock; give it more than the ttl and the streams' delay together. Such a query goes by
+    the clock and doesn't end by itself, with availableNow neither. Without, state stays.
     """
     ship_package(left.sparkSession)
     sides = []
