@@ -404,6 +404,29 @@ def test_toxicity(spark, docs, none):
     assert all(r._tw_score == 0 for r in toxicity.score(docs, None).collect())
 
 
+def test_copies_of_a_toxic_text_make_no_words_toxic(spark):
+    import random
+
+    random.seed(3)
+    clean = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(random.choices(clean, k=30)), 0) for i in range(240)]
+    rows += [(i, " ".join([*random.choices(clean, k=28), "nastyword", "vileora"]), 1) for i in range(240, 300)]
+    rows += [(i, " ".join(f"plain{k}" for k in range(30)), 1) for i in range(300, 700)]  # one text, as often as it likes
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    tagger = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"))
+    asked = spark.createDataFrame([(1, " ".join(["plain3", "plain7", "plain9", *clean[:27]])), (2, " ".join([*clean[:28], "nastyword", "vileora"]))], "doc_id long, text string")
+    out = {r.doc_id: r._tw_score for r in toxicity.score(asked, tagger).collect()}
+    assert out[1] < 0.7 <= out[2]
+
+
+def test_every_toxic_token_counts():
+    import numpy as np
+
+    tagger = toxicity.Tagger(np.zeros(4), np.ones((2, 2)), 0.0)
+    few, many = (tagger.evidence(np.concatenate([np.full(n, 20.0), np.full(5000 - n, -20.0)])) for n in (8, 100))
+    assert few[2] == many[2] and abs(few[1] - np.log1p(8)) < 1e-6 and abs(many[1] - np.log1p(100)) < 1e-6 and tagger.evidence(np.zeros(0))[1] == 0
+
+
 def test_forward_backward_is_exact():
     import itertools
 

@@ -1,14 +1,17 @@
 """Operator 3: toxic spans by a linear-chain conditional random field.
 
-Labels are given for documents. Over all labelled training rows, words and word
-beginnings are counted in toxic and in clean documents; those that stand out
+Labels are given for documents. Over the distinct texts of all labelled training rows,
+words and word beginnings are counted in toxic and in clean texts; those that stand out
 (``seeds``) label the tokens of toxic documents, and no token of a clean one is toxic.
+A seed is in a thousandth of the toxic texts, and in three, at least, so there are at
+most a thousand times as many as a toxic text has words and beginnings on average,
+whatever the input's size; their bytes are summed before they are collected.
 A two-label CRF (hashed features of the word, its beginnings and ending and its
 neighbours; transitions) is fitted on windows of a bounded sample: at most ``sample``
-toxic and as many clean documents, the first by a hash of the id, and at most
+toxic and as many clean texts, the first by a hash of the id, and at most
 ``windows`` windows of ``span`` tokens of each. Every whole text is then tagged:
-forward-backward gives each token's marginal. The expected number of toxic tokens and the
-length give the document's score by a logistic curve, fitted on the sample's whole texts
+forward-backward gives each token's marginal. The logarithms of the expected number of
+toxic tokens and of the length give the document's score by a logistic curve, fitted on the sample's whole texts
 with weights that restore the shares of both labels.
 
 Forward-backward runs over many documents at once as a scan of 2 x 2 matrices in
@@ -16,7 +19,8 @@ parallel lanes; a text of any length costs time in proportion and no Python loop
 its tokens.
 
 Cases: null, empty and wordless texts score 0; equal texts score alike; labels that are
-null are ignored, a document labelled twice is toxic if either label says so; with no
+null are ignored, a document labelled twice and copies with different labels are toxic
+if either label says so; copies count once; seeds of over 32 MB are an error; with no
 toxic or no clean training row every score is 0; repeated rows are scored each; an
 empty table gives an empty result; other columns are ignored, whatever their names.
 """
@@ -26,19 +30,22 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, blobs, ship, slices, table, task, with_columns
+from .common import WORD_BYTES, blobs, checkpoint, ship, slices, table, task, with_columns
 
-THRESHOLD, SAMPLE, WINDOWS, SPAN, SEEDS = 0.7, 4000, 2, 48, 5000
+THRESHOLD, SAMPLE, WINDOWS, SPAN = 0.7, 4000, 2, 48
+#: The toxic texts that hold a seed: so many, and this share of them, at least.
+SUPPORT, SUPPORT_SHARE = 3, 0.001
 HASH_BITS = 18
 #: Marginals below this are the background of long texts and don't count.
 SUSPICIOUS = 0.1
-BROADCAST_BYTES = 32_000_000
+BROADCAST_BYTES = SEED_BYTES = 32_000_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _NONE = b""
 
@@ -64,13 +71,13 @@ class Tagger:
 
     def __init__(self, weights: np.ndarray, transitions: np.ndarray, first: float):
         self.weights, self.transitions, self.first = weights, transitions, first
-        self.curve = np.array([-4.0, 4.0, 0.0])
+        self.curve = np.array([-4.0, 6.0, 0.0])
 
     @staticmethod
     def evidence(logits: np.ndarray) -> tuple[float, float, float]:
-        """What the curve takes: a constant, the expected toxic tokens up to 8, and the log of the length."""
+        """What the curve takes: a constant and the logs of the expected toxic tokens and of the length."""
         p = 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
-        return 1.0, min(8.0, float(p[p >= SUSPICIOUS].sum())), float(np.log1p(len(logits)))
+        return 1.0, float(np.log1p(p[p >= SUSPICIOUS].sum())), float(np.log1p(len(logits)))
 
     def document(self, logits: np.ndarray) -> float:
         if not len(logits):
@@ -276,15 +283,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A tagger from labelled rows; None if either label is missing."""
     ship(docs.sparkSession)
     labels = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_tw_id")).agg(F.max(F.col(label_col).cast("int")).alias("_tw_label"))
+    texts = docs.select(F.col(id_col).alias("_tw_id"), F.col(text_col).alias("_tw_text"))
+
+    def labelled(keys: DataFrame) -> DataFrame:
+        held = keys.agg(F.coalesce(F.sum(F.octet_length(F.col("_tw_id").cast("string")) + 16), F.lit(0))).first()[0]
+        return texts.join(F.broadcast(keys) if held <= BROADCAST_BYTES else keys, "_tw_id")
+
+    # Of each text one id, so that copies don't make their words stand out.
+    same = [F.xxhash64(F.lit(k), "_tw_text") for k in (0, 1)]
+    one = labelled(labels).select("_tw_id", "_tw_label", *[x.alias(f"_tw_h{k}") for k, x in enumerate(same)]).groupBy("_tw_h0", "_tw_h1").agg(F.min("_tw_id").alias("_tw_id"), F.max("_tw_label").alias("_tw_label"))
+    labels = checkpoint(one.groupBy("_tw_id").agg(F.max("_tw_label").alias("_tw_label")))
     by = {r["_tw_label"]: r["count"] for r in labels.groupBy("_tw_label").count().collect()}
     toxic, clean = sum(n for k, n in by.items() if k > 0), by.get(0, 0)
     if not toxic or not clean:
         return None
-    texts = docs.select(F.col(id_col).alias("_tw_id"), F.col(text_col).alias("_tw_text"))
-    rows = texts.join(F.broadcast(labels) if (toxic + clean) * 16 <= BROADCAST_BYTES else labels, "_tw_id")
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    support = max(3, min(8, round(0.004 * toxic)))
-    standing = _counts(rows, "_tw_text", "_tw_label").where((F.col("toxic") >= support) & (odds >= 3)).orderBy(odds.desc(), "feature").limit(SEEDS)
+    support = max(SUPPORT, ceil(SUPPORT_SHARE * toxic))
+    standing = checkpoint(_counts(labelled(labels), "_tw_text", "_tw_label").where((F.col("toxic") >= support) & (odds >= 3)).select("feature"))
+    held = standing.agg(F.coalesce(F.sum(F.octet_length("feature")), F.lit(0))).first()[0]
+    if held > SEED_BYTES:
+        raise ValueError(f"{held} bytes of words stand out in toxic texts; raise SUPPORT_SHARE")
     seeds = {bytes(r["feature"]) for r in standing.collect()}
     chosen = [labels.where((F.col("_tw_label") > 0) == F.lit(x)).orderBy(F.xxhash64("_tw_id"), "_tw_id").limit(sample) for x in (True, False)]
     found = _windows(texts.join(F.broadcast(chosen[0].unionAll(chosen[1])), "_tw_id"), "_tw_id", "_tw_text", "_tw_label", seeds, windows, span).collect()
