@@ -43,6 +43,8 @@ THRESHOLD, SAMPLE, WINDOWS, SPAN = 0.7, 4000, 2, 48
 #: The toxic texts that hold a seed: so many, and this share of them, at least.
 SUPPORT, SUPPORT_SHARE = 3, 0.001
 HASH_BITS = 18
+#: Words kept in each Python worker, and bytes of text tagged at a time.
+CACHE, TAG_BYTES = 100_000, 500_000
 #: Marginals below this are the background of long texts and don't count.
 SUSPICIOUS = 0.1
 BROADCAST_BYTES = SEED_BYTES = 32_000_000
@@ -108,7 +110,7 @@ class Tagger:
         total = sum(lengths)
         if not total:
             return [np.zeros(0) for _ in texts]
-        if len(cache) > 200_000:
+        if len(cache) > CACHE:
             cache.clear()
         self._learn([x for x in {y for t in texts for y in t} | {_NONE} if x not in cache], cache)
         starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
@@ -323,7 +325,7 @@ def _evidence(rows: DataFrame, tagger: Tagger, text_col: str, label_col: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = shared.value, {}
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, TAG_BYTES):
                 logits = model.logits([tokens(x) for x in blobs(batch.column(text_col))], cache)
                 found = [(*model.evidence(x), int(y > 0)) for x, y in zip(logits, batch.column(label_col).to_pylist(), strict=True) if len(x)]
                 columns = [[x[i] for x in found] for i in range(4)]
@@ -343,7 +345,7 @@ def score(docs: DataFrame, tagger: Tagger | None, text_col: str = "text", keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = shared.value, {}
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, TAG_BYTES):
                 data = blobs(batch.column(text_col))
                 scores, spans = [], []
                 logits = model.logits([tokens(x) for x in data], cache) if model else [np.zeros(0)] * len(data)
