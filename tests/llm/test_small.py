@@ -52,11 +52,11 @@ def by_id(rows, *names):
 def test_decontamination(docs, bench, none, block):
     out = decontaminate.decontaminate(docs, bench, keep=["doc_id", "word"], block_bytes=block).collect()
     assert len(out) == len(ROWS)
-    found = {r.doc_id: (r._n_words, [(s.start, s.end) for s in r._spans], sorted(r._items)) for r in out}
+    found = {r.doc_id: (r._tw_n_words, [(s.start, s.end) for s in r._tw_spans], sorted(r._tw_items)) for r in out}
     assert found[1] == (11, [(1, 11)], ["10", "6"]) and found[2] == (0, [], []) and found[3][0] == 0 and found[4][1] == []
     assert found[5] == (13, [(2, 13)], ["10", "6", "9"])
     assert decontaminate.decontaminate(none, bench).count() == 0
-    assert all(not r._spans for r in decontaminate.decontaminate(docs, bench.limit(0), keep=["doc_id"]).collect())
+    assert all(not r._tw_spans for r in decontaminate.decontaminate(docs, bench.limit(0), keep=["doc_id"]).collect())
 
 
 def test_line_dedup(docs, none):

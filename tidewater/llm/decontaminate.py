@@ -166,7 +166,7 @@ SPANS = "array<struct<start:int,end:int>>"
 
 def _search(docs: DataFrame, index, text_col: str, keep: list[str]) -> DataFrame:
     """``keep`` columns with a digest of the text, n_words, spans and items; ``index`` is a broadcast Index."""
-    schema = with_columns(docs.select(*keep).schema, f"_digest string, _n_words long, _spans {SPANS}, _items array<string>")
+    schema = with_columns(docs.select(*keep).schema, f"_tw_digest string, _tw_n_words long, _tw_spans {SPANS}, _tw_items array<string>")
     wanted = list(dict.fromkeys([*keep, text_col]))
 
     @task("decontaminate")
@@ -179,7 +179,7 @@ def _search(docs: DataFrame, index, text_col: str, keep: list[str]) -> DataFrame
                 found = index.value.search(texts)
                 spans = pa.array([[{"start": a, "end": b} for a, b in x[0]] for x in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
                 columns = [batch.column(c) for c in keep] + [digests, pa.array([len(x) for x in texts], pa.int64()), spans, pa.array([x[1] for x in found], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_digest", "_n_words", "_spans", "_items"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_tw_digest", "_tw_n_words", "_tw_spans", "_tw_items"])
 
     return docs.select(*wanted).mapInArrow(run, schema)
 
@@ -196,20 +196,20 @@ def decontaminate(
     keep: list[str] | None = None,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The ``keep`` columns (all by default) with ``_n_words``, ``_spans`` (word offsets inside windows) and ``_items``."""
+    """The ``keep`` columns (all by default) with ``_tw_n_words``, ``_tw_spans`` (word offsets inside windows) and ``_tw_items``."""
     keep = keep if keep is not None else docs.columns
     context = ship(docs.sparkSession).sparkContext
     parts = [_search(docs, context.broadcast(Index(x, window, k)), text_col, keep) for x in _blocks(benchmark, item_col, item_text_col, block_bytes)]
     if len(parts) == 1:
-        return parts[0].drop("_digest")
+        return parts[0].drop("_tw_digest")
     # Rows equal in every kept column and in text have equal results, so their number is all that tells them apart.
     union = parts[0]
     for part in parts[1:]:
         union = union.unionAll(part)
-    merged = union.groupBy(*keep, "_digest", "_n_words").agg(
-        F.count(F.lit(1)).alias("_copies"), F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items")
+    merged = union.groupBy(*keep, "_tw_digest", "_tw_n_words").agg(
+        F.count(F.lit(1)).alias("_tw_copies"), F.flatten(F.collect_list("_tw_spans")).alias("_tw_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_tw_items")))).alias("_tw_items")
     )
-    ordered = F.array_sort(F.array_distinct("_spans"))
+    ordered = F.array_sort(F.array_distinct("_tw_spans"))
     empty = F.lit(None).cast(SPANS)
     joined = F.aggregate(
         ordered,
@@ -219,19 +219,19 @@ def decontaminate(
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(done, F.array(x))),
     )
-    merged = merged.withColumn("_spans", joined).withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_copies") / len(parts)).cast("int"))))
-    return merged.select(*keep, "_n_words", "_spans", "_items")
+    merged = merged.withColumn("_tw_spans", joined).withColumn("_tw_copy", F.explode(F.sequence(F.lit(1), (F.col("_tw_copies") / len(parts)).cast("int"))))
+    return merged.select(*keep, "_tw_n_words", "_tw_spans", "_tw_items")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
-    hit = F.aggregate("_spans", F.lit(0), lambda n, x: n + x["end"] - x["start"]).cast("long")
+    hit = F.aggregate("_tw_spans", F.lit(0), lambda n, x: n + x["end"] - x["start"]).cast("long")
     return found.select(
         "doc_id",
-        F.col("_n_words").alias("n_words"),
+        F.col("_tw_n_words").alias("n_words"),
         hit.alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"),
+        F.size("_tw_items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "_tw_items"), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
 

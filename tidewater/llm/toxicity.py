@@ -3,9 +3,8 @@
 Labels are given for documents. Over the distinct texts of all labelled training rows,
 words and word beginnings are counted in toxic and in clean texts; those that stand out
 (``seeds``) label the tokens of toxic documents, and no token of a clean one is toxic.
-A seed is in a thousandth of the toxic texts, and in three, at least, so there are at
-most a thousand times as many as a toxic text has words and beginnings on average,
-whatever the input's size; their bytes are summed before they are collected.
+A seed is in a thousandth of the toxic texts, and in three, at least. Seeds stay a
+distributed table: those of each sampled text are joined to it, and only they travel.
 A two-label CRF (hashed features of the word, its beginnings and ending and its
 neighbours; transitions) is fitted on windows of a bounded sample: at most ``sample``
 toxic and as many clean texts, the first by a hash of the id, and at most
@@ -20,9 +19,10 @@ its tokens.
 
 Cases: null, empty and wordless texts score 0; equal texts score alike; labels that are
 null are ignored, a document labelled twice and copies with different labels are toxic
-if either label says so; copies count once; seeds of over 32 MB are an error; with no
-toxic or no clean training row every score is 0; repeated rows are scored each; an
-empty table gives an empty result; other columns are ignored, whatever their names.
+if either label says so; copies count once; with no toxic or no clean training row every
+score is 0; repeated rows are scored each; rows without an id are scored, have no label
+and are not held out; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ HASH_BITS = 18
 CACHE, TAG_BYTES = 100_000, 500_000
 #: Marginals below this are the background of long texts and don't count.
 SUSPICIOUS = 0.1
-BROADCAST_BYTES = SEED_BYTES = 32_000_000
+BROADCAST_BYTES = 32_000_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _NONE = b""
 
@@ -254,18 +254,37 @@ def _counts(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
     return rows.select(text_col, label_col).mapInArrow(run, "feature binary, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
+def _features_of(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The words and beginnings that each text holds, once each."""
+
+    @task("toxicity")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text_col, TAG_BYTES):
+                ids, found = [], []
+                for i, text in enumerate(blobs(batch.column(text_col))):
+                    own = set(tokens(text))
+                    own = [b"w" + x for x in own] + [b"p" + x for x in {x[:5] for x in own if len(x) > 5}]
+                    ids += [i] * len(own)
+                    found += own
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(ids, pa.int32())), pa.array(found, pa.binary())], names=[id_col, "feature"])
+
+    return rows.select(id_col, text_col).mapInArrow(run, with_columns(rows.select(id_col).schema, "feature binary"))
+
+
 def _mark(words: list[bytes], seeds: set[bytes]) -> list[int]:
     return [int(b"w" + x in seeds or len(x) > 5 and b"p" + x[:5] in seeds) for x in words]
 
 
-def _windows(rows: DataFrame, id_col: str, text_col: str, label_col: str, seeds: set[bytes], windows: int, span: int) -> DataFrame:
+def _windows(rows: DataFrame, id_col: str, text_col: str, label_col: str, seeds_col: str, windows: int, span: int) -> DataFrame:
     @task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_words, out_marks = [], []
-            for key, text, label in zip(batch.column(id_col).to_pylist(), blobs(batch.column(text_col)), batch.column(label_col).to_pylist(), strict=True):
+            columns = batch.column(id_col).to_pylist(), blobs(batch.column(text_col)), batch.column(label_col).to_pylist(), batch.column(seeds_col).to_pylist()
+            for key, text, label, seeds in zip(*columns, strict=True):
                 words = tokens(text)
-                marks = _mark(words, seeds) if label else [0] * len(words)
+                marks = _mark(words, set(seeds or ())) if label else [0] * len(words)
                 places = [i for i, x in enumerate(marks) if x] if label else []
                 if label and not places:
                     continue  # nothing says which of its tokens are toxic
@@ -278,7 +297,7 @@ def _windows(rows: DataFrame, id_col: str, text_col: str, label_col: str, seeds:
                         out_marks.append(bytes(marks[at : at + span]))
             yield pa.RecordBatch.from_arrays([pa.array(out_words, pa.binary()), pa.array(out_marks, pa.binary())], names=["words", "marks"])
 
-    return rows.select(id_col, text_col, label_col).mapInArrow(run, "words binary, marks binary")
+    return rows.select(id_col, text_col, label_col, seeds_col).mapInArrow(run, "words binary, marks binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, windows: int = WINDOWS, span: int = SPAN) -> Tagger | None:
@@ -302,17 +321,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     support = max(SUPPORT, ceil(SUPPORT_SHARE * toxic))
     standing = checkpoint(_counts(labelled(labels), "_tw_text", "_tw_label").where((F.col("toxic") >= support) & (odds >= 3)).select("feature"))
-    held = standing.agg(F.coalesce(F.sum(F.octet_length("feature")), F.lit(0))).first()[0]
-    if held > SEED_BYTES:
-        raise ValueError(f"{held} bytes of words stand out in toxic texts; raise SUPPORT_SHARE")
-    seeds = {bytes(r["feature"]) for r in standing.collect()}
     chosen = [labels.where((F.col("_tw_label") > 0) == F.lit(x)).orderBy(F.xxhash64("_tw_id"), "_tw_id").limit(sample) for x in (True, False)]
-    found = _windows(texts.join(F.broadcast(chosen[0].unionAll(chosen[1])), "_tw_id"), "_tw_id", "_tw_text", "_tw_label", seeds, windows, span).collect()
+    texts = checkpoint(texts.join(F.broadcast(chosen[0].unionAll(chosen[1])), "_tw_id"))  # at most ``sample`` of either label
+    seeds = _features_of(texts.where("_tw_label > 0"), "_tw_id", "_tw_text").join(standing, "feature").groupBy("_tw_id").agg(F.collect_set("feature").alias("_tw_seeds"))
+    found = _windows(texts.join(seeds, "_tw_id", "left"), "_tw_id", "_tw_text", "_tw_label", "_tw_seeds", windows, span).collect()
     found = sorted((bytes(r["words"]), bytes(r["marks"])) for r in found)
     if not any(1 in m for _, m in found):
         return None
     tagger = fit([(w.split(), list(m)) for w, m in found])
-    rows = _evidence(texts.join(F.broadcast(chosen[0].unionAll(chosen[1])), "_tw_id"), tagger, "_tw_text", "_tw_label").collect()
+    rows = _evidence(texts, tagger, "_tw_text", "_tw_label").collect()
     tagger.calibrate(sorted((r["one"], r["hits"], r["length"], r["label"]) for r in rows), {0: clean / (clean + toxic), 1: toxic / (clean + toxic)})
     return tagger
 
@@ -352,12 +369,13 @@ def score(docs: DataFrame, tagger: Tagger | None, text_col: str = "text", keep:
                 for text, x in zip(data, logits, strict=True):
                     scores.append(model.document(x) if model else 0.0)
                     toxic = set(np.flatnonzero(x >= 0).tolist())
-                    found = []
+                    found, at, chars = [], 0, 0  # the bytes that are counted, and their characters
                     if toxic:
                         for i, m in enumerate(_WORD.finditer(text)):
                             if i in toxic:
-                                start = len(text[: m.start()].decode("utf-8", "replace"))
-                                found.append({"start": start, "end": start + len(m[0].decode("utf-8", "replace"))})
+                                start = chars + len(text[at : m.start()].decode("utf-8", "replace"))
+                                at, chars = m.end(), start + len(m[0].decode("utf-8", "replace"))
+                                found.append({"start": start, "end": chars})
                     spans.append(found)
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=[*keep, "_tw_score", "_tw_spans"])
@@ -374,5 +392,5 @@ def training(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = score(docs, train(training(docs), training(labels)), keep=["doc_id"])
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), F.col("_tw_score").alias("score"), (F.col("_tw_score") >= THRESHOLD).cast("int").alias("predicted"), F.col("_tw_spans").alias("spans"))
