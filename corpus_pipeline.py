@@ -61,7 +61,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("_spans") == 0).select(docs.columns)
+    return found.where(F.size("_tw_spans") == 0).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
