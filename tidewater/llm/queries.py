@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, flac, licenses, linededup, maxent, ngramjoin, packing, sharding, tokenfiles, toxicity
+from . import decontaminate, flac, licenses, linededup, maxent, negatives, ngramjoin, packing, sharding, tokenfiles, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1,
@@ -19,10 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maxent_lm": maxent.op8,
     "op9_swap_packing": packing.op9,
     "op10_feistel_token_files": tokenfiles.op10,
+    "op11_pivot_negatives": negatives.op11,
+    "op12_tsqr_whitening": whitening.op12,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
     "op2_line_dedup": linededup.ORACLE_SQL,
     "op4_license_scan": licenses.ORACLE_SQL,
+    "op11_pivot_negatives": negatives.ORACLE_SQL,
 }
