@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, flac, licenses, linededup, maxent, negatives, ngramjoin, packing, sharding, tokenfiles, toxicity, whitening
+from . import decontaminate, extract, flac, licenses, linededup, maxent, negatives, ngramjoin, packing, sharding, tokenfiles, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_feistel_token_files": tokenfiles.op10,
     "op11_pivot_negatives": negatives.op11,
     "op12_tsqr_whitening": whitening.op12,
+    "op13_boosted_extraction": extract.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
