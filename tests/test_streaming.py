@@ -2,14 +2,15 @@
 
 import datetime as dt
 import json
+import threading
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import Stream, count, repeat, tumbling_window
-from tidewater.streaming import Task, join_streams, register_sources, replay, run_task, to_event_time, window_stream
-from tidewater.streaming.stateful import async_batches
+from tidewater.streaming import Task, async_batches, join_streams, read_state, register_sources, replay, run_task, to_event_time, window_stream
 
 ROWS = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=37 * i), i % 3, "view" if i % 2 else "click", float(i % 7)) for i in range(60)]
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double"
@@ -42,7 +43,7 @@ def test_windows_of_a_stream_are_the_bounded_panes(spark, events, tmp_path):
     stream = to_event_time(replay(spark, events, SCHEMA, 100), "ts", "0 seconds")
     last = (99, dt.datetime(2030, 1, 1), 99, "end", 0.0)
     spark.createDataFrame([last], SCHEMA).coalesce(1).write.mode("append").parquet(events)
-    found = run(window_stream(stream, "tumbling", 300_000, "user_id", "ts", "event_id", "value", repeat(count(2)), True), tmp_path, "win").where("key <> 99")
+    found = run(window_stream(stream, "tumbling", 300_000, "user_id", "ts", "event_id", "value", repeat(count(2)), "DISCARDING"), tmp_path, "win").where("key <> 99")
     spec = tumbling_window(300_000, "user_id").agg(n=F.count(F.lit(1)), total=F.sum("value")).early_trigger(repeat(count(2))).accumulate("DISCARDING")
     bounded = Stream(spark.createDataFrame(ROWS, SCHEMA), "ts", "event_id").window(spec).df
     columns = ["user_id", "pane_id", "seq", "firing_type", "n", "total"]
@@ -92,6 +93,36 @@ def test_async_batches_drop_none(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(0, 0), (2, 4), (4, 8)]
 
 
+def test_calls_are_bounded_in_order_and_made_again():
+    now, most, tries, lock = [0], [0], {}, threading.Lock()
+
+    def call(row):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+            tries[row["id"]] = tries.get(row["id"], 0) + 1
+        time.sleep(0.02 if row["id"] % 3 else 0.06)
+        with lock:
+            now[0] -= 1
+        if row["id"] == 7 and tries[7] == 1:
+            raise OSError("busy")
+        return {"id": row["id"]}
+
+    read = []
+
+    def source():
+        for k in range(4):
+            read.append(k)
+            yield pd.DataFrame({"id": range(10 * k, 10 * k + 10)})
+
+    got = [i for pdf in async_batches(call, 3, retries=1, batch=5)(source()) for i in pdf["id"]]
+    assert got == list(range(40)) and most[0] == 3 and tries[7] == 2 and max(tries.values()) == 2
+    with pytest.raises(TimeoutError):
+        list(async_batches(lambda row: time.sleep(1), 2, timeout_s=0.05)(iter([pd.DataFrame({"id": [1]})])))
+    with pytest.raises(OSError):
+        list(async_batches(lambda row: (_ for _ in ()).throw(OSError("down")), 2, retries=2)(iter([pd.DataFrame({"id": [1]})])))
+
+
 def reminding():
     class Remind(Task):
         def process(self, key, row, store):
@@ -114,15 +145,13 @@ def test_a_watermark_function_emits_when_time_passes(spark, events, tmp_path):
     assert len(seen) == len(rows)
 
 
-def test_state_of_a_join_with_a_time_to_live(spark, events, tmp_path):
-    parts = [replay(spark, events, SCHEMA, 100).where(F.col("event_type") == x) for x in ("view", "click")]
-    plain = run(join_streams(*parts, "user_id", "ts", "event_id", 120_000), tmp_path, "plain").collect()
-    joined, out = join_streams(*parts, "user_id", "ts", "event_id", 120_000, keep_ms=3_600_000), str(tmp_path / "kept")
-    query = joined.writeStream.format("parquet").option("checkpointLocation", out + "-log").start(out)
-    try:
-        deadline = time.monotonic() + 60
-        while not any(p.numInputRows for p in query.recentProgress) and time.monotonic() < deadline:
-            time.sleep(0.2)
-    finally:
-        query.stop()
-    assert sorted(plain) == sorted(spark.read.schema(joined.schema).parquet(out).collect()) and plain
+def test_state_of_a_join_leaves_by_event_time(spark, events, tmp_path):
+    """A late last row of other keys moves the watermark past all others, whose state then goes; the query ends."""
+    last = [(100 + k, dt.datetime(2030, 1, 1), 99, x, 0.0) for k, x in enumerate(("view", "click"))]
+    spark.createDataFrame(last, SCHEMA).coalesce(1).write.mode("append").parquet(events)
+    for delay in ("0 seconds", None):
+        parts = [replay(spark, events, SCHEMA, 100).where(F.col("event_type") == x) for x in ("view", "click")]
+        found = run(join_streams(*parts, "user_id", "ts", "event_id", 120_000, delay), tmp_path, "evict" if delay else "stays")
+        assert found.where("key <> 99").count() > 0
+        held = {r.key.key for side in ("side0", "side1") for r in read_state(spark, str(tmp_path / ("evict-ck" if delay else "stays-ck")), side).collect()}
+        assert held == ({99} if delay else {0, 1, 2, 99})

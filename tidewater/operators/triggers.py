@@ -105,7 +105,25 @@ class Machine:
             self.due = at + self.spec.ms
         if isinstance(self.spec, SinceLast):
             self.due = at + self.spec.ms
-        return self._after(isinstance(self.spec, Count) and self.seen == self.spec.n)
+        return self._after(isinstance(self.spec, Count) and self.seen >= self.spec.n)
+
+    def dump(self) -> list:
+        """The state as plain values, for ``load``."""
+        return [self.seen, self.due, self.done, [p.dump() for p in self.parts]]
+
+    def load(self, data: list) -> Machine:
+        self.seen, self.due, self.done = data[:3]
+        for part, own in zip(self.parts, data[3], strict=True):
+            part.load(own)
+        return self
+
+    def merge(self, other: Machine) -> None:
+        """Take in another window's state: rows add up, the first row's timer is the earlier one, the last row's the later, and what has fired for good stays so."""
+        dues = [d for d in (self.due, other.due) if d is not None]
+        self.due = (max if isinstance(self.spec, SinceLast) else min)(dues) if dues else None
+        self.seen, self.done = self.seen + other.seen, self.done or other.done
+        for part, own in zip(self.parts, other.parts, strict=True):
+            part.merge(own)
 
 
 def firings(spec, times: list[int], end: int) -> list[int]:

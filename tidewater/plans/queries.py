@@ -13,7 +13,7 @@ from ..operators import Collect, Fold, Stream, any_of, count, group_tasks, hoppi
 from ..session import scratch
 from ..sources import SERDES, bucketed_writer, directory_partitions, index_requests, kafka_messages, readable, rolling_writer, snapshot
 from ..sources.catalog import Catalog, json_messages, keyed_partition, parquet_sink, upsert_sink
-from ..streaming import Task, join_streams, run_task, to_event_time, window_stream
+from ..streaming import SHUTDOWN, Task, TimeSeries, async_batches, close_windows, end_task, join_streams, run_task, run_until_shutdown, to_event_time, values, window_stream
 from .sqlfront import SqlEngine
 
 HOUR, MINUTE = 3_600_000, 60_000
@@ -581,9 +581,9 @@ def _requests(e: Stream) -> DataFrame:
 # keyed state on unbounded streams, replayed to their end
 
 
-def _stateful(spark: SparkSession, df: Callable[[], DataFrame], name: str) -> DataFrame:
-    """What a stateful query over a replayed table appends to files."""
-    kind, path = "spark.sql.streaming.stateStore.providerClass", scratch(spark, name)
+def _stateful(spark: SparkSession, df: Callable[[], DataFrame], name: str, path: str | None = None) -> DataFrame:
+    """What a stateful query has appended to files when it has read what is there."""
+    kind, path = "spark.sql.streaming.stateStore.providerClass", path or scratch(spark, name)
     before = spark.conf.get(kind, None)
     spark.conf.set(kind, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
@@ -597,56 +597,176 @@ def _stateful(spark: SparkSession, df: Callable[[], DataFrame], name: str) -> Da
     return spark.read.schema(made.schema).parquet(path)
 
 
-def _ending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events with a watermark, and a last row of user -1 far in the future, which closes all windows."""
-    live = _as_stream(spark, sf_dir).select("event_id", "ts", "user_id", "value")
-    path = scratch(spark, "end")
-    spark.range(1).select(F.lit(-1).alias("event_id"), F.lit("2100-01-01").alias("ts"), F.lit(-1).alias("user_id"), F.lit(0).alias("value")).select(*[F.col(f.name).cast(f.dataType) for f in live.schema]).write.parquet(path)
-    return to_event_time(live.unionByName(spark.readStream.schema(live.schema).parquet(path)), "ts", "0 seconds")
+#: Micro-batches of a replay; each holds rows of all times, so rows come out of order.
+BATCHES = 3
+
+
+def _batches(spark: SparkSession, sf_dir: str, columns: list[str]) -> list[DataFrame]:
+    """The events in parts, each of all times."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return [rows.where(F.col("event_id") % BATCHES == k).select(columns) for k in range(BATCHES)]
+
+
+def _fed(spark: SparkSession, parts: list[DataFrame], query: Callable[[DataFrame], DataFrame], name: str, delay: str | None = None) -> tuple[DataFrame, str]:
+    """A query's appended rows, and its checkpoint. Each part is written and then read by a run of the query, which goes on from its checkpoint: a micro-batch or more for each, in this order."""
+    path, schema = scratch(spark, name), parts[0].schema
+
+    def made() -> DataFrame:
+        live = spark.readStream.schema(schema).parquet(path + "-in")
+        return query(to_event_time(live, "ts", delay) if delay else live)
+
+    for part in parts:
+        part.write.mode("append").parquet(path + "-in")
+        out = _stateful(spark, made, name, path)
+    return out, path + "-log"
 
 
 @_over("streaming_ttl_join", _TTL + "select k as user_id, view_id, click_id, cast(epoch_us(matched_at) // 1000 as bigint) as ms from j")
 def _streaming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def made() -> DataFrame:
-        views, clicks = (_as_stream(spark, sf_dir).where(F.col("event_type") == x).select("event_id", "ts", "user_id") for x in ("view", "click"))
+    """In batches of growing time; state leaves when the ttl has passed by both sides' watermark."""
+    edges = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").crossJoin(F.broadcast(edges))  # one row of edges
+    part = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))) * BATCHES / (F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp")) + 1)), F.lit(BATCHES - 1))
+    parts = [rows.where(part == k).select("event_id", "ts", "user_id", "event_type") for k in range(BATCHES)]
+
+    def query(live: DataFrame) -> DataFrame:
+        views, clicks = (live.where(F.col("event_type") == x).select("event_id", "ts", "user_id") for x in ("view", "click"))
         return join_streams(views, clicks, "user_id", "ts", "event_id", 12 * HOUR)
 
     own = {name: F.get_json_object(side, "$.event_id").cast("long").alias(name) for name, side in (("view_id", "left"), ("click_id", "right"))}
-    return _stateful(spark, made, "join").select(F.col("key").alias("user_id"), *own.values(), "ms")
+    return _fed(spark, parts, query, "join")[0].select(F.col("key").alias("user_id"), *own.values(), "ms")
+
+
+_LATE = "400 days"  # nothing of the tables is later, so windows stay open until the end
 
 
-def _streaming_panes(spark: SparkSession, sf_dir: str, kind: str, ms: int, trigger=None, discard: bool = False) -> DataFrame:
-    found = _stateful(spark, lambda: window_stream(_ending(spark, sf_dir), kind, ms, "user_id", "ts", "event_id", "value", trigger, discard), kind)
-    return found.where("key <> -1").select(F.col("key").alias("user_id"), "pane_id", "seq", "firing_type", "n")
+def _streaming_panes(spark: SparkSession, sf_dir: str, kind: str, ms: int, values: dict, trigger=None, mode: str = "ACCUMULATING") -> DataFrame:
+    """All panes of a stream whose rows come out of order, those at its end too."""
+    columns = list(dict.fromkeys(["event_id", "ts", "user_id", *(c for v in values.values() for c in v.columns)]))
+    panes, log = _fed(spark, _batches(spark, sf_dir, columns), lambda live: window_stream(live, kind, ms, "user_id", "ts", "event_id", values, trigger, mode), kind, _LATE)
+    found = panes.unionByName(close_windows(spark, log, panes, kind, ms, values, trigger, mode))
+    return found.withColumnRenamed("key", "user_id")
 
 
-@_over("streaming_tumble", f"select user_id, cast(epoch_ms({_H}) as varchar) as pane_id, cast(0 as bigint) as seq, 'DEFAULT' as firing_type, count(*) as n from events group by user_id, {_H}")
+@_over("streaming_tumble", f"select user_id, cast(epoch_ms({_H}) as varchar) as pane_id, cast(0 as bigint) as seq, 'DEFAULT' as firing_type, count(*) as n, min(value) as low, max(value) as high from events group by user_id, {_H}")
 def _streaming_tumble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streaming_panes(spark, sf_dir, "tumbling", HOUR)
+    return _streaming_panes(spark, sf_dir, "tumbling", HOUR, {"n": values.number(), "low": values.least("value"), "high": values.most("value")})
 
 
-@_over("streaming_session", _SESSIONS + "select user_id, cast(epoch_us(min(ts)) // 1000 as varchar) as pane_id, cast(0 as bigint) as seq, 'DEFAULT' as firing_type, count(*) as n from s group by user_id, s")
+@_over(
+    "streaming_session",
+    _SESSIONS
+    + """select user_id, cast(epoch_us(min(ts)) // 1000 as varchar) as pane_id, cast(0 as bigint) as seq, 'DEFAULT' as firing_type, count(*) as n,
+                string_agg(event_type, ',' order by ts, event_id) as types from s group by user_id, s""",
+)
 def _streaming_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streaming_panes(spark, sf_dir, "session", 8 * HOUR)
+    """Sessions of a stream whose batches fill each other's gaps, so that sessions join."""
+    found = _streaming_panes(spark, sf_dir, "session", 8 * HOUR, {"n": values.number(), "types": values.rows("event_type", "string")})
+    return found.withColumn("types", F.array_join("types", ","))
+
+
+_ARRIVED = f"""with r as (select user_id, event_id, value, ts, {_D} as w, row_number() over (partition by user_id, {_D} order by event_id % {BATCHES}, ts, event_id) as rn,
+ count(*) over (partition by user_id, {_D}) as c from events)
+"""
 
 
 @_over(
     "streaming_count_trigger",
-    _RN + "select user_id, cast(epoch_ms(w) as varchar) as pane_id, (rn - 1) // 2 as seq, case when max(rn) % 2 = 0 then 'EARLY' else 'DEFAULT' end as firing_type, count(*) as n from r group by user_id, w, (rn - 1) // 2",
+    _ARRIVED
+    + """select user_id, cast(epoch_ms(w) as varchar) as pane_id, (rn - 1) // 2 as seq, case when max(rn) % 2 = 0 then 'EARLY' else 'DEFAULT' end as firing_type, count(*) as n, max(value) as top,
+                string_agg(cast(event_id as varchar), ',' order by ts, event_id) as ids from r group by user_id, w, (rn - 1) // 2""",
 )
 def _streaming_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streaming_panes(spark, sf_dir, "tumbling", 24 * HOUR, repeat(count(2)), True)
+    """DISCARDING panes of two rows; every row, late ones too, is in one."""
+    wanted = {"n": values.number(), "top": values.most("value"), "ids": values.rows("event_id", "bigint")}
+    return _streaming_panes(spark, sf_dir, "tumbling", 24 * HOUR, wanted, repeat(count(2)), "DISCARDING").withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
+@_over(
+    "streaming_accumulate",
+    _ARRIVED
+    + """, m as (select *, max(value) over o as so_far, cast(sum(event_id) over o as bigint) as ids from r window o as (partition by user_id, w order by rn))
+    select user_id, cast(epoch_ms(w) as varchar) as pane_id, rn // 3 - 1 as seq, 'EARLY' as firing_type, rn as n, so_far as top, ids from m where rn % 3 = 0
+    union all select user_id, cast(epoch_ms(w) as varchar), rn // 3, 'DEFAULT', rn, so_far, ids from m where rn = c""",
+)
+def _streaming_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ACCUMULATING panes at every third row and at the end; state is a few numbers a window."""
+    wanted = {"n": values.number(), "top": values.most("value"), "ids": values.total("event_id", "bigint")}
+    return _streaming_panes(spark, sf_dir, "tumbling", 24 * HOUR, wanted, repeat(count(3)))
+
+
+@_over(
+    "streaming_fold",
+    _ARRIVED
+    + """select user_id, cast(epoch_ms(w) as varchar) as pane_id, cast(0 as bigint) as seq, 'DEFAULT' as firing_type,
+                cast(list_reduce(list_prepend(cast(7 as bigint), list(event_id order by rn)), lambda a, x: (a * 31 + x) % 1000003) as bigint) as h from r group by user_id, w""",
+)
+def _streaming_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold over rows in the order in which they come."""
+    fold = values.folded(7, lambda h, row: (h * 31 + row["event_id"]) % 1_000_003, "bigint", ("event_id",))
+    return _streaming_panes(spark, sf_dir, "tumbling", 24 * HOUR, {"h": fold})
 
 
 class Turns(Task):
-    """A task that keeps a count for each key and gives every row its turn."""
+    """A task that keeps a count for each key, gives every row its turn and at the end the count."""
 
     def process(self, key, row, store) -> list[tuple]:
         turn = int(store.get("n") or 0) + 1
         store.put("n", str(turn))
         return [(key, turn)]
 
+    def end(self, key, store) -> list[tuple]:
+        return [(key, -int(store.get("n")))]
+
 
-@_over("streaming_task", "select user_id, row_number() over (partition by user_id) as turn from events")
+@_over("streaming_task", "select user_id, row_number() over (partition by user_id) as turn from events union all select user_id, -count(*) from events group by user_id")
 def _streaming_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stateful(spark, lambda: run_task(_as_stream(spark, sf_dir).select("user_id", "event_id"), "user_id", Turns(), "user_id long, turn long"), "task")
+    """Turns of each user's rows over several batches, and the last count, negative, when the stream ends."""
+    schema = "user_id long, turn long"
+    rows, log = _fed(spark, _batches(spark, sf_dir, ["user_id", "event_id"]), lambda live: run_task(live, "user_id", Turns(), schema), "task")
+    return rows.unionByName(end_task(spark, log, "user_id", Turns(), schema))
+
+
+class Recent(Task):
+    """The rows of the last day at each row, from a time series; older ones are removed."""
+
+    def process(self, key, row, store) -> list[tuple]:
+        series, now = TimeSeries(store), int(row.ms)
+        series.put("seen", str(row.event_id), now)
+        series.remove("seen", 0, now - 24 * HOUR)
+        found = series.get("seen", now - 24 * HOUR, now + 1)
+        return [(key, row.event_id, len(found), sum(int(v) for _, v in found))]
+
+
+@_over(
+    "streaming_time_series",
+    """select user_id, event_id, count(*) over w as n, cast(sum(event_id) over w as bigint) as ids from (select *, epoch_us(ts) // 1000 as ms, row_number() over (order by ts, event_id) as o from events)
+       window w as (partition by user_id order by ms range between 86400000 preceding and current row exclude no others)""",
+)
+def _time_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows come in order of time; of rows at one millisecond each counts those before it."""
+    schema = "user_id long, event_id long, n long, ids long"
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return _fed(spark, [rows], lambda live: run_task(live, "user_id", Recent(), schema, order=["ms", "event_id"]), "series")[0]
+
+
+@_over("streaming_shutdown", "select event_id, user_id from events")
+def _shutdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query over an endless source that ends because its last row asks for it."""
+    path, rows = scratch(spark, "shutdown"), spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.lit(False).alias(SHUTDOWN))
+    rows.write.parquet(path + "-in")
+    spark.range(1).select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), F.lit(True).alias(SHUTDOWN)).write.mode("append").parquet(path + "-in")
+    live = spark.readStream.schema(rows.schema).parquet(path + "-in")
+    run_until_shutdown(live, lambda df, n: df.write.parquet(f"{path}/batch={n}"), path + "-log")
+    return spark.read.parquet(path).select("event_id", "user_id")
+
+
+@stream("async_calls", "select event_id, user_id * 2 as twice from events where event_type <> 'view'")
+def _async(e: Stream) -> DataFrame:
+    """At most eight calls in flight in a task; None drops a row."""
+    rows = e.map("event_id", "user_id", "event_type")
+    return rows.map_batches(async_batches(_call, flight=8, timeout_s=60, retries=1), "event_id long, twice long").df
+
+
+def _call(row: dict) -> dict | None:
+    return None if row["event_type"] == "view" else {"event_id": row["event_id"], "twice": 2 * row["user_id"]}

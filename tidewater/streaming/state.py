@@ -12,7 +12,11 @@ def read_state(spark: SparkSession, checkpoint: str, variable: str | None = None
 
 
 class TimeSeries:
-    """(key, time, sequence) to value over a ``TaskStore``: many values at one time keep their order."""
+    """(key, time, sequence) to value over a ``TaskStore``: many values at one time keep their order.
+
+    Entries are in order of their times, so ``put``, ``get`` and ``remove`` load only the
+    buckets of the times that they name.
+    """
 
     def __init__(self, store, overwrite: bool = False):
         self.store, self.overwrite = store, overwrite
@@ -35,4 +39,4 @@ class TimeSeries:
 
     def remove(self, key: str, start: int, stop: int) -> None:
         if stop > start:
-            self.store.delete_all([k for k, _ in self.store.range(self._at(key, start), self._at(key, stop))])
+            self.store.delete_range(self._at(key, start), self._at(key, stop))

@@ -1,39 +1,54 @@
-"""Keyed state and timers with transformWithState: the join, triggered windows and tasks.
+"""Keyed state and timers with transformWithState: the latest-row join and tasks.
 
-Within a micro-batch a key's rows are handled in order of event time and tie-breaker;
-micro-batches follow each other in arrival order, so a replay in time order gives what
-the bounded operators give. State lives in RocksDB and is checkpointed with the query.
+Micro-batches follow each other in arrival order; within one, the join handles a key's
+rows in order of event time and tie-breaker, so a replay in time order gives what the
+bounded operators give. State lives in RocksDB and is checkpointed with the query.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from ..operators.triggers import firings
 from ..session import ship_package
-
+from .ordered import OrderedMap
+from .state import read_state
+from .time import to_event_time
 
 
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     parts = list(rows)
-    return pd.concat(parts, ignore_index=True).sort_values(by, kind="stable") if parts else pd.DataFrame()
+    out = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
+    return out.sort_values(by, kind="stable") if by and len(out) else out
 
 
 class LatestJoin(StatefulProcessor):
-    """State: the latest row of either side. Columns: key, side (0, 1), ms, tie, value (the row as JSON)."""
+    """State: the latest row of either side. Columns: key, side (0, 1), ms, tie, value (the row as JSON).
+
+    With ``evict``, a row leaves when the watermark has passed its time and the ttl: what comes
+    later can't match it.
+    """
 
-    def __init__(self, ttl_ms: int, keep_ms: int | None = None):
-        self.ttl, self.keep = ttl_ms, keep_ms
+    def __init__(self, ttl_ms: int, evict: bool):
+        self.ttl, self.evict = ttl_ms, evict
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sides = [handle.getValueState(f"side{i}", "ms bigint, value string", ttlDurationMs=self.keep) for i in (0, 1)]
+        self.handle = handle
+        self.sides = [handle.getValueState(f"side{i}", "ms bigint, value string") for i in (0, 1)]
+        self.timer = handle.getValueState("timer", "ms bigint")
+
+    def _remind(self, due: list[int]) -> None:
+        """One timer a key, at the first time at which a row can leave."""
+        if due:
+            self.timer.update((min(due),))
+            self.handle.registerTimer(min(due))
+        else:
+            self.timer.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
@@ -47,8 +62,22 @@ class LatestJoin(StatefulProcessor):
         for state, value in zip(self.sides, latest, strict=True):
             if value is not None:
                 state.update((int(value[0]), value[1]))
+        if self.evict and not self.timer.exists():
+            self._remind([int(x[0]) + self.ttl for x in latest if x is not None])
         yield pd.DataFrame(out, columns=["key", "left", "right", "ms"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, due = expiredTimerInfo.getExpiryTimeInMs(), []
+        for state in self.sides:
+            if state.exists():
+                at = state.get()[0] + self.ttl
+                if at <= now:
+                    state.clear()
+                else:
+                    due.append(at)
+        self._remind(due)
+        yield pd.DataFrame([], columns=["key", "left", "right", "ms"])
+
     def close(self) -> None:
         pass
 
@@ -57,124 +86,34 @@ def _millis(time: str):
     return F.unix_millis(F.col(time).cast("timestamp"))
 
 
-def join_streams(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, ttl_ms: int, keep_ms: int | None = None) -> DataFrame:
+def join_streams(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, ttl_ms: int, delay: str | None = "0 seconds") -> DataFrame:
     """The time-bounded latest-row join of two streams: key, left and right rows in JSON, ms of the match.
 
-    With ``keep_ms``, a key's state goes when nothing has come for it for so long by the
-    clock; give it more than the ttl and the streams' delay together. Such a query goes by
-    the clock and doesn't end by itself, with availableNow neither. Without, state stays.
+    Both streams get a watermark of ``delay``, and the smaller of the two counts: rows that come
+    later than it by either are dropped, and state leaves when the ttl has passed by it. So
+    ``delay`` is how far rows may be out of order. Without (None) nothing is late and all state stays.
     """
     ship_package(left.sparkSession)
     sides = []
     for i, df in enumerate((left, right)):
-        sides.append(df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lit(i).alias("side"), _millis(time).alias("ms"), F.col(tie).cast("long").alias("tie"), F.to_json(F.struct(*df.columns)).alias("value")))
+        timed = (to_event_time(df, time, delay) if delay is not None else df).where(F.col(key).isNotNull() & F.col(time).isNotNull())
+        sides.append(timed.select(F.col(key).alias("key"), F.col(time).cast("timestamp").alias("_time") if delay is None else F.col(time).alias("_time"), F.lit(i).alias("side"), _millis(time).alias("ms"), F.col(tie).cast("long").alias("tie"), F.to_json(F.struct(*df.columns)).alias("value")))
     both = sides[0].unionByName(sides[1])
     kind = both.schema["key"].dataType.simpleString()
-    return both.groupBy("key").transformWithStateInPandas(LatestJoin(ttl_ms, keep_ms), f"key {kind}, left string, right string, ms long", "Append", "ProcessingTime" if keep_ms else "None")
-
-
-class TriggeredWindows(StatefulProcessor):
-    """Tumbling or session panes of a key, closed by the watermark's timers. Columns: key, ms, tie, value (double).
-
-    State: for each open window its rows since the last clearing (ms and value), the
-    number of all its rows, and of firings. Rows of other micro-batches may come out of order:
-    sessions that a row joins become one (early panes given before stay). The trigger's own state is replayed from the
-    arrival times, so none of it is lost at a restart.
-    """
-
-    def __init__(self, kind: str, ms: int, trigger=None, discard: bool = False):
-        self.kind, self.ms, self.trigger, self.discard = kind, ms, trigger, discard
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "start bigint", "times array<bigint>, values array<double>, fired int")
-
-    def _load(self) -> dict[int, list]:
-        return {k[0]: [list(v[0]), list(v[1]), v[2]] for k, v in self.open.iterator()}
-
-    def _start(self, windows: dict[int, list], at: int) -> int:
-        if self.kind == "tumbling":
-            return at - at % self.ms
-        live = [s for s, w in windows.items() if s - self.ms <= at <= w[0][-1] + self.ms]
-        start = min([*live, at])
-        if live and live != [start]:  # a row between sessions, or before one, makes one of them
-            rows = sorted((x for s in live for x in zip(windows[s][0], windows[s][1], strict=True)), key=lambda x: x[0])
-            fired = max(windows[s][2] for s in live)
-            for s in live:
-                del windows[s]
-                self.open.removeKey((s,))
-            windows[start] = [[t for t, _ in rows], [v for _, v in rows], fired]
-        return start
-
-    def _end(self, start: int, window: list) -> int:
-        return start + self.ms if self.kind == "tumbling" else window[0][-1] + self.ms
-
-    def _early(self, key, start: int, window: list, until: int) -> list[tuple]:
-        """Panes of the firings before ``until`` that have not been given."""
-        if self.trigger is None:
-            return []
-        fires = firings(self.trigger, window[0], min(until, self._end(start, window)))
-        out = []
-        for seq in range(window[2], len(fires)):
-            low = fires[seq - 1] if self.discard and seq else 0
-            if fires[seq] > low:
-                out.append((key, str(start), seq, "EARLY", fires[seq] - low, float(sum(window[1][low : fires[seq]]))))
-        window[2] = max(window[2], len(fires))
-        return out
-
-    def _close(self, key, start: int, window: list) -> list[tuple]:
-        out = self._early(key, start, window, 1 << 62)
-        fires = firings(self.trigger, window[0], self._end(start, window)) if self.trigger is not None else []
-        low = fires[-1] if self.discard and fires else 0
-        if len(window[0]) > low:
-            out.append((key, str(start), len(fires), "DEFAULT", len(window[0]) - low, float(sum(window[1][low:]))))
-        return out
-
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["key", "pane_id", "seq", "firing_type", "n", "total"])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        windows, out, touched = self._load(), [], set()
-        for r in _ordered(rows, ["ms", "tie"]).itertuples():
-            start = self._start(windows, int(r.ms))
-            window = windows.setdefault(start, [[], [], 0])
-            at = bisect_right(window[0], int(r.ms))
-            window[0].insert(at, int(r.ms))
-            window[1].insert(at, float(r.value))
-            touched.add(start)
-        for start in sorted(touched & windows.keys()):
-            out += self._early(key[0], start, windows[start], windows[start][0][-1] + 1)
-            self.open.updateValue((start,), (windows[start][0], windows[start][1], windows[start][2]))
-            self.handle.registerTimer(self._end(start, windows[start]))
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        for start, window in sorted(self._load().items()):
-            if self._end(start, window) <= now:
-                out += self._close(key[0], start, window)
-                self.open.removeKey((start,))
-        yield self._frame(out)
-
-    def close(self) -> None:
-        pass
-
-
-def window_stream(df: DataFrame, kind: str, ms: int, key: str, time: str, tie: str, value: str, trigger=None, discard: bool = False) -> DataFrame:
-    """Panes (key, pane_id, seq, firing_type, n, total) of a stream that has a watermark on ``time``."""
-    ship_package(df.sparkSession)
-    rows = df.select(F.col(key).alias("key"), F.col(time), _millis(time).alias("ms"), F.col(tie).cast("long").alias("tie"), F.col(value).cast("double").alias("value"))
-    kind_of_key = rows.schema["key"].dataType.simpleString()
-    return rows.groupBy("key").transformWithStateInPandas(TriggeredWindows(kind, ms, trigger, discard), f"key {kind_of_key}, pane_id string, seq long, firing_type string, n long, total double", "Append", "EventTime")
+    return both.groupBy("key").transformWithStateInPandas(LatestJoin(ttl_ms, delay is not None), f"key {kind}, left string, right string, ms long", "Append", "None" if delay is None else "EventTime")
 
 
 class Task:
-    """Imperative code for each key: override what is needed. ``store`` is the key's own string map.
+    """Imperative code for each key: override what is needed. ``store`` is the key's own ordered map of strings (of bytes with ``binary``).
 
     ``window`` runs by the clock, ``watermark`` when the event-time watermark has passed a
-    time that ``process`` asked for by ``store.remind(ms)``.
+    time that ``process`` asked for by ``store.remind(ms)``, ``end`` at the end of the stream (see
+    ``end_task``). ``setup`` and ``teardown`` enclose what one process does of a partition. A
+    micro-batch is what is committed; ``runs.run_until_shutdown`` ends a query that a row asks to end.
     """
 
+    binary = False
+
     def setup(self) -> None: ...
 
     def process(self, key, row, store) -> list[tuple]:
@@ -188,99 +127,141 @@ class Task:
         """Called when the watermark has passed ``ms``."""
         return []
 
+    def end(self, key, store) -> list[tuple]:
+        """Called for each key with state at the end of the stream; what it puts into the store is lost."""
+        return []
+
     def teardown(self) -> None: ...
 
 
 class _TaskProcessor(StatefulProcessor):
-    def __init__(self, task: Task, columns: list[str], every_ms: int | None, event_time: bool):
-        self.task, self.columns, self.every, self.event_time = task, columns, every_ms, event_time
+    def __init__(self, task: Task, columns: list[str], every_ms: int | None, event_time: bool, order: list[str]):
+        self.task, self.columns, self.every, self.event_time, self.order = task, columns, every_ms, event_time, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.store = handle, TaskStore(handle.getMapState("store", "k string", "v string"), handle)
+        self.handle, self.store = handle, TaskStore(OrderedMap(handle), handle, self.task.binary)
         self.task.setup()
 
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        self.store.entries.flush()
+        return pd.DataFrame(out, columns=self.columns)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        for r in (r for pdf in rows for r in pdf.itertuples(index=False)):
+        self.store.entries.begin()
+        for r in _ordered(rows, self.order).itertuples(index=False):
             out += self.task.process(key[0], r, self.store)
         if self.every and not list(self.handle.listTimers()):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.every)
-        yield pd.DataFrame(out, columns=self.columns)
+        yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.store.entries.begin()
         if self.event_time:
-            yield pd.DataFrame(self.task.watermark(key[0], expiredTimerInfo.getExpiryTimeInMs(), self.store), columns=self.columns)
+            yield self._frame(self.task.watermark(key[0], expiredTimerInfo.getExpiryTimeInMs(), self.store))
             return
         out = self.task.window(key[0], self.store)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.every)
-        yield pd.DataFrame(out, columns=self.columns)
+        yield self._frame(out)
 
     def close(self) -> None:
         self.task.teardown()
 
 
 class TaskStore:
-    """An ordered map of strings: get, get_all, put, put_all, delete, delete_all, range, all."""
+    """An ordered map of strings: get, get_all, put, put_all, delete, delete_all, range, all. With ``binary``, values are bytes."""
+
+    def __init__(self, entries: OrderedMap, handle=None, binary: bool = False):
+        self.entries, self.handle, self.binary = entries, handle, binary
 
-    def __init__(self, state, handle=None):
-        self.state, self.handle = state, handle
+    def _value(self, v: bytes | None):
+        return v if v is None or self.binary else v.decode()
 
     def remind(self, ms: int) -> None:
         """Ask for ``Task.watermark`` when event time has passed ``ms``."""
         self.handle.registerTimer(ms)
 
-    def get(self, k: str) -> str | None:
-        return self.state.getValue((k,))[0] if self.state.containsKey((k,)) else None
+    def get(self, k: str) -> str | bytes | None:
+        return self._value(self.entries.get(k.encode()))
 
-    def get_all(self, keys: list[str]) -> dict[str, str | None]:
+    def get_all(self, keys: list[str]) -> dict[str, str | bytes | None]:
         return {k: self.get(k) for k in keys}
 
-    def put(self, k: str, v: str | None) -> None:
+    def put(self, k: str, v: str | bytes | None) -> None:
         if k is None:
             raise ValueError("a key is not null")
         if v is None:
             self.delete(k)
         else:
-            self.state.updateValue((k,), (v,))
+            self.entries.put(k.encode(), v if self.binary else v.encode())
 
-    def put_all(self, entries: dict[str, str]) -> None:
+    def put_all(self, entries: dict[str, str | bytes | None]) -> None:
         for k, v in entries.items():
             self.put(k, v)
 
     def delete(self, k: str) -> None:
-        self.state.removeKey((k,))
+        self.entries.remove(k.encode())
 
     def delete_all(self, keys: list[str]) -> None:
         for k in keys:
             self.delete(k)
 
-    def all(self) -> list[tuple[str, str]]:
-        return sorted((k[0], v[0]) for k, v in self.state.iterator())
+    def delete_range(self, start: str, stop: str) -> None:
+        """All from ``start`` to below ``stop``."""
+        self.entries.remove_range(start.encode(), stop.encode())
+
+    def all(self) -> list[tuple[str, str | bytes]]:
+        return [(k.decode(), self._value(v)) for k, v in self.entries.range()]
 
-    def range(self, start: str, stop: str) -> list[tuple[str, str]]:
+    def range(self, start: str, stop: str) -> list[tuple[str, str | bytes]]:
         """Entries from ``start`` to below ``stop``, in order."""
-        return [(k, v) for k, v in self.all() if start <= k < stop]
+        return [(k.decode(), self._value(v)) for k, v in self.entries.range(start.encode(), stop.encode())]
 
 
-def run_task(df: DataFrame, key: str, task: Task, schema: str, every_ms: int | None = None, event_time: bool = False) -> DataFrame:
-    """A task over a keyed stream (or a bounded frame): its rows, each with the columns of ``schema``."""
+def run_task(df: DataFrame, key: str, task: Task, schema: str, every_ms: int | None = None, event_time: bool = False, order: list[str] | None = None) -> DataFrame:
+    """A task over a keyed stream (or a bounded frame): its rows, each with the columns of ``schema``. With ``order``, a key's rows of a micro-batch come sorted by these columns."""
     ship_package(df.sparkSession)
     names = StructType.fromDDL(schema).names
-    return df.groupBy(key).transformWithStateInPandas(_TaskProcessor(task, names, every_ms, event_time), schema, "Append", "EventTime" if event_time else "ProcessingTime" if every_ms else "None")
+    return df.groupBy(key).transformWithStateInPandas(_TaskProcessor(task, names, every_ms, event_time, order or []), schema, "Append", "EventTime" if event_time else "ProcessingTime" if every_ms else "None")
+
+
+class _Read:
+    """The entries of a key that has ended, as ``OrderedMap`` gives them."""
+
+    def __init__(self, entries: dict[bytes, bytes]):
+        self.entries = entries
 
+    def get(self, key: bytes) -> bytes | None:
+        return self.entries.get(key)
 
-def async_batches(fn: Callable[[dict], dict | None], threads: int = 8, timeout_s: float | None = None):
-    """A function for ``Stream.map_batches``: calls ``fn`` for each row on a thread pool; None drops the row, a late call raises."""
+    def put(self, key: bytes, value: bytes) -> None:
+        self.entries[key] = value
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from concurrent.futures import ThreadPoolExecutor
+    def remove(self, key: bytes) -> None:
+        self.entries.pop(key, None)
+
+    def remove_range(self, start: bytes, stop: bytes | None) -> None:
+        for k, _ in list(self.range(start, stop)):
+            del self.entries[k]
+
+    def range(self, start: bytes = b"", stop: bytes | None = None) -> Iterator[tuple[bytes, bytes]]:
+        return iter([(k, self.entries[k]) for k in sorted(self.entries) if k >= start and (stop is None or k < stop)])
+
+
+def end_task(spark: SparkSession, checkpoint: str, key: str, task: Task, schema: str) -> DataFrame:
+    """The end of the stream: what ``task.end`` gives for each key whose state a query, which has ended, left in its checkpoint."""
+    ship_package(spark)
+    names = StructType.fromDDL(schema).names
+    left = read_state(spark, checkpoint, "entries_buckets").select(F.col(f"key.{key}").alias("key"), "user_map_value.*")
 
-        with ThreadPoolExecutor(threads) as pool:
-            for pdf in batches:
-                calls = [pool.submit(fn, r) for r in pdf.to_dict("records")]
-                yield pd.DataFrame([x for x in (c.result(timeout_s) for c in calls) if x is not None])
+    def run(of: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        entries = {bytes(k): bytes(v) for keys, vals in zip(found["keys"], found["vals"], strict=True) for k, v in zip(keys, vals, strict=True)}
+        task.setup()
+        out = task.end(of[0], TaskStore(_Read(entries), binary=task.binary))
+        task.teardown()
+        return pd.DataFrame(out, columns=names)
 
-    return run
+    return left.groupBy("key").applyInPandas(run, schema)
 
 
-__all__ = ["LatestJoin", "Task", "TaskStore", "TriggeredWindows", "async_batches", "join_streams", "run_task", "window_stream"]
+__all__ = ["LatestJoin", "Task", "TaskStore", "end_task", "join_streams", "run_task"]
