@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import ship_package as ship
+from ..session import ship_package
 
 __all__ = ["STEP_BYTES", "WORD_BYTES", "blobs", "checkpoint", "drops", "shared_dir", "ship", "slices", "table", "task", "tokenizer_path", "with_columns", "words"]
 
@@ -27,6 +27,16 @@ WORD_BYTES = bytes(
 )
 #: Bytes of text that one vectorised step takes at a time.
 STEP_BYTES = 2_000_000
+#: Bytes of a batch that goes to or comes from a Python worker, unless one row has more: the JVM's buffers and the worker hold several.
+BATCH_BYTES = 4_000_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the executors; Arrow batches of the session get small enough for wide rows."""
+    if int(spark.conf.get(_BATCH_CONF).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return ship_package(spark)
 
 
 def words(text: bytes | None) -> list[bytes]:
