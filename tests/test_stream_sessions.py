@@ -64,11 +64,11 @@ class Handle:
         self.timers.append(ms)
 
 
-class Expired:
+class Clock:
     def __init__(self, ms):
         self.ms = ms
 
-    def getExpiryTimeInMs(self):  # noqa: N802
+    def getCurrentWatermarkInMs(self):  # noqa: N802
         return self.ms
 
 
@@ -87,7 +87,7 @@ def replay(spec, batches, handle=None):
     seen = set()
     while todo := sorted(set(handle.timers) - seen):
         seen.add(todo[0])
-        out += [tuple(r) for pdf in windows.handleExpiredTimer((1,), None, Expired(todo[0])) for r in pdf.drop(columns="key").itertuples(index=False)]
+        out += [tuple(r) for pdf in windows.handleExpiredTimer((1,), Clock(todo[0]), None) for r in pdf.drop(columns="key").itertuples(index=False)]
     assert not handle.map.rows
     return out
 

@@ -67,7 +67,7 @@ class LatestJoin(StatefulProcessor):
         yield pd.DataFrame(out, columns=["key", "left", "right", "ms"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, due = expiredTimerInfo.getExpiryTimeInMs(), []
+        now, due = timerValues.getCurrentWatermarkInMs(), []
         for state in self.sides:
             if state.exists():
                 at = state.get()[0] + self.ttl

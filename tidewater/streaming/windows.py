@@ -159,7 +159,7 @@ class TriggeredWindows(StatefulProcessor):
         yield pd.DataFrame(out, columns=self.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        now, out = timerValues.getCurrentWatermarkInMs(), []
         for start, window in sorted(self._all().items()):
             if window.end(start) <= now:
                 out += window.close(key[0], start)
