@@ -1,13 +1,16 @@
 """Windows, triggers, joins and folds against the known cases and brute-force replays."""
 
 import datetime as dt
+import random
+import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewater.operators import Collect, Fold, Stream, any_of, count, repeat, session_window, since_first, since_last, tumbling_window
+from tidewater.operators import Collect, Fold, Stream, any_of, count, count_rows, hopping_window, most_of, repeat, session_window, since_first, since_last, tumbling_window
 from tidewater.operators.triggers import firings
 
 T0 = dt.datetime(2024, 1, 1)
@@ -26,7 +29,7 @@ def panes(s, spec, trigger=None, mode=None):
     return s.window(spec).df
 
 
-INTS = [1, 2, 1, 2, 1, 2, 1, 2, 3]
+INTS = [40, 70, 40, 70, 40, 70, 40, 70, 95]
 
 
 def n(*keys):
@@ -50,7 +53,7 @@ def test_keyed_accumulating_counts(spark):
 
 def test_count_once_gives_one_early_and_one_default(spark):
     got = panes(stream(spark, INTS), n("k"), count(2)).collect()
-    assert sorted((r.k, r.firing_type, r.n) for r in got) == [(1, "DEFAULT", 4), (1, "EARLY", 2), (2, "DEFAULT", 4), (2, "EARLY", 2), (3, "DEFAULT", 1)]
+    assert sorted((r.k, r.firing_type, r.n) for r in got) == [(40, "DEFAULT", 4), (40, "EARLY", 2), (70, "DEFAULT", 4), (70, "EARLY", 2), (95, "DEFAULT", 1)]
 
 
 def test_sessions_extend_at_the_gap(spark):
@@ -179,3 +182,60 @@ def test_joining_and_merging_a_stream_with_itself(spark):
     with pytest.raises(ValueError):
         Stream.merge_all([])
     assert s.merge(s).df.count() == 9 and s.merge(stream(spark, INTS)).df.count() == 18
+
+
+@pytest.mark.parametrize("keys", [(), ("k",)])
+@pytest.mark.parametrize("chunk", [1, 2, 4096])
+def test_sessions_by_slots_are_the_sessions(spark, monkeypatch, keys, chunk):
+    from tidewater.operators import windows
+
+    monkeypatch.setattr(windows, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    # Before and after the epoch, with rows a gap apart and rows of one time.
+    rows = [(i, dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=rng.choice([10, 1]) * rng.randrange(-300, 300)), rng.choice([1, 2, None])) for i in range(120)]
+    want = []
+    for k in {r[2] for r in rows} if keys else {0}:
+        mine = sorted(r[1] for r in rows if not keys or r[2] == k)
+        for at, before in zip(mine, [None, *mine], strict=False):
+            if before is None or at > before + dt.timedelta(milliseconds=10):
+                want.append([at, at, 0])
+            want[-1][1:] = at, want[-1][2] + 1
+    s = Stream(spark.createDataFrame(rows, SCHEMA), "ts", "seq")
+    for values in ({"n": count_rows(), "last": most_of("ts")}, {"n": F.count(F.lit(1)), "last": F.max("ts")}):
+        got = s.window(session_window(10, *keys).agg(**values)).df.collect()
+        assert sorted([r.window_start, r.last, r.n] for r in got) == sorted(want)
+        assert all(r.window_end == r.last + dt.timedelta(milliseconds=10) for r in got)
+
+
+def test_hops_by_slide_are_the_hops(spark):
+    s = stream(spark, INTS * 5, 0.3)
+    both = [s.window(hopping_window(ms, 500, "k").agg(n=v)).df.select("k", "window_start", "window_end", "n") for ms in (2000, 500) for v in (count_rows(), F.count(F.lit(1)))]
+    for a, b in (both[:2], both[2:]):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_rows_of_sessions_are_not_sorted_and_an_application_shuffles_them_once(spark, tmp_path):
+    spark.createDataFrame([(i, T0 + dt.timedelta(seconds=i), i % 3) for i in range(30)], SCHEMA).write.parquet(str(tmp_path / "e"))
+    s = Stream(spark.read.parquet(str(tmp_path / "e")), "ts", "seq")
+    plan = s.window(session_window(5000, "k").agg(n=count_rows())).df._jdf.queryExecution().executedPlan().toString()
+    assert re.split(r"\bExchange\b", plan)[-1].count("Sort") == 0 and "partial_count" in re.split(r"\bExchange\b", plan)[-1]
+    keyed = s.partition_by("k", "seq", "ts", "k")
+    joined = keyed.filter("seq % 2 = 0").join(keyed.filter("seq % 2 = 1"), "k", "1 HOUR", F.col("key").alias("k"), F.col("matched_at").alias("ts"), F.col("left.seq").alias("seq"))
+    out = Stream(joined.df, "ts", "seq").window(session_window(5000, "k").agg(n=count_rows())).df
+    assert len(re.findall(r"\bExchange\b", out._jdf.queryExecution().executedPlan().toString())) == 1
+
+
+def test_accumulating_folds_go_over_a_window_once(spark):
+    fold = Fold(("seq",), F.lit(0).cast("long"), lambda old, r: old + r["seq"])
+
+    def took(n):
+        df = spark.range(n).select(F.col("id").alias("seq"), (F.lit(T0).cast("timestamp") + F.make_dt_interval(secs=F.col("id") / 1000)).cast("timestamp_ntz").alias("ts"), F.lit(1).alias("k"))
+        began = time.monotonic()
+        out = Stream(df, "ts", "seq").window(tumbling_window(86_400_000, "k").agg(s=fold).early_trigger(repeat(count(10)))).df
+        rows = out.select("seq", "s").collect()
+        assert {r.s for r in rows} == {m * (m - 1) // 2 for m in range(10, n + 1, 10)} and len(rows) == n // 10 + 1
+        return time.monotonic() - began
+
+    took(1000)
+    small, large = took(10_000), took(100_000)
+    assert large < 10 * small + 10

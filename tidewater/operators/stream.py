@@ -62,12 +62,12 @@ class Stream:
     # exchange
 
     def partition_by(self, key: Column | str, *values: Column | str, partitions: int | None = None) -> Stream:
-        """Key and values, dealt by key; null keys share one partition."""
+        """Key and values, dealt by key over so many partitions; null keys share one. Without a number the step that needs rows by key (a join, a window, a write by key) deals them, so that no row is shuffled twice."""
         key = F.col(key) if isinstance(key, str) else key
         kept = list(values) or ["*"]
         out = self.df.select(key.alias(KEY), *kept)
         n = min(partitions, MAX_PARTITIONS) if partitions else None
-        return self._with(out.repartition(n, KEY) if n else out.repartition(KEY))
+        return self._with(out.repartition(n, KEY) if n else out)
 
     def merge(self, *others: Stream) -> Stream:
         """All rows of all streams; a stream that is merged with itself is there once."""

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import UdfRegistry, regex_match, udf
-from ..operators import Collect, Fold, Stream, any_of, count, group_tasks, hopping_window, partitions_in, partitions_matching, repeat, session_window, since_first, since_last, tumbling_window
+from ..operators import Collect, Fold, Stream, any_of, count, count_rows, group_tasks, hopping_window, least_of, most_of, partitions_in, partitions_matching, repeat, session_window, since_first, since_last, tumbling_window
 from ..session import scratch
 from ..sources import SERDES, bucketed_writer, directory_partitions, index_requests, kafka_messages, readable, rolling_writer, snapshot
 from ..sources.catalog import Catalog, json_messages, keyed_partition, parquet_sink, upsert_sink
@@ -260,7 +260,7 @@ def _ttl(e: Stream) -> DataFrame:
 )
 def _app(e: Stream) -> DataFrame:
     joined = _views_and_clicks(e.partition_by("user_id"), F.col("key").alias("user_id"), F.col("left.event_id").alias("view_id"), F.col("matched_at").alias("ts"))
-    out = Stream(joined.df, "ts", "view_id").window(session_window(24 * HOUR, "user_id").agg(n=F.count(F.lit(1)))).df
+    out = Stream(joined.df, "ts", "view_id").window(session_window(24 * HOUR, "user_id").agg(n=count_rows())).df
     return out.select("user_id", "n", "window_start")
 
 
@@ -304,7 +304,24 @@ _SESSIONS = """with s as (select *, sum(new) over (partition by user_id order by
 
 @stream("session_count", _SESSIONS + "select user_id, min(ts) as window_start, max(ts) + interval 8 hour as window_end, cast(epoch_us(min(ts)) // 1000 as varchar) as pane_id, count(*) as n from s group by user_id, s")
 def _session(e: Stream) -> DataFrame:
-    return e.window(session_window(8 * HOUR, "user_id").agg(n=F.count(F.lit(1)))).df.select("user_id", "window_start", "window_end", "pane_id", "n")
+    return e.window(session_window(8 * HOUR, "user_id").agg(n=count_rows())).df.select("user_id", "window_start", "window_end", "pane_id", "n")
+
+
+_ALL = """with s as (select *, sum(new) over (order by ts, event_id) as s from (select *, case when ts - lag(ts) over (order by ts, event_id) <= interval 5 minute then 0 else 1 end as new from events))
+"""
+
+
+@stream("session_global", _ALL + "select min(ts) as window_start, max(ts) + interval 5 minute as window_end, count(*) as n, min(value) as low, max(value) as high from s group by s")
+def _session_global(e: Stream) -> DataFrame:
+    """Sessions of all rows, without a key."""
+    return e.window(session_window(5 * MINUTE).agg(n=count_rows(), low=least_of("value"), high=most_of("value"))).df.select("window_start", "window_end", "n", "low", "high")
+
+
+@stream("session_count_trigger", _SESSIONS + """, r as (select *, row_number() over (partition by user_id, s order by ts, event_id) as rn, min(ts) over (partition by user_id, s) as w from s)
+    select user_id, w as window_start, (rn - 1) // 2 as seq, case when max(rn) % 2 = 0 then 'EARLY' else 'DEFAULT' end as firing_type, count(*) as n, max(value) as top from r group by user_id, w, (rn - 1) // 2""")
+def _session_trigger(e: Stream) -> DataFrame:
+    spec = session_window(8 * HOUR, "user_id").agg(n=count_rows(), top=F.max("value")).early_trigger(repeat(count(2))).accumulate("DISCARDING")
+    return e.window(spec).df.select(*_PANE)
 
 
 @stream("session_collect", _SESSIONS + "select user_id, min(ts) as window_start, string_agg(event_type, ',' order by ts, event_id) as types from s group by user_id, s")
@@ -398,6 +415,21 @@ def _any(e: Stream) -> DataFrame:
     return _triggered(e, any_of(count(3), since_first(6 * HOUR)), "DISCARDING")
 
 
+@stream(
+    "accumulating_collect_and_fold",
+    _RN
+    + """, p as (select user_id, w, rn // 2 - 1 as seq, 'EARLY' as firing_type, rn as upto from r where rn % 2 = 0 union all select user_id, w, rn // 2, 'DEFAULT', rn from r where rn = c)
+    select p.user_id, p.w as window_start, seq, firing_type, string_agg(cast(event_id as varchar), ',' order by rn) as ids, max(value) as top,
+           cast(list_reduce(list_prepend(cast(7 as bigint), list(event_id order by rn)), lambda a, x: (a * 31 + x) % 1000003) as bigint) as h
+    from p join r on r.user_id = p.user_id and r.w = p.w and rn <= upto group by all""",
+)
+def _accumulated(e: Stream) -> DataFrame:
+    fold = Fold(("event_id",), F.lit(7).cast("long"), lambda old, r: (old * 31 + r["event_id"]) % 1_000_003)
+    spec = tumbling_window(24 * HOUR, "user_id").agg(rows=Collect(("event_id",)), h=fold, top=F.max("value")).early_trigger(repeat(count(2)))
+    ids = F.array_join(F.transform("rows", lambda r: r["event_id"].cast("string")), ",").alias("ids")
+    return e.window(spec).df.select("user_id", "window_start", "seq", "firing_type", ids, "h", "top")
+
+
 @stream("late_trigger_never_fires", f"select user_id, {_D} as window_start, cast(0 as bigint) as seq, 'DEFAULT' as firing_type, count(*) as n from events group by user_id, {_D}")
 def _late(e: Stream) -> DataFrame:
     return e.window(tumbling_window(24 * HOUR, "user_id").agg(n=F.count(F.lit(1))).late_trigger(count(1))).df.select("user_id", "window_start", "seq", "firing_type", "n")
@@ -547,7 +579,7 @@ def _streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @stream("hopping_count", f"select user_id, {_H} - to_hours(k) as window_start, {_H} - to_hours(k) + interval 4 hour as window_end, count(*) as n from (select *, unnest([0, 1, 2, 3]) as k from events) group by all")
 def _hopping(e: Stream) -> DataFrame:
-    return e.window(hopping_window(4 * HOUR, HOUR, "user_id").agg(n=F.count(F.lit(1)))).df.select("user_id", "window_start", "window_end", "n")
+    return e.window(hopping_window(4 * HOUR, HOUR, "user_id").agg(n=count_rows())).df.select("user_id", "window_start", "window_end", "n")
 
 
 @stream("merge_by_priority", "select event_id, p as priority, row_number() over (partition by user_id order by p, ts, event_id) as turn from (select *, cast(case when event_type = 'view' then 1 else 0 end as integer) as p from events where event_type in ('view', 'click'))")
