@@ -12,11 +12,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import ship_package
 
-__all__ = ["STEP_BYTES", "WORD_BYTES", "blobs", "checkpoint", "drops", "shared_dir", "ship", "slices", "table", "task", "tokenizer_path", "with_columns", "words"]
+__all__ = ["STEP_BYTES", "WORD_BYTES", "blobs", "checkpoint", "drops", "hashed_sample", "shared_dir", "ship", "slices", "table", "task", "tokenizer_path", "with_columns", "words"]
 
 #: Upper-case ASCII to lower case; every byte that cannot be in a word to a blank.
 #: A word is a run of 0-9, a-z and bytes of non-ASCII characters, which in UTF-8
@@ -125,6 +126,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hashed_sample(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """At most n rows with different values of a column, those of the least hashes. Hashes alone are ordered, so few rows travel however many tasks there are."""
+    found = F.xxhash64(column)
+    last = rows.select(found.alias("_tw_hash")).distinct().orderBy("_tw_hash").limit(n).agg(F.max("_tw_hash")).first()[0]
+    return rows.where(found <= F.lit(last)).withColumn("_tw_hash", found).dropDuplicates(["_tw_hash"]).orderBy("_tw_hash")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, ship, slices, table, task, with_columns
+from .common import blobs, hashed_sample, ship, slices, table, task, with_columns
 from .dom import BITS, GROUPS, MAIN, NUMBERS, OFF, TAGS, Tree, features
 
 SAMPLE, PAGE_BYTES, LAYOUTS = 160, 100_000, 3
@@ -278,10 +278,9 @@ def _append(tree: Tree, other: Tree) -> None:
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, page_bytes: int = PAGE_BYTES) -> Boosted | None:
     """Trees learned from at most ``sample`` different pages of at most ``page_bytes``; None if there is no paragraph in them."""
     at = F.col(html_col)
-    few = pages.select(at.alias("_tw_html")).where(at.isNotNull() & (F.octet_length(at) <= page_bytes)).select(F.xxhash64("_tw_html").alias("_tw_hash"), "_tw_html")
-    # Twice as many as wanted, so that copies leave enough.
-    seen = sorted({(r["_tw_hash"], r["_tw_html"]) for r in few.orderBy("_tw_hash", "_tw_html").limit(2 * sample).collect()})[:sample]
-    tree = _examples([x for _, x in seen])
+    few = pages.select(at.alias("_tw_html")).where(at.isNotNull() & (F.octet_length(at) <= page_bytes))
+    seen = [r["_tw_html"] for r in hashed_sample(few, "_tw_html", sample).collect()]
+    tree = _examples(seen)
     if tree is None:
         return None
     n = len(tree.parent)

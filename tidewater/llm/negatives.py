@@ -2,7 +2,7 @@
 
 Vectors x of whole numbers are given one more entry, sqrt(M - |x|^2) with M the largest
 squared length, and an anchor a gets 0 there; then |x' - a'|^2 = M + |a|^2 - 2 x.a, so inner
-products are distances. Pivots are chosen farthest first from a sample of ``SAMPLE`` rows.
+products are distances. Pivots are chosen farthest first from a sample of ``SAMPLE`` different rows.
 The pivot table holds every row with its distances to all pivots, sorted by nearest pivot
 and distance to it, and is written to the shared folder once. The triangle inequality over
 these distances brackets the score of an anchor with a run of rows and then with each row;
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ship, table, task
+from .common import checkpoint, hashed_sample, ship, table, task
 from .vectors import EXACT, matrix, of_one_length, scaled, steps
 
 SCALE, POSITIVES, NEGATIVES, LOW, HIGH = 256, 5, 5, 80, 100
@@ -189,7 +189,7 @@ def index(rows: DataFrame, anchor: Column, id_col: str = "vec_id", vector_col: s
         yield pa.RecordBatch.from_arrays([pa.array([top], pa.int64())], names=["top"])
 
     top = rows.select("vector").mapInArrow(longest, "top long").agg(F.max("top")).first()[0]
-    seen = rows.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).collect()
+    seen = hashed_sample(rows.select("vector"), "vector", sample).collect()
     chosen = choose_pivots(scaled(np.array([r["vector"] for r in seen], np.float64), SCALE, LIMIT), top, pivots)
     rest = np.sqrt((top - (chosen * chosen).sum(1)).astype(np.float64))
 
