@@ -57,7 +57,8 @@ def test_avro_types():
     want = [("i", IntegerType()), ("n", LongType()), ("e", StringType()), ("again", StringType()), ("f", BinaryType()), ("m", MapType(StringType(), StringType())), ("l", inner)]
     assert avro_type(json.dumps(schema)) == StructType([StructField(n, t) for n, t in want])
     loop = {"type": "record", "name": "L", "fields": [{"name": "next", "type": ["null", "L"]}]}
-    for wrong in (["int", "string"], loop, "date"):
+    assert avro_type(["int", "null", "string"]) == StringType()
+    for wrong in (loop, "date"):
         with pytest.raises(ValueError):
             avro_type(wrong)
 

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize(
     ("kind", "values", "type"),
-    [("int", [0, 1, -1, 2**31 - 1, -(2**31), None], "int"), ("long", [0, -5, 2**63 - 1, -(2**63), None], "long"), ("string", ["é", "", None], "string"), ("double", [0.5, -1e300, None], "double"), ("uuid", ["00112233-4455-6677-8899-aabbccddeeff", None], "string")],
+    [("int", [0, 1, -1, 2**31 - 1, -(2**31), None], "int"), ("long", [0, -5, 2**63 - 1, -(2**63), None], "long"), ("string", ["é", "", None], "string"), ("double", [0.5, -1e300, 0.0, -0.0, 5e-324, float("inf"), 1 / 3, None], "double"), ("uuid", ["00112233-4455-6677-8899-aabbccddeeff", None], "string")],
 )
 def test_serdes_round_trip(spark, kind, values, type):
     df = spark.createDataFrame([(v,) for v in values], f"v {type}")

@@ -12,8 +12,9 @@ from ..functions import UdfRegistry, regex_match, udf
 from ..operators import Collect, Fold, Stream, any_of, count, count_rows, group_tasks, hopping_window, least_of, most_of, partitions_in, partitions_matching, repeat, session_window, since_first, since_last, tumbling_window
 from ..session import scratch
 from ..sources import SERDES, bucketed_writer, directory_partitions, index_requests, kafka_messages, readable, rolling_writer, snapshot
+from ..sources.serdes import json
 from ..sources.catalog import Catalog, json_messages, keyed_partition, parquet_sink, upsert_sink
-from ..streaming import SHUTDOWN, Task, TimeSeries, async_batches, close_windows, end_task, join_streams, run_task, run_until_shutdown, to_event_time, values, window_stream
+from ..streaming import SHUTDOWN, Task, TimeSeries, async_batches, close_windows, end_task, join_streams, register_sources, run_task, run_until_shutdown, to_event_time, values, window_stream
 from .sqlfront import SqlEngine
 
 HOUR, MINUTE = 3_600_000, 60_000
@@ -501,7 +502,7 @@ def _vectorized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @stream(
     "serde_round_trips",
-    """select event_id, printf('%016X', event_id) as wire, event_id as l, cast(user_id as integer) as i, event_type as s, value as d, event_type as j, hex(encode(event_type)) as raw from events""",
+    """select event_id, printf('%016X', event_id) as wire, event_id as l, cast(user_id as integer) as i, event_type as s, value as d, '3FF8000000000000' as one_and_a_half, event_type as j, hex(encode(event_type)) as raw from events""",
 )
 def _serdes(e: Stream) -> DataFrame:
     back = lambda name, x: SERDES[name].decode(SERDES[name].encode(x))
@@ -513,6 +514,7 @@ def _serdes(e: Stream) -> DataFrame:
         back("int", F.col("user_id").cast("int")).alias("i"),
         back("string", F.col("event_type")).alias("s"),
         back("double", F.col("value")).alias("d"),
+        F.hex(SERDES["double"].encode(F.col("event_id") * 0 + 1.5)).alias("one_and_a_half"),
         back("json_map", kind)["t"].alias("j"),
         F.hex(back("bytes", F.encode("event_type", "UTF-8"))).alias("raw"),
     )
@@ -532,6 +534,52 @@ def _buckets(e: Stream) -> DataFrame:
     return directory_partitions(spark.read.parquet(path).select("event_id", "bucket"), "bucket=([^/]+)")
 
 
+@_over(
+    "avro_round_trip",
+    """select event_id, user_id, event_type, value, epoch_us(ts) as us, event_type || ',none' as tags, hex(encode(event_type)) as raw, case when user_id % 3 = 0 then -1 else user_id end as maybe from events""",
+)
+def _avro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in Avro container files and back, read in splits of 64 KB."""
+    register_sources(spark)
+    path, rows = scratch(spark, "avro"), spark.read.parquet(f"{sf_dir}/events.parquet")
+    wanted = ["event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), F.array("event_type", F.lit(None)).alias("tags"), F.encode("event_type", "UTF-8").alias("raw"), F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("maybe")]
+    rows.select(*wanted).write.format("tidewater_avro").option("blockBytes", 4096).mode("append").save(path)
+    back = spark.read.format("tidewater_avro").option("splitBytes", 1 << 16).load(path)
+    return back.withColumns({"raw": F.hex("raw"), "tags": F.array_join("tags", ",", "none"), "maybe": F.coalesce("maybe", F.lit(-1))}).withColumnRenamed("ts", "us")
+
+
+@_over("avro_rolled_by_bytes", "select event_id, props, true as within from events")
+def _avro_rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of 32 KB at most."""
+    register_sources(spark)
+    path, rows = scratch(spark, "rolled"), spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
+    rows.write.format("tidewater_avro").option("codec", "null").option("blockBytes", 2048).option("rollBytes", 1 << 15).mode("append").save(path)
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length") <= 1 << 15).first()[0]
+    return spark.read.format("tidewater_avro").load(path).withColumn("within", F.lit(largest))
+
+
+@_over("sequence_files", "select cast(event_id as varchar) as key, props as value, true as within from events")
+def _sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence files of 64 KB at most, read back by Hadoop's own reader."""
+    register_sources(spark)
+    path, rows = scratch(spark, "sequence"), spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows.select(F.col("event_id").cast("string").alias("key"), F.col("props").alias("value")).write.format("tidewater_sequence").option("rollBytes", 1 << 16).mode("append").save(path)
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length") <= 1 << 16).first()[0]
+    return spark.createDataFrame(spark.sparkContext.sequenceFile(path), "key string, value string").withColumn("within", F.lit(largest))
+
+
+@_over("tail_files", "select event_type || ' ' || event_id as line from events")
+def _tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of files that come between runs of a query, which goes on from its checkpoint."""
+    register_sources(spark)
+    path, rows = scratch(spark, "tail"), spark.read.parquet(f"{sf_dir}/events.parquet")
+    for k in range(2):
+        rows.where(F.col("event_id") % 2 == k).select(F.concat_ws(" ", "event_type", "event_id")).write.mode("append").text(path + "-in")
+        live = spark.readStream.format("tidewater_tail").option("pattern", "*.txt").option("splitBytes", 1 << 14).load(path + "-in").select("line")
+        live.writeStream.format("parquet").option("checkpointLocation", path + "-log").trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.schema("line string").parquet(path)
+
+
 @_over("sink_insert_script", "select cast(event_id as varchar) as __key__, event_id, value * 2 as v from events where event_type = 'click' union all select cast(event_id as varchar), event_id, value * 2 from events where event_type = 'view'")
 def _script(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables, path = catalog(spark, sf_dir), scratch(spark, "insert")
@@ -589,11 +637,15 @@ def _priority(e: Stream) -> DataFrame:
     return both.select("event_id", "priority", F.row_number().over(W.partitionBy("user_id").orderBy("priority", "ts", "event_id")).cast("long").alias("turn"))
 
 
-@stream("serde_drop_unreadable", "select event_id, cast(user_id as integer) as x from events where user_id % 3 <> 0")
+@stream("serde_drop_unreadable", """select event_id, cast(user_id as integer) as x, null as j from events where user_id % 3 <> 0 and user_id % 4 = 0
+    union all select event_id, cast(user_id as integer), event_type from events where user_id % 3 <> 0 and user_id % 4 in (1, 2)""")
 def _unreadable(e: Stream) -> DataFrame:
-    """Messages that are no 4-byte numbers are dropped."""
+    """Messages that are no 4-byte numbers, or no JSON, are dropped; null bytes stay."""
     wire = F.when(F.col("user_id") % 3 == 0, F.lit("no number").cast("binary")).otherwise(SERDES["int"].encode(F.col("user_id").cast("int")))
-    return readable(e.map("event_id", wire.alias("x")).df, "x", SERDES["int"])
+    record = json("t string")
+    text = F.when(F.col("user_id") % 4 == 3, F.lit('{"t" broken').cast("binary")).when(F.col("user_id") % 4 > 0, record.encode(F.struct(F.col("event_type").alias("t"))))
+    rows = readable(e.map("event_id", wire.alias("x"), text.alias("j")).df, "x", SERDES["int"])
+    return readable(rows, "j", record).withColumn("j", F.col("j.t"))
 
 
 @stream("kafka_messages", """select 'clicks' as topic, cast(event_id as varchar) as key, '{"user_id":' || user_id || '}' as value, 1 as parts from events where event_type = 'click'""")

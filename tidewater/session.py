@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -31,7 +32,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared checkpoint folder; a local one only where the session names none and is local itself."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir names no shared folder")
         top = "file://" + tempfile.mkdtemp(prefix="tidewater-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -48,5 +49,6 @@ def ship_package(spark: SparkSession) -> SparkSession:
         for file in sorted(top.rglob("*.py")):
             out.write(file, file.relative_to(top.parent))
     context.addPyFile(str(packed))
+    context.environment.setdefault("PYTHONPATH", str(top.parent))  # of the workers that Spark starts beside the driver
     context._tidewater_shipped = True
     return spark

@@ -93,8 +93,8 @@ _SIMPLE: dict[str, DataType] = {
 def avro_type(schema: str | dict | list) -> DataType:
     """The type of an Avro schema (JSON text or parsed); every field may be null.
 
-    A union with null is its other branch; any other union has no column type and raises,
-    as does a record inside itself.
+    A union with null is its other branch, any other union is text; a record inside itself
+    has no type and raises.
     """
     if isinstance(schema, str) and schema.lstrip()[:1] in ("{", "[", '"'):
         schema = json.loads(schema)
@@ -105,7 +105,9 @@ def _avro(schema, named: dict, inside: tuple[str, ...]) -> DataType:
     if isinstance(schema, list):
         own = [x for x in schema if x != "null"]
         if len(own) != 1:
-            raise ValueError(f"a union of {len(own)} types besides null")
+            for x in own:  # a type that is named here may be used further on
+                _avro(x, named, inside)
+            return StringType() if own else NullType()
         return _avro(own[0], named, inside)
     if isinstance(schema, str):
         if schema in inside:

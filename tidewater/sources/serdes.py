@@ -7,6 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType, StructField, StructType
+
+_BROKEN = "_tw_broken"
 
 
 @dataclass(frozen=True)
@@ -36,8 +39,24 @@ def string(charset: str = "UTF-8") -> Serde:
 
 
 def json(schema: str) -> Serde:
-    """Records in JSON; a message that can't be read is null."""
-    return Serde(lambda x: F.from_json(x.cast("string"), schema), lambda x: F.to_json(x).cast("binary"))
+    """Records (or a map, an array) in JSON; a message that can't be read is null."""
+
+    def decode(x: Column) -> Column:
+        text, kind = x.cast("string"), DataType.fromDDL(schema)
+        if not isinstance(kind, StructType):
+            return F.from_json(text, kind)
+        # What the parser can't read it puts into a column of its own.
+        read = F.from_json(text, StructType([*kind.fields, StructField(_BROKEN, StringType())]), {"columnNameOfCorruptRecord": _BROKEN})
+        return F.when(read.isNotNull() & read[_BROKEN].isNull(), F.struct(*[read[f.name].alias(f.name) for f in kind]))
+
+    return Serde(decode, lambda x: F.to_json(x).cast("binary"))
+
+
+def _double() -> Serde:
+    """Eight bytes, most significant first, as Java's bits of a double."""
+    bits = lambda x: F.when(x.isNotNull(), F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x).cast("long"))
+    value = lambda x: F.when(x.isNotNull(), F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), x).cast("double"))
+    return Serde(lambda x: value(_LONG.decode(x)), lambda x: _LONG.encode(bits(x.cast("double"))))
 
 
 def readable(df: DataFrame, column: str, serde: Serde, observation: Observation | None = None) -> DataFrame:
@@ -67,15 +86,16 @@ def encrypted(serde: Serde, key: str) -> Serde:
     return intercepted(serde, lambda x: F.aes_encrypt(x, F.lit(key)), lambda x: F.aes_decrypt(x, F.lit(key)))
 
 
+_LONG = _big_endian("long", 8)
 _same = Serde(lambda x: x, lambda x: x)
 SERDES: dict[str, Serde] = {
     "int": _big_endian("int", 4),
-    "long": _big_endian("long", 8),
+    "long": _LONG,
     "string": string(),
     "bytes": Serde(lambda x: x.cast("binary"), lambda x: x.cast("binary")),
     "noop": _same,
     # A UUID is 16 bytes; its text form is lower-case hex with dashes.
     "uuid": Serde(lambda x: F.regexp_replace(F.lower(F.hex(x)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), lambda x: F.unhex(F.replace(x, F.lit("-")))),
-    "double": Serde(lambda x: x.cast("string").cast("double"), lambda x: x.cast("string").cast("binary")),
+    "double": _double(),
     "json_map": json("map<string,string>"),
 }
