@@ -60,7 +60,7 @@ def test_decontamination(docs, bench, none, block):
 
 
 def test_line_dedup(docs, none):
-    out = linededup.drop_boilerplate(docs, ratio=0.4, min_pages=3).collect()
+    out = linededup.drop_boilerplate(docs, ratio=0.3).collect()
     assert len(out) == len(ROWS) and out[0].asDict().keys() >= {"word", "host", "text"}
     found = {r.doc_id: (r.text, r._tw_lines, r._tw_dropped) for r in out}
     assert found[7] == ("home\nreleased under the MIT License. All rights reserved.", 3, 1)
@@ -69,6 +69,15 @@ def test_line_dedup(docs, none):
     assert linededup.drop_boilerplate(none).count() == 0
 
 
+def test_the_ratio_alone_decides_on_boilerplate(spark):
+    """A footer on all of four pages goes, whatever its line's end; copies are one page; a line of one page stays; hosts of URLs."""
+    rows = [(i, f"https://Shop.example/{i}", f"Home\r\nitem {i}" if i % 2 else f"\tHome\nitem {i}") for i in range(4)]
+    rows += [(10 + i, "http://one.example/x", "copied\ntwice") for i in range(5)] + [(20, "no url", "Home\nalone"), (21, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, url string, text string")
+    out = {r.doc_id: r.text for r in linededup.drop_boilerplate(df, ratio=0.6, host=linededup.url_host("url")).collect()}
+    assert out == {i: f"item {i}" for i in range(4)} | {10 + i: "copied\ntwice" for i in range(5)} | {20: "Home\nalone", 21: None}
+
+
 def test_licenses(spark, docs, none):
     out = {r.doc_id: (r._tw_sentences, r._tw_licenses, r._tw_rest) for r in licenses.scan(docs).collect()}
     assert out[7] == (["mitName", "allRights"], ["MIT", "Proprietary"], []) and out[2] == ([], [], []) == out[3] == out[4]
