@@ -3,11 +3,13 @@
 A document is its token ids and one end id. Longer ones are cut into pieces of the
 sequence length; a full piece is a sequence by itself. The other pieces are dealt by
 a hash into groups of about ``group_pieces``, so that no task holds more however many
-there are. In each group, best fit in order of decreasing length gives the first bins;
-local search then moves a piece to a fuller bin, exchanges one for one, or two for one,
-whenever that raises the sum of squared fills, until a bin is empty, again and again,
-until the bins are as many as their total needs or no exchange helps. The emptiest bins
-of each group are packed once more together, in groups of the same size.
+there are. In each group next fit, in order of row number, gives the first bins; local
+search then moves a piece to a fuller bin, exchanges one for one, or two for one, whenever
+that raises the sum of squared fills, out of the emptiest bin until it is empty, again and
+again, until the bins are as few as their lengths allow (``fewest``) or no bin has a move or
+exchange left (or as many in a row as there were bins have emptied none). If it ends above that number, it is made once more from best
+fit in order of decreasing length, and the fewer bins count. The emptiest bins of each group
+are packed once more together, in groups of the same size.
 
 Cases: ids are numbers (other ids raise); a null or empty text is the end id alone; repeated rows are packed each; equal
 lengths go by row number; an empty table gives an empty result; other columns are
@@ -17,7 +19,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,6 @@ from .tokens import encoder
 LENGTH, END_ID, GROUP_PIECES = 4096, 1, 20_000
 #: Of each group, the emptiest bins that are packed again together.
 OPEN_BINS = 2
-#: Bins in a row that can't be emptied before a search ends.
-STUCK = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -72,6 +72,13 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
+def fewest(lengths: list[int], size: int) -> int:
+    """Bins that the lengths need at least: by their total, and by those of which no k + 1 are in one bin."""
+    ordered = sorted(lengths)
+    by_count = [-(-(len(ordered) - bisect_right(ordered, size // (k + 1))) // k) for k in range(1, 65)]
+    return max(-(-sum(lengths) // size), *by_count)
+
+
 class Search:
     """Local search over bins of pieces: moves, one-for-one and two-for-one exchanges, each of which raises the sum of squared fills."""
 
@@ -161,27 +168,35 @@ class Search:
         return None
 
     def run(self) -> list[list[int]]:
-        """Empty the emptiest bin, again and again, until their number is what the total needs or ``STUCK`` bins in a row can't be emptied."""
-        least, count = -(-sum(self.fill) // self.size), len(self.bins)
-        tried: set[int] = set()
-        while count > least and len(tried) < STUCK and (source := self._emptiest(tried)) is not None:
+        """Empty the emptiest bin, again and again, until the bins are as few as their lengths allow, no move or exchange out of any bin is left, or as many in a row as there were bins have emptied none."""
+        least, count = fewest([n for b in self.bins for n, _ in b], self.size), len(self.bins)
+        tried: set[int] = set()  # bins that nothing can leave as all others are
+        alike: set[tuple[int, ...]] = set()  # their pieces' lengths
+        patience, since = count, 0
+        while count > least and since < patience and (source := self._emptiest(tried)) is not None:
+            if (lengths := tuple(n for n, _ in self.bins[source])) in alike:
+                tried.add(source)
+                continue
             self._take(source)
-            while self.bins[source] and self._step(source):
-                pass
+            moved = False
+            while self.bins[source] and since < patience and self._step(source):
+                moved, since = True, since + 1
+            if moved:
+                tried.clear()
+                alike.clear()
             if self.bins[source]:
                 tried.add(source)
+                alike.add(lengths if not moved else tuple(n for n, _ in self.bins[source]))
                 self._put(source)
             else:
-                count -= 1
-                tried.clear()
+                count, since = count - 1, 0
         return [[i for _, i in b] for b in self.bins if b]
 
 
 def pack(lengths: list[int], size: int = LENGTH) -> list[list[int]]:
     """Bins of places in ``lengths``; every length is 1 to ``size``."""
     bins = Search(next_fit(lengths, size), lengths, size).run()
-    least = -(-sum(lengths) // size)
-    if len(bins) > least + least // 1000:
+    if len(bins) > fewest(lengths, size):
         bins = min(bins, Search(best_fit(lengths, size), lengths, size).run(), key=len)
     return bins
 
