@@ -130,6 +130,38 @@ purpose with or without fee is hereby granted."""
     assert got == texts
 
 
+TAGS = [
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+    ("/* SPDX-License-Identifier: GPL-2.0-only */\nint x;", ["GPL-2.0"]),
+    ("# SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) AND BSD-3-Clause", ["GPL-or-later", "BSD-3-Clause"]),
+    ("<!-- SPDX-License-Identifier: LGPL-2.1-or-later -->", ["LGPL"]),
+    ("SPDX-License-Identifier: Zlib\nSPDX-License-Identifier: MIT\nReleased under the MIT License.", ["MIT", "zlib"]),
+    ("Copyright (c) 2020 Ann. All rights reserved.", ["Proprietary"]),
+    (
+        "Copyright (c) 2020, Ann\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted.\n\n1. Redistributions of source code must retain the\n   above notice.\n"
+        "2. Redistributions in binary form must reproduce the above.\n3. Neither the name of Ann nor the names of its\n   contributors may be used to endorse products.\n\nTHIS SOFTWARE IS PROVIDED BY ANN \"AS IS\".",
+        ["BSD-3-Clause"],
+    ),
+]
+
+
+def test_tags_and_rights(spark):
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(TAGS)], "doc_id long, text string")
+    out = {r.doc_id: (r._tw_licenses, r._tw_rest) for r in licenses.scan(df).collect()}
+    assert {i: sorted(x) for i, (x, _) in out.items()} == {i: sorted(want) for i, (_, want) in enumerate(TAGS)}
+    assert all("spdx" not in rest for _, rest in out.values())
+
+
+def test_the_plan_of_a_scan_is_small(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    licenses.scan(df)
+    began = time.monotonic()
+    licenses.scan(df)
+    assert time.monotonic() - began < 2
+
+
 def test_flac(docs, none, tmp_path):
     out = flac.read_back(flac.store(docs, str(tmp_path / "flac"), keep=["doc_id", "word"])).collect()
     for r, row in zip(sorted(out, key=lambda r: r.doc_id or 0), sorted(ROWS, key=lambda r: r[0] or 0), strict=True):

@@ -6,7 +6,10 @@ is lower-cased, and what is not a letter or digit becomes one blank. The first p
 found in the whole sentence but in none of its lines, as it is wrapped, are added in their
 places; within a family only the first counts, as in a line. The identifiers of a text, in order, are matched against ``RULES``, in
 order; a rule consumes what it matches, so a longer licence comes before its parts.
-Identifiers that no rule consumes are reported as rest.
+Identifiers that no rule consumes are reported as rest. An SPDX tag's expression, to the end of its
+line, names licences of its own, which follow those of the rules: each term of AND and OR is one,
+``-only``, ``-or-later`` and ``+`` are read, an exception after WITH is left out, and what
+``SPDX`` doesn't know is given as it is, in lower case.
 
 Only texts with one of ``HINTS`` are cut, or with one that may be wrapped; every pattern
 contains one of them. Everything
@@ -61,8 +64,8 @@ SENTENCES = [
 ]
 #: Licences and the sequences of identifiers that state them, in order.
 RULES = [
-    ("BSD-3-Clause", r"bsdGrant,bsdSource,bsdBinary,bsdEndorse(,asIs)?"),
-    ("BSD-2-Clause", r"bsdGrant,bsdSource,bsdBinary(,asIs)?"),
+    ("BSD-3-Clause", r"((copyright,)?allRights,)?bsdGrant,bsdSource,bsdBinary,bsdEndorse(,asIs)?"),
+    ("BSD-2-Clause", r"((copyright,)?allRights,)?bsdGrant,bsdSource,bsdBinary(,asIs)?"),
     ("MIT", r"mitGrant(,mitNotice)?(,asIs)?"),
     ("ISC", r"iscGrant(,asIs)?"),
     ("AGPL-3.0", r"agpl3"),
@@ -87,6 +90,32 @@ RULES = [
     ("Proprietary", r"(copyright,)?allRights"),
     ("Other", r"otherLicense"),
 ]
+#: Licences and the terms of SPDX expressions that name them, in order.
+SPDX = [
+    ("MIT", r"mit"),
+    ("ISC", r"isc"),
+    ("Apache-2.0", r"apache-2\.0"),
+    ("BSD-3-Clause", r"bsd-3-clause"),
+    ("BSD-2-Clause", r"bsd-2-clause"),
+    ("AGPL-3.0", r"agpl-3\.0(-only|-or-later|\+)?"),
+    ("LGPL", r"lgpl-[0-9.]+(-only|-or-later|\+)?"),
+    ("GPL-or-later", r"gpl-[0-9.]+(-or-later|\+)"),
+    ("GPL-3.0", r"gpl-3\.0(-only)?"),
+    ("GPL-2.0", r"gpl-2\.0(-only)?"),
+    ("GPL", r"gpl-[0-9.]+(-only)?"),
+    ("MPL-2.0", r"mpl-2\.0"),
+    ("EPL", r"epl-[0-9.]+"),
+    ("CC-BY-NC-SA", r"cc-by-nc-sa-[0-9.]+"),
+    ("CC-BY-NC-ND", r"cc-by-nc-nd-[0-9.]+"),
+    ("CC-BY-NC", r"cc-by-nc-[0-9.]+"),
+    ("CC-BY-SA", r"cc-by-sa-[0-9.]+"),
+    ("CC-BY-ND", r"cc-by-nd-[0-9.]+"),
+    ("CC-BY", r"cc-by-[0-9.]+"),
+    ("CC0-1.0", r"cc0-1\.0"),
+    ("Unlicense", r"unlicense"),
+]
+#: A tag's expression in the lower-cased text, what stands between its terms, and what follows a term.
+_TAG, _BETWEEN, _WITH, _EDGES = r"spdx-license-identifier:[ \t]*([a-z0-9.+() \t-]+)", r"[ \t]+(?:or|and)[ \t]+|[()]", r"[ \t]+with[ \t].*$", " \t-."
 #: Each pattern above needs one of these in the lower-cased text.
 HINTS = ["licen", "permission ", "redistribution", "all rights", "rights reserved", "copyright", "public domain", "as is", "as-is", '"as', "endorse", "spdx"]
 #: Repeats of a rule are consumed together.
@@ -103,63 +132,56 @@ FAMILIES = [
 ]
 
 
-def _identify(sentence):
-    out = None
-    for name, pattern in SENTENCES:
-        test = sentence.rlike(pattern)
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out
-
-
-def _before(name):
+def _before(name: str) -> list[str]:
     """Identifiers that take the place of ``name`` in a sentence that states both."""
     return [x for x, _ in SENTENCES if x != name] if name == "otherLicense" else [x for f in FAMILIES if name in f for x in f[: f.index(name)]]
 
 
-def _states(pattern):
-    return lambda line: line["plain"].rlike(pattern)
+_PLACES = {name: i for i, (name, _) in enumerate(SENTENCES)}
+_KIND = "array<struct<place:int,id:string>>"
+
+
+def _list(values: list, kind: str):
+    return F.array(*[F.lit(x) for x in values]).cast(f"array<{kind}>")
+
+
+def _flags(text):
+    """Which patterns a text states, in their order; each is looked for once."""
+    return F.array(*[text.rlike(pattern) for _, pattern in SENTENCES])
 
 
-def _is_one(names):
-    return lambda x: x["id"].isin(names)
+def _first(flags):
+    """The identifier of the first pattern that is stated."""
+    return F.get(_list([x for x, _ in SENTENCES], "string"), F.array_position(flags, True).cast("int") - 1)
 
 
 def _added(lines, whole):
     """Places and identifiers of what the whole sentence states and no line does."""
-    patterns, out = dict(SENTENCES), []
-    for name, pattern in SENTENCES:
-        hit = whole.rlike(pattern) & ~F.exists(lines, _states(pattern))
-        for x in _before(name):
-            hit = hit & ~whole.rlike(patterns[x])
-        place = F.regexp_instr(whole, F.lit(pattern.removeprefix("^(.* )?")))
-        out.append(F.when(hit, F.struct(place.alias("place"), F.lit(name).alias("id"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    patterns = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(n).alias("id"), F.lit(p.removeprefix("^(.* )?")).alias("pattern"), _list([_PLACES[x] for x in _before(n)], "int").alias("before")) for i, (n, p) in enumerate(SENTENCES)])
+    new = F.filter(
+        patterns,
+        lambda p: F.get(whole["flags"], p["at"]) & ~F.exists(lines, lambda line: F.get(line["flags"], p["at"])) & ~F.exists(p["before"], lambda i: F.get(whole["flags"], i)),
+    )
+    return F.transform(new, lambda p: F.struct(F.regexp_instr(whole["plain"], p["pattern"]).alias("place"), p["id"].alias("id")))
 
 
 def _found(lines, whole):
     """Places and identifiers of lines; a line that ends before the licence's name states none if the sentence goes on with it."""
-    kind = "array<struct<place:int,id:string>>"
 
     def step(state, line):
-        name = _identify(line["plain"])
-        name = F.when(line["hinted"] & ~((name == "otherLicense") & line["plain"].rlike(_OPEN) & (_identify(whole) != "otherLicense")), name)
+        name = _first(line["flags"])
+        name = F.when(line["hinted"] & ~((name == "otherLicense") & line["plain"].rlike(_OPEN) & (_first(whole["flags"]) != "otherLicense")), name)
         more = F.array(F.struct(state["at"].alias("place"), name.alias("id")))
         found = F.when(name.isNotNull(), F.concat(state["found"], more)).otherwise(state["found"])
         return F.struct((state["at"] + F.length(line["plain"]) + 1).alias("at"), found.alias("found"))
 
-    return F.aggregate(lines, F.struct(F.lit(1).alias("at"), F.array().cast(kind).alias("found")), step, lambda x: x["found"])
+    return F.aggregate(lines, F.struct(F.lit(1).alias("at"), F.array().cast(_KIND).alias("found")), step, lambda x: x["found"])
 
 
 def _merged(found, added):
     """Identifiers by place, without those of lines that an added one takes the place of."""
-
-    def stays(x):
-        out = F.lit(True)
-        for name, _ in SENTENCES:
-            if before := _before(name):
-                out = out & ~((x["id"] == name) & F.exists(added, _is_one(before)))
-        return out
-
+    before = F.create_map(*[x for n, _ in SENTENCES if _before(n) for x in (F.lit(n), _list(_before(n), "string"))])
+    stays = lambda x: ~F.coalesce(F.arrays_overlap(F.try_element_at(before, x["id"]), F.transform(added, lambda y: y["id"])), F.lit(False))
     return F.transform(F.array_sort(F.concat(F.filter(found, stays), added)), lambda x: x["id"])
 
 
@@ -168,11 +190,28 @@ def _stated(raw):
     plain = lambda x: F.trim(F.regexp_replace(x, _OTHER, " "))
     lines = F.filter(F.transform(F.split(raw, "\n"), lambda x: F.struct(x.rlike("|".join(HINTS)).alias("hinted"), plain(x).alias("plain"))), lambda x: x["plain"] != "")
     # As elements of arrays they are computed once.
-    both = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), F.array_join(F.transform(x, lambda y: y["plain"]), " ").alias("whole")))
-    parts = F.transform(both, lambda x: F.struct(_found(x["lines"], x["whole"]).alias("found"), F.when(F.size(x["lines"]) > 1, _added(x["lines"], x["whole"])).otherwise(F.array().cast("array<struct<place:int,id:string>>")).alias("added")))
+    flagged = F.transform(lines, lambda x: F.struct(x["hinted"].alias("hinted"), x["plain"].alias("plain"), _flags(x["plain"]).alias("flags")))
+    joined = F.transform(F.array(flagged), lambda x: F.struct(x.alias("lines"), F.array_join(F.transform(x, lambda y: y["plain"]), " ").alias("plain")))
+    both = F.transform(joined, lambda x: F.struct(x["lines"].alias("lines"), F.struct(x["plain"].alias("plain"), F.when(F.size(x["lines"]) > 1, _flags(x["plain"])).otherwise(F.get(x["lines"], 0)["flags"]).alias("flags")).alias("whole")))
+    parts = F.transform(both, lambda x: F.struct(_found(x["lines"], x["whole"]).alias("found"), F.when(F.size(x["lines"]) > 1, _added(x["lines"], x["whole"])).otherwise(F.array().cast(_KIND)).alias("added")))
     return F.flatten(F.transform(parts, lambda x: F.when(F.size(x["added"]) > 0, _merged(x["found"], x["added"])).otherwise(F.transform(x["found"], lambda y: y["id"]))))
 
 
+def _tagged(low):
+    """Licences of the SPDX tags of a lower-cased text, in order."""
+    terms = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(_TAG), 1), lambda x: F.split(x, _BETWEEN)))
+    terms = F.filter(F.transform(terms, lambda x: F.btrim(F.regexp_replace(F.btrim(x, F.lit(_EDGES)), _WITH, ""), F.lit(_EDGES))), lambda x: x != "")
+
+    def name(term):
+        out = None
+        for known, pattern in SPDX:
+            test = term.rlike(f"^(?:{pattern})$")
+            out = F.when(test, known) if out is None else out.when(test, known)
+        return out.otherwise(term)
+
+    return F.array_distinct(F.transform(terms, name))
+
+
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with _tw_sentences (identifiers in order), _tw_licenses and _tw_rest."""
     low = F.lower(F.col(text_col))
@@ -196,7 +235,9 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     done = F.when(left.isNotNull(), F.aggregate(rules, step, apply)).otherwise(step)
     stated = stated.withColumn("_tw_done", done)
-    return stated.withColumn("_tw_licenses", F.col("_tw_done.found")).withColumn("_tw_rest", F.filter(F.split(F.coalesce("_tw_done.rest", F.lit("")), ","), lambda x: x != "")).drop("_tw_done")
+    tags = F.when(F.array_contains("_tw_sentences", "spdx"), _tagged(low)).otherwise(F.array().cast("array<string>"))
+    rest = F.filter(F.split(F.coalesce("_tw_done.rest", F.lit("")), ","), lambda x: ~x.isin("", "spdx"))
+    return stated.withColumns({"_tw_licenses": F.array_union("_tw_done.found", tags), "_tw_rest": rest}).drop("_tw_done")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,19 +257,27 @@ def _oracle() -> str:
     steps, last = [], "s0"
     for i, (name, pattern) in enumerate(_PATTERNS, 1):
         steps.append(
-            f"s{i} as (select doc_id, ids, case when regexp_matches(rest, '{pattern}') and not list_contains(found, '{name}') then list_append(found, '{name}') else found end as found, "
+            f"s{i} as (select doc_id, ids, tags, case when regexp_matches(rest, '{pattern}') and not list_contains(found, '{name}') then list_append(found, '{name}') else found end as found, "
             f"regexp_replace(rest, '{pattern}', ',', 'g') as rest from {last})"
         )
         last = f"s{i}"
+    known = "case " + " ".join(f"when regexp_full_match(x, '{p}') then '{n}'" for n, p in SPDX) + " else x end"
+    edges = "' ' || chr(9) || '-.'"
     return f"""
-with p as (select doc_id, string_split(regexp_replace(lower(text), '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10)) as pieces from documents),
-n as (select doc_id, list_transform(list_filter(pieces, lambda x: regexp_matches(x, '{hints}')), lambda x: trim(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')) as sentences from p),
-i as (select doc_id, coalesce(list_filter(list_transform(sentences, lambda x: {case}), lambda x: x is not null), []) as ids from n),
-s0 as (select doc_id, ids, cast([] as varchar[]) as found, ',' || array_to_string(ids, ',') || ',' as rest from i),
-{", ".join(steps)}
-select doc_id, cast(len(ids) as bigint) as n_sentences, array_to_string(ids, ',') as sentence_ids, array_to_string(found, ',') as licenses,
-       array_to_string(list_filter(string_split(rest, ','), lambda x: x <> ''), ',') as unmatched_ids
-from {last}
+with p as (select doc_id, lower(text) as low, string_split(regexp_replace(lower(text), '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10)) as pieces from documents),
+n as (select doc_id, low, list_transform(list_filter(pieces, lambda x: regexp_matches(x, '{hints}')), lambda x: trim(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')) as sentences from p),
+i as (select doc_id, low, coalesce(list_filter(list_transform(sentences, lambda x: {case}), lambda x: x is not null), []) as ids from n),
+t as (select doc_id, ids, case when list_contains(ids, 'spdx') then
+        list_filter(list_transform(flatten(list_transform(regexp_extract_all(low, '{_TAG}', 1), lambda x: string_split_regex(x, '{_BETWEEN}'))),
+                                   lambda x: trim(regexp_replace(trim(x, {edges}), '{_WITH}', ''), {edges})), lambda x: x <> '') else [] end as terms from i),
+g as (select doc_id, ids, list_transform(terms, lambda x: {known}) as tags from t),
+s0 as (select doc_id, ids, tags, cast([] as varchar[]) as found, ',' || array_to_string(ids, ',') || ',' as rest from g),
+{", ".join(steps)},
+a as (select doc_id, ids, rest, list_concat(found, tags) as found from {last})
+select doc_id, cast(len(ids) as bigint) as n_sentences, array_to_string(ids, ',') as sentence_ids,
+       array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ',') as licenses,
+       array_to_string(list_filter(string_split(rest, ','), lambda x: x not in ('', 'spdx')), ',') as unmatched_ids
+from a
 """
 
 
