@@ -2,8 +2,8 @@
 
 P(word | history) = P(class | history) P(word | class, history), both softmaxes whose
 features are n-grams and skips of the history, hashed into tables of weights: the last
-word, the last two, the last but one and the last but two for the class; the last word and
-the last two, each with the class, for the word. A head word has a row and a column
+word, the last two, the last but one and the last but two, for the word each with the
+class. A head word has a row and a column
 of its class's grid of ``SIDE`` by ``SIDE`` places, no two words the same; its logit is the
 logarithm of its share of the class and the weights of its row and column, so a step costs
 2 ``SIDE`` numbers a feature, not one a word, and the sum over all words of a class is one
@@ -29,7 +29,8 @@ text's words, summed by document, are joined with the counts.
 
 Cases: null and empty texts are their end alone; without training rows both scores are
 0 (every token is the one unseen type); equal texts score alike; repeated rows count and
-are scored each; an empty table gives an empty result; other columns are ignored,
+are scored each; rows without an id are learned from and not held out, ids are numbers
+(other ids raise); an empty table gives an empty result; other columns are ignored,
 whatever their names.
 """
 
@@ -53,8 +54,8 @@ LETTER_BITS = 15
 #: Unlisted words whose codes a Python worker keeps.
 CACHE = 300_000
 END = b"\n"  # no word has it
-#: Features of a history that choose the class, and the first ones, that also choose the word.
-CLASS_FEATURES, WORD_FEATURES = 4, 2
+#: Features of a history; each chooses the class and, with the class, the word.
+FEATURES = 4
 #: Rows of one product of matrices: few enough that it takes one thread.
 PRODUCT = 224
 #: Training tokens that a task has at least, unless there are fewer tasks than cores.
@@ -177,7 +178,7 @@ def history(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 def within(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Rows of the word factor's table: the first features with the class."""
-    return rows[:, :WORD_FEATURES] ^ (classes.astype(np.int64) * 40_503 & (1 << TABLE_BITS) - 1)[:, None]
+    return rows ^ (classes.astype(np.int64) * 40_503 & (1 << TABLE_BITS) - 1)[:, None]
 
 
 def _sums(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -547,6 +548,6 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     out = score(docs, docs.where(~held_out))
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
