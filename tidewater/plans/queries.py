@@ -834,6 +834,25 @@ def _time_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fed(spark, [rows], lambda live: run_task(live, "user_id", Recent(), schema, order=["ms", "event_id"]), "series")[0]
 
 
+class Clicks(Task):
+    """How many clicks of a bootstrap input a user has, at each view."""
+
+    def bootstrap(self, key, row, store) -> None:
+        store.put("clicks", str(int(store.get("clicks") or 0) + 1))
+
+    def process(self, key, row, store) -> list[tuple]:
+        return [(key, row.event_id, int(store.get("clicks") or 0))]
+
+
+@_over("streaming_bootstrap", "select user_id, event_id, (select count(*) from events c where c.user_id = v.user_id and c.event_type = 'click') as clicks from events v where event_type = 'view'")
+def _bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of a user's clicks are handled before the first view, in whatever batch it comes."""
+    rows, schema = spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id long, event_id long, clicks long"
+    clicks = rows.where("event_type = 'click'").select("user_id", "event_id")
+    views = [part.where("event_type = 'view'").select("user_id", "event_id") for part in _batches(spark, sf_dir, ["user_id", "event_id", "event_type"])]
+    return _fed(spark, views, lambda live: run_task(live, "user_id", Clicks(), schema, bootstrap=clicks), "bootstrap")[0]
+
+
 @_over("streaming_shutdown", "select event_id, user_id from events")
 def _shutdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query over an endless source that ends because its last row asks for it."""

@@ -119,6 +119,9 @@ class Task:
     def process(self, key, row, store) -> list[tuple]:
         raise NotImplementedError
 
+    def bootstrap(self, key, row, store) -> None:
+        """Called for each row of the bootstrap input, all of a key's before ``process`` gets its first row."""
+
     def window(self, key, store) -> list[tuple]:
         """Called when the key's timer fires."""
         return []
@@ -146,6 +149,12 @@ class _TaskProcessor(StatefulProcessor):
         self.store.entries.flush()
         return pd.DataFrame(out, columns=self.columns)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.store.entries.begin()
+        for r in _ordered(iter([initialState]), [c for c in self.order if c in initialState.columns]).itertuples(index=False):
+            self.task.bootstrap(key[0], r, self.store)
+        self.store.entries.flush()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
         self.store.entries.begin()
@@ -218,11 +227,17 @@ class TaskStore:
         return [(k.decode(), self._value(v)) for k, v in self.entries.range(start.encode(), stop.encode())]
 
 
-def run_task(df: DataFrame, key: str, task: Task, schema: str, every_ms: int | None = None, event_time: bool = False, order: list[str] | None = None) -> DataFrame:
-    """A task over a keyed stream (or a bounded frame): its rows, each with the columns of ``schema``. With ``order``, a key's rows of a micro-batch come sorted by these columns."""
+def run_task(
+    df: DataFrame, key: str, task: Task, schema: str, every_ms: int | None = None, event_time: bool = False, order: list[str] | None = None, bootstrap: DataFrame | None = None
+) -> DataFrame:
+    """A task over a keyed stream (or a bounded frame): its rows, each with the columns of ``schema``. With ``order``, a key's rows of a micro-batch come sorted by these columns.
+
+    ``bootstrap`` is a bounded frame with the key, such as what a stream's source holds now: its
+    rows go to ``Task.bootstrap`` before the query's first rows, and not again when it is restarted.
+    """
     ship_package(df.sparkSession)
     names = StructType.fromDDL(schema).names
-    return df.groupBy(key).transformWithStateInPandas(_TaskProcessor(task, names, every_ms, event_time, order or []), schema, "Append", "EventTime" if event_time else "ProcessingTime" if every_ms else "None")
+    return df.groupBy(key).transformWithStateInPandas(_TaskProcessor(task, names, every_ms, event_time, order or []), schema, "Append", "EventTime" if event_time else "ProcessingTime" if every_ms else "None", initialState=bootstrap.groupBy(key) if bootstrap is not None else None)
 
 
 class _Read:
