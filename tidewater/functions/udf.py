@@ -40,12 +40,12 @@ def _name(text: str) -> str:
     return text[:-3] if text.lower().endswith("udf") and len(text) > 3 else text
 
 
-_instances: dict[tuple[str, int], object] = {}
+_instances: dict[tuple[str, str, frozenset], object] = {}
 
 
 def _call(kind: type, config: dict[str, str]) -> Callable:
     def run(*args):
-        key = (kind.__qualname__, hash(frozenset(config.items())))
+        key = (kind.__module__, kind.__qualname__, frozenset(config.items()))
         if key not in _instances:
             made = kind()
             if hasattr(made, "init"):

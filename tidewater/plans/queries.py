@@ -148,6 +148,25 @@ sql(
     extended=True,
 )
 
+sql(
+    "sql_union",
+    "SELECT event_id, user_id FROM src.events WHERE event_type = 'view' UNION ALL SELECT event_id, user_id FROM src.events WHERE value > 50 UNION ALL SELECT c_custkey, c_nationkey FROM src.customer",
+    "select event_id, user_id from events where event_type = 'view' union all select event_id, user_id from events where value > 50 union all select c_custkey, c_nationkey from customer",
+    extended=True,
+)
+sql(
+    "sql_intersect_except",
+    "SELECT user_id FROM (SELECT user_id FROM src.events WHERE event_type = 'view' INTERSECT SELECT user_id FROM src.events WHERE event_type = 'click') AS t WHERE user_id > 1 EXCEPT SELECT c_custkey FROM src.customer WHERE c_custkey < 5",
+    "(select user_id from events where event_type = 'view' intersect select user_id from events where event_type = 'click') except select c_custkey from customer where c_custkey < 5 or c_custkey <= 1",
+    extended=True,
+)
+sql("sql_unnest", "SELECT e.vec_id AS vec_id, x FROM src.embeddings AS e, UNNEST(e.embedding) AS t(x) WHERE x > 0.1", "select vec_id, x from (select vec_id, unnest(embedding) as x from embeddings) where x > cast(0.1 as decimal(2,1))", extended=True)
+sql(
+    "sql_left_join",
+    "SELECT c.c_custkey AS c_custkey, COUNT(o.o_orderkey) AS n, COUNT(DISTINCT o.o_orderstatus) AS kinds FROM src.customer AS c LEFT JOIN src.orders AS o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey",
+    "select c_custkey, count(o_orderkey) as n, count(distinct o_orderstatus) as kinds from customer left join orders on o_custkey = c_custkey group by 1",
+    extended=True,
+)
 sql(
     "sql_dot",
     "SELECT event_id, s.a AS a, s.b AS b FROM (SELECT event_id, named_struct('a', user_id, 'b', value) AS s FROM src.events) AS t WHERE s.a > 10",
