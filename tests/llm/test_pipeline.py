@@ -10,9 +10,10 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewater.llm import flac, linededup, queries
+from tidewater.llm import flac, linededup, queries, sharding
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -71,6 +72,33 @@ def test_op6(spark, docs):
     assert all(s == set(range(counts[k])) for k, s in slots.items())
 
 
+@pytest.mark.parametrize("bucket", [7, 10_000])
+def test_op6_is_the_plain_ranking(spark, bucket):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    df = df.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 17 > 0, F.col("source"))).unionAll(df.limit(20))
+    text = F.coalesce("text", F.lit(""))
+    seed, stratum = F.lit(sharding.SEED), F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source"))
+    rows = df.select("doc_id", F.crc32(text.cast("binary")).alias("crc"), stratum.alias("s")).withColumns({"h": F.xxhash64(seed, "doc_id", "crc"), "shift": F.xxhash64(seed, F.lit("shift"), "s")}).collect()
+    strata = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.h, r.doc_id, r.crc)):
+        strata[r.s].append(r)
+    placed = sorted(((k + min(r.shift / 2**64 + 0.5, 1 - 2**-53)) / len(own), s, r.h, r.doc_id, r.crc) for s, own in strata.items() for k, r in enumerate(own))
+    want = Counter()
+    for at, x in enumerate(placed):
+        shard = at * 24 // len(rows)
+        want[x[3], shard, at - (shard * len(rows) + 23) // 24] += 1
+    assert Counter((r.doc_id, r.shard, r.slot) for r in sharding.interleave(df, bucket_rows=bucket).collect()) == want
+
+
+def test_op3_on_held_out_labels(spark):
+    """Of labelled rows that were not learned from, toxic ones are found and clean ones left."""
+    top = "/root/testdata/sf0.01"
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{top}/labels.parquet").where("toxic is not null").collect()}
+    rows = [r for r in queries.QUERIES["op3_toxicity"](spark, top).collect() if r.held_out and r.doc_id in label]
+    toxic, clean = [r.score for r in rows if label[r.doc_id] == 1], [r.score for r in rows if label[r.doc_id] == 0]
+    assert len(toxic) >= 10 and sum(x >= 0.7 for x in toxic) >= 0.7 * len(toxic) and sum(x >= 0.7 for x in clean) <= 0.03 * len(clean)
+
+
 def test_op8(spark, docs):
     tokens = {i: [*re.split(r"[\x20\x09-\x0D]+", (r.text or "").translate(LOWER).strip(" \t\n\x0b\x0c\r")), "\n"] for i, r in docs.items()}
     tokens = {i: [x for x in t if x] for i, t in tokens.items()}
