@@ -9,6 +9,7 @@ from tidewater.operators import Stream, group_tasks, partition_count, partitions
 from tidewater.sources import SERDES
 from tidewater.sources.serdes import encrypted
 from tidewater.streaming import SlidingReservoir, TaskStore, TimeSeries
+from tidewater.streaming.stateful import PlainMap
 
 
 def test_partition_counts():
@@ -42,30 +43,8 @@ def test_reservoir():
     assert r.snapshot() == {"count": 0}
 
 
-class Map:
-    """A state map in memory."""
-
-    def __init__(self):
-        self.d = {}
-
-    def containsKey(self, k):
-        return k in self.d
-
-    def getValue(self, k):
-        return self.d[k]
-
-    def updateValue(self, k, v):
-        self.d[k] = v
-
-    def removeKey(self, k):
-        self.d.pop(k, None)
-
-    def iterator(self):
-        return iter(self.d.items())
-
-
 def test_time_series_and_store():
-    store = TaskStore(Map())
+    store = TaskStore(PlainMap({}))
     series = TimeSeries(store)
     for ms, v in ((5, "a"), (5, "b"), (7, "c"), (40, "d")):
         series.put("k", v, ms)

@@ -92,8 +92,8 @@ class Stream:
         return streams[0].merge(*streams[1:])
 
     def lookup(self, table: DataFrame, on: str | list[str], how: str = "inner", limit: int = BROADCAST_BYTES) -> Stream:
-        """Rows with those of a table that have their key. The table is broadcast if the planner's size of it is at most ``limit``, else both sides are shuffled."""
-        size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        """Rows with those of a bounded table that have their key. The table is broadcast if its rows, measured as JSON, have at most ``limit`` bytes, else both sides are shuffled."""
+        size = table.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*table.columns)))), F.lit(0))).first()[0]
         return self._with(self.df.join(F.broadcast(table) if size <= limit else table, on, how))
 
     # state

@@ -25,18 +25,15 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 _KEYS = {"events": "event_id", "orders": "o_orderkey", "part": "p_partkey"}
 
 
-@udf("string", name="RegexExtractFirst")
+@udf("string", name="RegexExtractFirst", vectorized=True)
 class RegexExtractFirstUdf:
     """A user-defined function with a configuration: the first match of its pattern."""
 
     def init(self, config: dict[str, str]) -> None:
-        import re
+        self.pattern = f"({config['pattern']})"
 
-        self.pattern = re.compile(config["pattern"])
-
-    def execute(self, text: str | None) -> str | None:
-        found = self.pattern.search(text) if text is not None else None
-        return found[0] if found else None
+    def execute(self, text):
+        return text.str.extract(self.pattern, expand=False)
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
@@ -549,7 +546,7 @@ def _rolling(e: Stream) -> DataFrame:
 @stream("sink_time_buckets", "select event_id, strftime(ts, '%Y_%m_%d-%H') as bucket, strftime(ts, '%Y_%m_%d-%H') as partition from events")
 def _buckets(e: Stream) -> DataFrame:
     spark, path = e.df.sparkSession, scratch(e.df.sparkSession, "buckets")
-    bucketed_writer(e.map("event_id", "ts").df, path, "ts")
+    bucketed_writer(e.map("event_id", "ts").df, path, "ts", tasks=2)
     return directory_partitions(spark.read.parquet(path).select("event_id", "bucket"), "bucket=([^/]+)")
 
 

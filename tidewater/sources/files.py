@@ -38,7 +38,7 @@ def rolling_writer(df: DataFrame, path: str, kind: str = "parquet", max_records:
     df.write.mode(mode).format(kind).option("maxRecordsPerFile", max_records).save(path)
 
 
-def bucketed_writer(df: DataFrame, path: str, time: str, kind: str = "parquet", pattern: str = "yyyy_MM_dd-HH", max_records: int = 262_144, mode: str = "append", tasks: int = 1) -> None:
+def bucketed_writer(df: DataFrame, path: str, time: str, kind: str = "parquet", pattern: str = "yyyy_MM_dd-HH", max_records: int = 262_144, mode: str = "append", tasks: int = 8) -> None:
     """A folder for each time bucket; rows of a bucket are gathered first in ``tasks`` tasks, so that a bucket has few files and a full one needn't fit one task."""
     out = df.withColumn("bucket", F.date_format(time, pattern))
     salt = [F.pmod(F.xxhash64(*[F.col(c) for c, kind in df.dtypes if not kind.startswith("map")]), F.lit(tasks))] if tasks > 1 else []

@@ -240,8 +240,8 @@ def run_task(
     return df.groupBy(key).transformWithStateInPandas(_TaskProcessor(task, names, every_ms, event_time, order or []), schema, "Append", "EventTime" if event_time else "ProcessingTime" if every_ms else "None", initialState=bootstrap.groupBy(key) if bootstrap is not None else None)
 
 
-class _Read:
-    """The entries of a key that has ended, as ``OrderedMap`` gives them."""
+class PlainMap:
+    """What ``OrderedMap`` does, over a dictionary: of a key that has ended, or in tests of a task."""
 
     def __init__(self, entries: dict[bytes, bytes]):
         self.entries = entries
@@ -272,11 +272,11 @@ def end_task(spark: SparkSession, checkpoint: str, key: str, task: Task, schema:
     def run(of: tuple, found: pd.DataFrame) -> pd.DataFrame:
         entries = {bytes(k): bytes(v) for keys, vals in zip(found["keys"], found["vals"], strict=True) for k, v in zip(keys, vals, strict=True)}
         task.setup()
-        out = task.end(of[0], TaskStore(_Read(entries), binary=task.binary))
+        out = task.end(of[0], TaskStore(PlainMap(entries), binary=task.binary))
         task.teardown()
         return pd.DataFrame(out, columns=names)
 
     return left.groupBy("key").applyInPandas(run, schema)
 
 
-__all__ = ["LatestJoin", "Task", "TaskStore", "end_task", "join_streams", "run_task"]
+__all__ = ["LatestJoin", "PlainMap", "Task", "TaskStore", "end_task", "join_streams", "run_task"]
