@@ -19,7 +19,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +85,7 @@ class Search:
     def __init__(self, bins: list[list[int]], lengths: list[int], size: int):
         self.size = size
         self.bins = [sorted((lengths[i], i) for i in b) for b in bins]
+        self.sizes = [[n for n, _ in b] for b in self.bins]  # the same, for a quicker search
         self.fill = [sum(n for n, _ in b) for b in self.bins]
         self.at: list[set[int]] = [set() for _ in range(size + 1)]  # bins by their room
         self.mask = 0  # bit r: some bin has room r
@@ -109,8 +110,11 @@ class Search:
         self._take(target)
         for here, there, some in ((source, target, [piece]), (target, source, back)):
             for x in some:
-                self.bins[here].remove(x)
-                insort(self.bins[there], x)
+                k = bisect_left(self.bins[here], x)
+                del self.bins[here][k], self.sizes[here][k]
+                k = bisect_left(self.bins[there], x)
+                self.bins[there].insert(k, x)
+                self.sizes[there].insert(k, x[0])
         self.fill[target] += gain
         self.fill[source] -= gain
         self._put(target)
@@ -118,20 +122,22 @@ class Search:
 
     def _best_in(self, target: int, n: int, room: int, below: int) -> tuple[int, list[tuple[int, int]]]:
         """The exchange of a piece of length n for one or two of the target's that gains most, more than ``below``, at most its room."""
-        inside, found = self.bins[target], (below, [])
-        k = bisect_left(inside, (n - room,))
-        if k < len(inside) and n - inside[k][0] > below:
-            found = (n - inside[k][0], [inside[k]])
-        lo, hi = 0, bisect_left(inside, (n,)) - 1
-        while lo < hi and found[0] < room:
-            gain = n - inside[lo][0] - inside[hi][0]
-            if gain > room:
-                lo += 1
-                continue
-            if gain > found[0]:
-                found = (gain, [inside[lo], inside[hi]])
-            hi -= 1
-        return found
+        inside, gained, found = self.sizes[target], below, ()
+        k = bisect_left(inside, n - room)
+        if k < len(inside) and n - inside[k] > gained:
+            gained, found = n - inside[k], (k,)
+        # Two pieces of at least n - room and less than n - gained together.
+        if gained < room and len(inside) > 1 and inside[0] + inside[1] < n - gained and inside[-1] + inside[-2] >= n - room:
+            lo, hi = 0, bisect_left(inside, n - inside[0]) - 1
+            while lo < hi and gained < room:
+                gain = n - inside[lo] - inside[hi]
+                if gain > room:
+                    lo += 1
+                    continue
+                if gain > gained:
+                    gained, found = gain, (lo, hi)
+                hi -= 1
+        return gained, [self.bins[target][k] for k in found]
 
     def _step(self, source: int) -> bool:
         """One move or exchange that takes tokens out of the source; false if there is none."""
@@ -147,6 +153,8 @@ class Search:
             while left and (r := left.bit_length() - 1) > best[0]:  # no exchange gains more than the room
                 left ^= 1 << r
                 for t in self.at[r]:
+                    if self.sizes[t][0] >= n - best[0]:  # its pieces are too long to come back
+                        continue
                     found = self._best_in(t, n, r, best[0])
                     if found[1] and self.fill[t] + found[0] > self.fill[source]:
                         best, target = found, t
