@@ -36,7 +36,6 @@ whatever their names.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -45,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, checkpoint, ship, slices, table, task
+from .common import blobs, checkpoint, coded_words, distinct_words, ship, slices, table, task
 
 HEAD, LOOKUP, WORD_BYTES = 16_384, 262_144, 64
 CLUSTERS, CONTEXTS, CLASSES, SIDE = 8, 32, 16, 32
@@ -58,6 +57,10 @@ END = b"\n"  # no word has it
 FEATURES = 4
 #: Rows of one product of matrices: few enough that it takes one thread.
 PRODUCT = 224
+#: Words that a task holds at most while it counts.
+COUNTED = 800_000
+#: Rows with more tokens than this in a step are summed one by one, the others together.
+TOGETHER = 64
 #: Training tokens that a task has at least, unless there are fewer tasks than cores.
 TASK_TOKENS = 2_000_000
 
@@ -164,16 +167,26 @@ def _mixture(around: np.ndarray, counts: np.ndarray, rounds: int = 20) -> np.nda
 
 def history(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Rows of the weight table for each token: hashed features of the words before it in its text."""
-    t = np.arange(len(ids))
+    t = np.arange(len(ids)) - start
+    m = np.uint64(0x9E3779B97F4A7C15)
+
+    def hashed(x: np.ndarray, k: int) -> np.ndarray:
+        return ((((x + np.uint64(k << 56)) * m) ^ ((x * m) >> np.uint64(29))) * m >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
     past = []
     for k in (1, 2, 3):
-        x = np.full(len(ids), -1, np.int64)
-        x[k:] = ids[:-k]
-        past.append(np.where(t - start >= k, x, -1) + 2)
-    w1, w2, w3 = (x.astype(np.uint64) for x in past)
-    m = np.uint64(0x9E3779B97F4A7C15)
-    raw = [w1, w1 << np.uint64(24) | w2, w2, w3]
-    return np.stack([(((x + np.uint64(k << 56)) * m) ^ ((x * m) >> np.uint64(29))) * m >> np.uint64(64 - TABLE_BITS) for k, x in enumerate(raw)], 1).astype(np.int64)
+        x = np.full(len(ids), 1, np.int64)
+        x[k:] = ids[:-k] + 2
+        x[t < k] = 1
+        past.append(x)
+    w1, w2, w3 = past
+    single = np.arange(int(ids.max(initial=0)) + 3, dtype=np.uint64)  # each word is hashed once
+    out = np.empty((len(ids), FEATURES), np.int64)
+    out[:, 0] = np.take(hashed(single, 0), w1)
+    out[:, 1] = hashed((w1 << 24 | w2).astype(np.uint64), 1)
+    out[:, 2] = np.take(hashed(single, 2), w2)
+    out[:, 3] = np.take(hashed(single, 3), w3)
+    return out
 
 
 def within(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -197,15 +210,13 @@ def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
     return np.exp(z - top), top[:, 0]
 
 
-def _softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The logarithm of each target's probability, and the probabilities of all classes."""
+def _softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The logarithm of each target's probability; and of all classes, numbers like their probabilities and the sums of these."""
     z = _sums(weights, rows)
     z += bias
     p, top = _exp(z)
     mass = p @ np.ones(p.shape[1], np.float32)
-    logs = z[np.arange(len(z)), target] - np.log(mass) - top
-    p *= (1 / mass)[:, None]
-    return logs, p
+    return np.take(z, np.arange(len(z)) * z.shape[1] + target) - np.log(mass) - top, p, mass
 
 
 class Inner:
@@ -214,10 +225,15 @@ class Inner:
     def __init__(self, weights: np.ndarray, grid: np.ndarray, rows: np.ndarray, classes: np.ndarray, places: np.ndarray):
         z = _sums(weights, rows)
         self.row, self.column = places // SIDE, places % SIDE
-        at = np.arange(len(z))
-        logit = z[at, self.row] + z[at, SIDE + self.column] + np.log(grid[classes, self.row, self.column])
-        (self.left, top), (self.right, more) = _exp(z[:, :SIDE]), _exp(z[:, SIDE:])
-        self.spread = np.empty_like(self.left)  # each row's sum over its columns
+        at = np.arange(len(z)) * z.shape[1]
+        shares = np.take(grid, classes.astype(np.int64) * SIDE * SIDE + places)
+        logit = np.take(z, at + self.row) + np.take(z, at + SIDE + self.column) + np.log(shares)
+        if max(float(z.max()), -float(z.min())) < 60:
+            both, top, more = np.exp(z), 0.0, 0.0
+            self.left, self.right = both[:, :SIDE], both[:, SIDE:]
+        else:
+            (self.left, top), (self.right, more) = _exp(z[:, :SIDE]), _exp(z[:, SIDE:])
+        self.spread = np.empty((len(z), SIDE), np.float32)  # each row's sum over its columns
         self.grid = grid
         edges = np.flatnonzero(np.diff(classes, prepend=-1, append=-1)).tolist()
         self.spans = [(slice(at, min(at + PRODUCT, b)), int(classes[a])) for a, b in zip(edges[:-1], edges[1:], strict=True) for at in range(a, b, PRODUCT)]
@@ -229,14 +245,13 @@ class Inner:
     def errors(self) -> np.ndarray:
         """The gradient of the logarithm by the sums of row and of column weights."""
         out = np.empty((len(self.mass), 2 * SIDE), np.float32)
-        scale = (-1 / self.mass)[:, None]
-        np.multiply(self.left * self.spread, scale, out=out[:, :SIDE])
+        left = self.left * (-1 / self.mass)[:, None]
+        np.multiply(left, self.spread, out=out[:, :SIDE])
         for own, c in self.spans:
-            np.multiply(self.right[own], self.left[own] @ self.grid[c], out=out[own, SIDE:])
-        out[:, SIDE:] *= scale
-        at = np.arange(len(out))
-        out[at, self.row] += 1
-        out[at, SIDE + self.column] += 1
+            np.multiply(self.right[own], left[own] @ self.grid[c], out=out[own, SIDE:])
+        flat, at = out.reshape(-1), np.arange(len(out)) * out.shape[1]
+        flat[at + self.row] += 1
+        flat[at + SIDE + self.column] += 1
         return out
 
 
@@ -253,7 +268,10 @@ class Learner:
         squares = self.squares[own] + np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
         self.squares[own] = squares
         grad *= (np.float32(rate) / np.sqrt(squares))[:, None]
-        self.w[own] = np.take(self.w, own, 0) + grad
+        grad += np.take(self.w, own, 0)
+        # A row is one value of so many bytes: copied whole.
+        whole = np.dtype((np.void, grad.itemsize * grad.shape[1]))
+        np.put(self.w.view(whole), own, grad.view(whole))
 
 
 def _gridded(classes: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -267,7 +285,8 @@ def _learn(outer: Learner, inner: Learner, bias: np.ndarray, model: Classes, ids
     rows, target, place = history(ids, start), model.class_of[ids], model.place_of[ids]
     for at in range(0, len(ids), STEP):
         r, y, p = rows[at : at + STEP], target[at : at + STEP], place[at : at + STEP]
-        _, error = _softmax(outer.w, bias, r, y)
+        _, error, mass = _softmax(outer.w, bias, r, y)
+        error *= (1 / mass)[:, None]
         error[np.arange(len(y)), y] -= 1
         outer.step(r, error, -RATE)
         some = _gridded(y, p)
@@ -282,7 +301,7 @@ def _logs(outer: np.ndarray, inner: np.ndarray, bias: np.ndarray, model: Classes
     out = np.empty(len(ids))
     for at in range(0, len(ids), STEP):
         r, y, p = rows[at : at + STEP], target[at : at + STEP], place[at : at + STEP]
-        out[at : at + STEP], _ = _softmax(outer, bias, r, y)
+        out[at : at + STEP] = _softmax(outer, bias, r, y)[0]
         some = _gridded(y, p)
         if len(some):
             out[at + some] += Inner(inner, model.grid, within(r[some], y[some]), y[some], p[some]).logs
@@ -290,46 +309,61 @@ def _logs(outer: np.ndarray, inner: np.ndarray, bias: np.ndarray, model: Classes
 
 
 def _row_sums(rows: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows of the table that a step uses, how often, and the sum of their tokens' errors."""
+    """The rows of the table that a step uses, the most used ones first, how often, and the sum of their tokens' errors."""
     flat = rows.ravel().astype(np.uint16 if TABLE_BITS <= 16 else np.int64)  # short numbers sort in linear time
     order = np.argsort(flat, kind="stable")
-    used, token = flat[order], order // rows.shape[1]
+    used, token = np.take(flat, order), order // rows.shape[1]
     first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
     times = np.diff(np.append(first, len(used)))
-    grad = np.empty((len(first), error.shape[1]), np.float32)
-    once = times == 1  # most rows
-    grad[once] = np.take(error, token[first[once]], 0)
-    for i in np.flatnonzero(times > 64):
-        grad[i] = error[token[first[i] : first[i] + times[i]]].sum(0)
-    some = ~once & (times <= 64)
-    if some.any():
-        n = times[some]
-        grad[some] = np.add.reduceat(np.take(error, token[np.repeat(some, times)], 0), np.cumsum(n) - n, axis=0)
-    return used[first].astype(np.int64), times, grad
-
-
-def _flat(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """All tokens in a row, their number in each text, and for each token where its text starts."""
-    lengths = np.array([len(x) for x in texts], np.int64)
-    return [y for x in texts for y in x], lengths, np.repeat(np.cumsum(lengths) - lengths, lengths)
+    falling = np.argsort((len(used) - times).astype(np.uint16 if len(used) < 1 << 16 else np.int64), kind="stable")
+    first, times = np.take(first, falling), np.take(times, falling)
+    grad = np.take(error, np.take(token, first), 0)
+    # So many rows have more tokens than 0, 1, 2 and so on: their next token's errors are added together, without a step for each row.
+    more = len(times) - np.cumsum(np.bincount(np.minimum(times, TOGETHER + 1)))
+    often = int(more[TOGETHER]) if len(more) > TOGETHER else 0
+    for i in range(often):
+        grad[i] = error.take(token[first[i] : first[i] + times[i]], 0).sum(0)
+    for k, n in enumerate(more[1:TOGETHER].tolist(), 1):
+        if n > often:
+            grad[often:n] += error.take(token.take(first[often:n] + k), 0)
+    return np.take(used, first).astype(np.int64), times, grad
+
+
+def _flat(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens of some texts, for all tokens in a row the place of each there, their number in each text, and for each token where its text starts."""
+    found, index, sizes = distinct_words(column)
+    lengths = sizes + 1
+    ends = np.cumsum(lengths)
+    inside = np.ones(int(lengths.sum()), bool)
+    inside[ends - 1] = False
+    out = np.full(len(inside), len(found), np.int64)
+    out[inside] = index
+    return [*found, END], out, lengths, np.repeat(ends - lengths, lengths)
 
 
 def _count(docs: DataFrame, text_col: str) -> DataFrame:
+    kind = pa.schema({"word": pa.binary(), "n": pa.int64()})
+
     @task("maxent")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        def summed() -> pa.Table:
+            found = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
             held.clear()
-            return out
+            return found.combine_chunks()
 
-        for batch in batches:
-            for text in blobs(batch.column(text_col)):
-                held.update(tokens(text))
-                if len(held) > 400_000:
-                    yield flush()
-        yield flush()
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                words, index, _ = coded_words(batch.column(text_col))
+                held.append(pa.table({"word": words, "n": np.bincount(index, minlength=len(words))}))
+                held.append(pa.table({"word": pa.array([END], words.type), "n": np.array([batch.num_rows])}))
+                if sum(map(len, held)) > COUNTED:
+                    held.append(summed())
+                    if len(held[0]) > COUNTED // 2:
+                        yield from held.pop().cast(kind).to_batches()
+        if held:
+            yield from summed().cast(kind).to_batches()
 
     return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -363,8 +397,8 @@ def _around(docs: DataFrame, head: list[bytes], text_col: str) -> np.ndarray:
         held = np.zeros(n * CONTEXTS, np.int64)
         for whole in batches:
             for batch in slices(whole, text_col):
-                words, _, start = _flat([tokens(x) for x in blobs(batch.column(text_col))])
-                ids = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+                words, index, _, start = _flat(batch.column(text_col))
+                ids = np.take(np.fromiter(map(get, words, repeat(-1)), np.int64, len(words)), index)
                 at = np.flatnonzero((ids >= 0) & (ids < CONTEXTS))
                 pairs = []
                 for k in (-2, -1, 1, 2):
@@ -392,8 +426,8 @@ def _round(docs: DataFrame, classes, weights: np.ndarray, inner: np.ndarray, bia
         learners, model = (Learner(w), Learner(u)), classes.value
         for whole in batches:
             for batch in slices(whole, text_col):
-                words, _, start = _flat([tokens(x) for x in blobs(batch.column(text_col))])
-                _learn(*learners, b, model, model.id_of[model.codes(words)], start)
+                words, index, _, start = _flat(batch.column(text_col))
+                _learn(*learners, b, model, np.take(model.id_of[model.codes(words)], index), start)
         for first, own in zip((0, first_inner), learners, strict=True):
             rows = np.flatnonzero(own.seen)
             for at in range(0, len(rows), 8192):
@@ -497,32 +531,27 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
         smooth = np.log10(own.count_of + 0.5) if own else None
         for whole in batches:
             for batch in slices(whole, text_col):
-                texts = [tokens(x) for x in blobs(batch.column(text_col))]
-                flat, lengths, start = _flat(texts)
-                doc = np.repeat(np.arange(len(texts)), lengths)
-                codes = own.codes(flat) if own else np.zeros(len(flat), np.int64)
-                c = own.count_of[codes] if own else np.zeros(len(flat))
+                words, index, lengths, start = _flat(batch.column(text_col))
+                texts = len(lengths)
+                doc = np.repeat(np.arange(texts), lengths)
+                of_word = own.codes(words) if own else np.zeros(len(words), np.int64)
+                codes = np.take(of_word, index)
+                c = np.take(own.count_of, codes) if own else np.zeros(len(codes))
                 listed = c > 0
-                base = np.bincount(doc, np.where(listed, smooth[codes] - whole_log, 0), len(texts)) if own else np.zeros(len(texts))
-                model_score = np.zeros(len(texts))
+                base = np.bincount(doc, np.where(listed, np.take(smooth, codes) - whole_log, 0), texts) if own else np.zeros(texts)
+                model_score = np.zeros(texts)
                 if own:
-                    ids = own.id_of[codes]
+                    ids = np.take(own.id_of, codes)
                     logs = _logs(w, u, bias, own, ids, start) / np.log(10)
                     some = (ids >= own.n_head) & listed
                     logs[some] += np.log10(c[some]) + each[ids[some] - own.n_head]
-                    model_score = np.bincount(doc, logs, len(texts))
-                loose = np.flatnonzero(~listed)
-                edges = np.searchsorted(doc[loose], np.arange(len(texts) + 1)).tolist()
-                words, times, ends = [], [], [0]
-                loose = [flat[i] for i in loose.tolist()]
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    found = Counter(loose[a:b])
-                    words += found.keys()
-                    times += found.values()
-                    ends.append(len(words))
-                cluster = own.codes(words) - len(own.listed) if own else np.zeros(len(words), np.int64)
-                known = np.bincount(doc[listed], minlength=len(texts))
-                fields = [pa.array(words, pa.binary()), pa.array(times, pa.int64()), pa.array(cluster.astype(np.int32))]
+                    model_score = np.bincount(doc, logs, texts)
+                loose, times = np.unique((doc * len(words) + index)[~listed], return_counts=True)  # in order of texts
+                at, loose = np.divmod(loose, len(words))
+                ends = np.searchsorted(at, np.arange(texts + 1))
+                cluster = np.take(of_word, loose) - len(own.listed) if own else np.zeros(len(loose))
+                known = np.bincount(doc[listed], minlength=texts)
+                fields = [pa.array(words, pa.binary()).take(pa.array(loose)), pa.array(times, pa.int64()), pa.array(cluster.astype(np.int32))]
                 loose_words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names=["word", "n", "k"]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(id_col), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base.astype(float)), pa.array(model_score.astype(float)), loose_words], names=["doc_id", "n_tokens", "known", "base", "model", "rest"]
