@@ -16,8 +16,9 @@ import re
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 
-from .common import drops
+from .common import distinct_words, drops
 
 CACHE = 300_000
 #: Chunks longer than this are encoded but not kept.
@@ -26,12 +27,21 @@ LONG_CHUNK = 64
 SEPARATOR, TOGETHER = b"|", 128
 #: Small letters of ASCII and Latin-1 in UTF-8.
 _WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
-#: What ends a chunk whose last character is a token of its own.
-_STOPS = tuple(bytes([x, y]) for x in range(97, 123) for y in b".,")
+#: The vocabulary's characters for the bytes that words of small letters have and Latin-1 shows otherwise.
+_SHOWN = {"\x9f": "\u0141", "\xa0": "\u0142", "\xad": "\u0143"}
 _workers: dict[str, Encoder] = {}
 drops.append(_workers.clear)
 
 
+def _bytes_level(words: bytes) -> str:
+    """Words as the vocabulary writes them, a character for each byte; ASCII letters stand for themselves."""
+    out = words.decode("latin-1")
+    if not words.isascii():
+        for byte, shown in _SHOWN.items():
+            out = out.replace(byte, shown)
+    return out
+
+
 class Encoder:
     """Ids as little-endian unsigned 16-bit numbers; the vocabulary must have fewer than 65,536."""
 
@@ -44,7 +54,7 @@ class Encoder:
             raise ValueError("ids of this vocabulary don't fit 16 bits")
         self.words = Tokenizer.from_file(path)
         self.words.normalizer = None
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.limit = cache
         self.known: dict[bytes, bytes] = {}
         (self.separator,) = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
@@ -58,12 +68,14 @@ class Encoder:
         out: dict[bytes, bytes] = {}
         words, rest, alone = [], [], []
         for c in chunks:
-            (words if _WORD(c) else alone if SEPARATOR in c else rest).append(c)
+            (words if c.isalpha() or _WORD(c) else alone if SEPARATOR in c else rest).append(c)
         groups, texts = [], []
         for tokenizer, own in ((self.words, words), (self.tokenizer, rest)):
             cut = [own[at : at + TOGETHER] for at in range(0, len(own), TOGETHER)]
             groups += cut
-            texts += tokenizer.encode_batch_fast([b" | ".join(g).decode() for g in cut], add_special_tokens=False)
+            joined = [b" | ".join(g) for g in cut]
+            joined = [x.decode() for x in joined] if tokenizer is self.tokenizer else [_bytes_level(x) for x in joined]
+            texts += tokenizer.encode_batch_fast(joined, add_special_tokens=False)
         for group, found in zip(groups, texts, strict=True):
             ids = np.array(found.ids, "<u2")
             cuts = np.flatnonzero(ids == self.separator)
@@ -79,7 +91,7 @@ class Encoder:
     def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
         """Keep the ids of new chunks; those of long ones are returned."""
         known = self.known
-        stems = {c: c[:-1] for c in missing if c.endswith(_STOPS)}
+        stems = {c: c[:-1] for c in missing if c[-1] in b".," and c[-2:-1].islower()}
         found = self._chunks([c for c in missing.union(stems.values()).difference(stems) if c not in known])
         for c, stem in stems.items():
             found[c] = (found[stem] if stem in found else known[stem]) + self.stops[c[-1]]
@@ -91,28 +103,30 @@ class Encoder:
         if len(known) > self.limit:  # the first ones are the most frequent
             known = self.known = dict(islice(known.items(), self.limit // 2))
         # A special token's string in a text is rare: such a text goes to the tokenizer as it is.
-        split = [None if b"<|" in x else x.lower().split() for x in texts]
-        out: list[bytes] = []
-        open_texts: list[tuple[int, list[bytes | None], list[int]]] = []  # with places of unknown chunks
-        missing: set[bytes] = set()
-        for x, chunks in zip(texts, split, strict=True):
-            if chunks is None:
-                out.append(self._plain([x])[0])
-                continue
-            ids = list(map(known.get, chunks))
-            if None in ids:
-                places = [k for k, y in enumerate(ids) if y is None]
-                open_texts.append((len(out), ids, places))
-                missing.update([chunks[k] for k in places])
-                out.append(b"")
-            else:
-                out.append(b"".join(ids))
-        long = self._learn(missing)
-        for i, ids, places in open_texts:
-            chunks = split[i]
-            for k in places:
-                ids[k] = known[chunks[k]] if chunks[k] in known else long[chunks[k]]
-            out[i] = b"".join(ids)
+        special = [i for i, x in enumerate(texts) if b"<|" in x]
+        plain = texts
+        if special:
+            plain = list(texts)
+            for i in special:
+                plain[i] = b""
+        # Each distinct chunk is looked up once; Arrow puts the ids of all chunks in a row.
+        chunks, index, sizes = distinct_words(pa.array(plain, pa.large_binary()))
+        ids = list(map(known.get, chunks))
+        places = [k for k, x in enumerate(ids) if x is None]
+        long = self._learn({chunks[k] for k in places})
+        for k in places:
+            ids[k] = known[chunks[k]] if chunks[k] in known else long[chunks[k]]
+        joined = pa.array(ids, pa.large_binary()).take(pa.array(index))
+        if not len(joined):
+            out = [b""] * len(texts)
+        else:
+            _, offsets, data = joined.buffers()
+            ends = np.frombuffer(offsets, np.int64, len(joined) + 1, 8 * joined.offset)
+            cuts = np.take(ends, np.concatenate([[0], np.cumsum(sizes)])).tolist()
+            view = memoryview(data) if data is not None else memoryview(b"")
+            out = [bytes(view[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in special:
+            out[i] = self._plain([texts[i]])[0]
         return out
 
 
