@@ -42,7 +42,7 @@ SEQ_LEN, SHARD_SLOTS, KEY, END_ID = 1024, 16_384, 0x5EED_0F_0DD5, 1
 #: Sequences in a row of the staging table, and bytes of ids in a bundle.
 ROW_SEQUENCES, BUNDLE_BYTES = 64, 16_000_000
 HEADER, MAGIC = 64, b"TIDESEQ1"
-ROUNDS, LEVEL = 6, 9
+ROUNDS, LEVEL = 6, 4
 #: Tasks that write shards are as many as shards, and at most so many.
 MAX_TASKS = 20_000
 #: Stands for a null id within a bundle.

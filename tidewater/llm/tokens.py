@@ -1,32 +1,35 @@
 """Token ids of a public vocabulary, fast for many texts.
 
 The tokenizer drops white space, never joins words across it, and is blind to case, so
-the ids of a text are those of its lower-cased white-space-separated chunks in order; a
-last full stop or comma after an ASCII letter is a token of its own. Chunks repeat, so
-each is encoded once and kept, up to ``CACHE`` chunks in each Python worker. New chunks go
-to the tokenizer many at a time, as one text with a separator that none of them has.
-Words of small letters are what the vocabulary's normaliser and its splitting leave as they
-are, so both are left out for them.
+the ids of a text are those of its lower-cased white-space-separated chunks in order; marks
+at the end of a chunk, after a letter or a digit, are a token of their own. Chunks repeat, so
+each is encoded once and kept, up to ``CACHE`` chunks in each Python worker, in two Arrow
+arrays: Arrow finds the places of all chunks of a batch there and takes their ids, and Python
+sees new chunks only. Those go to the tokenizer many at a time, as one text with a separator
+that none of them has. Words of small letters are what the vocabulary's normaliser and its
+splitting leave as they are, so both are left out for them.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import distinct_words, drops
+from .common import drops
 
 CACHE = 300_000
 #: Chunks longer than this are encoded but not kept.
 LONG_CHUNK = 64
 #: Separator of chunks, and how many go together.
 SEPARATOR, TOGETHER = b"|", 128
-#: Small letters of ASCII and Latin-1 in UTF-8.
-_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: Small letters of ASCII and letters of Latin-1 in UTF-8, whose capitals become small.
+_WORD = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+#: Marks that never go together with a letter or digit before them (an apostrophe does with a letter after it).
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The vocabulary's characters for the bytes that words of small letters have and Latin-1 shows otherwise.
 _SHOWN = {"\x9f": "\u0141", "\xa0": "\u0142", "\xad": "\u0143"}
 _workers: dict[str, Encoder] = {}
@@ -34,14 +37,22 @@ drops.append(_workers.clear)
 
 
 def _bytes_level(words: bytes) -> str:
-    """Words as the vocabulary writes them, a character for each byte; ASCII letters stand for themselves."""
-    out = words.decode("latin-1")
-    if not words.isascii():
-        for byte, shown in _SHOWN.items():
-            out = out.replace(byte, shown)
+    """Words as the vocabulary writes them, in small letters, a character for each byte; ASCII letters stand for themselves."""
+    if words.isascii():
+        return words.decode()
+    out = words.decode().lower().encode().decode("latin-1")
+    for byte, shown in _SHOWN.items():
+        out = out.replace(byte, shown)
     return out
 
 
+def _stem(chunk: bytes) -> bytes:
+    """The chunk without the marks at its end, if they are a token of their own or several."""
+    stem = chunk.rstrip(_MARKS)
+    last = stem[-1:]
+    return stem if last.isalnum() or stem[-2:-1] == b"\xc3" and last not in b"\x97\xb7" else chunk
+
+
 class Encoder:
     """Ids as little-endian unsigned 16-bit numbers; the vocabulary must have fewer than 65,536."""
 
@@ -56,9 +67,9 @@ class Encoder:
         self.words.normalizer = None
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.limit = cache
-        self.known: dict[bytes, bytes] = {}
+        #: Chunks and their ids; the empty one is what is before or after white space at a text's edges.
+        self.chunks = self.ids = pa.array([b""], pa.large_binary())
         (self.separator,) = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
-        self.stops = dict(zip(b".,", self._plain([b".", b","]), strict=True))
 
     def _plain(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
@@ -88,20 +99,22 @@ class Encoder:
         out.update(zip(alone, self._plain(alone), strict=True))
         return out
 
-    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        """Keep the ids of new chunks; those of long ones are returned."""
-        known = self.known
-        stems = {c: c[:-1] for c in missing if c[-1] in b".," and c[-2:-1].islower()}
-        found = self._chunks([c for c in missing.union(stems.values()).difference(stems) if c not in known])
-        for c, stem in stems.items():
-            found[c] = (found[stem] if stem in found else known[stem]) + self.stops[c[-1]]
-        known.update(found)
-        return {c: known.pop(c) for c in found if len(c) > LONG_CHUNK}
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new chunks, and after them those of their stems and marks that are new as well."""
+        stems = {c: stem for c in new if len(stem := _stem(c)) < len(c)}
+        own = set(new).difference(stems)
+        parts = pa.array({*stems.values(), *(c[len(stem) :] for c, stem in stems.items())} - own, pa.large_binary())
+        at = pc.index_in(self.chunks, value_set=parts)  # Arrow hashes the fewer of both
+        met = at.is_valid()
+        known = dict(zip(parts.take(at.filter(met)).to_pylist(), self.ids.filter(met).to_pylist(), strict=True))
+        more = [x for x in parts.to_pylist() if x not in known]
+        known.update(self._chunks([*own, *more]))
+        return {c: known[stems[c]] + known[c[len(stems[c]) :]] if c in stems else known[c] for c in new} | {x: known[x] for x in more}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.limit:  # the first ones are the most frequent
-            known = self.known = dict(islice(known.items(), self.limit // 2))
+        if len(self.chunks) > self.limit:  # the first ones are the most frequent
+            keep = max(1, self.limit // 2)
+            self.chunks, self.ids = self.chunks[:keep], self.ids[:keep]
         # A special token's string in a text is rare: such a text goes to the tokenizer as it is.
         special = [i for i, x in enumerate(texts) if b"<|" in x]
         plain = texts
@@ -109,22 +122,28 @@ class Encoder:
             plain = list(texts)
             for i in special:
                 plain[i] = b""
-        # Each distinct chunk is looked up once; Arrow puts the ids of all chunks in a row.
-        chunks, index, sizes = distinct_words(pa.array(plain, pa.large_binary()))
-        ids = list(map(known.get, chunks))
-        places = [k for k, x in enumerate(ids) if x is None]
-        long = self._learn({chunks[k] for k in places})
-        for k in places:
-            ids[k] = known[chunks[k]] if chunks[k] in known else long[chunks[k]]
-        joined = pa.array(ids, pa.large_binary()).take(pa.array(index))
-        if not len(joined):
-            out = [b""] * len(texts)
-        else:
-            _, offsets, data = joined.buffers()
-            ends = np.frombuffer(offsets, np.int64, len(joined) + 1, 8 * joined.offset)
-            cuts = np.take(ends, np.concatenate([[0], np.cumsum(sizes)])).tolist()
-            view = memoryview(data) if data is not None else memoryview(b"")
-            out = [bytes(view[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(plain, pa.large_binary()).view(pa.large_string())))
+        chunks = lists.flatten().cast(pa.large_binary())
+        coded = chunks.dictionary_encode()
+        at = pc.index_in(self.chunks, value_set=coded.dictionary)  # few of the batch are hashed, not all that are known
+        met = at.is_valid()
+        places = np.full(len(coded.dictionary), -1)
+        places[at.filter(met).to_numpy()] = np.flatnonzero(met.to_numpy(zero_copy_only=False))
+        ids, new = self.ids, places < 0
+        if new.any():
+            # New chunks stand after the known ones.
+            learned = self._learn(coded.dictionary.filter(pa.array(new)).to_pylist())
+            places[new] = len(ids) + np.arange(np.count_nonzero(new))
+            names, values = pa.array(learned, pa.large_binary()), pa.array(learned.values(), pa.large_binary())
+            ids = pa.concat_arrays([ids, values])
+            kept = pc.less_equal(pc.binary_length(names), LONG_CHUNK)
+            self.chunks, self.ids = pa.concat_arrays([self.chunks, names.filter(kept)]), pa.concat_arrays([self.ids, values.filter(kept)])
+        joined = ids.take(pa.array(places)).take(coded.indices)
+        _, offsets, data = joined.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(joined) + 1, 8 * joined.offset) if len(joined) else np.zeros(1, np.int64)
+        cuts = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)].tolist()
+        view = memoryview(data) if data is not None else memoryview(b"")
+        out = [bytes(view[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         for i in special:
             out[i] = self._plain([texts[i]])[0]
         return out
