@@ -1,12 +1,14 @@
 """Every operator on small tables with nulls, empties, long texts, ties, repeats and clashing names."""
 
+import random
+import tracemalloc
 import uuid
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate, flac, licenses, linededup, maxent, ngramjoin, packing, sharding, tokenfiles, toxicity
+from tidewater.llm import decontaminate, flac, graphs, licenses, linededup, maxent, ngramjoin, packing, sharding, tokenfiles, toxicity
 from tidewater.llm.common import shared_dir, tokenizer_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -254,6 +256,35 @@ def test_near_copies_without_ids(spark):
     assert got == [(0, 0, 0), (0, 7, 2), (0, 7, 2), (7, 7, 0), (7, 7, 2)]
 
 
+def test_components_equal_brute_force(spark):
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(1000, 1060)]
+    star = [(2000, 2000 + i) for i in range(1, 50)]
+    edges = [*chain, *star, *((rng.randrange(90), rng.randrange(90)) for _ in range(60)), (7, 7), (1030, 1010), (3001, -5), (3001, -5)]
+    rng.shuffle(edges)
+    want = {}
+    for u, v in edges:
+        if u != v:
+            a, b = want.setdefault(u, {u}), want.setdefault(v, {v})
+            a |= b
+            for x in b:
+                want[x] = a
+    rows = graphs.components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()
+    assert sorted(map(tuple, rows)) == sorted((x, min(nodes)) for x, nodes in want.items())
+    assert graphs.components(spark.createDataFrame([(4, 4)], "u long, v long")).count() == 0
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Rounds are many small tasks, whose ends all go through the driver's memory."""
+    written = []
+    monkeypatch.setattr(graphs, "checkpoint", lambda df, f=graphs.checkpoint: written.append(df) or f(df))
+    stars = [(10 * k + i, 10 * k) for k in range(4) for i in range(1, 10)]
+    graphs.components(spark.createDataFrame(stars, "u long, v long"))
+    assert len(written) == 1
+    graphs.components(spark.createDataFrame([*stars, (0, 10)], "u long, v long"))
+    assert len(written) == 3
+
+
 def test_pruning_bounds():
     least = ngramjoin.least_matches()
     assert len(least) == 6 and least == sorted(least) and least[-1] < 0.8 * 96
@@ -468,6 +499,28 @@ def test_every_toxic_token_counts():
     assert few[2] == many[2] and abs(few[1] - np.log1p(8)) < 1e-6 and abs(many[1] - np.log1p(100)) < 1e-6 and tagger.evidence(np.zeros(0))[1] == 0
 
 
+def test_a_fit_holds_few_arrays_of_its_sample():
+    """The driver has 1 GB or so: a gradient step goes through some windows at a time, with the same weights."""
+    rng = random.Random(3)
+    made = [(b" ".join(b"w%d" % (rng.random() ** 3 * 20_000) for _ in range(48)), bytes(int(k % 2 and rng.random() < 0.1) for _ in range(48))) for k in range(5000)]
+    tracemalloc.start()
+    toxicity.fit(((w.split(), list(m)) for w, m in made), rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+
+
+def test_a_fit_in_steps_is_a_fit_at_once(monkeypatch):
+    rng = random.Random(4)
+    windows = [([b"w%d" % rng.randrange(400) for _ in range(n)], [int(k % 2 and rng.random() < 0.2) for _ in range(n)]) for k, n in enumerate(rng.choices(range(49), k=300))]
+    found = []
+    for at in (7, 1000):
+        monkeypatch.setattr(toxicity, "FIT_WINDOWS", at)
+        found.append(toxicity.fit(windows, rounds=20))
+    a, b = found
+    assert abs(a.weights - b.weights).max() < 1e-5 and abs(a.transitions - b.transitions).max() < 1e-9 and abs(a.first - b.first) < 1e-9
+
+
 def test_forward_backward_is_exact():
     import itertools
 

@@ -10,26 +10,31 @@ from .common import checkpoint
 MAX_ROUNDS = 100
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether edges (u, v), v less than u, are stars: every u has one v, and no v is a u."""
+    ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))
+    nodes = e.select(F.explode(ends).alias("_x")).groupBy("_x.node").agg(F.sum("_x.up").alias("up"), F.min("_x.up").alias("least"))
+    return nodes.where("up > 1 or up > 0 and least = 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that an edge (u, v) touches; root is the least node of its component.
 
     Each round links larger neighbours to the least one (Kiveris et al., 2014), so a chain
     of n edges takes about log n rounds. Minima are summed before the shuffle, and every
-    round is written to the shared folder.
+    round is written to the shared folder. Rounds end when all edges go to a root, so none is
+    made to see that it changes nothing.
     """
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, before = checkpoint(e), None
+    e = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(MAX_ROUNDS):
-        now = tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-        if now == before or not now[0]:
+        if _settled(e):
             break
-        before = now
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("_x")).select("_x.*")
+        least = both.groupBy("u").agg(F.min("v").alias("_m")).select(F.col("u").alias("v"), F.least("u", "_m").alias("m"))
+        large = e.join(least, "v").select("u", F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        # A row that is its node's least edge stays; of any other, the smaller end goes to the least node.
+        e = checkpoint(large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

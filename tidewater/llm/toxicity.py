@@ -29,7 +29,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from math import ceil
 
 import numpy as np
@@ -37,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, blobs, checkpoint, ship, slices, table, task, with_columns
+from .common import WORD_BYTES, blobs, checkpoint, ship, slices, table, task, trim, with_columns
 
 THRESHOLD, SAMPLE, WINDOWS, SPAN = 0.7, 4000, 2, 48
 #: The toxic texts that hold a seed: so many, and this share of them, at least.
 SUPPORT, SUPPORT_SHARE = 3, 0.001
 HASH_BITS = 18
+#: Windows that go through a gradient step together, on the driver.
+FIT_WINDOWS = 1024
 #: Words kept in each Python worker, and bytes of text tagged at a time.
 CACHE, TAG_BYTES = 100_000, 500_000
 #: Marginals below this are the background of long texts and don't count.
@@ -166,55 +169,75 @@ def _scan(d: np.ndarray, reset: np.ndarray, init: float, t: np.ndarray, lanes: i
     return out.T.ravel()[:n]
 
 
-def fit(windows: list[tuple[list[bytes], list[int]]], rounds: int = 60, penalty: float = 0.02, rate: float = 0.5) -> Tagger:
-    """Maximise the penalised likelihood of the windows' labels by adaptive gradient steps."""
-    windows = [x for x in windows if x[0]]
-    n, length = len(windows), max((len(x[0]) for x in windows), default=1)
-    # Each distinct word has its features once; tokens are places in that list.
+def fit(windows: Iterable[tuple[list[bytes], Sequence[int]]], rounds: int = 60, penalty: float = 0.02, rate: float = 0.5) -> Tagger:
+    """Maximise the penalised likelihood of the windows' labels by adaptive gradient steps.
+
+    Words are held once, tokens as places in their list, and ``FIT_WINDOWS`` windows go through a
+    gradient step at a time, so the driver holds few arrays of the size of the sample.
+    """
     place = {_NONE: 0}
-    ids = np.zeros((n, length + 2), np.int32)
-    labels, real = np.zeros((n, length)), np.zeros((n, length), bool)
-    for k, (words, marks) in enumerate(windows):
-        ids[k, 1 : len(words) + 1] = [place.setdefault(x, len(place)) for x in words]
-        labels[k, : len(words)], real[k, : len(words)] = marks, True
-    own = [np.array(_features(x), np.int32) for x in place]
-    word = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    feature = np.concatenate([*own, np.array([_beside(x, b"<") for x in place], np.int32), np.array([_beside(x, b">") for x in place], np.int32)])
+    flat_ids, flat_labels, sizes = array("i"), array("b"), array("i")
+    for words, marks in windows:
+        if words:
+            flat_ids.extend(place.setdefault(x, len(place)) for x in words)
+            flat_labels.extend(marks)
+            sizes.append(len(words))
+    n, length = len(sizes), max(sizes, default=1)
+    real = np.arange(length) < np.array(sizes, np.int32)[:, None]
+    ids, labels = np.zeros((n, length + 2), np.int32), np.zeros((n, length), np.int8)
+    ids[:, 1:-1][real], labels[real] = flat_ids, flat_labels
+    del flat_ids, flat_labels
+    # Each distinct word has its features once.
+    own, each = array("i"), array("i")
+    for x in place:
+        found = _features(x)
+        own.extend(found)
+        each.append(len(found))
+    word = np.repeat(np.arange(len(place), dtype=np.int32), each)
+    feature = np.concatenate([np.array(own, np.int32), np.array([_beside(x, b"<") for x in place], np.int32), np.array([_beside(x, b">") for x in place], np.int32)])
     used, feature = np.unique(feature, return_inverse=True)
-    feature, left, right = np.split(feature, [len(word), len(word) + len(own)])
-    here, before, after = ids[:, 1:-1].ravel(), ids[:, :-2].ravel(), ids[:, 2:].ravel()
+    feature, left, right = np.split(feature, [len(word), len(word) + len(place)])
+    many, steps = len(place), [slice(at, at + FIT_WINDOWS) for at in range(0, n, FIT_WINDOWS)]
+    del place, own, each
+    here, before, after = (ids[:, at : at + length] for at in (1, 0, 2))
+    both = real[:, 1:]
+    l0, l1 = labels[:, :-1] > 0, labels[:, 1:] > 0
+    seen = np.array([[(~l0 & ~l1 & both).sum(), (~l0 & l1 & both).sum()], [(l0 & ~l1 & both).sum(), (l0 & l1 & both).sum()]], float)
+    del l0, l1
     w, w2 = np.zeros(len(used)), np.full(len(used), 1e-6)
     t, t2 = np.array([[0.0, -1.0], [0.0, 0.0]]), np.full((2, 2), 1e-6)
     s, s2 = -2.0, 1e-6
+
+    def onward(x, f):
+        e = np.exp(np.clip(x, -40, 40))
+        return np.log(f[0, 1] + f[1, 1] * e) - np.log(f[0, 0] + f[1, 0] * e)
+
     for _ in range(rounds):
-        score = np.bincount(word, w[feature], len(own))
-        d = (score[here] + w[left][before] + w[right][after]).reshape(n, length)
-        f = np.exp(t)
-        alpha, beta = np.zeros((n, length)), np.zeros((n, length))  # log odds
-        alpha[:, 0] = d[:, 0] + s
-
-        def onward(x, f):
-            e = np.exp(np.clip(x, -40, 40))
-            return np.log(f[0, 1] + f[1, 1] * e) - np.log(f[0, 0] + f[1, 0] * e)
-
-        for i in range(1, length):
-            alpha[:, i] = d[:, i] + onward(alpha[:, i - 1], f)
-        for i in range(length - 1, 0, -1):
-            beta[:, i - 1] = np.where(real[:, i], onward(d[:, i] + beta[:, i], f.T), 0)
-        p = np.where(real, 1 / (1 + np.exp(-np.clip(alpha + beta, -40, 40))), 0)
-        error = np.where(real, labels - p, 0)
-        flat = error.ravel()
-        grad = np.bincount(feature, np.bincount(here, flat, len(own))[word], len(used)) - penalty * w
-        for side, of in ((left, before), (right, after)):
-            grad += np.bincount(side, np.bincount(of, flat, len(own)), len(used))
-        both = real[:, 1:]
-        x, y = np.exp(np.clip(alpha[:, :-1], -40, 40)), np.exp(np.clip(d[:, 1:] + beta[:, 1:], -40, 40))
-        pair = np.array([[np.full_like(x, f[0, 0]), f[0, 1] * y], [f[1, 0] * x, f[1, 1] * x * y]])
-        pair = pair / pair.sum((0, 1)) * both
-        l0, l1 = labels[:, :-1], labels[:, 1:]
-        seen = np.array([[((1 - l0) * (1 - l1) * both).sum(), ((1 - l0) * l1 * both).sum()], [(l0 * (1 - l1) * both).sum(), (l0 * l1 * both).sum()]])
-        grad_t = seen - pair.sum((2, 3)) - penalty * t
-        grad_s = error[:, 0].sum()
+        score, f = np.bincount(word, w[feature], many), np.exp(t)
+        aside = w[left], w[right]
+        errors = [np.zeros(many) for _ in range(3)]  # of a word in its own place, before and after another
+        pairs, grad_s = np.zeros((2, 2)), 0.0
+        for some in steps:
+            own_real = real[some]
+            d = score[here[some]] + aside[0][before[some]] + aside[1][after[some]]
+            alpha, beta = np.zeros(d.shape), np.zeros(d.shape)  # log odds
+            alpha[:, 0] = d[:, 0] + s
+            for i in range(1, length):
+                alpha[:, i] = d[:, i] + onward(alpha[:, i - 1], f)
+            for i in range(length - 1, 0, -1):
+                beta[:, i - 1] = np.where(own_real[:, i], onward(d[:, i] + beta[:, i], f.T), 0)
+            p = np.where(own_real, 1 / (1 + np.exp(-np.clip(alpha + beta, -40, 40))), 0)
+            error = np.where(own_real, labels[some] - p, 0)
+            for total, of in zip(errors, (here, before, after), strict=True):
+                total += np.bincount(of[some].ravel(), error.ravel(), many)
+            x, y = np.exp(np.clip(alpha[:, :-1], -40, 40)), np.exp(np.clip(d[:, 1:] + beta[:, 1:], -40, 40))
+            pair = np.array([[np.full_like(x, f[0, 0]), f[0, 1] * y], [f[1, 0] * x, f[1, 1] * x * y]])
+            pairs += (pair / pair.sum((0, 1)) * both[some]).sum((2, 3))
+            grad_s += error[:, 0].sum()
+        grad = np.bincount(feature, errors[0][word], len(used)) - penalty * w
+        for side, total in zip((left, right), errors[1:], strict=True):
+            grad += np.bincount(side, total, len(used))
+        grad_t = seen - pairs - penalty * t
         w2 += grad**2
         t2 += grad_t**2
         s2 += grad_s**2
@@ -328,7 +351,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = sorted((bytes(r["words"]), bytes(r["marks"])) for r in found)
     if not any(1 in m for _, m in found):
         return None
-    tagger = fit([(w.split(), list(m)) for w, m in found])
+    tagger = fit((w.split(), m) for w, m in found)
+    del found
+    trim()  # the driver goes on without what the fit took
     rows = _evidence(texts, tagger, "_tw_text", "_tw_label").collect()
     tagger.calibrate(sorted((r["one"], r["hits"], r["length"], r["label"]) for r in rows), {0: clean / (clean + toxic), 1: toxic / (clean + toxic)})
     return tagger
