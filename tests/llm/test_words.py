@@ -34,6 +34,77 @@ def test_op8_sums_rows_together(n, span):
     assert np.allclose(grad, whole[used], atol=1e-4)
 
 
+@pytest.fixture
+def small_model():
+    """A model of 60 words, most of them in the head, and tokens of four copied texts and some of any words."""
+    rng = np.random.default_rng(5)
+    listed = [*((b"w%d" % i, 200 - i) for i in range(50)), (maxent.END, 20), *((b"v%d" % i, 9) for i in range(9))]
+    model = maxent.Classes(listed, 51, rng.integers(0, 9, (51, maxent.CONTEXTS)).astype(float))
+    text = model.id_of[model.codes([b"w%d" % i for i in rng.permutation(50)] + [b"v3", b"new", maxent.END])]
+    ids = np.concatenate([*[text] * 4, rng.integers(0, model.n_head + maxent.CLUSTERS, 300)])
+    start = np.concatenate([np.repeat(np.arange(4) * len(text), len(text)), np.full(300, 4 * len(text))])
+    bias = rng.normal(size=model.n).astype(np.float32)
+    return model, bias, ids, start, len(np.unique(np.stack([ids, *maxent._past(ids, start)]), axis=1).T)
+
+
+def apart(past, classes, places):
+    return classes.astype(np.int64) << 30 | np.arange(len(classes))
+
+
+def test_op8_works_out_tokens_alike_once(small_model, monkeypatch):
+    """Of one word after the same three words; with the weights, times and logarithms of each by itself."""
+    model, bias, ids, start, distinct = small_model
+    asked, logits = [], maxent._logits
+    monkeypatch.setattr(maxent, "_logits", lambda w, b, rows: asked.append(len(rows)) or logits(w, b, rows))
+
+    def run():
+        outer, inner = maxent.Learner(np.zeros((1 << maxent.TABLE_BITS, model.n), np.float32)), maxent.Learner(np.zeros((1 << maxent.TABLE_BITS, 2 * maxent.SIDE), np.float32))
+        for _ in range(3):
+            maxent._learn(outer, inner, bias, model, ids, start)
+        return outer, inner, maxent._logs(outer.w, inner.w, bias, model, ids, start)
+
+    outer, inner, logs = run()
+    assert asked == [distinct] * 4 and distinct < len(ids) - 140
+    monkeypatch.setattr(maxent, "_keys", apart)
+    for own, want in zip((outer, inner), run(), strict=False):
+        assert (own.seen == want.seen).all() and own.seen.any() and np.allclose(own.w, want.w, atol=1e-4) and np.allclose(own.squares, want.squares, rtol=1e-3)
+    assert np.allclose(logs, maxent._logs(outer.w, inner.w, bias, model, ids, start), atol=1e-5)
+
+
+def test_op8_keys_of_too_many_words(small_model):
+    model, _, ids, start, distinct = small_model
+    past, classes, places = maxent._past(ids, start), model.class_of[ids], model.place_of[ids]
+    for keys, n in ((maxent._keys(past, classes, places), distinct), (maxent._keys([x << 18 for x in past], classes, places), len(ids))):
+        own, times, order = maxent._alike(keys)
+        assert len(own) == n and times.sum() == len(ids) and sorted(order.tolist()) == list(range(len(ids)))
+        assert (np.diff(classes[order]) >= 0).all()
+        gridded = places[own] >= 0
+        assert gridded[: gridded.sum()].all()
+    assert [len(x) for x in maxent._alike(np.zeros(0, np.int64))] == [0, 0, 0]
+
+
+@pytest.mark.parametrize(("words", "size"), [(10, 1 << 20), (1 << 20, 300), (1 << 20, 1 << 20)])
+def test_op8_counts_words_in_parts(spark, monkeypatch, words, size):
+    """Long words go on by their bytes, many words by their number; the sums are the same."""
+    from collections import Counter
+
+    monkeypatch.setattr(maxent, "COUNTED", words)
+    monkeypatch.setattr(maxent, "COUNTED_BYTES", size)
+    texts = [*(None if x is None else x.decode() for x in TEXTS), *(f"A{i % 7} b{i} {'z' * i}" for i in range(100))]
+    docs = spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1)
+    want = Counter(x for t in texts for x in maxent.tokens((t or "").encode()))
+    assert {bytes(r.word): r.c for r in maxent._count(docs, "text").collect()} == want
+
+
+def test_op8_keeps_short_words_only(small_model):
+    model = small_model[0]
+    before, long = len(model.known), b"q" * (maxent.WORD_BYTES + 1)
+    first = model.codes([b"w1", long, b"short", b"v2"])
+    assert first[[0, 3]].tolist() == [1, 53] and (first[1:3] >= model.n_listed).all()
+    assert model.codes([b"short", b"v2", long, b"w1"]).tolist() == first[[2, 3, 1, 0]].tolist()
+    assert len(model.known) == before + 1
+
+
 def test_tokens_look_up_distinct_chunks_only():
     class Counted(dict):
         asked = 0

@@ -18,7 +18,8 @@ words have their plain shares: an unseen word that of words seen once (Good-Turi
 counts as one type.
 
 Each task takes adaptive gradient steps over all its training tokens from the same
-weights and returns its weights (half precision) with the times each feature occurred;
+weights, those of a step with the same word and history as one of their weight, and
+returns its weights (half precision) with the times each feature occurred;
 their mean, weighted by these, is the model (iterative parameter mixing). Small partitions
 are read together. What tasks send is bounded for each task and so grows with the input;
 the merged tables have a fixed size.
@@ -37,14 +38,14 @@ whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, checkpoint, coded_words, distinct_words, ship, slices, table, task
+from .common import blobs, checkpoint, coded_words, ship, slices, table, task
 
 HEAD, LOOKUP, WORD_BYTES = 16_384, 262_144, 64
 CLUSTERS, CONTEXTS, CLASSES, SIDE = 8, 32, 16, 32
@@ -57,8 +58,8 @@ END = b"\n"  # no word has it
 FEATURES = 4
 #: Rows of one product of matrices: few enough that it takes one thread.
 PRODUCT = 224
-#: Words that a task holds at most while it counts.
-COUNTED = 800_000
+#: Words, and bytes of words, that a task holds while it counts, besides those of a batch.
+COUNTED, COUNTED_BYTES = 800_000, 32_000_000
 #: Rows with more tokens than this in a step are summed one by one, the others together.
 TOGETHER = 64
 #: Training tokens that a task has at least, unless there are fewer tasks than cores.
@@ -82,11 +83,20 @@ def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], starts - 2 * np.arange(len(words))
 
 
+def _places(known: pa.Array, words: pa.Array) -> np.ndarray:
+    """Where each of some different words is among known ones, or -1."""
+    at = pc.index_in(known, value_set=words)  # few words of the batch are hashed, not all that are known
+    met = at.is_valid()
+    out = np.full(len(words), -1)
+    out[at.filter(met).to_numpy()] = np.flatnonzero(met.to_numpy(zero_copy_only=False))
+    return out
+
+
 class Classes:
     """Words to codes (listed words by frequency, then one for each cluster's unlisted words), codes to ids (head words, then one for each cluster's others) and ids to classes."""
 
     def __init__(self, listed: list[tuple[bytes, int]], head: int, around: np.ndarray):
-        self.listed, head = {x: i for i, (x, _) in enumerate(listed)}, listed[:head]
+        self.n_listed, head = len(listed), listed[:head]
         counts = np.array([n for _, n in head], np.float64)
         cluster = _mixture(around, counts)
         self.letters = self._letter_rule([x for x, _ in head], cluster)
@@ -94,7 +104,7 @@ class Classes:
         self.id_of = np.concatenate([np.arange(n), n + self.clusters([x for x, _ in listed[n:]]), n + np.arange(CLUSTERS)]).astype(np.int64)
         self.count_of = np.array([c for _, c in listed] + [0] * CLUSTERS, np.float64)
         self.class_of = np.zeros(n + CLUSTERS, np.int32)
-        end = self.listed.get(END, n)
+        end = next((i for i, (x, _) in enumerate(head) if x == END), n)
         order = sorted((i for i in range(n) if i != end), key=lambda i: (cluster[i], -counts[i], i))
         total, done, last, k, place = counts[order].sum() if order else 0, 0.0, None, 0, 0
         self.place_of = np.full(n + CLUSTERS, -1, np.int32)  # in the class's grid
@@ -116,7 +126,8 @@ class Classes:
         own = np.flatnonzero(self.place_of[:n] >= 0)
         self.grid[self.class_of[own], self.place_of[own]] = share[own]
         self.grid = self.grid.reshape(-1, SIDE, SIDE)
-        self.known = dict(self.listed)
+        #: Words with codes, listed ones first, and the codes.
+        self.known, self.code_of = pa.array([x for x, _ in listed], pa.large_binary()), np.arange(len(listed))
 
     def _letter_rule(self, words: list[bytes], cluster: np.ndarray) -> np.ndarray:
         out = np.full((1 << LETTER_BITS, CLUSTERS), 0.1)
@@ -133,16 +144,19 @@ class Classes:
         code, starts = _letters(words)
         return (np.add.reduceat(self.letters[code], starts, axis=0) + self.prior).argmax(1)
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        out = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(out < 0).tolist()
-        if missing:
-            new = list({words[i] for i in missing})
-            if len(known) + len(new) > len(self.listed) + CACHE:
-                known = self.known = dict(self.listed)
-            known.update(zip(new, (len(self.listed) + self.clusters(new)).tolist(), strict=True))
-            out[missing] = [known[words[i]] for i in missing]
+    def codes(self, words: pa.Array | list[bytes]) -> np.ndarray:
+        """The codes of some different words."""
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.large_binary())
+        out = _places(self.known, words)
+        missing = out < 0
+        out[~missing] = self.code_of[out[~missing]]
+        if missing.any():
+            new = words.filter(pa.array(missing))
+            out[missing] = self.n_listed + self.clusters(new.to_numpy(zero_copy_only=False).tolist())
+            kept = len(self.known) if len(self.known) + len(new) <= self.n_listed + CACHE else self.n_listed
+            short = pc.less_equal(pc.binary_length(new), WORD_BYTES)
+            self.known = pa.concat_arrays([self.known[:kept], new.filter(short)])
+            self.code_of = np.concatenate([self.code_of[:kept], out[missing][short.to_numpy(zero_copy_only=False)]])
         return out
 
 
@@ -165,23 +179,26 @@ def _mixture(around: np.ndarray, counts: np.ndarray, rounds: int = 20) -> np.nda
     return own
 
 
-def history(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Rows of the weight table for each token: hashed features of the words before it in its text."""
+def _past(ids: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """The last word before each token in its text, the last but one and the last but two, or that there is none."""
     t = np.arange(len(ids)) - start
-    m = np.uint64(0x9E3779B97F4A7C15)
-
-    def hashed(x: np.ndarray, k: int) -> np.ndarray:
-        return ((((x + np.uint64(k << 56)) * m) ^ ((x * m) >> np.uint64(29))) * m >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
     past = []
     for k in (1, 2, 3):
         x = np.full(len(ids), 1, np.int64)
         x[k:] = ids[:-k] + 2
         x[t < k] = 1
         past.append(x)
-    w1, w2, w3 = past
-    single = np.arange(int(ids.max(initial=0)) + 3, dtype=np.uint64)  # each word is hashed once
-    out = np.empty((len(ids), FEATURES), np.int64)
+    return past
+
+
+def _features(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> np.ndarray:
+    m = np.uint64(0x9E3779B97F4A7C15)
+
+    def hashed(x: np.ndarray, k: int) -> np.ndarray:
+        return ((((x + np.uint64(k << 56)) * m) ^ ((x * m) >> np.uint64(29))) * m >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    single = np.arange(max(int(x.max(initial=0)) for x in (w1, w2, w3)) + 1, dtype=np.uint64)  # each word is hashed once
+    out = np.empty((len(w1), FEATURES), np.int64)
     out[:, 0] = np.take(hashed(single, 0), w1)
     out[:, 1] = hashed((w1 << 24 | w2).astype(np.uint64), 1)
     out[:, 2] = np.take(hashed(single, 2), w2)
@@ -189,6 +206,32 @@ def history(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
+def history(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rows of the weight table for each token: hashed features of the words before it in its text."""
+    return _features(*_past(ids, start))
+
+
+def _keys(past: list[np.ndarray], classes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Numbers that only tokens of one word after the same three words share, in order of class."""
+    bits = int(max(int(x.max(initial=0)) for x in past)).bit_length()
+    below, inside = 3 * bits, (SIDE * SIDE).bit_length()
+    if int(classes.max(initial=0)).bit_length() + below + inside > 63:  # too many words: none are put together
+        at = max(1, len(classes)).bit_length()
+        return classes.astype(np.int64) << at | np.arange(len(classes))
+    out = classes.astype(np.int64)
+    for x in past:
+        out = out << bits | x
+    return out << inside | places + 1
+
+
+def _alike(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One token of each key in order of keys, how many have its key, and all tokens in that order."""
+    order = np.argsort(keys)
+    found = np.take(keys, order)
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])[: len(found)])
+    return np.take(order, first), np.diff(np.append(first, len(order))), order
+
+
 def within(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Rows of the word factor's table: the first features with the class."""
     return rows ^ (classes.astype(np.int64) * 40_503 & (1 << TABLE_BITS) - 1)[:, None]
@@ -210,29 +253,27 @@ def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
     return np.exp(z - top), top[:, 0]
 
 
-def _softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The logarithm of each target's probability; and of all classes, numbers like their probabilities and the sums of these."""
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | float]:
+    """Of all classes the logits, numbers like the probabilities, the sums of these, and what was taken off the logits for them."""
     z = _sums(weights, rows)
     z += bias
     p, top = _exp(z)
-    mass = p @ np.ones(p.shape[1], np.float32)
-    return np.take(z, np.arange(len(z)) * z.shape[1] + target) - np.log(mass) - top, p, mass
+    return z, p, p @ np.ones(p.shape[1], np.float32), top
 
 
 class Inner:
     """P(word | class, history) of some tokens, each of a class with a grid, in order of class."""
 
     def __init__(self, weights: np.ndarray, grid: np.ndarray, rows: np.ndarray, classes: np.ndarray, places: np.ndarray):
-        z = _sums(weights, rows)
+        z = self.z = _sums(weights, rows)
         self.row, self.column = places // SIDE, places % SIDE
-        at = np.arange(len(z)) * z.shape[1]
-        shares = np.take(grid, classes.astype(np.int64) * SIDE * SIDE + places)
-        logit = np.take(z, at + self.row) + np.take(z, at + SIDE + self.column) + np.log(shares)
+        self.share_at = classes.astype(np.int64) * SIDE * SIDE + places
         if max(float(z.max()), -float(z.min())) < 60:
-            both, top, more = np.exp(z), 0.0, 0.0
+            both, self.off = np.exp(z), 0.0
             self.left, self.right = both[:, :SIDE], both[:, SIDE:]
         else:
             (self.left, top), (self.right, more) = _exp(z[:, :SIDE]), _exp(z[:, SIDE:])
+            self.off = top + more
         self.spread = np.empty((len(z), SIDE), np.float32)  # each row's sum over its columns
         self.grid = grid
         edges = np.flatnonzero(np.diff(classes, prepend=-1, append=-1)).tolist()
@@ -240,18 +281,22 @@ class Inner:
         for own, c in self.spans:
             np.matmul(self.right[own], grid[c].T, out=self.spread[own])
         self.mass = np.einsum("ij,ij->i", self.left, self.spread)
-        self.logs = logit - np.log(self.mass) - top - more
 
-    def errors(self) -> np.ndarray:
-        """The gradient of the logarithm by the sums of row and of column weights."""
+    @property
+    def logs(self) -> np.ndarray:
+        at = np.arange(len(self.z)) * self.z.shape[1]
+        return np.take(self.z, at + self.row) + np.take(self.z, at + SIDE + self.column) + np.log(np.take(self.grid, self.share_at)) - np.log(self.mass) - self.off
+
+    def errors(self, times: np.ndarray | float = 1.0) -> np.ndarray:
+        """The gradient of the logarithm by the sums of row and of column weights, for so many tokens alike."""
         out = np.empty((len(self.mass), 2 * SIDE), np.float32)
-        left = self.left * (-1 / self.mass)[:, None]
+        left = self.left * (-times / self.mass)[:, None]
         np.multiply(left, self.spread, out=out[:, :SIDE])
         for own, c in self.spans:
             np.multiply(self.right[own], left[own] @ self.grid[c], out=out[own, SIDE:])
         flat, at = out.reshape(-1), np.arange(len(out)) * out.shape[1]
-        flat[at + self.row] += 1
-        flat[at + SIDE + self.column] += 1
+        flat[at + self.row] += times
+        flat[at + SIDE + self.column] += times
         return out
 
 
@@ -262,8 +307,9 @@ class Learner:
         self.w = weights.copy()
         self.seen, self.squares = np.zeros(len(weights), np.int64), np.full(len(weights), 1e-4, np.float32)
 
-    def step(self, rows: np.ndarray, error: np.ndarray, rate: float) -> None:
-        own, times, grad = _row_sums(rows, error)
+    def step(self, rows: np.ndarray, error: np.ndarray, times: np.ndarray, rate: float) -> None:
+        """A step by tokens' rows and errors, each of so many tokens alike."""
+        own, times, grad = _row_sums(rows, error, times)
         self.seen[own] += times
         squares = self.squares[own] + np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
         self.squares[own] = squares
@@ -274,49 +320,55 @@ class Learner:
         np.put(self.w.view(whole), own, grad.view(whole))
 
 
-def _gridded(classes: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The tokens that have a place in their class's grid, in order of class."""
-    some = np.flatnonzero(places >= 0)
-    return some[np.argsort(classes[some].astype(np.int16), kind="stable")]
-
-
 def _learn(outer: Learner, inner: Learner, bias: np.ndarray, model: Classes, ids: np.ndarray, start: np.ndarray) -> None:
-    """A pass of steps over some tokens."""
-    rows, target, place = history(ids, start), model.class_of[ids], model.place_of[ids]
+    """A pass of steps over some tokens. Those of a step that are alike are worked out once and weigh as many."""
+    past, target, place = _past(ids, start), model.class_of[ids], model.place_of[ids]
+    rows, keys = _features(*past), _keys(past, target, place)
     for at in range(0, len(ids), STEP):
-        r, y, p = rows[at : at + STEP], target[at : at + STEP], place[at : at + STEP]
-        _, error, mass = _softmax(outer.w, bias, r, y)
-        error *= (1 / mass)[:, None]
-        error[np.arange(len(y)), y] -= 1
-        outer.step(r, error, -RATE)
-        some = _gridded(y, p)
-        if len(some):
-            r = within(r[some], y[some])
-            inner.step(r, Inner(inner.w, model.grid, r, y[some], p[some]).errors(), INNER_RATE)
+        own, times, _ = _alike(keys[at : at + STEP])
+        own += at
+        r, y, p, n = rows[own], target[own], place[own], times.astype(np.float32)
+        _, error, mass, _ = _logits(outer.w, bias, r)
+        error *= (n / mass)[:, None]
+        error.reshape(-1)[np.arange(len(y)) * error.shape[1] + y] -= n
+        outer.step(r, error, times, -RATE)
+        some = np.count_nonzero(p >= 0)  # classes with a grid come first
+        if some:
+            r = within(r[:some], y[:some])
+            error = Inner(inner.w, model.grid, r, y[:some], p[:some]).errors(n[:some])
+            inner.step(r, error, times[:some], INNER_RATE)
 
 
 def _logs(outer: np.ndarray, inner: np.ndarray, bias: np.ndarray, model: Classes, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The natural logarithm of each token's probability; of a tail word, of its class's."""
-    rows, target, place = history(ids, start), model.class_of[ids], model.place_of[ids]
+    """The natural logarithm of each token's probability; of a tail word, of its class's. Tokens that are alike are worked out once."""
+    past = _past(ids, start)
+    own, times, order = _alike(_keys(past, model.class_of[ids], model.place_of[ids]))
+    rows, own = _features(*(x[own] for x in past)), ids[own]
+    target, place = model.class_of[own], model.place_of[own]
+    found = np.empty(len(own))
+    some = np.count_nonzero(place >= 0)  # classes with a grid come first
+    for at in range(0, len(own), STEP):
+        r, y = rows[at : at + STEP], target[at : at + STEP]
+        z, _, mass, top = _logits(outer, bias, r)
+        found[at : at + STEP] = np.take(z, np.arange(len(z)) * z.shape[1] + y) - np.log(mass) - top
+        n = min(some - at, len(y))
+        if n > 0:
+            found[at : at + n] += Inner(inner, model.grid, within(r[:n], y[:n]), y[:n], place[at : at + n]).logs
     out = np.empty(len(ids))
-    for at in range(0, len(ids), STEP):
-        r, y, p = rows[at : at + STEP], target[at : at + STEP], place[at : at + STEP]
-        out[at : at + STEP] = _softmax(outer, bias, r, y)[0]
-        some = _gridded(y, p)
-        if len(some):
-            out[at + some] += Inner(inner, model.grid, within(r[some], y[some]), y[some], p[some]).logs
+    out[order] = np.repeat(found, times)
     return out
 
 
-def _row_sums(rows: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows of the table that a step uses, the most used ones first, how often, and the sum of their tokens' errors."""
+def _row_sums(rows: np.ndarray, error: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of the table that a step uses, the most used ones first, how often (by the tokens' weights, if given), and the sum of their tokens' errors."""
     flat = rows.ravel().astype(np.uint16 if TABLE_BITS <= 16 else np.int64)  # short numbers sort in linear time
     order = np.argsort(flat, kind="stable")
     used, token = np.take(flat, order), order // rows.shape[1]
     first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
     times = np.diff(np.append(first, len(used)))
     falling = np.argsort((len(used) - times).astype(np.uint16 if len(used) < 1 << 16 else np.int64), kind="stable")
-    first, times = np.take(first, falling), np.take(times, falling)
+    whole = times if weights is None else np.add.reduceat(np.take(weights, token), first)
+    first, times, whole = np.take(first, falling), np.take(times, falling), np.take(whole, falling)
     grad = np.take(error, np.take(token, first), 0)
     # So many rows have more tokens than 0, 1, 2 and so on: their next token's errors are added together, without a step for each row.
     more = len(times) - np.cumsum(np.bincount(np.minimum(times, TOGETHER + 1)))
@@ -326,19 +378,25 @@ def _row_sums(rows: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for k, n in enumerate(more[1:TOGETHER].tolist(), 1):
         if n > often:
             grad[often:n] += error.take(token.take(first[often:n] + k), 0)
-    return np.take(used, first).astype(np.int64), times, grad
+    return np.take(used, first).astype(np.int64), whole, grad
 
 
-def _flat(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def _coded(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct tokens of some texts, for all tokens in a row the place of each there, their number in each text, and for each token where its text starts."""
-    found, index, sizes = distinct_words(column)
+    found, index, sizes = coded_words(column)
     lengths = sizes + 1
     ends = np.cumsum(lengths)
     inside = np.ones(int(lengths.sum()), bool)
     inside[ends - 1] = False
     out = np.full(len(inside), len(found), np.int64)
     out[inside] = index
-    return [*found, END], out, lengths, np.repeat(ends - lengths, lengths)
+    return pa.concat_arrays([found, pa.array([END], found.type)]), out, lengths, np.repeat(ends - lengths, lengths)
+
+
+def _flat(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_coded``, with the tokens as bytes objects."""
+    words, *rest = _coded(column)
+    return words.to_numpy(zero_copy_only=False).tolist(), *rest
 
 
 def _count(docs: DataFrame, text_col: str) -> DataFrame:
@@ -346,24 +404,20 @@ def _count(docs: DataFrame, text_col: str) -> DataFrame:
 
     @task("maxent")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def summed() -> pa.Table:
-            found = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
-            held.clear()
-            return found.combine_chunks()
-
+        known, counts = pa.array([], pa.large_binary()), np.zeros(0, np.int64)
         for whole in batches:
             for batch in slices(whole, text_col):
-                words, index, _ = coded_words(batch.column(text_col))
-                held.append(pa.table({"word": words, "n": np.bincount(index, minlength=len(words))}))
-                held.append(pa.table({"word": pa.array([END], words.type), "n": np.array([batch.num_rows])}))
-                if sum(map(len, held)) > COUNTED:
-                    held.append(summed())
-                    if len(held[0]) > COUNTED // 2:
-                        yield from held.pop().cast(kind).to_batches()
-        if held:
-            yield from summed().cast(kind).to_batches()
+                words, index, _, _ = _coded(batch.column(text_col))
+                n = np.bincount(index, minlength=len(words))
+                at = _places(known, words)
+                new = at < 0
+                counts[at[~new]] += n[~new]
+                known, counts = pa.concat_arrays([known, words.filter(pa.array(new))]), np.append(counts, n[new])
+                if len(known) > COUNTED or known.nbytes > COUNTED_BYTES:
+                    yield from pa.table([known, counts], ["word", "n"]).cast(kind).to_batches(65_536)
+                    known, counts = known[:0], counts[:0]
+        if len(known):
+            yield from pa.table([known, counts], ["word", "n"]).cast(kind).to_batches(65_536)
 
     return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -389,16 +443,16 @@ def _frequent(counts: DataFrame, limit: int) -> list[tuple[bytes, int]]:
 
 def _around(docs: DataFrame, head: list[bytes], text_col: str) -> np.ndarray:
     """How often each context word stands within two words of each head word."""
-    shared = docs.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(head)})
+    shared = docs.sparkSession.sparkContext.broadcast(pa.array(head, pa.large_binary()))
 
     @task("maxent")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, n = shared.value.get, len(shared.value)
+        n = len(shared.value)
         held = np.zeros(n * CONTEXTS, np.int64)
         for whole in batches:
             for batch in slices(whole, text_col):
-                words, index, _, start = _flat(batch.column(text_col))
-                ids = np.take(np.fromiter(map(get, words, repeat(-1)), np.int64, len(words)), index)
+                words, index, _, start = _coded(batch.column(text_col))
+                ids = np.take(_places(shared.value, words), index)
                 at = np.flatnonzero((ids >= 0) & (ids < CONTEXTS))
                 pairs = []
                 for k in (-2, -1, 1, 2):
@@ -426,7 +480,7 @@ def _round(docs: DataFrame, classes, weights: np.ndarray, inner: np.ndarray, bia
         learners, model = (Learner(w), Learner(u)), classes.value
         for whole in batches:
             for batch in slices(whole, text_col):
-                words, index, _, start = _flat(batch.column(text_col))
+                words, index, _, start = _coded(batch.column(text_col))
                 _learn(*learners, b, model, np.take(model.id_of[model.codes(words)], index), start)
         for first, own in zip((0, first_inner), learners, strict=True):
             rows = np.flatnonzero(own.seen)
@@ -484,7 +538,7 @@ def _tails(counts: DataFrame, classes) -> list[tuple[float, float, float]]:
         sums = np.zeros((CLUSTERS, 3))
         model = classes.value
         for batch in batches:
-            words, c = blobs(batch.column("word")), batch.column("c").to_numpy()
+            words, c = batch.column("word").cast(pa.large_binary()), batch.column("c").to_numpy()
             ids = model.id_of[model.codes(words)]
             tail = ids >= model.n_head
             own, c = ids[tail] - model.n_head, c[tail]
@@ -531,7 +585,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
         smooth = np.log10(own.count_of + 0.5) if own else None
         for whole in batches:
             for batch in slices(whole, text_col):
-                words, index, lengths, start = _flat(batch.column(text_col))
+                words, index, lengths, start = _coded(batch.column(text_col))
                 texts = len(lengths)
                 doc = np.repeat(np.arange(texts), lengths)
                 of_word = own.codes(words) if own else np.zeros(len(words), np.int64)
@@ -549,9 +603,9 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
                 loose, times = np.unique((doc * len(words) + index)[~listed], return_counts=True)  # in order of texts
                 at, loose = np.divmod(loose, len(words))
                 ends = np.searchsorted(at, np.arange(texts + 1))
-                cluster = np.take(of_word, loose) - len(own.listed) if own else np.zeros(len(loose))
+                cluster = np.take(of_word, loose) - own.n_listed if own else np.zeros(len(loose))
                 known = np.bincount(doc[listed], minlength=texts)
-                fields = [pa.array(words, pa.binary()).take(pa.array(loose)), pa.array(times, pa.int64()), pa.array(cluster.astype(np.int32))]
+                fields = [words.take(pa.array(loose)).cast(pa.binary()), pa.array(times, pa.int64()), pa.array(cluster.astype(np.int32))]
                 loose_words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names=["word", "n", "k"]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(id_col), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base.astype(float)), pa.array(model_score.astype(float)), loose_words], names=["doc_id", "n_tokens", "known", "base", "model", "rest"]
